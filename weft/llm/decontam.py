@@ -61,7 +61,9 @@ def _with_marks(rows: DataFrame, families: list[tuple[int, int, int]]) -> DataFr
     """rows(words, ...) with `marks`, the distinct kept hashes of all families.
 
     Hashes are a column before minima are taken: named inside a lambda they would
-    be made again for each element.
+    be made again for each element. (Hence explode_outer in this module: a plain
+    explode has a filter on its array's size inferred, which is pushed below these
+    columns by repeating their expressions.)
     """
     for k in sorted({k for _, k, _ in families}):
         rows = rows.withColumn(f"grams{k}", _grams(F.col("words"), k))
@@ -79,7 +81,7 @@ def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str =
     n = F.least(F.lit(window), F.col("size"))
     return (
         rows.where("size > 0")
-        .select("item", "words", n.alias("n"), F.explode(_range(F.col("size") - n + 1)).alias("at"))
+        .select("item", "words", n.alias("n"), F.explode_outer(_range(F.col("size") - n + 1)).alias("at"))
         .select("item", "n", _joined(F.col("words"), F.col("at"), F.col("n")).alias("gram"))
         .distinct()
     )
@@ -113,7 +115,7 @@ def contamination(
     per_window = grams.select("n", "gram").distinct().withColumn("words", F.split("gram", " "))
     marks = None
     for n, k, w in families:
-        part = _with_marks(per_window.where(F.col("n") == n), [(n, k, w)]).select("n", F.lit(k).alias("k"), F.explode("marks").alias("mark"))
+        part = _with_marks(per_window.where(F.col("n") == n), [(n, k, w)]).select("n", F.lit(k).alias("k"), F.explode_outer("marks").alias("mark"))
         marks = part if marks is None else marks.union(part)
     marks = cut(marks.distinct())
     small = marks.count() <= broadcast_rows
@@ -121,7 +123,7 @@ def contamination(
     keys = F.broadcast(per_window.select("n", "gram")) if small and grams.count() <= broadcast_rows else per_window.select("n", "gram")
 
     rows = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words"))
-    met = _with_marks(rows, families).select("id", "words", F.explode("marks").alias("mark")).join(known, "mark")
+    met = _with_marks(rows, families).select("id", "words", F.explode_outer("marks").alias("mark")).join(known, "mark")
     same = F.lit(None).cast("array<int>")
     for k in sorted({k for _, k, _ in families}):
         own = F.transform(_grams(F.col("words"), k), lambda g, i: F.when(g == F.col("mark"), i))
@@ -131,7 +133,7 @@ def contamination(
     )
     spans = (
         met.where(F.size("words") >= F.col("n"))
-        .select("id", "words", "n", F.explode(spread).alias("at"))
+        .select("id", "words", "n", F.explode_outer(spread).alias("at"))
         .select("id", "at", "n", _joined(F.col("words"), F.col("at"), F.col("n")).alias("gram"))
         .join(keys, ["n", "gram"], "left_semi")
         .distinct()
