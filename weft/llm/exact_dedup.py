@@ -75,7 +75,8 @@ def exact_dedup(
         .withColumn("row", F.monotonically_increasing_id())
     )
     first = F.min(F.struct((-F.col("points")).alias("p"), F.col("id").isNull().alias("z"), F.col("id").alias("id"), F.col("row").alias("row")))
-    groups = hashed.where("survives").groupBy("size", "head", "digest").agg(F.count("*").alias("group_size"), first.alias("first"))
+    # Cut, so that both sides of the join are plain shuffles, whose hot keys Spark can split.
+    groups = cut(hashed.where("survives").groupBy("size", "head", "digest").agg(F.count("*").alias("group_size"), first.alias("first")))
     found = hashed.where("survives").join(groups, ["size", "head", "digest"]).select(
         "id",
         F.col("first.id").alias("keep_id"),

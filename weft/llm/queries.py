@@ -10,14 +10,28 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from weft.llm.decontam import decontaminate
 from weft.llm.exact_dedup import exact_dedup
+from weft.llm.langid import identify
 from weft.llm.mixing import mix
+from weft.llm.quality import classify
 from weft.llm.simhash import simhash_components
+from weft.llm.tokens import document_token_counts
+from weft.llm.urlfilter import judge_urls, tracking_hosts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The block list is the hosts of which a sixth of the urls or more carry a utm_ parameter."""
+    pages = _table(spark, sf_dir, "pages")
+    return judge_urls(pages, tracking_hosts(pages)).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -29,6 +43,10 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_token_counts(_table(spark, sf_dir, "documents")).select("doc_id", "n_tokens")
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -37,12 +55,20 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"), digest_all=True).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality_classifier": op2_quality_classifier,
+        "op4_url_filter": op4_url_filter,
         "op5_benchmark_decontamination": op5_benchmark_decontamination,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
+        "op7_token_counts": op7_token_counts,
         "op8_source_mixing": op8_source_mixing,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_language_id": op10_language_id,
     }
 
 
@@ -51,6 +77,18 @@ _WORDS5 = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEF
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_url_filter": r"""
+            with u as (select page_id, coalesce(url, '') as url, instr(coalesce(url, ''), '://') as p from pages),
+            h as (select page_id, url, case when p = 0 then '' else translate(regexp_extract(substr(url, p + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') end as host,
+                         case when p = 0 then '' else regexp_extract(substr(url, p + 3), '^[^/?#]*([^?#]*)', 1) end as path from u),
+            listed as (select host from h group by host having avg(case when contains(url, 'utm_') then 1 else 0 end) >= 1.0 / 6),
+            r as (select page_id, host, path, case
+                    when (host = 'example.net' or host like '%.example.net') and path like '/en/%' then 'example.net/en/'
+                    when (host = 'example.com' or host like '%.example.com') and path like '/de/%' then 'example.com/de/'
+                    when (host = 'org' or host like '%.org') and path like '/fr/%' then 'org/fr/'
+                    when (host = 'net' or host like '%.net') and path like '/%' then 'net/' end as rule from h)
+            select page_id, host, path, rule, case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow'
+                   when host in (select host from listed) then 'block' else 'allow' end as verdict from r""",
         "op5_benchmark_decontamination": rf"""
             with d as (select doc_id, {_WORDS5} as w from documents),
             b as (select item_id, {_WORDS5} as w from benchmark),
