@@ -11,6 +11,7 @@ import corpus_pipeline
 from weft.llm.decontam import decontaminate
 from weft.llm.exact_dedup import exact_dedup
 from weft.llm.langid import identify
+from weft.llm.linededup import dedup_lines
 from weft.llm.mixing import mix
 from weft.llm.quality import classify
 from weft.llm.simhash import simhash_components
@@ -22,6 +23,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(_table(spark, sf_dir, "documents"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -61,6 +66,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op2_quality_classifier": op2_quality_classifier,
         "op4_url_filter": op4_url_filter,
         "op5_benchmark_decontamination": op5_benchmark_decontamination,
@@ -77,6 +83,19 @@ _WORDS5 = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEF
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_line_dedup": r"""
+            with l as (select doc_id, text, string_split(text, chr(10)) as raw from documents),
+            t as (select doc_id, text, raw, list_filter(list_transform(raw, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '') as ls from l),
+            runs as (select doc_id, pos, 3 as n, array_to_string(ls[pos + 1:pos + 3], chr(10)) as key from (select doc_id, ls, unnest(range(0, len(ls) - 2)) as pos from t)
+                     union all
+                     select doc_id, pos, 1, ls[pos + 1] from (select doc_id, ls, unnest(range(0, len(ls))) as pos from t)
+                     where len(list_filter(string_split_regex(ls[pos + 1], '[\x20\x09-\x0D]+'), lambda x: x <> '')) >= 40),
+            firsts as (select n, key, min(struct_pack(d := doc_id, a := pos)) as f from runs group by n, key),
+            gone as (select distinct doc_id, unnest(range(pos, pos + runs.n)) as line from runs join firsts using (n, key) where struct_pack(d := doc_id, a := pos) <> f),
+            gl as (select doc_id, list(line) as gone from gone group by doc_id),
+            k as (select t.doc_id, text, raw, ls, gone, list_transform(raw, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '') as b from t left join gl on gl.doc_id = t.doc_id)
+            select doc_id, case when gone is null then text else array_to_string(list_filter(raw, lambda x, i: not b[i] or not list_contains(gone, len(list_filter(b[1:i], lambda y: y)) - 1)), chr(10)) end as text,
+                   cast(coalesce(len(ls), 0) as bigint) as n_lines, cast(coalesce(len(gone), 0) as bigint) as n_removed from k""",
         "op4_url_filter": r"""
             with u as (select page_id, coalesce(url, '') as url, instr(coalesce(url, ''), '://') as p from pages),
             h as (select page_id, url, case when p = 0 then '' else translate(regexp_extract(substr(url, p + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') end as host,
