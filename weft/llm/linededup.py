@@ -34,45 +34,45 @@ def _range(n: Column) -> Column:
 
 
 def line_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, h, long): hashes of a document's lines, and the places of long ones."""
-    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), _line), lambda x: x != "")
-    rows = docs.select(F.col(id_col).alias("id"), lines.alias("lines"))
+    """(id, h, rows, long): hashes of a document's lines that are not blank, their
+    numbers among all lines, and the places of long ones among the hashes."""
+    lines = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x, i: F.struct(_line(x).alias("x"), i.alias("i")))
+    rows = docs.select(F.col(id_col).alias("id"), F.filter(lines, lambda s: s["x"] != "").alias("lines"))
     return rows.select(
         "id",
-        F.transform("lines", lambda x: F.xxhash64(x)).alias("h"),
-        F.filter(F.transform("lines", lambda x, i: F.when(word_count(x) >= LONG_WORDS, i)), lambda i: i.isNotNull()).alias("long"),
+        F.transform("lines", lambda s: F.xxhash64(s["x"])).alias("h"),
+        F.transform("lines", lambda s: s["i"]).alias("rows"),
+        F.filter(F.transform("lines", lambda s, i: F.when(word_count(s["x"]) >= LONG_WORDS, i)), lambda i: i.isNotNull()).alias("long"),
     )
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, run: int = RUN, gram: int = GRAM) -> DataFrame:
-    """(id, gone): for each document that loses lines, their places in order.
-
-    Places count lines that are not blank, from 0.
-    """
+    """(id, gone): for each document that loses lines, their numbers from 0, in order."""
     hashed = cut(line_hashes(docs.where(F.col(id_col).isNotNull()), id_col, text_col))
     window = run - gram + 1
     grams = F.transform(_range(F.size("h") - (gram - 1)), lambda i: F.xxhash64(*[F.get("h", i + j) for j in range(gram)]))
-    own = hashed.select("id", "h", "long", grams.alias("g"))
-    minima = F.array_distinct(F.transform(_range(F.size("g") - (window - 1)), lambda i: F.least(*[F.get("g", i + j) for j in range(window)])))
-    # All places of a kept hash, so that counting needs no second look at a document.
-    kept = own.select("id", "h", "long", "g", minima.alias("m"))
-    prints = kept.select("id", F.explode_outer(F.filter(F.transform("g", lambda g, i: F.struct(g.alias("mark"), i.alias("at"))), lambda s: F.array_contains(F.col("m"), s["mark"]))).alias("s"))
-    prints = prints.where("s is not null").select("id", "s.mark", "s.at")
+    own = hashed.select("id", grams.alias("g"))
+    least = lambda i: F.least(*[F.struct(F.get("g", i + j).alias("mark"), (i + j).alias("at")) for j in range(window)])["at"]
+    kept = F.array_distinct(F.transform(_range(F.size("g") - (window - 1)), least)) if window > 1 else _range(F.size("g"))
+    prints = own.select("id", "g", F.explode_outer(kept).alias("at")).where("at is not null").select("id", "at", F.get("g", F.col("at")).alias("mark"))
     again = prints.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
     met = prints.join(again, "mark", "left_semi").groupBy("id").agg(F.collect_set("at").alias("at"))
     # Runs around a match: a place is extended to every run that holds its gram.
     places = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(F.greatest(p - (run - gram), F.lit(0)), p))))
     runs = (
-        hashed.select("id", "h").join(met, "id").select("id", "h", F.explode_outer(F.filter(places, lambda p: p + run <= F.size("h"))).alias("at"))
+        hashed.select("id", "h", "rows").join(met, "id").select("id", "h", "rows", F.explode_outer(F.filter(places, lambda p: p + run <= F.size("h"))).alias("at"))
         .where("at is not null")
-        .select("id", "at", F.lit(run).alias("n"), F.xxhash64(F.lit(run), *[F.get("h", F.col("at") + j) for j in range(run)]).alias("key"))
+        .select("id", F.xxhash64(F.lit(run), *[F.get("h", F.col("at") + j) for j in range(run)]).alias("key"), F.slice("rows", F.col("at") + 1, run).alias("rows"))
+    )
+    alone = hashed.select("id", "h", "rows", F.explode_outer("long").alias("at")).where("at is not null").select(
+        "id", F.xxhash64(F.lit(1), F.get("h", F.col("at"))).alias("key"), F.slice("rows", F.col("at") + 1, 1).alias("rows")
     )
-    alone = hashed.select("id", "h", F.explode_outer("long").alias("at")).where("at is not null").select("id", "at", F.lit(1).alias("n"), F.xxhash64(F.lit(1), F.get("h", F.col("at"))).alias("key"))
-    runs = cut(runs.union(alone).distinct())
-    first = cut(runs.groupBy("key").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("k")).where("k > 1").select("key", "first"))
-    later = runs.join(first, "key").where(F.struct("id", "at") != F.col("first"))
-    lines = later.select("id", F.explode_outer(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("line")).distinct()
-    return lines.groupBy("id").agg(F.array_sort(F.collect_list("line")).alias("gone"))
+    runs = cut(runs.union(alone).select("id", "key", "rows", F.get("rows", F.lit(0)).alias("at")).dropDuplicates(["id", "key", "at"]))
+    # (id, at) of the first of each run, by two aggregates of plain numbers.
+    first = runs.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("k")).where("k > 1").select("key", "first")
+    start = runs.join(first, "key").where("id = first").groupBy("key", "first").agg(F.min("at").alias("start"))
+    later = runs.join(cut(start), "key").where((F.col("id") != F.col("first")) | (F.col("at") != F.col("start")))
+    return later.select("id", F.explode_outer("rows").alias("line")).groupBy("id").agg(F.array_sort(F.collect_set("line")).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, run: int = RUN, gram: int = GRAM) -> DataFrame:
@@ -82,21 +82,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are and are joined by newlines. Null text stays null with no lines; texts that
     lose every line are blank or empty. Within a document the same rule holds: of
     overlapping repeats the first stays. Rows that repeat an id count as one
-    document: a run they share is not a repeat, and they lose the same places. Rows
+    document: a run they share is not a repeat, and they lose the same lines. Rows
     with a null id are left as they are. An empty table gives no rows.
     """
     gone = repeated_lines(docs, id_col, text_col, run=run, gram=gram).withColumnRenamed("id", "_id")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(gone, F.col("id") == F.col("_id"), "left")
     lines = rows.select("id", "text", "gone", F.split("text", "\n").alias("raw"))
-    lines = lines.select("id", "text", "gone", "raw", F.transform("raw", lambda x: (_line(x) != "").cast("int")).alias("full"))
-    count = F.aggregate("full", F.lit(0), lambda a, b: a + b)
-    # Number of lines before each that are not blank, made in one pass.
-    before = F.aggregate("full", F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("a")), lambda s, b: F.struct((s["n"] + b).alias("n"), F.concat(s["a"], F.array(s["n"])).alias("a")))["a"]
-    lines = lines.select("id", "text", "gone", "raw", "full", F.when(F.col("gone").isNotNull(), before).alias("place"))
-    stay = F.filter("raw", lambda x, i: (F.get("full", i) == 0) | ~F.array_contains("gone", F.get("place", i)))
+    stay = F.transform(F.array_except(_range(F.size("raw")), F.col("gone")), lambda i: F.get("raw", i))
+    full = F.filter("raw", lambda x: _line(x) != "")
     return lines.select(
         F.col("id").alias(id_col),
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n")).alias(text_col),
-        F.coalesce(count, F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(full)).cast("long").alias("n_lines"),
+        F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long").alias("n_removed"),
     )
