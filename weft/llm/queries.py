@@ -12,6 +12,7 @@ from weft.llm.decontam import decontaminate
 from weft.llm.exact_dedup import exact_dedup
 from weft.llm.langid import identify
 from weft.llm.linededup import dedup_lines
+from weft.llm.lmtrie import score_corpus
 from weft.llm.mixing import mix
 from weft.llm.quality import classify
 from weft.llm.simhash import simhash_components
@@ -31,6 +32,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_corpus(_table(spark, sf_dir, "documents"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The block list is the hosts of which a sixth of the urls or more carry a utm_ parameter."""
     pages = _table(spark, sf_dir, "pages")
@@ -68,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op2_quality_classifier": op2_quality_classifier,
+        "op3_lm_scoring": op3_lm_scoring,
         "op4_url_filter": op4_url_filter,
         "op5_benchmark_decontamination": op5_benchmark_decontamination,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
@@ -75,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_source_mixing": op8_source_mixing,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_language_id": op10_language_id,
+        "pipeline": corpus_pipeline.run,
     }
 
 
