@@ -11,7 +11,7 @@ A shard's levels are
   pointers   Elias-Fano sequence of where each word's successors begin;
   successors Elias-Fano sequence of successors, numbered relative to their context
              (context's place * 2^40 + 40 bits of the successor's hash), with
-             one byte of quantised probability for each.
+             two bytes of quantised probability for each.
 A bigram is found by the context's place among the words and then one search for
 the successor among those between the context's pointers.
 
@@ -210,7 +210,7 @@ class Trie:
         node = np.repeat(np.arange(len(words)), np.diff(np.append(first, len(context))))
         kept = count >= min_count
         node, successor, share = node[kept], successor[kept], (count[kept] - discount) / total[node[kept]]
-        codes, share_least = _quantised(share, np.uint8)
+        codes, share_least = _quantised(share, np.uint16)
         left, left_least = _quantised(np.maximum(1 - np.bincount(node, _value(codes, share_least), len(words)), 1e-12), np.uint16)
         begin = np.searchsorted(node, np.arange(len(words) + 1)).astype(np.uint64)
         levels = {
