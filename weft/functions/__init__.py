@@ -1,0 +1 @@
+"""Column functions: text, numbers, identities and ranks."""
