@@ -50,15 +50,15 @@ def spans(text: str) -> list[tuple[str, int, int, list[str]]]:
 
 
 def extract(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, kind, start, end, groups): claims of every row's text; null has none."""
+    """(id, kind, start, end, groups, sentence): claims of every row's text; null has none."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            made = [(i, *s) for i, t in zip(f["id"], f["text"], strict=True) if t for s in spans(t)]
-            yield pd.DataFrame(made, columns=["id", "kind", "start", "end", "groups"])
+            made = [(i, *s, t) for i, t in zip(f["id"], f["text"], strict=True) if t for s in spans(t)]
+            yield pd.DataFrame(made, columns=["id", "kind", "start", "end", "groups", "sentence"])
 
     kind = rows.schema[id_col].dataType.simpleString()
-    return rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, kind string, start int, end int, groups array<string>")
+    return rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, kind string, start int, end int, groups array<string>, sentence string")
 
 
 def nearest(text: str, terms: list[str], anchor: int) -> str | None:
