@@ -9,11 +9,13 @@ A shard's levels are
   words      Elias-Fano sequence of the words' hashes, with exact counts and the
              quantised mass that each word leaves to the unigrams;
   pointers   Elias-Fano sequence of where each word's successors begin;
-  successors Elias-Fano sequence of successors, numbered relative to their context
-             (context's place * 2^40 + 40 bits of the successor's hash), with
-             two bytes of quantised probability for each.
-A bigram is found by the context's place among the words and then one search for
-the successor among those between the context's pointers.
+  successors Elias-Fano sequence of successors, numbered relative to their context:
+             a context with successors b to e has the numbers from b * 2^32 to
+             e * 2^32, over which 40 bits of a successor's hash are scaled, so that
+             numbers are even whether a context has one successor or a million;
+             each has two bytes of quantised probability.
+A bigram is found by the context's place among the words, the two pointers there
+and one search for the successor's number.
 
 p(w | v) = share(v, w) + left(v) p(w): share is the count less DISCOUNT over v's
 count, rounded down in steps of its logarithm, for bigrams seen MIN_COUNT times;
@@ -108,6 +110,7 @@ class EliasFano:
 
     def __init__(self, n: int, low: int, high: np.ndarray, zeros: np.ndarray, lows: np.ndarray):
         self.n, self.low, self.high, self.zeros, self.lows = n, low, high, zeros, lows
+        self.ones: np.ndarray | None = None
 
     @classmethod
     def build(cls, values: np.ndarray, universe: int) -> EliasFano:
@@ -137,7 +140,7 @@ class EliasFano:
 
     def _select(self, k: np.ndarray, before: np.ndarray, flip: int) -> np.ndarray:
         """Place of the k-th bit of a kind, from 0; before counts them before each word."""
-        w = np.searchsorted(before, k, "right") - 1
+        w = np.searchsorted(before, k.astype(before.dtype), "right") - 1
         r, x = k - before[w], self.high[w] ^ _U(flip)
         out = w.astype(np.int64) * 64
         for half in (32, 16, 8, 4, 2, 1):
@@ -151,8 +154,9 @@ class EliasFano:
 
     def at(self, i: np.ndarray) -> np.ndarray:
         """Values by place."""
-        ones = np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros
-        top = self._select(i, ones, 0) - i
+        if self.ones is None:
+            self.ones = np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros
+        top = self._select(i, self.ones, 0) - i
         return (top.astype(np.uint64) << _U(self.low)) | self.lows_at(i)
 
     def place_of(self, values: np.ndarray) -> np.ndarray:
@@ -189,6 +193,11 @@ def _value(codes: np.ndarray, least: float) -> np.ndarray:
     return 10.0 ** (least * (1 - codes / np.iinfo(codes.dtype).max))
 
 
+def _relative(begin: np.ndarray, end: np.ndarray, successor: np.ndarray) -> np.ndarray:
+    """Numbers of successors of contexts whose successors have places begin to end, fewer than 2^24."""
+    return (begin << _U(32)) + ((successor * (end - begin)) >> _U(BITS - 32))
+
+
 class Trie:
     """The levels of one shard: built from counts, or mapped from a file."""
 
@@ -216,7 +225,7 @@ class Trie:
         levels = {
             "words": EliasFano.build(words & _U((1 << (64 - shard_bits)) - 1), 1 << (64 - shard_bits)),
             "pointers": EliasFano.build(begin, len(node) + 1),
-            "successors": EliasFano.build((node.astype(np.uint64) << _U(BITS)) | successor, max(1, len(words)) << BITS),
+            "successors": EliasFano.build(_relative(begin[node], begin[node + 1], successor), max(1, len(node)) << 32),
         }
         meta = {k: [e.n, e.low] for k, e in levels.items()} | {"share_least": share_least, "left_least": left_least, "shard_bits": shard_bits}
         arrays = {f"{k}.{part}": getattr(e, part) for k, e in levels.items() for part in ("high", "zeros", "lows")}
@@ -258,7 +267,7 @@ class Trie:
             return out
         begin, end = self.pointers.at(place[ok]), self.pointers.at(place[ok] + 1)
         ok, begin, end = ok[end > begin], begin[end > begin], end[end > begin]
-        i = self.successors.place_of((place[ok].astype(np.uint64) << _U(BITS)) | successor[ok])
+        i = self.successors.place_of(_relative(begin, end, successor[ok]))
         hit = (i >= begin.astype(np.int64)) & (i < end.astype(np.int64))
         out[ok[hit]] = _value(self.arrays["share"][i[hit]], self.meta["share_least"])
         return out
@@ -419,15 +428,23 @@ class LanguageModel:
                 data, offsets = flat(b.column(1))
                 n, known = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
                 base, score = np.zeros(b.num_rows), np.zeros(b.num_rows)
+                held: list[np.ndarray] = []
+                first = 0
                 for lo, hi in pieces(offsets):
                     tok, n[lo:hi] = tokens(data, offsets[lo : hi + 1])
+                    held.append(tok)
+                    if hi < b.num_rows and sum(map(len, held)) < step:
+                        continue
+                    # Whole texts of about `step` tokens, looked up together.
+                    tok = np.concatenate(held)
                     before = np.append(END, tok[:-1])
                     got = [self.look_up(tries, tok[at : at + step], before[at : at + step]) for at in range(0, len(tok), step)]
                     c, p = (np.concatenate(x) for x in zip(*got, strict=True))
-                    at = np.concatenate(([0], np.cumsum(n[lo:hi])[:-1]))
-                    known[lo:hi] = np.add.reduceat((c > 0).astype(np.int64), at)
-                    base[lo:hi] = np.add.reduceat(np.log10((c + 1) / (self.n + self.v + 1)), at)
-                    score[lo:hi] = np.add.reduceat(p, at)
+                    at = np.concatenate(([0], np.cumsum(n[first:hi])[:-1]))
+                    known[first:hi] = np.add.reduceat((c > 0).astype(np.int64), at)
+                    base[first:hi] = np.add.reduceat(np.log10((c + 1) / (self.n + self.v + 1)), at)
+                    score[first:hi] = np.add.reduceat(p, at)
+                    held, first = [], hi
                 yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, (n, known, base, score))], ["id", "n_tokens", "n_known", "base_score", "score"])
 
         rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
