@@ -61,15 +61,14 @@ def extract(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, kind string, start int, end int, groups array<string>, sentence string")
 
 
-def nearest(text: str, terms: list[str], anchor: int) -> str | None:
-    """The term that occurs nearest to the anchor; of tied ones the first of the list."""
-    best = None
-    for rank, t in enumerate(terms):
-        for m in re.finditer(rf"\b{re.escape(t)}\b", text):
-            gap = max(m.start() - anchor, anchor - m.end(), 0)
-            if best is None or (gap, rank) < best[:2]:
-                best = (gap, rank, t)
-    return best and best[2]
+def places(text: str, patterns: list[re.Pattern]) -> list[tuple[int, int, int]]:
+    """(rank, start, end) of every term in a text."""
+    return [(k, *m.span()) for k, p in enumerate(patterns) for m in p.finditer(text)]
+
+
+def nearest(found: list[tuple[int, int, int]], anchor: int) -> int | None:
+    """Rank of the term nearest to the anchor; of tied ones the first of the list."""
+    return min(((max(a - anchor, anchor - b, 0), k) for k, a, b in found), default=(0, None))[1]
 
 
 def bind(claims: DataFrame, endpoints: list[str], arms: list[str], directions: dict[str, str]) -> DataFrame:
@@ -78,12 +77,16 @@ def bind(claims: DataFrame, endpoints: list[str], arms: list[str], directions: d
     All three found in an effect claim is high, one at least partial, else none.
     """
 
+    lists = [endpoints, arms, [*directions]]
+
     @F.pandas_udf("endpoint string, arm string, direction string, confidence string")
     def bound(sentence: pd.Series, start: pd.Series, role: pd.Series) -> pd.DataFrame:
-        made = []
+        patterns = [[re.compile(rf"\b{re.escape(t)}\b") for t in terms] for terms in lists]
+        made, last, found = [], None, []
         for s, at, r in zip(sentence.fillna(""), start, role, strict=True):
-            low = s.lower()
-            e, a, d = nearest(low, endpoints, at), nearest(low, arms, at), nearest(low, [*directions], at)
+            if s != last:  # the claims of a sentence follow each other
+                last, found = s, [places(s.lower(), p) for p in patterns]
+            e, a, d = (None if (k := nearest(f, at)) is None else terms[k] for f, terms in zip(found, lists, strict=True))
             n = sum(x is not None for x in (e, a, d))
             made.append((e, a, directions.get(d), "high" if n == 3 and r == "effect" else "partial" if n else "none"))
         return pd.DataFrame(made, columns=["endpoint", "arm", "direction", "confidence"])

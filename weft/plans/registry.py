@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weft.plans import evidence, synthesis
+from weft.plans import evidence, operations, synthesis
 
-MODULES = (evidence, synthesis)
+MODULES = (evidence, synthesis, operations)
 
 
 def queries() -> dict:
