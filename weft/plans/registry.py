@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weft.plans import evidence, operations, synthesis
+from weft.plans import evidence, operations, streams, synthesis
 
-MODULES = (evidence, synthesis, operations)
+MODULES = (evidence, synthesis, operations, streams)
 
 
 def queries() -> dict:
