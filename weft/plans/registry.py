@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weft.plans import evidence, manuscripts, operations, streams, synthesis
+from weft.plans import evidence, joins, manuscripts, operations, streams, synthesis
 
-MODULES = (evidence, synthesis, manuscripts, operations, streams)
+MODULES = (evidence, synthesis, joins, manuscripts, operations, streams)
 
 
 def queries() -> dict:
