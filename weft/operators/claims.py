@@ -49,8 +49,11 @@ def spans(text: str) -> list[tuple[str, int, int, list[str]]]:
     return sorted(out, key=lambda r: (r[1], r[0]))
 
 
-def extract(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, kind, start, end, groups, sentence): claims of every row's text; null has none."""
+def extract(rows: DataFrame, id_col: str, text_col: str, spread: int | None = None) -> DataFrame:
+    """(id, kind, start, end, groups, sentence): claims of every row's text; null has none.
+
+    `spread` deals the texts over so many tasks first, for inputs of a few large files.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -58,7 +61,10 @@ def extract(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pd.DataFrame(made, columns=["id", "kind", "start", "end", "groups", "sentence"])
 
     kind = rows.schema[id_col].dataType.simpleString()
-    return rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, kind string, start int, end int, groups array<string>, sentence string")
+    texts = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if spread:
+        texts = texts.repartition(spread)
+    return texts.mapInPandas(run, f"id {kind}, kind string, start int, end int, groups array<string>, sentence string")
 
 
 def places(text: str, patterns: list[re.Pattern]) -> list[tuple[int, int, int]]:

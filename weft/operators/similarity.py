@@ -20,17 +20,25 @@ def similar_sets(rows: DataFrame, id_col: str, tokens_col: str, threshold: float
     Equal sets are one: a is the smallest id of its set. Prefix filtering makes the
     join exact: sets that similar share one of their first
     size - ceil(threshold * size) + 1 tokens, rarest first. A candidate pair is
-    counted once, and lengths that cannot reach the threshold are not joined.
+    counted once, and lengths that cannot reach the threshold are not joined. Tokens
+    are compared by 64-bit hashes, sets by two.
     """
-    sets = cut(rows.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(tokens_col)).alias("t")).where(F.size("t") >= least))
-    reps = cut(sets.groupBy("t").agg(F.min("id").alias("id")))
+    hashed = F.array_sort(F.array_distinct(F.transform(tokens_col, lambda x: F.xxhash64(x))))
+    sets = cut(rows.select(F.col(id_col).alias("id"), hashed.alias("t")).where(F.size("t") >= least))
+    first = sets.groupBy(F.xxhash64("t").alias("h"), F.xxhash64(F.lit(1), "t").alias("g")).agg(F.min("id").alias("id")).select("id")
+    reps = cut(sets.join(first, "id", "left_semi"))
     rarity = reps.select(F.explode("t").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
     ranked = reps.select("id", F.size("t").alias("n"), F.explode("t").alias("w")).join(rarity, "w").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"))
     head = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    prefixes = ranked.select("id", "n", F.explode(F.slice("o", F.lit(1), head.cast("int"))).alias("p")).select("id", "n", F.col("p.w").alias("w"))
+    prefixes = ranked.select("id", "n", F.posexplode(F.slice("o", F.lit(1), head.cast("int"))).alias("i", "p")).select("id", "n", "i", F.col("p.w").alias("w"))
     a, b = prefixes.alias("a"), prefixes.alias("b")
-    long_enough = (F.col("a.n") >= F.col("b.n") * threshold - 1e-9) & (F.col("b.n") >= F.col("a.n") * threshold - 1e-9)
-    near = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.id") < F.col("b.id")) & long_enough).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    x = lambda c: (F.col(f"a.{c}"), F.col(f"b.{c}"))
+    (na, nb), (ia, ib) = x("n"), x("i")
+    long_enough = (na >= nb * threshold - 1e-9) & (nb >= na * threshold - 1e-9)
+    # What two sets can share, given the places of one shared token in their orders.
+    most = F.least(ia, ib) + 1 + F.least(na - ia - 1, nb - ib - 1)
+    within = most >= (na + nb) * (threshold / (1 + threshold)) - 1e-9
+    near = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.id") < F.col("b.id")) & long_enough & within).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
     x, y = reps.select(F.col("id").alias("a"), F.col("t").alias("ta")), reps.select(F.col("id").alias("b"), F.col("t").alias("tb"))
     scored = near.join(x, "a").join(y, "b").select("a", "b", jaccard(F.col("ta"), F.col("tb")).alias("similarity"))
     return scored.where(F.col("similarity") >= threshold - 1e-12)

@@ -152,14 +152,14 @@ for _kind, _groups in (("p_value", (1, 2)), ("ci", (1, 2, 3)), ("n", (1,)), ("pe
 @query("claim_extract_full")
 def claim_extract_full(spark, sf_dir):
     rows = rendered(spark, sf_dir).withColumn("id", F.concat_ws(":", "l_orderkey", "l_linenumber"))
-    return claims.extract(rows, "id", "sentence").withColumn("groups", F.array_join("groups", ",")).drop("sentence")
+    return claims.extract(rows, "id", "sentence", spread=spark.sparkContext.defaultParallelism).withColumn("groups", F.array_join("groups", ",")).drop("sentence")
 
 
 @query("endpoint_binding")
 def endpoint_binding(spark, sf_dir):
     """Claims of the rendered sentences bound to their arm and direction."""
     rows = rendered(spark, sf_dir).withColumn("id", F.concat_ws(":", "l_orderkey", "l_linenumber"))
-    found = claims.extract(rows, "id", "sentence").withColumn("role", claims.claim_role(F.col("sentence"), F.lit("results")))
+    found = claims.extract(rows, "id", "sentence", spread=spark.sparkContext.defaultParallelism).withColumn("role", claims.claim_role(F.col("sentence"), F.lit("results")))
     bound = claims.bind(found.select("id", "kind", "start", "sentence", "role"), ["mean", "hr"], ["arm a", "arm n", "arm r"], {"improved": "positive", "reduced": "negative"})
     return bound.drop("sentence")
 
