@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weft.functions.text import alpha_suffix, missing
-from weft.operators.select import cut, greedy_by_edges, greedy_by_keys
+from weft.operators.select import cut, greedy_by_keys
 
 
 def merge_hits(hits: DataFrame) -> DataFrame:
@@ -68,36 +68,46 @@ def dedup_receipts(rows: DataFrame) -> DataFrame:
     rows(ord, trial, thesis, doi, pmid, title, year, n_claims). Better identified
     receipts come first, then those with more claims, then the earlier. Two conflict
     if trial and thesis agree, or if they are the same source: no identifier differs
-    and one agrees, or no year differs and the titles agree. Pairs are only made
-    within an equal key, and a key's rows are linked to the front of the line and to
-    each other only while keys are small: `conflicts` says which.
+    and one agrees, or no year differs and the titles agree.
     """
     rank = F.struct(-(missing(F.col("doi")).isNotNull().cast("int") + missing(F.col("pmid")).isNotNull().cast("int")), -F.col("n_claims"), F.col("ord"))
     ranked = number(rows.withColumn("_rank", rank), "_rank", "_n").drop("_rank")
-    return greedy_by_edges(ranked, "_n", conflicts(ranked)).drop("_n")
+    keys = conflict_keys(ranked).groupBy("_n").agg(F.collect_set("key").alias("_keys"))
+    return greedy_by_keys(ranked.join(keys, "_n", "left"), "_n", "_keys").drop("_n", "_keys")
 
 
-def conflicts(rows: DataFrame) -> DataFrame:
-    """Edges (early, late) between rows(_n, trial, thesis, doi, pmid, title, year)."""
+def conflict_keys(rows: DataFrame) -> DataFrame:
+    """(_n, key): two of rows(_n, trial, thesis, doi, pmid, title, year) conflict if they share a key.
+
+    Rows with the same identity (doi, pmid, title, year) conflict and share its key.
+    Unlike identities are compared as distinct values, under an equal doi, pmid or
+    title; every two that match make a key that all rows of both share. So pairs of
+    identities are made, never pairs of rows.
+    """
     sign = lambda c, n: F.substring(F.regexp_replace(F.trim(F.lower(F.coalesce(F.col(c), F.lit("")))), r"\s+", " "), 1, n)
     keyed = rows.select(
         "_n",
-        F.concat_ws("|", F.upper(F.coalesce("trial", F.lit(""))), sign("thesis", 200)).alias("evidence"),
+        F.concat_ws("|", F.lit("evidence"), F.upper(F.coalesce("trial", F.lit(""))), sign("thesis", 200)).alias("evidence"),
         F.lower(missing(F.col("doi"))).alias("doi"),
         F.nullif(F.ltrim(F.col("pmid"), F.lit("0")), F.lit("")).alias("pmid"),
         F.nullif(F.regexp_replace(F.lower(F.coalesce("title", F.lit(""))), "[^a-z0-9]+", ""), F.lit("")).alias("title"),
-        "year",
+        F.col("year").cast("string").alias("year"),
     )
-    a, b = keyed.alias("a"), keyed.alias("b")
-    early = F.col("a._n") < F.col("b._n")
+    keyed = cut(keyed.withColumn("who", F.md5(F.to_json(F.struct("doi", "pmid", "title", "year")))))
+    known = keyed.where(F.coalesce("doi", "pmid", "title").isNotNull())
+    each = cut(known.select("who", "doi", "pmid", "title", "year").distinct())
+    a, b = each.alias("a"), each.alias("b")
+    early = F.col("a.who") < F.col("b.who")
     differ = lambda c: F.coalesce(F.col(f"a.{c}") != F.col(f"b.{c}"), F.lit(False))
     clash = differ("doi") | differ("pmid")
-    pick = lambda j: j.select(F.col("a._n").alias("early"), F.col("b._n").alias("late"))
-    out = pick(a.join(b, (F.col("a.evidence") == F.col("b.evidence")) & early))
-    for c in ("doi", "pmid"):
-        out = out.union(pick(a.join(b, (F.col(f"a.{c}") == F.col(f"b.{c}")) & early & ~clash)))
-    out = out.union(pick(a.join(b, (F.col("a.title") == F.col("b.title")) & early & ~clash & ~differ("year"))))
-    return out.distinct()
+    met = None
+    for c, extra in (("doi", ~clash), ("pmid", ~clash), ("title", ~clash & ~differ("year"))):
+        part = a.join(b, (F.col(f"a.{c}") == F.col(f"b.{c}")) & early & extra).select(F.col("a.who").alias("a"), F.col("b.who").alias("b"))
+        met = part if met is None else met.union(part)
+    both = met.distinct().withColumn("key", F.concat("a", "b"))
+    sides = both.select(F.col("a").alias("who"), "key").union(both.select(F.col("b").alias("who"), "key"))
+    own = known.select("_n", F.col("who").alias("key"))
+    return keyed.select("_n", F.col("evidence").alias("key")).union(own).union(known.select("_n", "who").join(sides, "who").select("_n", "key"))
 
 
 def crosswalk(saved: DataFrame, meta: DataFrame) -> DataFrame:
