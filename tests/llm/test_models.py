@@ -103,17 +103,19 @@ def test_trie_round_trip():
     rng = np.random.default_rng(6)
     words = np.unique(rng.integers(0, 1 << 61, 200, dtype=np.uint64))
     context, successor = rng.choice(words, 5000), rng.choice(words[:20], 5000) & np.uint64((1 << 40) - 1)
-    t = Trie.load(Trie.build(context, successor, np.ones(5000, np.int64), 3, 0.75, 2).pack())
     total, pairs = Counter(context.tolist()), Counter(zip(context.tolist(), successor.tolist(), strict=True))
-    place = t.place_of(words)
-    assert t.counts(place).tolist() == [total[w] for w in words.tolist()]
-    for w, p in zip(words.tolist(), place, strict=True):
-        shares = {s: t.share(np.array([p]), np.array([s], np.uint64))[0] for (v, s), _ in pairs.items() if v == w}
-        for s, got in shares.items():
-            want = (pairs[w, s] - 0.75) / total[w] if pairs[w, s] >= 2 else 0
-            assert got <= want + 1e-12 and got >= 0.999 * want
-        if total[w]:
-            assert abs(sum(shares.values()) + t.left(np.array([p]))[0] - 1) < 1e-3
+    counts = np.array([total[w] for w in words.tolist()])
+    for first in (True, False):
+        t = Trie.load(Trie.build(words, counts, context, successor, np.ones(5000, np.int64), 3, first, 0.75, 2).pack())
+        place = t.place_of(words)
+        if first:
+            assert t.counts(place).tolist() == counts.tolist()
+        for w, p in zip(words.tolist(), place, strict=True):
+            taken = {s: t.taken(np.array([p]), np.array([s], np.uint64))[0] for (v, s), _ in pairs.items() if v == w}
+            for s, got in taken.items():
+                want = pairs[w, s] - 0.75 if pairs[w, s] >= 2 else 0
+                assert got <= want + 1e-12 and got >= 0.999 * want
+            assert abs(sum(taken.values()) - t.mass(np.array([p]))[0]) < 1e-9
 
 
 def test_word_hashes_tell_words_apart():

@@ -1,13 +1,16 @@
 """LM scoring with Elias-Fano n-gram tries.
 
 Training counts every bigram of all training texts. Tasks count runs of about
-FLUSH tokens in numpy and send each shard, a range of word hashes, its share of
-the counts; a shard's task adds them up and writes its trie: one file of levels,
-which scorers map into memory. Nothing passes the driver but one row of totals.
+FLUSH tokens in numpy and send each shard its share of the counts; a shard's
+task adds them up and writes its trie: one file of levels, which scorers map into
+memory. Nothing passes the driver but one row of totals. A shard is a range of
+context hashes and one of SPLIT ranges of successor hashes, so that the bigrams of
+a word that a large part of all tokens follow are dealt over SPLIT tasks. The
+first of a range's shards has all its words with their counts.
 
 A shard's levels are
-  words      Elias-Fano sequence of the words' hashes, with exact counts and the
-             quantised mass that each word leaves to the unigrams;
+  words      Elias-Fano sequence of the contexts' hashes, with exact counts and the
+             sum of what their successors here take;
   pointers   Elias-Fano sequence of where each word's successors begin;
   successors Elias-Fano sequence of successors, numbered relative to their context:
              a context with successors b to e has the numbers from b * 2^32 to
@@ -17,8 +20,8 @@ A shard's levels are
 A bigram is found by the context's place among the words, the two pointers there
 and one search for the successor's number.
 
-p(w | v) = share(v, w) + left(v) p(w): share is the count less DISCOUNT over v's
-count, rounded down in steps of its logarithm, for bigrams seen MIN_COUNT times;
+p(w | v) = share(v, w) + left(v) p(w): share is the count less DISCOUNT, rounded
+down in steps of its logarithm, over v's count, for bigrams seen MIN_COUNT times;
 left is what the shares leave; p(w) = (c(w) + 1) / (N + V + 1). So every context's
 probabilities add up to one, the unknown word included. A text's first word has
 the end of a text as context.
@@ -44,8 +47,10 @@ from weft.llm.common import crc_of, cut, shared_dir
 DISCOUNT = 0.75
 MIN_COUNT = 2
 FLUSH = 2_000_000
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 6 << 20
 BITS = 40
+SPLIT_BITS = 3
+SPLIT = 1 << SPLIT_BITS
 END = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -208,29 +213,35 @@ class Trie:
         )
 
     @classmethod
-    def build(cls, context: np.ndarray, successor: np.ndarray, count: np.ndarray, shard_bits: int, discount: float, min_count: int) -> Trie:
+    def build(cls, words: np.ndarray, total: np.ndarray, context: np.ndarray, successor: np.ndarray, count: np.ndarray, shard_bits: int, first: bool, discount: float, min_count: int) -> Trie:
+        """From words and their counts, and bigrams and theirs; both may repeat and are added up.
+
+        The first shard of a range keeps all words, the others those with successors.
+        """
+        words, own = np.unique(words, return_inverse=True)
+        total = np.bincount(own, total, len(words)).astype(np.int64)
         order = np.lexsort((successor, context))
         context, successor, count = context[order], successor[order], count[order]
         new = np.append(True, (context[1:] != context[:-1]) | (successor[1:] != successor[:-1])) if len(order) else np.empty(0, bool)
         at = np.flatnonzero(new)
         context, successor, count = context[at], successor[at], np.add.reduceat(count, at) if len(at) else count
-        words, first = np.unique(context, return_index=True)
-        total = np.add.reduceat(count, first) if len(first) else count
-        node = np.repeat(np.arange(len(words)), np.diff(np.append(first, len(context))))
         kept = count >= min_count
-        node, successor, share = node[kept], successor[kept], (count[kept] - discount) / total[node[kept]]
-        codes, share_least = _quantised(share, np.uint16)
-        left, left_least = _quantised(np.maximum(1 - np.bincount(node, _value(codes, share_least), len(words)), 1e-12), np.uint16)
+        context, successor, taken = context[kept], successor[kept], count[kept] - discount
+        if not first:
+            words, total = np.unique(context), np.empty(0, np.int64)
+        node = np.searchsorted(words, context)
+        most = float(taken.max()) if len(taken) else 1.0
+        codes, least = _quantised(taken / most, np.uint16)
         begin = np.searchsorted(node, np.arange(len(words) + 1)).astype(np.uint64)
         levels = {
             "words": EliasFano.build(words & _U((1 << (64 - shard_bits)) - 1), 1 << (64 - shard_bits)),
             "pointers": EliasFano.build(begin, len(node) + 1),
             "successors": EliasFano.build(_relative(begin[node], begin[node + 1], successor), max(1, len(node)) << 32),
         }
-        meta = {k: [e.n, e.low] for k, e in levels.items()} | {"share_least": share_least, "left_least": left_least, "shard_bits": shard_bits}
+        meta = {k: [e.n, e.low] for k, e in levels.items()} | {"least": least, "most": most, "shard_bits": shard_bits, "first": first}
         arrays = {f"{k}.{part}": getattr(e, part) for k, e in levels.items() for part in ("high", "zeros", "lows")}
         small = total.astype(np.uint32) if not len(total) or total.max() < 1 << 32 else total.astype(np.uint64)
-        return cls(meta, arrays | {"count": small, "share": codes, "left": left})
+        return cls(meta, arrays | {"count": small, "taken": codes, "mass": np.bincount(node, most * _value(codes, least), len(words)).astype(np.float64)})
 
     def pack(self) -> bytes:
         place, body = {}, b""
@@ -254,13 +265,15 @@ class Trie:
         return self.words.place_of(words & _U((1 << (64 - self.meta["shard_bits"])) - 1))
 
     def counts(self, place: np.ndarray) -> np.ndarray:
-        return np.where(place >= 0, self.arrays["count"][np.maximum(place, 0)], 0) if self.words.n else np.zeros(len(place), np.int64)
+        """Of words by place, 0 where there is none; only the first shard of a range has them."""
+        return np.where(place >= 0, self.arrays["count"][np.maximum(place, 0)], 0) if len(self.arrays["count"]) else np.zeros(len(place), np.int64)
 
-    def left(self, place: np.ndarray) -> np.ndarray:
-        return np.where(place >= 0, _value(self.arrays["left"][np.maximum(place, 0)], self.meta["left_least"]), 1.0) if self.words.n else np.ones(len(place))
+    def mass(self, place: np.ndarray) -> np.ndarray:
+        """What a context's successors here take, in counts."""
+        return np.where(place >= 0, self.arrays["mass"][np.maximum(place, 0)], 0.0) if self.words.n else np.zeros(len(place))
 
-    def share(self, place: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        """Of bigrams given by their context's place; 0 for those that are not kept."""
+    def taken(self, place: np.ndarray, successor: np.ndarray) -> np.ndarray:
+        """Discounted counts of bigrams given by their context's place; 0 for those that are not kept."""
         out = np.zeros(len(place))
         ok = np.flatnonzero(place >= 0)
         if not len(ok) or not self.successors.n:
@@ -269,7 +282,7 @@ class Trie:
         ok, begin, end = ok[end > begin], begin[end > begin], end[end > begin]
         i = self.successors.place_of(_relative(begin, end, successor[ok]))
         hit = (i >= begin.astype(np.int64)) & (i < end.astype(np.int64))
-        out[ok[hit]] = _value(self.arrays["share"][i[hit]], self.meta["share_least"])
+        out[ok[hit]] = self.meta["most"] * _value(self.arrays["taken"][i[hit]], self.meta["least"])
         return out
 
 
@@ -279,27 +292,33 @@ def _blobs(tok: np.ndarray, shard_bits: int) -> Iterator[tuple[int, bytes]]:
     end = int(np.searchsorted(words, END))
     before = np.append(end, inverse[:-1])
     pairs, count = np.unique(before * len(words) + inverse, return_counts=True)
-    node, successor = pairs // len(words), words[pairs % len(words)] & _U((1 << BITS) - 1)
-    first = np.searchsorted(node, np.arange(len(words) + 1))
-    cuts = np.searchsorted(words, np.arange(1, 1 << shard_bits, dtype=np.uint64) << _U(64 - shard_bits)) if shard_bits else np.empty(0, np.int64)
-    edges = [0, *cuts.tolist(), len(words)]
-    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-        if b > a:
-            lo, hi = first[a], first[b]
-            low = successor[lo:hi].view(np.uint8).reshape(-1, 8)[:, : BITS // 8]
-            head = np.array([b - a, hi - lo], np.int64)
-            yield k, b"".join(x.tobytes() for x in (head, words[a:b], np.diff(first[a : b + 1]).astype(np.uint32), count[lo:hi].astype(np.uint32), low))
-
-
-def _unblob(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    node, successor = pairs // len(words), words[pairs % len(words)]
+    total = np.bincount(node, count, len(words)).astype(np.uint32)
+    edges = np.append(np.searchsorted(words >> _U(64 - shard_bits), np.arange(1 << shard_bits, dtype=np.uint64)), len(words))
+    for j in range(SPLIT):
+        own = successor >> _U(64 - SPLIT_BITS) == _U(j)
+        n, c, low = node[own], count[own].astype(np.uint32), successor[own].view(np.uint8).reshape(-1, 8)[:, : BITS // 8]
+        first = np.searchsorted(n, np.arange(len(words) + 1))
+        for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+            runs = np.diff(first[a : b + 1]).astype(np.uint32)
+            here = np.full(b - a, j == 0) | (runs > 0)
+            if here.any():
+                lo, hi = first[a], first[b]
+                head = np.array([here.sum(), hi - lo], np.int64)
+                counts = total[a:b][here] if j == 0 else np.zeros(here.sum(), np.uint32)
+                yield i * SPLIT + j, b"".join(x.tobytes() for x in (head, words[a:b][here], counts, runs[here], c[lo:hi], low[lo:hi]))
+
+
+def _unblob(data: bytes) -> tuple[np.ndarray, ...]:
+    """Words and their counts, and contexts, successors and counts of bigrams."""
     n, m = np.frombuffer(data, np.int64, 2)
     at = 16
     words = np.frombuffer(data, np.uint64, n, at)
-    runs = np.frombuffer(data, np.uint32, n, at + 8 * n)
-    count = np.frombuffer(data, np.uint32, m, at + 12 * n).astype(np.int64)
+    total, runs = (np.frombuffer(data, np.uint32, n, at + (8 + 4 * k) * n) for k in (0, 1))
+    count = np.frombuffer(data, np.uint32, m, at + 16 * n).astype(np.int64)
     low = np.zeros((m, 8), np.uint8)
-    low[:, : BITS // 8] = np.frombuffer(data, np.uint8, m * (BITS // 8), at + 12 * n + 4 * m).reshape(m, -1)
-    return np.repeat(words, runs), low.view(np.uint64).ravel(), count
+    low[:, : BITS // 8] = np.frombuffer(data, np.uint8, m * (BITS // 8), at + 16 * n + 4 * m).reshape(m, -1)
+    return words, total, np.repeat(words, runs), low.view(np.uint64).ravel(), count
 
 
 class LanguageModel:
@@ -308,7 +327,8 @@ class LanguageModel:
     def __init__(self, docs: DataFrame, text_col: str = "text", *, discount: float = DISCOUNT, min_count: int = MIN_COUNT, shard_bytes: int = SHARD_BYTES):
         spark = docs.sparkSession
         size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-        self.shard_bits = bits = max(3, int(-(-size // shard_bytes)).bit_length())
+        # Ranges of contexts; SPLIT shards of about shard_bytes each.
+        self.shard_bits = bits = max(1, int(-(-size // (shard_bytes * SPLIT))).bit_length())
         folder = shared_dir(spark).rstrip("/") + f"/lm-{uuid.uuid4().hex}"
         scheme, _, path = folder.rpartition("://")
         self.folder = path if scheme in ("", "file") else None
@@ -345,7 +365,9 @@ class LanguageModel:
                 yield written(*held.popitem())
 
         def written(k: int, parts: list) -> pa.RecordBatch:
-            trie = Trie.build(*(np.concatenate(x) for x in zip(*parts, strict=True)), bits, discount, min_count)
+            joined = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            parts.clear()
+            trie = Trie.build(*joined, bits, k % SPLIT == 0, discount, min_count)
             packed = trie.pack()
             if local is not None:
                 os.makedirs(local, exist_ok=True)
@@ -355,12 +377,12 @@ class LanguageModel:
                     f.write(packed)
                 os.replace(own, f"{local}/{k}.trie")
             c = trie.arrays["count"]
-            row = [[k], [int(c.sum())], [trie.words.n], [trie.successors.n], [len(packed)], [None if local is not None else packed]]
+            row = [[k], [int(c.sum())], [len(c)], [trie.successors.n], [len(packed)], [None if local is not None else packed]]
             kinds = [pa.int32(), *[pa.int64()] * 4, pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], ["shard", "n", "words", "bigrams", "bytes", "levels"])
 
         counts = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(count, "shard int, counts binary")
-        dealt = counts.repartition(1 << bits, "shard").sortWithinPartitions("shard")
+        dealt = counts.repartition(SPLIT << bits, "shard").sortWithinPartitions("shard")
         built = dealt.mapInArrow(build, "shard int, n long, words long, bigrams long, bytes long, levels binary")
         self.files: list[str] = []
         if local is None:
@@ -398,21 +420,25 @@ class LanguageModel:
     def look_up(self, tries: dict[int, Trie], tok: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(count, log10 probability) of tokens after others. Equal ones are looked up once."""
         words, inverse = np.unique(np.concatenate((tok, before)), return_inverse=True)
-        place, count, left = np.full(len(words), -1, np.int64), np.zeros(len(words), np.int64), np.ones(len(words))
-        shard = (words >> _U(64 - self.shard_bits)).astype(np.int64)
-        edges = np.searchsorted(shard, np.arange((1 << self.shard_bits) + 1))
+        place, count, mass = np.full((SPLIT, len(words)), -1, np.int64), np.zeros(len(words), np.int64), np.zeros(len(words))
+        edges = np.append(np.searchsorted(words >> _U(64 - self.shard_bits), np.arange(1 << self.shard_bits, dtype=np.uint64)), len(words))
         for k, t in tries.items():
-            own = slice(edges[k], edges[k + 1])
-            place[own] = t.place_of(words[own])
-            count[own], left[own] = t.counts(place[own]), t.left(place[own])
+            i, j = divmod(k, SPLIT)
+            own = slice(edges[i], edges[i + 1])
+            place[j, own] = t.place_of(words[own])
+            mass[own] += t.mass(place[j, own])
+            if j == 0:
+                count[own] = t.counts(place[j, own])
         a, b = inverse[len(tok) :], inverse[: len(tok)]
         pairs, back = np.unique(a * len(words) + b, return_inverse=True)
         a2, b2 = pairs // len(words), pairs % len(words)
-        p = left[a2] * (count[b2] + 1) / (self.n + self.v + 1)
-        cuts = np.searchsorted(a2, edges)
+        seen = np.maximum(count, 1)
+        p = np.where(count > 0, 1 - mass / seen, 1.0)[a2] * (count[b2] + 1) / (self.n + self.v + 1)
+        cuts, side = np.searchsorted(a2, edges), (words >> _U(64 - SPLIT_BITS)).astype(np.int64)[b2]
         for k, t in tries.items():
-            own = slice(cuts[k], cuts[k + 1])
-            p[own] += t.share(place[a2[own]], words[b2[own]] & _U((1 << BITS) - 1))
+            i, j = divmod(k, SPLIT)
+            own = cuts[i] + np.flatnonzero(side[cuts[i] : cuts[i + 1]] == j)
+            p[own] += t.taken(place[j, a2[own]], words[b2[own]] & _U((1 << BITS) - 1)) / seen[a2[own]]
         return count[b], np.log10(p)[back]
 
     def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
