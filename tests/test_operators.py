@@ -144,3 +144,34 @@ def test_text(spark):
     assert one(tx.canonical_number(F.lit("1,234.5"))) == "1234.5" and one(tx.canonical_number(F.lit(".5"))) == "0.5"
     assert [one(tx.alpha_suffix(F.lit(k))) for k in (0, 25, 26, 701, 702)] == ["a", "z", "aa", "zz", "aaa"]
     assert one(tx.clean_text(F.lit("<p>H<sub>2</sub>O&nbsp;&lt;x&gt;</p>\n"))) == "H2O <x>"
+
+
+def test_diverse_choice(spark):
+    rng = random.Random(7)
+    rows = [(i % 3, i, [rng.choice([-1.0, 1.0]) * rng.random() for _ in range(3)]) for i in range(60)]
+    want = []
+    for g in range(3):
+        kept = []
+        for _, i, v in sorted(r for r in rows if r[0] == g):
+            cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+            if all(cos(v, k) <= 0.86 for k in kept):
+                kept.append(v)
+                want.append((g, i))
+    got = tension.diverse(spark.createDataFrame(rows, "g int, i int, v array<double>"), "g", "i", "v").collect()
+    assert sorted((r.g, r.i) for r in got) == sorted(want) and len(want) < 60
+
+
+def test_fingerprint_ignores_order_only(spark):
+    from weft.operators import audit
+
+    df = spark.createDataFrame([("a", 1, "x"), ("a", 2, None), ("b", 1, "x"), ("b", 2, None), ("c", 1, "x"), ("c", 3, None), ("d", 1, "x"), ("d", 1, "x")], "g string, k int, v string")
+    got = {r.g: r.digest for r in audit.fingerprint(df.repartition(3), ["g"], ["k", "v"]).collect()}
+    assert got["a"] == got["b"] and len({*got.values()}) == 3
+    assert got == {r.g: r.digest for r in audit.fingerprint(df.orderBy(F.desc("k")), ["g"], ["k", "v"]).collect()}
+
+
+def test_near_duplicate_lines(spark):
+    words = [f"w{k}" for k in range(25)]
+    rows = [(1, " ".join(words) + "\nshort line"), (2, " ".join(words[::-1])), (3, " ".join(words[:24] + ["other"])), (4, None)]
+    got = similarity.near_duplicate_lines(spark.createDataFrame(rows, "id int, t string"), "id", "t").collect()
+    assert [round(r.similarity, 6) for r in got] == [round(24 / 26, 6)]  # the reversed line has the same set
