@@ -446,7 +446,7 @@ class LanguageModel:
 
         A null or empty text is one token, the end.
         """
-        step = 1 << 20
+        step = 1 << 19
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tries = self.open()
