@@ -81,3 +81,33 @@ def test_run_gives_the_last_stage(spark, folder):
     got = corpus_pipeline.run(spark, folder)
     assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "copy"]
     assert Counter(map(tuple, got.collect())) == Counter(map(tuple, spark.read.parquet(f"{folder}/source_mixing").collect()))
+
+
+def test_repeated_and_null_ids_are_decided_row_by_row(spark, tmp_path):
+    rng = random.Random(3)
+    pick = lambda lang, n: " ".join(rng.choice(WORDS[lang].split()) + rng.choice(["", "er", "in", "os", "at", "um"]) for _ in range(n))
+    path = f"file://{tmp_path}"
+    leak, twin, lone = pick("aa", 12), pick("bb", 90), [pick("aa", 90) for _ in range(6)]
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    stages, count = dict(corpus_pipeline.STAGES), iter(range(9))
+
+    def after(name, rows):
+        at = f"{path}/docs{next(count)}"
+        spark.createDataFrame([(i, t, "aa", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(at)
+        return Counter((r.doc_id, r.text) for r in stages[name](spark, spark.read.parquet(at), path).collect())
+
+    s = "s0"
+    got = after("exact_dedup", [(1, "a", s), (1, "a", s), (1, "b", s), (2, "a ", s), (2, "c", s), (None, "d", s), (None, "d", s), (None, "c", s), (3, "e", s)])
+    assert got == Counter([(2, "a "), (1, "b"), (2, "c"), (None, "d"), (3, "e")])
+    near = [(5, twin, s), (5, twin.upper(), s), (5, lone[0], s), (None, twin.replace(" ", "\n", 2), s), (None, lone[1], s), (None, lone[2], s), (None, lone[2].upper(), s)]
+    got = after("simhash_near_dedup", near)
+    assert Counter((i, t.lower()) for i, t in got.elements()) == Counter([(5, twin), (5, lone[0]), (None, lone[1]), (None, lone[2])])
+    dirty = f"{lone[3]} {leak} {lone[4]}"
+    got = after("benchmark_decontamination", [(7, dirty, s), (7, lone[0], s), (None, dirty, s), (None, lone[1], s)])
+    assert got == Counter([(7, lone[0]), (None, lone[1])])
+    texts = [pick("aa", 20) for _ in range(60)]
+    got = after("source_mixing", [(None if k % 2 else 7, t, "s0" if k < 30 else "s1") for k, t in enumerate(texts)])
+    words = Counter({"s0": 600, "s1": 600})
+    for source, want in water_fill(dict(words)).items():
+        taken = sum(n * 20 for (_, t), n in got.items() if (texts.index(t) < 30) == (source == "s0"))
+        assert abs(taken - want) <= 21
