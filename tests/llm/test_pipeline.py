@@ -111,3 +111,31 @@ def test_repeated_and_null_ids_are_decided_row_by_row(spark, tmp_path):
     for source, want in water_fill(dict(words)).items():
         taken = sum(n * 20 for (_, t), n in got.items() if (texts.index(t) < 30) == (source == "s0"))
         assert abs(taken - want) <= 21
+
+
+def test_near_copies_at_four_fifths(spark):
+    from weft.llm.jaccard import near_copies
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    texts = []
+    for _ in range(12):
+        base = [word() for _ in range(rng.choice([60, 120, 300]))]
+        for edits in [0, *rng.choices(range(1, 6), k=5)]:
+            own = list(base)
+            for _ in range(edits):
+                own[rng.randrange(len(own))] = word()
+            texts.append(" ".join(own))
+    texts += ["one two", "One  two", "", None, "one two three"]
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for t in texts)]
+    label = [*range(len(texts))]
+    alike = [(i, j) for i in label for j in range(i) if (sets[i] == sets[j] or len(sets[i] & sets[j]) * 5 >= len(sets[i] | sets[j]) * 4)]
+    while any(label[i] != label[j] for i, j in alike):
+        for i, j in alike:
+            label[i] = label[j] = min(label[i], label[j])
+    got = {r.id: r.component for r in near_copies(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+    assert got == {i: c for i, c in enumerate(label) if label.count(c) > 1}
+    from weft.llm.simhash import fingerprint
+
+    far = [bin(fingerprint(texts[i].encode()) ^ fingerprint(texts[j].encode())).count("1") > 3 for i, j in alike if texts[i] and texts[j]]
+    assert sum(far) > 5  # links that the contract of op6 would not make
