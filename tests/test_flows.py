@@ -58,6 +58,27 @@ def test_late_events_are_dropped_and_repeats_too(spark, tmp_path):
     assert sorted(r.event_id for r in rows.collect()) == [1, 2]  # 1 again and 3 too late
 
 
+def test_registered_streams_keep_all_events_of_many_files(spark, tmp_path):
+    import random
+    from datetime import datetime, timedelta
+
+    rng, start, sf = random.Random(8), datetime(2024, 1, 1), str(tmp_path)
+    rows = [(k % 110, start + timedelta(days=rng.randrange(60), minutes=k), k % 4, "view", 1.0) for k in range(120)]  # ten ids twice
+    for k in range(20):  # more files than a trigger of eight takes, in no order of time
+        spark.createDataFrame(rows[k::20], "event_id long, ts timestamp, user_id long, event_type string, value double").coalesce(1).write.mode("append").parquet(f"{sf}/events.parquet")
+    got = queries()["stream_distinct"](spark, sf).first()
+    assert (got.events, got.users) == (110, 4)
+    want = []
+    for user in range(4):
+        times = sorted(r[1] for r in rows if r[2] == user)
+        for before, at in zip([None, *times], times):
+            if before and at - before < timedelta(hours=6):
+                want[-1][1] += 1
+            else:
+                want.append([(user, at), 1])
+    assert sorted([(r.user_id, r.start), r.n] for r in queries()["stream_sessions"](spark, sf).collect()) == sorted(want)
+
+
 def test_greedy_queries_match_plain_python(spark):
     """The registered greedy queries, which have no SQL, against sequential scans."""
     import re

@@ -1,7 +1,7 @@
 """Ledger operators over an event stream.
 
 Each function takes a streaming DataFrame of events(event_id, ts, user_id,
-event_type, value) and gives a streaming one. State is bounded by the watermark.
+event_type, value) and gives a streaming one. State is bounded by the watermark, but for distinct().
 """
 
 from __future__ import annotations
@@ -15,9 +15,14 @@ from pyspark.sql.streaming import StreamingQuery
 LATE = "1 day"
 
 
-def read_events(spark: SparkSession, path: str, max_files: int = 8) -> DataFrame:
-    """A file stream with the schema of what lies there; event time is a timestamp."""
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", max_files).parquet(path)
+def read_events(spark: SparkSession, path: str, max_files: int | None = 8) -> DataFrame:
+    """A file stream with the schema of what lies there; event time is a timestamp.
+
+    Without max_files one trigger takes every file there is, so that events of a
+    finished table, whose files are in no order of time, are never late.
+    """
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    stream = (reader if max_files is None else reader.option("maxFilesPerTrigger", max_files)).parquet(path)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -44,6 +49,11 @@ def first_of(events: DataFrame, keys: list[str]) -> DataFrame:
     return events.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(keys)
 
 
+def distinct(events: DataFrame, keys: list[str]) -> DataFrame:
+    """The first event of each key, however far apart; state is a row for each key."""
+    return events.dropDuplicates(keys)
+
+
 def run_once(stream: DataFrame, folder: str, mode: str = "append", sink: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
     """Runs a stream over what there is; gives the rows it wrote under folder.
 
