@@ -161,7 +161,9 @@ def plain_line_dedup(docs):
         lines = [(k, x.strip(strip)) for k, x in enumerate((t or "").split("\n")) if x.strip(strip)]
         for at in range(len(lines) - 2):
             runs.append(((i, lines[at][0]), tuple(x for _, x in lines[at : at + 3]), [k for k, _ in lines[at : at + 3]]))
-        runs += [((i, k), (x,), [k]) for k, x in lines if len(re.findall(r"[^\x20\x09-\x0D]+", x)) >= 40]
+        words = lambda x: len(re.findall(r"[^\x20\x09-\x0D]+", x))
+        runs += [((i, k), (x,), [k]) for k, x in lines if words(x) >= 40]
+        runs += [((i, k), (x, y), [k, m]) for (k, x), (m, y) in zip(lines, lines[1:], strict=False) if words(x) + words(y) >= 40]
     first = {}
     for place, key, _ in runs:
         first[key] = min(first.get(key, place), place)
@@ -175,7 +177,8 @@ def plain_line_dedup(docs):
 def test_line_dedup(spark):
     rng = random.Random(8)
     long = " ".join(f"w{k}" for k in range(55))
-    lines = [f"line {k}" for k in range(12)] + ["", "  ", long]
+    half = ["one two three " * 8, "four five six " * 7, "seven eight nine " * 6]
+    lines = [f"line {k}" for k in range(12)] + ["", "  ", long, *half]
     docs = {i: "\n".join(rng.choice(lines) for _ in range(rng.randrange(12))) for i in range(60)}
     docs |= {100: None, 101: "", 102: long, 103: f" {long}\t", 104: "a\nb\nc\na\nb\nc\na\nb\nc", 105: "x\n" * 500}
     got = {r.doc_id: (r.text, r.n_removed) for r in dedup_lines(table(spark, docs)).collect()}
@@ -185,7 +188,16 @@ def test_line_dedup(spark):
     assert counts[100] == 0 and counts[105] == 500
     assert dedup_lines(table(spark, {})).count() == 0
     again = dedup_lines(table(spark, [(1, "a\nb\nc"), (1, "a\nb\nc"), (None, "a\nb\nc"), (2, "a\nb\nc")])).collect()
-    assert Counter((r.doc_id, r.n_removed) for r in again) == {(1, 0): 2, (None, 0): 1, (2, 3): 1}
+    assert Counter((r.doc_id, r.n_removed) for r in again) == {(1, 0): 2, (None, 3): 1, (2, 3): 1}
+
+
+def test_line_dedup_ids(spark):
+    """Rows of one id, or of none, keep what only they have."""
+    rows = [(1, "a\nb\nc"), (2, "a\nb\nc"), (2, "p\nq\nr\nt"), (None, "p\nq\nr"), (None, "u\nv\nw"), (None, "u\nv\nw\nx")]
+    got = Counter((r.doc_id, r.text) for r in dedup_lines(table(spark, rows)).collect())
+    assert got - Counter({(1, "a\nb\nc"): 1, (2, ""): 1, (2, "p\nq\nr\nt"): 1, (None, ""): 1}) in (Counter({(None, "u\nv\nw"): 1, (None, "x"): 1}), Counter({(None, ""): 1, (None, "u\nv\nw\nx"): 1}))
+    named = spark.createDataFrame([(str(i), t) for i, t in rows[:3]], "doc_id string, text string")
+    assert Counter(r.text for r in dedup_lines(named).collect()) == {"a\nb\nc": 1, "": 1, "p\nq\nr\nt": 1}
 
 
 @pytest.mark.parametrize("run, gram", [(2, 1), (2, 2), (4, 2)])

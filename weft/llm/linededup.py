@@ -6,8 +6,12 @@ hashes the smallest is kept as a fingerprint, so that runs of
 window + GRAM - 1 = RUN lines that occur twice share one for certain. Fingerprints
 that occur once are finished. Around the others, hashes of RUN lines are made at
 every place that could hold a repeated run, which extends a match both ways for
-as long as it goes; of equal runs the first by (id, place) stays, and the lines of
-later ones go. A line of LONG_WORDS words or more is a run by itself.
+as long as it goes; of equal runs the first by (document, place) stays, and the
+lines of later ones go. A line, or two lines, of LONG_WORDS words or more are a
+run by themselves.
+
+Documents are told apart by id and text. Fingerprints are one hash, since a false
+match costs only work; runs, which decide, are two.
 
 Fingerprints and runs are counted and joined by hash, with partial counts map
 side; a run that a third of all documents share makes one row an occurrence and
@@ -33,65 +37,76 @@ def _range(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def line_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, h, rows, long): hashes of a document's lines that are not blank, their
-    numbers among all lines, and the places of long ones among the hashes."""
+def _doc(id_col: str, text_col: str) -> Column:
+    """A document: its id, null after others, and two hashes of its text."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).alias("id"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b")).alias("doc")
+
+
+def line_hashes(docs: DataFrame, id_col: str, text_col: str, long_words: int = LONG_WORDS) -> DataFrame:
+    """(doc, h, g, rows, long, pair): two hashes of each of a document's lines that are
+    not blank, their numbers among all lines, and the places where one line, or two, are long."""
     lines = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x, i: F.struct(_line(x).alias("x"), i.alias("i")))
-    rows = docs.select(F.col(id_col).alias("id"), F.filter(lines, lambda s: s["x"] != "").alias("lines"))
+    full = docs.select(_doc(id_col, text_col), F.filter(lines, lambda s: s["x"] != "").alias("lines"))
+    rows = full.select("doc", F.transform("lines", lambda s: F.struct(s["x"].alias("x"), s["i"].alias("i"), word_count(s["x"]).alias("n"))).alias("lines"))
+    places = lambda n: F.filter(F.transform("lines", lambda s, i: F.when(n(s, i) >= long_words, i)), lambda i: i.isNotNull())
     return rows.select(
-        "id",
+        "doc",
         F.transform("lines", lambda s: F.xxhash64(s["x"])).alias("h"),
+        F.transform("lines", lambda s: F.xxhash64(F.lit(1), s["x"])).alias("g"),
         F.transform("lines", lambda s: s["i"]).alias("rows"),
-        F.filter(F.transform("lines", lambda s, i: F.when(word_count(s["x"]) >= LONG_WORDS, i)), lambda i: i.isNotNull()).alias("long"),
+        places(lambda s, i: s["n"]).alias("long"),
+        places(lambda s, i: s["n"] + F.get("lines", i + 1)["n"]).alias("pair"),
     )
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, run: int = RUN, gram: int = GRAM) -> DataFrame:
-    """(id, gone): for each document that loses lines, their numbers from 0, in order."""
-    hashed = cut(line_hashes(docs.where(F.col(id_col).isNotNull()), id_col, text_col))
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, run: int = RUN, gram: int = GRAM, long_words: int = LONG_WORDS) -> DataFrame:
+    """(doc, gone): for each document that loses lines, their numbers from 0, in order."""
+    hashed = cut(line_hashes(docs, id_col, text_col, long_words))
     window = run - gram + 1
     grams = F.transform(_range(F.size("h") - (gram - 1)), lambda i: F.xxhash64(*[F.get("h", i + j) for j in range(gram)]))
-    own = hashed.select("id", grams.alias("g"))
-    least = lambda i: F.least(*[F.struct(F.get("g", i + j).alias("mark"), (i + j).alias("at")) for j in range(window)])["at"]
-    kept = F.array_distinct(F.transform(_range(F.size("g") - (window - 1)), least)) if window > 1 else _range(F.size("g"))
-    prints = own.select("id", "g", F.explode_outer(kept).alias("at")).where("at is not null").select("id", "at", F.get("g", F.col("at")).alias("mark"))
+    own = hashed.select("doc", grams.alias("m"))
+    least = lambda i: F.least(*[F.struct(F.get("m", i + j).alias("mark"), (i + j).alias("at")) for j in range(window)])["at"]
+    kept = F.array_distinct(F.transform(_range(F.size("m") - (window - 1)), least)) if window > 1 else _range(F.size("m"))
+    prints = own.select("doc", "m", F.explode_outer(kept).alias("at")).where("at is not null").select("doc", "at", F.get("m", F.col("at")).alias("mark"))
     again = prints.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
-    met = prints.join(again, "mark", "left_semi").groupBy("id").agg(F.collect_set("at").alias("at"))
+    met = prints.join(again, "mark", "left_semi").groupBy("doc").agg(F.collect_set("at").alias("at"))
     # Runs around a match: a place is extended to every run that holds its gram.
     places = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(F.greatest(p - (run - gram), F.lit(0)), p))))
-    runs = (
-        hashed.select("id", "h", "rows").join(met, "id").select("id", "h", "rows", F.explode_outer(F.filter(places, lambda p: p + run <= F.size("h"))).alias("at"))
-        .where("at is not null")
-        .select("id", F.xxhash64(F.lit(run), *[F.get("h", F.col("at") + j) for j in range(run)]).alias("key"), F.slice("rows", F.col("at") + 1, run).alias("rows"))
-    )
-    alone = hashed.select("id", "h", "rows", F.explode_outer("long").alias("at")).where("at is not null").select(
-        "id", F.xxhash64(F.lit(1), F.get("h", F.col("at"))).alias("key"), F.slice("rows", F.col("at") + 1, 1).alias("rows")
-    )
-    runs = cut(runs.union(alone).select("id", "key", "rows", F.get("rows", F.lit(0)).alias("at")).dropDuplicates(["id", "key", "at"]))
-    # (id, at) of the first of each run, by two aggregates of plain numbers.
-    first = runs.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("k")).where("k > 1").select("key", "first")
-    start = runs.join(first, "key").where("id = first").groupBy("key", "first").agg(F.min("at").alias("start"))
-    later = runs.join(cut(start), "key").where((F.col("id") != F.col("first")) | (F.col("at") != F.col("start")))
-    return later.select("id", F.explode_outer("rows").alias("line")).groupBy("id").agg(F.array_sort(F.collect_set("line")).alias("gone"))
+    around = hashed.select("doc", "h", "g", "rows").join(met, "doc").select("doc", "h", "g", "rows", F.explode_outer(F.filter(places, lambda p: p + run <= F.size("h"))).alias("at"))
+
+    def keyed(found: DataFrame, n: int) -> DataFrame:
+        keys = [F.xxhash64(F.lit(n), *[F.get(c, F.col("at") + j) for j in range(n)]).alias(f"key_{c}") for c in ("h", "g")]
+        return found.where("at is not null").select("doc", *keys, F.slice("rows", F.col("at") + 1, n).alias("rows"), "at")
+
+    alone = [keyed(hashed.select("doc", "h", "g", "rows", F.explode_outer(c).alias("at")), n) for c, n in (("long", 1), ("pair", 2))]
+    key = ["key_h", "key_g"]
+    runs = cut(keyed(around, run).union(alone[0]).union(alone[1]).dropDuplicates(["doc", *key, "at"]))
+    many = runs.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
+    shared = cut(runs.join(many, key, "left_semi").select(*key, "rows", F.struct("doc", "at").alias("place")))
+    first = cut(shared.groupBy(*key).agg(F.min("place").alias("first")))
+    later = shared.join(first, key).where(F.col("place") != F.col("first"))
+    return later.select("place.doc", F.explode_outer("rows").alias("line")).groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, run: int = RUN, gram: int = GRAM) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, run: int = RUN, gram: int = GRAM, long_words: int = LONG_WORDS) -> DataFrame:
     """One row per input row: id, text without later repeated runs, n_lines, n_removed.
 
     n_lines counts lines that are not blank. Kept lines, blank ones too, stay as they
     are and are joined by newlines. Null text stays null with no lines; texts that
     lose every line are blank or empty. Within a document the same rule holds: of
-    overlapping repeats the first stays. Rows that repeat an id count as one
-    document: a run they share is not a repeat, and they lose the same lines. Rows
-    with a null id are left as they are. An empty table gives no rows.
+    overlapping repeats the first stays. Rows that agree in id, null too, and in text
+    count as one document: a run they share is not a repeat, and they lose the same
+    lines. Rows of one id with different texts are documents of their own. A null id
+    comes after others. An empty table gives no rows.
     """
-    gone = repeated_lines(docs, id_col, text_col, run=run, gram=gram).withColumnRenamed("id", "_id")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(gone, F.col("id") == F.col("_id"), "left")
-    lines = rows.select("id", "text", "gone", F.split("text", "\n").alias("raw"))
+    gone = repeated_lines(docs, id_col, text_col, run=run, gram=gram, long_words=long_words).withColumnRenamed("doc", "_doc")
+    rows = docs.select(_doc(id_col, text_col), F.col(text_col).alias("text")).join(gone, F.col("doc") == F.col("_doc"), "left")
+    lines = rows.select("doc", "text", "gone", F.split("text", "\n").alias("raw"))
     stay = F.transform(F.array_except(_range(F.size("raw")), F.col("gone")), lambda i: F.get("raw", i))
     full = F.filter("raw", lambda x: _line(x) != "")
     return lines.select(
-        F.col("id").alias(id_col),
+        F.col("doc.id").alias(id_col),
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n")).alias(text_col),
         F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(full)).cast("long").alias("n_lines"),
         F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long").alias("n_removed"),

@@ -96,7 +96,10 @@ def oracle_sql() -> dict[str, str]:
             runs as (select doc_id, pos, 3 as n, array_to_string(ls[pos + 1:pos + 3], chr(10)) as key from (select doc_id, ls, unnest(range(0, len(ls) - 2)) as pos from t)
                      union all
                      select doc_id, pos, 1, ls[pos + 1] from (select doc_id, ls, unnest(range(0, len(ls))) as pos from t)
-                     where len(list_filter(string_split_regex(ls[pos + 1], '[\x20\x09-\x0D]+'), lambda x: x <> '')) >= 40),
+                     where len(list_filter(string_split_regex(ls[pos + 1], '[\x20\x09-\x0D]+'), lambda x: x <> '')) >= 40
+                     union all
+                     select doc_id, pos, 2, ls[pos + 1] || chr(10) || ls[pos + 2] from (select doc_id, ls, unnest(range(0, len(ls) - 1)) as pos from t)
+                     where len(list_filter(string_split_regex(ls[pos + 1] || ' ' || ls[pos + 2], '[\x20\x09-\x0D]+'), lambda x: x <> '')) >= 40),
             firsts as (select n, key, min(struct_pack(d := doc_id, a := pos)) as f from runs group by n, key),
             gone as (select distinct doc_id, unnest(range(pos, pos + runs.n)) as line from runs join firsts using (n, key) where struct_pack(d := doc_id, a := pos) <> f),
             gl as (select doc_id, list(line) as gone from gone group by doc_id),
