@@ -9,10 +9,12 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from weft.llm.langid import codewords, identify
+from weft.llm.langid import codewords, fit, identify, predict
 from weft.llm.lmtrie import EliasFano, Trie, score_corpus, word_hashes
 from weft.llm.mixing import mix
-from weft.llm.quality import AttentionModel, classify
+from weft.llm.bytes_ import passage_rows
+from weft.llm.quality import AttentionModel, classify, score
+from weft.llm.quality import fit as fit_quality
 from weft.llm.tokens import count_tokens, document_token_counts
 from weft.llm.urlfilter import UrlFilter, build_cascade, judge_urls, listed_in
 
@@ -41,6 +43,35 @@ def test_language_id(spark):
     assert identify(docs(spark, [])).count() == 0
 
 
+def plain_language(model, text, dims):
+    """Best language, its share and the gap to the second, letter by letter."""
+    x = [c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in text.encode()]
+    count = Counter(c for c in x if c != 32)
+    for a, b, c in zip(x, x[1:], x[2:], strict=False):
+        if (a != 32 or b != 32) and (b != 32 or c != 32):
+            count[256 + ((a * 0x9E3779B1 + b * 0x85EBCA6B + c * 0xC2B2AE35) % (1 << 32) >> 7) % dims] += 1
+    total = max(1, sum(count.values()))
+    bits = [model.bias[j] + sum(math.sqrt(n / total) * model.weights[k, j] for k, n in count.items()) for j in range(model.code.shape[1])]
+    loss = [sum(t * math.log1p(math.exp(-m * c)) for m, c, t in zip(bits, word, trust, strict=True)) * len(bits) for word, trust in zip(model.code, model.trust, strict=True)]
+    near = sorted(loss)
+    return model.languages[loss.index(near[0])], 1 / sum(math.exp(near[0] - v) for v in loss), near[1] - near[0]
+
+
+@pytest.mark.parametrize("langs", [("aa", "bb"), ("aa", "bb", "cc")])
+def test_language_decoding(spark, langs):
+    """Against plain decoding; half of one language and half of another is ambiguous."""
+    rows = [r for r in corpus(400, 12) if r[2] in langs]
+    model = fit(docs(spark, rows), dims=512)
+    half = [(1000 + k, " ".join((WORDS[langs[0]].split() + WORDS[langs[1]].split()) * 9), None) for k in range(1)]
+    own = rows[:60] + half
+    got = {r.doc_id: r for r in predict(docs(spark, own), model, dims=512).collect()}
+    for i, text, _ in own:
+        lang, p, gap = plain_language(model, text, 512)
+        assert abs(got[i].score - p) < 1e-3 and (got[i].lang_pred == lang or gap < 1e-3)
+        assert got[i].ambiguous == (gap < model.least) or abs(gap - model.least) < 1e-3
+    assert got[1000].ambiguous and sum(got[i].ambiguous for i, _, _ in rows[:60]) <= 2
+
+
 @pytest.mark.parametrize("n", [1, 2, 4, 7, 12])
 def test_codewords_differ(n):
     code = codewords(n)
@@ -87,6 +118,62 @@ def test_attention_gradient():
         m.p[k][at] += 1e-5
 
 
+def plain_attention(model, x):
+    """Score of one document's passages, number by number."""
+    p = {k: v.astype(float).tolist() for k, v in model.p.items()}
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    dot = lambda v, m, j: sum(a * row[j] for a, row in zip(v, m, strict=True))
+    encoded, logits = [], []
+    for row in x.tolist():
+        z = [(a - m) / s for a, m, s in zip(row, model.mean.tolist(), model.scale.tolist(), strict=True)]
+        h = [math.tanh(dot(z, p["E"], j) + p["e"][j]) for j in range(len(p["e"]))]
+        encoded.append(h)
+        logits.append(sum(math.tanh(dot(h, p["V"], j)) * sig(dot(h, p["U"], j)) * p["w"][j] for j in range(len(p["w"]))))
+    share = [math.exp(s) for s in logits]
+    pooled = [sum(a * h[j] for a, h in zip(share, encoded, strict=True)) / sum(share) for j in range(len(p["e"]))]
+    return sig(sum(a * b for a, b in zip(pooled, p["c"], strict=True)) + p["b"][0])
+
+
+def test_quality_scores(spark):
+    """Against a plain forward pass; long texts, empty ones and an empty table too."""
+    rows = corpus(60, 4) + [(900, None, "aa"), (901, "", "aa"), (902, "the of! " * 3000, "aa")]
+    frame = docs(spark, rows)
+    marks = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    model = fit_quality(frame, marks)
+    got = {r.doc_id: r for r in score(frame, model).collect()}
+    for i, text, _ in [*rows[:12], *rows[-3:]]:
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        x, n = passage_rows(data, np.array([0, len(data)]))
+        assert got[i].n_passages == n[0] and abs(got[i].score - plain_attention(model, x)) < 1e-4
+    assert score(frame.where("false"), model).count() == 0 and fit_quality(frame.where("false"), marks) is None
+    assert classify(frame.where("false"), marks).count() == 0
+    named = frame.withColumn("doc_id", frame.doc_id.cast("string"))
+    assert classify(named, marks.withColumn("doc_id", marks.doc_id.cast("string"))).count() == len(rows)
+
+
+def test_quality_sample_bounds(spark):
+    """Whole documents, as many as the passages allow; repeated rows count once."""
+    rows = [(i, "word " * 640, "aa") for i in range(30)]
+    frame = docs(spark, rows).union(docs(spark, rows[:5] * 3))
+    marks = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    seen = []
+
+    class Probe(AttentionModel):
+        def fit(self, x, sizes, y, **kw):
+            seen.append(sizes.tolist())
+            return self
+
+    import weft.llm.quality as q
+
+    real, q.AttentionModel = q.AttentionModel, Probe
+    try:
+        for limits in ({}, {"passages": 95}, {"sample": 4}, {"passages": 3}):
+            q.fit(frame, marks, **limits)
+    finally:
+        q.AttentionModel = real
+    assert seen == [[10] * 30, [10] * 9, [10] * 4, [10]]
+
+
 def test_elias_fano():
     rng = np.random.default_rng(4)
     for n, universe in ((0, 10), (1, 1), (50, 60), (3000, 1 << 40), (3000, 1 << 61), (2000, 500)):
@@ -191,6 +278,18 @@ def test_mixing(spark):
     assert mix(frame.where("false")).count() == 0
 
 
+def test_mixing_rows_alike(spark):
+    """Many rows without an id and of one size are dealt over leaves."""
+    frame = spark.createDataFrame([(None, "w w w", "a")] * 3000 + [(1, "w " * 3000, "b")], "doc_id long, text string, source string")
+    got = mix(frame).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert len(got) == 3001 and abs(taken["a"] - target["a"]) <= 4 and max(r.copies for r in got) <= 2
+    assert Counter(map(tuple, got)) == Counter(map(tuple, mix(frame).collect()))
+
+
 def test_mixing_is_fair(spark):
     """Over many seeds' worth of sources, a document is taken as often as its expectation says."""
     rows = [(k * 100 + i, "w " * (1 + i), f"s{k:03d}") for k in range(120) for i in range(6)]
@@ -207,7 +306,7 @@ def test_cascade_is_exact():
         assert (listed_in(build_cascade(h1, h2, listed), h1, h2) == listed).all()
 
 
-@pytest.mark.parametrize("limits", [{}, {"shard_keys": 7}, {"max_bytes": 0, "shard_keys": 11}])
+@pytest.mark.parametrize("limits", [{}, {"shard_keys": 7}, {"max_bytes": 0, "shard_keys": 11, "group_rows": 5}])
 def test_url_filter(spark, limits):
     urls = [f"https://H{i % 40}.Site.example.{['com', 'net', 'org'][i % 3]}/{['en', 'de', 'fr'][i % 3]}/p{i}?q#f" for i in range(300)]
     urls += [None, "", "no host", "http://x.net", "http://example.net/en/a", "http://a.example.net/en/", "http://badexample.com/de/x", "ftp://org/fr/", "x://y.org#/fr/", "http://a/b://c"]
@@ -225,6 +324,14 @@ def test_url_filter(spark, limits):
                 rule, says = s + p, v
         assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, rule, says), u
     assert judge_urls(pages.where("false"), block, **limits).count() == 0
+    twice = judge_urls(pages.union(pages).union(pages.limit(1).selectExpr("cast(null as long)", "url", "host")), block, **limits)
+    assert twice.count() == 2 * len(urls) + 1 and len({(r.page_id, r.verdict) for r in twice.collect()}) == len(urls) + 1
+
+
+def test_equal_hashes_are_an_error():
+    h = np.array([5, 5], np.uint64)
+    with pytest.raises(ValueError, match="same two hashes"):
+        build_cascade(h, h, np.array([True, False]))
 
 
 def test_url_filter_size(spark):

@@ -10,9 +10,10 @@ then also cut into grams of those lengths (at most WINDOW - 1 of them).
 
 Document words stay in their row. Rows are exploded only to distinct
 fingerprints, which a broadcast of the benchmark's fingerprints thins out before
-any shuffle; a benchmark with more than BROADCAST_ROWS of them is joined by a
-shuffle. The join sees distinct hashes on the benchmark's side, so a phrase that
-many items share does not multiply rows.
+any shuffle. With more than BROADCAST_ROWS of them, (document, fingerprint) rows
+are joined by a shuffle, and the words of documents that met some are read again.
+The join sees distinct hashes on the benchmark's side, so a phrase that many items
+share does not multiply rows.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ WINDOW = 10
 GRAM = 5
 #: A row is two longs: at most 64 MB in memory.
 BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 64 << 20
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -98,6 +100,7 @@ def contamination(
     window: int = WINDOW,
     gram: int = GRAM,
     broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> tuple[DataFrame, DataFrame]:
     """(hits, spans): one row per document with a hit, and one per hit window.
 
@@ -119,11 +122,20 @@ def contamination(
         marks = part if marks is None else marks.union(part)
     marks = cut(marks.distinct())
     small = marks.count() <= broadcast_rows
-    known = F.broadcast(marks) if small else marks.hint("merge")
-    keys = F.broadcast(per_window.select("n", "gram")) if small and grams.count() <= broadcast_rows else per_window.select("n", "gram")
+    n_grams, n_bytes = grams.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("gram")), F.lit(0))).first()
+    keys = per_window.select("n", "gram")
+    # Windows may hold words of any length, so their bytes count.
+    keys = F.broadcast(keys) if n_grams <= broadcast_rows and n_bytes <= broadcast_bytes else keys
 
     rows = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words"))
-    met = _with_marks(rows, families).select("id", "words", F.explode_outer("marks").alias("mark")).join(known, "mark")
+    if small:
+        met = _with_marks(rows, families).select("id", "words", F.explode_outer("marks").alias("mark")).join(F.broadcast(marks), "mark")
+    else:
+        # The hash tells rows of one id apart; rows that agree in it share fingerprints, which are checked below.
+        named = rows.withColumn("h", F.xxhash64("id", "words"))
+        found = _with_marks(named, families).select("h", F.explode_outer("marks").alias("mark")).join(marks.hint("merge"), "mark")
+        own = found.groupBy("h").agg(F.collect_set(F.struct("mark", "n", "k")).alias("own"))
+        met = named.join(own, "h").select("id", "words", F.explode_outer("own").alias("o")).select("id", "words", "o.mark", "o.n", "o.k")
     same = F.lit(None).cast("array<int>")
     for k in sorted({k for _, k, _ in families}):
         own = F.transform(_grams(F.col("words"), k), lambda g, i: F.when(g == F.col("mark"), i))

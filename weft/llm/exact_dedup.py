@@ -2,10 +2,11 @@
 
 One scan takes the length and the prefix hash of every normalised text and
 aggregates them. Lengths, then (length, prefix) pairs, that occur once are
-finished. The others set slots of a table whose size is fixed (`slots`), so that
-it can be broadcast at any input size; a second scan reads full content and
-hashes it for rows whose slot is set. A slot that unequal pairs share costs a
-hash and no correctness, since the last grouping is by the full hash.
+finished. The others set slots of a table that grows with their number up to
+`slots`, so that it can be broadcast at any input size; a second scan reads full
+content and hashes it for rows whose slot is set. A slot that unequal pairs share
+costs a hash and no correctness, since the last grouping is by the full hash; far
+beyond `slots` pairs most rows are hashed and grouped, at some 70 bytes each.
 
 Text is never shuffled; only ids, sizes and hashes are. A group of any size is
 only ever aggregated (map side first) or joined under skew splitting.
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 from weft.llm.common import WS_CHARS, cut
 
 PREFIX_CHARS = 128
-SLOTS = 1 << 18
+#: At most; a row of the table is a long.
+SLOTS = 1 << 21
 
 
 def normalised(text: Column) -> Column:
@@ -52,11 +54,12 @@ def exact_dedup(
     )
     size = F.length("norm").alias("size")
     head = F.xxhash64(F.substring("norm", 1, prefix_chars)).alias("head")
-    slot = F.pmod(F.xxhash64("size", "head"), F.lit(slots)).alias("slot")
 
     by_head = cut(rows.select(size, head).groupBy("size", "head").agg(F.count("*").alias("n")))
     by_size = by_head.groupBy("size").agg(F.sum("n").alias("m")).where("m > 1").select("size")
     shared = by_head.where("n > 1").join(by_size, "size", "left_semi")
+    slots = min(slots, 1 << max(10, (16 * shared.count()).bit_length()))
+    slot = F.pmod(F.xxhash64("size", "head"), F.lit(slots)).alias("slot")
     # At most `slots` rows of one long, whatever the input's size.
     wanted = shared.select(slot).distinct().withColumn("survives", F.lit(True))
 

@@ -11,7 +11,9 @@ Pairs are made along a tree. Documents of a source are dealt to leaves of about
 `FANOUT` rows by a hash; each leaf passes on the one residual that it cannot
 pair, `FANOUT` leaves share a parent, and so on up to the source's root. A source
 of any size is a number of small groups at each level. Randomness comes from
-hashes of ids and sizes, so reruns agree.
+hashes of ids and sizes, so reruns agree. Where more rows than a leaf should hold
+agree in source, id and size, each is dealt by its own number: the draws of such
+rows repeat if the table is read in the same order.
 """
 
 from __future__ import annotations
@@ -113,21 +115,23 @@ def mix(
     own. Rows that repeat an id are separate documents. An empty table gives no
     rows.
     """
-    sized = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")))
+    sized = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.monotonically_increasing_id().alias("row")))
     targets = source_targets(sized, weights, share, cap).withColumnRenamed("source", "of")
     wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     base = F.floor(F.col("wanted") + _NEAR)
     rows = sized.join(targets, F.col("source").eqNullSafe(F.col("of"))).withColumn("wanted", wanted)
     item = F.struct("id", "size", "source", "source_size", "target", base.alias("base"), F.greatest(F.col("wanted") - base, F.lit(0.0)).alias("x"))
-    items = rows.select(item.alias("i"))
+    items = rows.select(item.alias("i"), "row")
     loose = (F.col("i.size") > 0) & (F.col("i.x") > _NEAR)
     done = items.where(~loose).select(F.col("i").withField("x", F.lit(0.0)).alias("i"))
 
-    open_ = cut(items.where(loose))
+    open_ = cut(items.where(loose).withColumn("like", F.xxhash64("i.source", "i.id", "i.size")))
+    crowded = open_.groupBy("like").agg(F.count("*").alias("n")).where(F.col("n") > fanout).select(F.col("like").alias("many"))
     leaves = open_.groupBy("i.source").agg(F.ceil(F.count("*") / fanout).alias("leaves")).withColumnRenamed("source", "of")
     widest = leaves.agg(F.max("leaves")).first()[0] or 0
-    level = open_.join(leaves, F.col("i.source").eqNullSafe(F.col("of"))).select(
-        "i", F.pmod(F.xxhash64("i.id", "i.size", F.lit(SEED + 1)), F.col("leaves")).alias("node")
+    own = F.when(F.col("many").isNotNull(), F.col("row"))
+    level = open_.join(crowded, F.col("like") == F.col("many"), "left").join(leaves, F.col("i.source").eqNullSafe(F.col("of"))).select(
+        "i", F.pmod(F.xxhash64("i.id", "i.size", F.lit(SEED + 1), own), F.col("leaves")).alias("node")
     )
     order = F.struct(F.xxhash64("i.id", "i.size", F.lit(SEED + 2)).alias("h"), F.col("i.id").alias("id"), F.col("i").alias("i"))
     while widest:

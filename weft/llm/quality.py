@@ -5,9 +5,10 @@ bytes, gated attention (Ilse et al., 2018) weighs the passages, and the document
 score comes from the weighted mean of their encodings. Only documents have
 labels; where quality shows within a document is learned.
 
-It is fitted on at most `sample` labelled documents, the first by a hash of
-the id, and on at most `passages` evenly spaced passages of each. Scoring reads
-every passage of every document.
+It is fitted on whole labelled documents, the first by a hash of the id: at most
+`sample` of them, and no more than fit into `passages` passages together, which
+bounds what the driver holds (about 1.5 kB a passage). Rows that agree in id and
+text count once. Scoring reads every passage of every document.
 """
 
 from __future__ import annotations
@@ -16,14 +17,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.bytes_ import PASSAGE_DIMS, PIECE, flat, passage_rows, pieces
-from weft.llm.common import crc_of
+from weft.llm.bytes_ import PASSAGE_DIMS, PASSAGE_WORDS, PIECE, flat, passage_rows, pieces
+from weft.llm.common import crc_of, cut, word_count
 
 SAMPLE = 6000
-PASSAGES = 64
+PASSAGES = 100_000
 HIDDEN, GATE = 32, 16
 THRESHOLD = 0.7
 
@@ -93,24 +94,28 @@ class AttentionModel:
 
 
 def _long_rows(data: np.ndarray, lo: int, hi: int) -> Iterator[np.ndarray]:
-    """Passages of one long text, a piece of it at a time."""
+    """Passages of one long text, a piece of it at a time; a piece ends a passage and a word."""
     for at in range(lo, hi, PIECE):
         yield passage_rows(data, np.array([at, min(hi, at + PIECE)]))[0]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, passages: int = PASSAGES) -> AttentionModel | None:
-    """Learns from labels(id, label) of docs; None if no document has one."""
+    """Learns from labels(id, label) of docs, a single document at least; None if none has a label."""
     chosen = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("double").alias("y"))
-    chosen = chosen.orderBy(F.xxhash64("id", F.lit(9)), "id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(chosen), "id").select("id", "y", "text")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    key = [F.xxhash64(id_col, F.lit(9)).alias("k"), F.col(id_col).alias("id"), F.xxhash64(text).alias("t")]
+    size = F.greatest(F.lit(1), F.ceil(word_count(text) / PASSAGE_WORDS)).alias("n")
+    # At most `sample` rows of numbers: the first documents, and how many passages they have up to each.
+    first = cut(docs.select(*key, size).join(chosen, "id").groupBy("k", "id", "t", "y").agg(F.max("n").alias("n")).orderBy("k", "id", "t").limit(sample))
+    upto = first.withColumn("upto", F.sum("n").over(Window.orderBy("k", "id", "t"))).where((F.col("upto") <= passages) | (F.col("upto") == F.col("n")))
+    rows = docs.select(*key, F.col(text_col).cast("binary").alias("text")).join(F.broadcast(upto.select("id", "t", "y")), ["id", "t"])
+    rows = rows.groupBy("id", "t", "y").agg(F.first("text").alias("text")).select("id", "y", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = flat(b.column(2))
             for i in range(b.num_rows):
                 x = np.concatenate(list(_long_rows(data, int(offsets[i]), int(offsets[i + 1]))) or [passage_rows(data, offsets[[i, i]])[0]])
-                if len(x) > passages:
-                    x = x[np.linspace(0, len(x) - 1, passages).astype(int)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([x.astype(np.float16).tobytes()], pa.binary())], ["id", "y", "x"])
 
     kind = docs.schema[id_col].dataType.simpleString()

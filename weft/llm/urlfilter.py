@@ -7,9 +7,10 @@ first level that a key fails decides exactly whether it is listed.
 
 Keys are dealt to shards by hash; one task builds the cascade of one shard
 of about SHARD_KEYS keys. The cascades' total size is known before they are used:
-up to MAX_BYTES they are broadcast and pages are judged where they lie, without
-a join. Beyond, the tasks that build the cascades judge their own keys, and
-the verdicts are joined to the pages.
+up to MAX_BYTES they are broadcast and pages are judged where they lie. Beyond,
+pages are sent to the cascades: those of a shard in groups of about GROUP_ROWS,
+each with a copy of the shard's cascade, so that neither a shard nor a host that
+a third of all pages have is one group.
 """
 
 from __future__ import annotations
@@ -20,11 +21,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weft.llm.common import cut
 
 SHARD_KEYS = 100_000
 MAX_BYTES = 64 << 20
+GROUP_ROWS = 200_000
+MOST_LEVELS = 64
 BITS_PER_KEY, HASHES = 10, 5
 #: (host suffix, path prefix, verdict): the most specific rule that fits wins.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -60,10 +64,15 @@ def _slots(h1: np.ndarray, h2: np.ndarray, level: int, bits: int) -> np.ndarray:
 
 
 def build_cascade(h1: np.ndarray, h2: np.ndarray, listed: np.ndarray) -> list[np.ndarray]:
-    """Bit arrays of the levels, for distinct pairs (h1, h2)."""
+    """Bit arrays of the levels, for distinct pairs (h1, h2).
+
+    A listed and another key with the same pair pass every level: an error.
+    """
     levels: list[np.ndarray] = []
     inside, outside = np.flatnonzero(listed), np.flatnonzero(~listed)
     while len(inside):
+        if len(levels) == MOST_LEVELS:
+            raise ValueError("a listed and an unlisted key have the same two hashes")
         bits = max(64, len(inside) * BITS_PER_KEY)
         table = np.zeros(bits, bool)
         table[_slots(h1[inside], h2[inside], len(levels), bits).ravel().astype(np.int64)] = True
@@ -105,7 +114,7 @@ def _hashes(key: Column) -> list[Column]:
 class UrlFilter:
     """Exact membership of keys in a list, over a universe of keys."""
 
-    def __init__(self, universe: DataFrame, listed: DataFrame, *, shard_keys: int = SHARD_KEYS, max_bytes: int = MAX_BYTES):
+    def __init__(self, universe: DataFrame, listed: DataFrame, *, shard_keys: int = SHARD_KEYS, max_bytes: int = MAX_BYTES, group_rows: int = GROUP_ROWS):
         """universe(key) and listed(key); repeats and nulls are ignored, as are listed keys outside the universe."""
         marked = universe.select("key", F.lit(False).alias("listed")).union(listed.select("key", F.lit(True).alias("listed"))).where("key is not null")
         keys = marked.groupBy("key").agg(F.bool_or("listed").alias("listed"), F.bool_or(~F.col("listed")).alias("seen")).where("seen")
@@ -126,33 +135,22 @@ class UrlFilter:
             if held:
                 yield held[0].column("shard")[0].as_py(), pa.Table.from_batches(held)
 
-        def levels_of(t: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-            h1, h2 = (t[c].to_numpy().view(np.uint64) for c in ("h1", "h2"))
-            return build_cascade(h1, h2, t["listed"].to_numpy().astype(bool)), h1, h2
-
         def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k, t in shards_of(batches):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_pack(levels_of(t)[0])], pa.binary())], ["shard", "levels"])
-
-        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for _, t in shards_of(batches):
-                levels, h1, h2 = levels_of(t)
-                yield pa.RecordBatch.from_arrays([t["key"].combine_chunks(), pa.array(listed_in(levels, h1, h2))], ["key", "listed"])
-
-        built = cut(dealt.mapInArrow(build, "shard int, levels binary"))
-        self.bytes = built.agg(F.sum(F.length("levels"))).first()[0] or 0
-        self.cascades = self.verdicts = None
-        if self.bytes <= max_bytes:
-            # Checked: at most max_bytes in all.
-            self.cascades = {r.shard: bytes(r.levels) for r in built.toLocalIterator()}
-        else:
-            self.verdicts = dealt.mapInArrow(judge, "key string, listed boolean")
+                h1, h2 = (t[c].to_numpy().view(np.uint64) for c in ("h1", "h2"))
+                levels = build_cascade(h1, h2, t["listed"].to_numpy().astype(bool))
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_pack(levels)], pa.binary())], ["shard", "levels"])
+
+        self.built = cut(dealt.mapInArrow(build, "shard int, levels binary"))
+        self.bytes = self.built.agg(F.sum(F.length("levels"))).first()[0] or 0
+        self.group_rows = group_rows
+        # Checked: at most max_bytes in all.
+        self.cascades = {r.shard: bytes(r.levels) for r in self.built.toLocalIterator()} if self.bytes <= max_bytes else None
 
     def mark(self, rows: DataFrame, key_col: str, into: str) -> DataFrame:
         """rows with a boolean column; a null key is not listed."""
-        if self.verdicts is not None:
-            named = self.verdicts.select(F.col("key").alias("_key"), F.col("listed").alias(into))
-            return rows.join(named, F.col(key_col) == F.col("_key"), "left").drop("_key").fillna({into: False})
+        if self.cascades is None:
+            return self._sent(rows, key_col, into)
         sent, n = rows.sparkSession.sparkContext.broadcast(self.cascades), self.shards
 
         @F.pandas_udf("boolean")
@@ -168,6 +166,28 @@ class UrlFilter:
 
         return rows.withColumn(into, F.col(key_col).isNotNull() & member(*_hashes(F.col(key_col))))
 
+    def _sent(self, rows: DataFrame, key_col: str, into: str) -> DataFrame:
+        """mark() by sending rows to their shard's cascade, in groups of about group_rows."""
+        shard = F.pmod(F.xxhash64(key_col), F.lit(self.shards)).cast("int")
+        sizes = cut(rows.groupBy(shard.alias("shard")).agg(F.ceil(F.count("*") / self.group_rows).cast("int").alias("groups")))
+        # One row of two numbers for each shard.
+        dealt = (
+            rows.withColumn("_shard", shard).join(F.broadcast(sizes.select(F.col("shard").alias("_of"), "groups")), F.col("_shard") == F.col("_of"))
+            .withColumn("_group", F.pmod(F.monotonically_increasing_id(), F.col("groups")).cast("int")).drop("_of", "groups")
+            .withColumns({"_h1": F.xxhash64(key_col), "_h2": F.xxhash64(F.lit(1), key_col)})
+        )
+        copies = self.built.join(sizes, "shard").select(F.col("shard").alias("_shard"), "levels", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("_group"))
+
+        def judge(own: pa.Table, cascade: pa.Table) -> pa.Table:
+            h1, h2 = (own[c].to_numpy().view(np.uint64) for c in ("_h1", "_h2"))
+            found = listed_in(_unpack(cascade["levels"][0].as_py() if cascade.num_rows else b""), h1, h2)
+            return own.select(names).append_column(into, pa.array(found & own[key_col].is_valid().to_numpy(zero_copy_only=False)))
+
+        names = rows.columns
+        keys = ["_shard", "_group"]
+        schema = T.StructType([*rows.schema.fields, T.StructField(into, T.BooleanType())])
+        return dealt.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInArrow(judge, schema)
+
 
 def judge_urls(pages: DataFrame, blocked_hosts: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple = RULES, **limits: int) -> DataFrame:
     """One row per page: id, host, path, rule, listed, verdict.
