@@ -10,8 +10,8 @@ as long as it goes; of equal runs the first by (document, place) stays, and the
 lines of later ones go. A line, or two lines, of LONG_WORDS words or more are a
 run by themselves.
 
-Documents are told apart by id and text. Fingerprints are one hash, since a false
-match costs only work; runs, which decide, are two.
+Documents are told apart by id and a hash of the text. Fingerprints are one hash,
+since a false match costs only work; runs, which decide, are two.
 
 Fingerprints and runs are counted and joined by hash, with partial counts map
 side; a run that a third of all documents share makes one row an occurrence and
@@ -38,30 +38,29 @@ def _range(n: Column) -> Column:
 
 
 def _doc(id_col: str, text_col: str) -> Column:
-    """A document: its id, null after others, and two hashes of its text."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).alias("id"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b")).alias("doc")
+    """Tells texts of one id apart."""
+    return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
 
 
 def line_hashes(docs: DataFrame, id_col: str, text_col: str, long_words: int = LONG_WORDS) -> DataFrame:
-    """(doc, h, g, rows, long, pair): two hashes of each of a document's lines that are
-    not blank, their numbers among all lines, and the places where one line, or two, are long."""
-    lines = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x, i: F.struct(_line(x).alias("x"), i.alias("i")))
-    full = docs.select(_doc(id_col, text_col), F.filter(lines, lambda s: s["x"] != "").alias("lines"))
-    rows = full.select("doc", F.transform("lines", lambda s: F.struct(s["x"].alias("x"), s["i"].alias("i"), word_count(s["x"]).alias("n"))).alias("lines"))
+    """(id, doc, h, g, long, pair): two hashes of each of a document's lines that are not
+    blank, and the places where one line, or two, are long."""
+    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), _line), lambda x: x != "")
+    full = docs.select(F.col(id_col).alias("id"), _doc(id_col, text_col).alias("doc"), lines.alias("lines"))
+    rows = full.select("id", "doc", F.transform("lines", lambda x: F.struct(x.alias("x"), word_count(x).alias("n"))).alias("lines"))
     places = lambda n: F.filter(F.transform("lines", lambda s, i: F.when(n(s, i) >= long_words, i)), lambda i: i.isNotNull())
     return rows.select(
+        "id",
         "doc",
         F.transform("lines", lambda s: F.xxhash64(s["x"])).alias("h"),
         F.transform("lines", lambda s: F.xxhash64(F.lit(1), s["x"])).alias("g"),
-        F.transform("lines", lambda s: s["i"]).alias("rows"),
         places(lambda s, i: s["n"]).alias("long"),
         places(lambda s, i: s["n"] + F.get("lines", i + 1)["n"]).alias("pair"),
     )
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, run: int = RUN, gram: int = GRAM, long_words: int = LONG_WORDS) -> DataFrame:
-    """(doc, gone): for each document that loses lines, their numbers from 0, in order."""
+    """(id, doc, gone): for each document that loses lines, their numbers from 0, not counting blank ones, in order."""
     hashed = cut(line_hashes(docs, id_col, text_col, long_words))
     window = run - gram + 1
     grams = F.transform(_range(F.size("h") - (gram - 1)), lambda i: F.xxhash64(*[F.get("h", i + j) for j in range(gram)]))
@@ -73,20 +72,25 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     met = prints.join(again, "mark", "left_semi").groupBy("doc").agg(F.collect_set("at").alias("at"))
     # Runs around a match: a place is extended to every run that holds its gram.
     places = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(F.greatest(p - (run - gram), F.lit(0)), p))))
-    around = hashed.select("doc", "h", "g", "rows").join(met, "doc").select("doc", "h", "g", "rows", F.explode_outer(F.filter(places, lambda p: p + run <= F.size("h"))).alias("at"))
+    lines = ["id", "doc", "h", "g"]
+    around = hashed.select(lines).join(met, "doc").select(*lines, F.explode_outer(F.filter(places, lambda p: p + run <= F.size("h"))).alias("at"))
 
     def keyed(found: DataFrame, n: int) -> DataFrame:
         keys = [F.xxhash64(F.lit(n), *[F.get(c, F.col("at") + j) for j in range(n)]).alias(f"key_{c}") for c in ("h", "g")]
-        return found.where("at is not null").select("doc", *keys, F.slice("rows", F.col("at") + 1, n).alias("rows"), "at")
+        return found.where("at is not null").select("id", "doc", *keys, "at", F.lit(n).alias("n"))
 
-    alone = [keyed(hashed.select("doc", "h", "g", "rows", F.explode_outer(c).alias("at")), n) for c, n in (("long", 1), ("pair", 2))]
+    alone = [keyed(hashed.select(*lines, F.explode_outer(c).alias("at")), n) for c, n in (("long", 1), ("pair", 2))]
+    runs = cut(keyed(around, run).union(alone[0]).union(alone[1]))
     key = ["key_h", "key_g"]
-    runs = cut(keyed(around, run).union(alone[0]).union(alone[1]).dropDuplicates(["doc", *key, "at"]))
-    many = runs.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
-    shared = cut(runs.join(many, key, "left_semi").select(*key, "rows", F.struct("doc", "at").alias("place")))
-    first = cut(shared.groupBy(*key).agg(F.min("place").alias("first")))
-    later = shared.join(first, key).where(F.col("place") != F.col("first"))
-    return later.select("place.doc", F.explode_outer("rows").alias("line")).groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("gone"))
+    # Places by plain numbers, which need no sort; equal rows of docs have equal places.
+    ends = runs.groupBy(*key).agg(*[f(c).alias(f"{k}_{c}") for c in ("doc", "at") for k, f in (("lo", F.min), ("hi", F.max))])
+    many = ends.where("lo_doc < hi_doc or lo_at < hi_at").select(*key)
+    shared = cut(runs.join(many, key, "left_semi"))
+    place = F.struct(F.col("id").isNull().alias("z"), "id", "doc", "at")
+    first = cut(shared.groupBy(*key).agg(F.min(place).alias("first")))
+    later = shared.join(first, key).where(place != F.col("first"))
+    spread = later.select("id", "doc", F.explode_outer(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("line"))
+    return spread.groupBy("id", "doc").agg(F.array_sort(F.collect_set("line")).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, run: int = RUN, gram: int = GRAM, long_words: int = LONG_WORDS) -> DataFrame:
@@ -100,14 +104,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines. Rows of one id with different texts are documents of their own. A null id
     comes after others. An empty table gives no rows.
     """
-    gone = repeated_lines(docs, id_col, text_col, run=run, gram=gram, long_words=long_words).withColumnRenamed("doc", "_doc")
-    rows = docs.select(_doc(id_col, text_col), F.col(text_col).alias("text")).join(gone, F.col("doc") == F.col("_doc"), "left")
-    lines = rows.select("doc", "text", "gone", F.split("text", "\n").alias("raw"))
-    stay = F.transform(F.array_except(_range(F.size("raw")), F.col("gone")), lambda i: F.get("raw", i))
-    full = F.filter("raw", lambda x: _line(x) != "")
+    gone = repeated_lines(docs, id_col, text_col, run=run, gram=gram, long_words=long_words).select(F.col("id").alias("_id"), F.col("doc").alias("_doc"), "gone")
+    rows = docs.select(F.col(id_col).alias("id"), _doc(id_col, text_col).alias("doc"), F.col(text_col).alias("text"))
+    rows = rows.join(gone, (F.col("doc") == F.col("_doc")) & F.col("id").eqNullSafe(F.col("_id")), "left")
+    raw = rows.select("id", "text", "gone", F.split("text", "\n").alias("raw"))
+    full = F.filter(F.transform("raw", lambda x, i: F.when(_line(x) != "", i)), lambda i: i.isNotNull())
+    lines = raw.select("id", "text", "gone", "raw", full.alias("full"))
+    stay = F.array_except(_range(F.size("raw")), F.transform("gone", lambda i: F.get("full", i)))
     return lines.select(
-        F.col("doc.id").alias(id_col),
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n")).alias(text_col),
-        F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(full)).cast("long").alias("n_lines"),
+        F.col("id").alias(id_col),
+        F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("raw", i)), "\n")).alias(text_col),
+        F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("full")).cast("long").alias("n_lines"),
         F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long").alias("n_removed"),
     )
