@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from weft.llm.langid import codewords, fit, identify, predict
-from weft.llm.lmtrie import EliasFano, Trie, score_corpus, word_hashes
+from weft.llm.lmtrie import BITS, BITS3, EliasFano, LanguageModel, Trie, _blobs, _stretches, _unblob, score_corpus, word_hashes
 from weft.llm.mixing import mix
 from weft.llm.bytes_ import passage_rows
 from weft.llm.quality import AttentionModel, classify, score
@@ -187,22 +187,36 @@ def test_elias_fano():
 
 
 def test_trie_round_trip():
+    """Blobs of stretches add up to the counts of all n-grams; the trie gives them back."""
+    from weft.llm.lmtrie import END
+
     rng = np.random.default_rng(6)
-    words = np.unique(rng.integers(0, 1 << 61, 200, dtype=np.uint64))
-    context, successor = rng.choice(words, 5000), rng.choice(words[:20], 5000) & np.uint64((1 << 40) - 1)
-    total, pairs = Counter(context.tolist()), Counter(zip(context.tolist(), successor.tolist(), strict=True))
-    counts = np.array([total[w] for w in words.tolist()])
-    for first in (True, False):
-        t = Trie.load(Trie.build(words, counts, context, successor, np.ones(5000, np.int64), 3, first, 0.75, 2).pack())
-        place = t.place_of(words)
-        if first:
-            assert t.counts(place).tolist() == counts.tolist()
-        for w, p in zip(words.tolist(), place, strict=True):
-            taken = {s: t.taken(np.array([p]), np.array([s], np.uint64))[0] for (v, s), _ in pairs.items() if v == w}
-            for s, got in taken.items():
-                want = pairs[w, s] - 0.75 if pairs[w, s] >= 2 else 0
-                assert got <= want + 1e-12 and got >= 0.999 * want
-            assert abs(sum(taken.values()) - t.mass(np.array([p]))[0]) < 1e-9
+    words = np.append(rng.integers(0, 1 << 64, 40, dtype=np.uint64), END)
+    tok = np.append(words[np.minimum(rng.geometric(0.12, 5000), len(words)) - 1], END)
+    seq = [END, END, *tok.tolist()]
+    pairs = Counter(zip(seq[1:], seq[2:], strict=False))
+    thirds = Counter(t for t in zip(seq, seq[1:], seq[2:], strict=False) if t[1] != END)
+    shards: dict = {}
+    for stretch in _stretches(tok, 700):
+        for k, blob in _blobs(stretch, 2):
+            shards.setdefault(k, []).append(_unblob(blob))
+    tries = {k: Trie.load(Trie.build(*map(np.concatenate, zip(*v, strict=True)), 2, k % 8 == 0, 0.75).pack()) for k, v in shards.items()}
+    total, low = Counter(seq[2:]), lambda w, bits: np.array([w & (1 << bits) - 1], np.uint64)
+    assert sum(t.successors.n for t in tries.values()) == len(pairs) and sum(t.thirds.n for t in tries.values()) == len(thirds)
+    for w in total:
+        t = tries[(w >> 62) * 8]
+        assert t.counts(t.place_of(np.array([w], np.uint64)))[0] == total[w]
+    for (u, v), n in pairs.items():
+        t = tries[(u >> 62) * 8 + (v >> 61)]
+        at = t.second(t.place_of(np.array([u], np.uint64)), low(v, BITS))
+        assert at[0] >= 0 and 0.999 * (n - 0.75) <= t.taken(at)[0] <= n - 0.75 + 1e-9
+        begin, end = t.pointers3.at(at), t.pointers3.at(at + 1)
+        own = {w: c for (a, b, w), c in thirds.items() if (a, b) == (u, v)}
+        got = {w: t.third(begin, end, low(w, BITS3))[0] if end > begin else 0 for w in own}
+        assert len(own) == int(end[0] - begin[0]) and all(0 < got[w] <= (c - 0.75) / sum(own.values()) + 1e-9 for w, c in own.items())
+        assert -1e-9 <= 1 - sum(got.values()) - t.left(at)[0] < 2e-5
+        if end > begin:
+            assert not t.third(begin, end, low(123456789, BITS3))[0]
 
 
 def test_word_hashes_tell_words_apart():
@@ -219,21 +233,62 @@ def test_lm_scores(spark):
     train = [lower(t) for i, t, _ in rows if zlib.crc32(str(i).encode()) % 7 != 2]
     count = Counter(w for t in train for w in t)
     pairs = Counter(p for t in train for p in zip([b" ", *t[:-1]], t, strict=True))
+    thirds = Counter(p for t in train for p in zip([b" ", *t[:-2]], t[:-1], t[1:], strict=False))
     n, v = sum(count.values()), len(count)
-    kept = Counter()
-    for (a, _), c in pairs.items():
-        kept[a] += (c - 0.75) / count[a] if c >= 2 else 0
+    kinds, kinds3, context = Counter(a for a, _ in pairs), Counter((a, b) for a, b, _ in thirds), Counter()
+    for (a, b, _), c in thirds.items():
+        context[a, b] += c
     want = []
+
+    def p2(a, b):
+        return max(pairs[a, b] - 0.75, 0) / max(count[a], 1) + (0.75 * kinds[a] / count[a] if count[a] else 1) * (count[b] + 1) / (n + v + 1)
+
+    def p3(a, b, c):
+        if b == b" " or not context[a, b]:
+            return p2(b, c)
+        return max(thirds[a, b, c] - 0.75, 0) / context[a, b] + 0.75 * kinds3[a, b] / context[a, b] * p2(b, c)
+
     for i, t, _ in rows:
         w = lower(t)
         base = sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w)
-        p = [((pairs[a, b] - 0.75) / count[a] if pairs[a, b] >= 2 else 0) + (1 - kept[a]) * (count[b] + 1) / (n + v + 1) for a, b in zip([b" ", *w[:-1]], w, strict=True)]
+        p = [p3(*x) for x in zip([b" ", b" ", *w[:-2]], [b" ", *w[:-1]], w, strict=False)]
         want.append((i, len(w), sum(count[x] > 0 for x in w), base, sum(map(math.log10, p))))
     assert len(got) == len(want) and all(r.train_tokens == n for r in got)
     for r, x in zip(sorted(got, key=lambda r: (r.doc_id, r.n_tokens)), sorted(want), strict=True):
         assert (r.doc_id, r.n_tokens, r.n_known) == x[:3]
         assert r.base_score == pytest.approx(x[3], rel=1e-9) and abs(r.score - x[4]) <= 0.01 * r.n_tokens
     assert score_corpus(docs(spark, [])).count() == 0
+    untrained = score_corpus(docs(spark, [(i, "a b", "aa") for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2])).collect()
+    assert untrained and all(r.train_tokens == r.n_known == 0 and r.score == r.base_score for r in untrained)
+
+
+def test_lm_files_are_checked(spark):
+    """A model whose files were moved or cut gives an error, no scores."""
+    import os
+
+    frame = docs(spark, corpus(50, 9))
+    for harm in (lambda f: os.rename(f, f + ".old"), lambda f: os.truncate(f, os.path.getsize(f) - 8)):
+        model = LanguageModel(frame)
+        assert model.score(frame).count() == 50 and model.folder
+        for name in os.listdir(model.folder):
+            if name.endswith(".trie"):
+                harm(f"{model.folder}/{name}")
+        with pytest.raises(Exception, match=r"No such file|instead of"):
+            model.score(frame).collect()
+
+
+def test_lm_in_a_store(spark, monkeypatch):
+    """Without a common folder of files, executors fetch the levels from a table."""
+    import weft.llm.lmtrie as m
+
+    frame = docs(spark, corpus(40, 9))
+    want = sorted(map(tuple, LanguageModel(frame).score(frame).collect()))
+    real = m.qualified
+    monkeypatch.setattr(m, "qualified", lambda s, f: "store:" + real(s, f))
+    monkeypatch.setattr(type(frame.write), "parquet", lambda self, path, _p=type(frame.write).parquet: _p(self, path.removeprefix("store:")))
+    monkeypatch.setattr(type(spark.read), "parquet", lambda self, path, _p=type(spark.read).parquet: _p(self, path.removeprefix("store:")))
+    model = LanguageModel(frame)
+    assert model.folder is None and sorted(map(tuple, model.score(frame).collect())) == want
 
 
 def mix_rows(n, seed=3):

@@ -25,6 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme of its file system, the default one where it names none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there."""
     shared_dir(df.sparkSession)

@@ -1,30 +1,45 @@
-"""LM scoring with Elias-Fano n-gram tries.
+"""LM scoring with Elias-Fano n-gram tries of order 3.
 
-Training counts every bigram of all training texts. Tasks count runs of about
-FLUSH tokens in numpy and send each shard its share of the counts; a shard's
-task adds them up and writes its trie: one file of levels, which scorers map into
-memory. Nothing passes the driver but one row of totals. A shard is a range of
-context hashes and one of SPLIT ranges of successor hashes, so that the bigrams of
-a word that a large part of all tokens follow are dealt over SPLIT tasks. The
-first of a range's shards has all its words with their counts.
+Training counts every bigram and trigram of all training texts; nothing is pruned.
+Tasks count runs of about FLUSH tokens in numpy and send each shard its share of the
+counts; a shard's task adds them up and writes its trie, one file of levels, to the
+shared folder. The driver gets one row of numbers for each shard. A shard is a range
+of hashes of an n-gram's first word and one of SPLIT ranges of hashes of its
+second, so that the bigrams of a word that a large part of all tokens follow are
+dealt over SPLIT tasks. The first of a range's shards has all its words with their
+counts.
 
 A shard's levels are
-  words      Elias-Fano sequence of the contexts' hashes, with exact counts and the
+  words      Elias-Fano sequence of first words' hashes, with exact counts and the
              sum of what their successors here take;
   pointers   Elias-Fano sequence of where each word's successors begin;
-  successors Elias-Fano sequence of successors, numbered relative to their context:
-             a context with successors b to e has the numbers from b * 2^32 to
-             e * 2^32, over which 40 bits of a successor's hash are scaled, so that
+  successors Elias-Fano sequence of second words, numbered relative to their context:
+             a context with successors b to e has the numbers from b * 2^R to
+             e * 2^R, over which the bits of a successor's hash are scaled, so that
              numbers are even whether a context has one successor or a million;
-             each has two bytes of quantised probability.
-A bigram is found by the context's place among the words, the two pointers there
-and one search for the successor's number.
-
-p(w | v) = share(v, w) + left(v) p(w): share is the count less DISCOUNT, rounded
-down in steps of its logarithm, over v's count, for bigrams seen MIN_COUNT times;
-left is what the shares leave; p(w) = (c(w) + 1) / (N + V + 1). So every context's
-probabilities add up to one, the unknown word included. A text's first word has
-the end of a text as context.
+             each has two bytes of quantised probability and two of what its
+             own successors leave;
+  pointers3  Elias-Fano sequence of where each bigram's successors begin;
+  thirds     third words, numbered likewise, each with one byte of quantised
+             probability.
+A trigram is found by the first word's place, the two pointers there, one search for
+the second word's number, the two pointers there and one search for the third's.
+
+p(w | v) = share(v, w) + left(v) p(w) and p(w | u, v) = share(u, v, w) + left(u, v)
+p(w | v): share is the count less DISCOUNT over the context's count, rounded down to a
+quantised value; left is what the shares leave; p(w) = (c(w) + 1) / (N + V + 1). So
+every context's probabilities add up to one, the unknown word included, less at most
+2^-16 where left is rounded down. A text's first word has the end of a text as
+context, and no trigram.
+
+Words are told apart by 64-bit hashes (two of V words agree with a probability of
+V^2 / 2^65), second words after a context by 40 bits of them and third words by 32.
+An n-gram that did not occur is taken for one that did with a probability of about
+2^-R for each search, R being 24 for bigrams and 20 for trigrams.
+
+Scorers take a batch of about STEP tokens at a time, sort its n-grams, and map the
+shards that have some of them one after the other, so that no more than one file is
+open. A shard whose file is missing or has another size is an error.
 """
 
 from __future__ import annotations
@@ -34,7 +49,7 @@ import mmap
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,13 +57,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.bytes_ import PIECE, SPACES, flat, pieces
-from weft.llm.common import crc_of, cut, shared_dir
+from weft.llm.common import crc_of, cut, qualified, shared_dir
 
 DISCOUNT = 0.75
-MIN_COUNT = 2
 FLUSH = 2_000_000
-SHARD_BYTES = 6 << 20
-BITS = 40
+STEP = 1 << 20
+SHARD_BYTES = 24 << 20
+#: Bits of a successor's hash, and of its number relative to its context (R), for second and third words.
+BITS, BITS3 = 40, 32
+R, R3 = 24, 20
 SPLIT_BITS = 3
 SPLIT = 1 << SPLIT_BITS
 END = np.uint64(0x9E3779B97F4A7C15)
@@ -110,6 +127,63 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.insert(h, np.cumsum(n), END), n + 1
 
 
+def _sorted(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, sorted keys) of unsigned keys below 2^bits."""
+    own = len(key).bit_length()
+    if bits + own > 64:
+        order = np.argsort(key, kind="stable")
+        return order, key[order]
+    # Key and place in one number, which sorts faster than places by key.
+    s = np.sort((key << _U(own)) | np.arange(len(key), dtype=np.uint64))
+    return (s & _U((1 << own) - 1)).astype(np.int64), s >> _U(own)
+
+
+def _distinct(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys in order, place of each key among them, counts)."""
+    if not len(key):
+        return key, np.empty(0, np.int64), np.empty(0, np.int64)
+    order, s = _sorted(key, bits)
+    new = np.append(True, s[1:] != s[:-1])
+    inverse = np.empty(len(key), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    at = np.flatnonzero(new)
+    return s[at], inverse, np.diff(np.append(at, len(key)))
+
+
+def _distinct_hashes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct hashes in order, place of each hash among them)."""
+    own = _U(len(h).bit_length())
+    order = (np.sort(((h >> own) << own) | np.arange(len(h), dtype=np.uint64)) & _U((1 << int(own)) - 1)).astype(np.int64)
+    s = h[order]
+    if (s[1:] < s[:-1]).any():
+        return np.unique(h, return_inverse=True)
+    new = np.append(True, s[1:] != s[:-1])
+    inverse = np.empty(len(h), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return s[new], inverse
+
+
+class Grams:
+    """The n-grams of a stretch of tokens that two tokens go before.
+
+    words are distinct hashes; pairs are distinct bigrams a * len(words) + b, and pair
+    has each token's, that of the token before the stretch first; thirds are distinct
+    trigrams pair * len(words) + word, for `tri`, the tokens that do not begin a text.
+    """
+
+    def __init__(self, seq: np.ndarray):
+        self.words, self.of = _distinct_hashes(seq)
+        w = _U(len(self.words))
+        of = self.of.astype(np.uint64)
+        bits = 2 * len(self.words).bit_length()
+        pairs, self.pair, self.n_pair = _distinct(of[:-1] * w + of[1:], bits)
+        self.a, self.b = (pairs // w).astype(np.int64), (pairs % w).astype(np.int64)
+        self.tri = np.flatnonzero(seq[1:-1] != END)
+        bits = len(pairs).bit_length() + len(self.words).bit_length()
+        thirds, self.third, self.n_third = _distinct(self.pair[:-1][self.tri].astype(np.uint64) * w + of[2:][self.tri], bits)
+        self.context, self.c = (thirds // w).astype(np.int64), (thirds % w).astype(np.int64)
+
+
 class EliasFano:
     """A monotone sequence of numbers: low bits packed, high bits in unary."""
 
@@ -198,9 +272,29 @@ def _value(codes: np.ndarray, least: float) -> np.ndarray:
     return 10.0 ** (least * (1 - codes / np.iinfo(codes.dtype).max))
 
 
-def _relative(begin: np.ndarray, end: np.ndarray, successor: np.ndarray) -> np.ndarray:
-    """Numbers of successors of contexts whose successors have places begin to end, fewer than 2^24."""
-    return (begin << _U(32)) + ((successor * (end - begin)) >> _U(BITS - 32))
+def _relative(begin: np.ndarray, end: np.ndarray, successor: np.ndarray, bits: int, r: int, cut_off: int) -> np.ndarray:
+    """Numbers of successors, hashes of `bits` bits, of contexts whose successors have places begin to end.
+
+    cut_off low bits of the hashes are left out, so that products stay within 64 bits.
+    """
+    return (begin << _U(r)) + (((successor >> _U(cut_off)) * (end - begin)) >> _U(bits - cut_off - r))
+
+
+def _cut_off(most: int, bits: int) -> int:
+    return max(0, most.bit_length() + bits - 64)
+
+
+def _book(share: np.ndarray, common: int = 191, steps: int = 64) -> np.ndarray:
+    """At most 256 values that stand for shares: the most frequent ones, and even steps of the logarithm."""
+    s = np.sort(share)
+    at = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.empty(0, np.int64)
+    if len(at) <= 1 + common + steps:
+        return s[at]
+    often = np.argsort(-np.diff(np.append(at, len(s))), kind="stable")[:common]
+    return np.unique(np.concatenate((s[:1], s[at[often]], np.geomspace(s[0], s[-1], steps))))
+
+
+_LEVELS = ("words", "pointers", "successors", "pointers3", "thirds")
 
 
 class Trie:
@@ -208,44 +302,66 @@ class Trie:
 
     def __init__(self, meta: dict, arrays: dict[str, np.ndarray]):
         self.meta, self.arrays = meta, arrays
-        self.words, self.pointers, self.successors = (
-            EliasFano(*meta[k], *(arrays[f"{k}.{part}"] for part in ("high", "zeros", "lows"))) for k in ("words", "pointers", "successors")
+        self.words, self.pointers, self.successors, self.pointers3, self.thirds = (
+            EliasFano(*meta[k], *(arrays[f"{k}.{part}"] for part in ("high", "zeros", "lows"))) for k in _LEVELS
         )
 
     @classmethod
-    def build(cls, words: np.ndarray, total: np.ndarray, context: np.ndarray, successor: np.ndarray, count: np.ndarray, shard_bits: int, first: bool, discount: float, min_count: int) -> Trie:
-        """From words and their counts, and bigrams and theirs; both may repeat and are added up.
+    def build(cls, words: np.ndarray, total: np.ndarray, runs: np.ndarray, successor: np.ndarray, count: np.ndarray, runs3: np.ndarray, third: np.ndarray, count3: np.ndarray, shard_bits: int, first: bool, discount: float) -> Trie:
+        """From words and their counts, each word's number of bigrams, their second words
+        and counts, each bigram's number of trigrams, their third words and counts.
 
-        The first shard of a range keeps all words, the others those with successors.
+        Words, bigrams and trigrams may repeat and are added up. The first shard of a
+        range keeps all words, the others those with successors.
         """
         words, own = np.unique(words, return_inverse=True)
         total = np.bincount(own, total, len(words)).astype(np.int64)
-        order = np.lexsort((successor, context))
-        context, successor, count = context[order], successor[order], count[order]
-        new = np.append(True, (context[1:] != context[:-1]) | (successor[1:] != successor[:-1])) if len(order) else np.empty(0, bool)
+        node = np.repeat(own, runs)
+        if len(words) >> (64 - BITS):
+            order = np.lexsort((successor, node))
+        else:
+            order = np.argsort((node.astype(np.uint64) << _U(BITS)) | successor)
+        node, successor, count = node[order], successor[order], count[order]
+        new = np.append(True, (node[1:] != node[:-1]) | (successor[1:] != successor[:-1])) if len(order) else np.empty(0, bool)
+        of = np.empty(len(order), np.int64)
+        of[order] = np.cumsum(new) - 1
         at = np.flatnonzero(new)
-        context, successor, count = context[at], successor[at], np.add.reduceat(count, at) if len(at) else count
-        kept = count >= min_count
-        context, successor, taken = context[kept], successor[kept], count[kept] - discount
+        node, successor, count = node[at], successor[at], np.add.reduceat(count, at) if len(at) else count
         if not first:
-            words, total = np.unique(context), np.empty(0, np.int64)
-        node = np.searchsorted(words, context)
+            used, node = np.unique(node, return_inverse=True)
+            words, total = words[used], np.empty(0, np.int64)
+        key = (np.repeat(of, runs3).astype(np.uint64) << _U(BITS3)) | third
+        order = np.argsort(key)
+        key = key[order]
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+        count3 = np.add.reduceat(count3[order], at) if len(at) else count3
+        context, third = (key[at] >> _U(BITS3)).astype(np.int64), key[at] & _U((1 << BITS3) - 1)
+
+        taken = count - discount
         most = float(taken.max()) if len(taken) else 1.0
         codes, least = _quantised(taken / most, np.uint16)
+        share = (count3 - discount) / np.bincount(context, count3, len(node))[context]
+        book = _book(share)
+        codes3 = np.maximum(np.searchsorted(book, share, "right") - 1, 0).astype(np.uint8)
+        left = 1 - np.bincount(context, book[codes3] if len(book) else share, len(node))
         begin = np.searchsorted(node, np.arange(len(words) + 1)).astype(np.uint64)
+        begin3 = np.searchsorted(context, np.arange(len(node) + 1)).astype(np.uint64)
+        offs = [_cut_off(int(np.diff(x).max()) if len(x) > 1 else 0, n) for x, n in ((begin, BITS), (begin3, BITS3))]
         levels = {
             "words": EliasFano.build(words & _U((1 << (64 - shard_bits)) - 1), 1 << (64 - shard_bits)),
             "pointers": EliasFano.build(begin, len(node) + 1),
-            "successors": EliasFano.build(_relative(begin[node], begin[node + 1], successor), max(1, len(node)) << 32),
+            "successors": EliasFano.build(_relative(begin[node], begin[node + 1], successor, BITS, R, offs[0]), max(1, len(node)) << R),
+            "pointers3": EliasFano.build(begin3, len(context) + 1),
+            "thirds": EliasFano.build(_relative(begin3[context], begin3[context + 1], third, BITS3, R3, offs[1]), max(1, len(context)) << R3),
         }
-        meta = {k: [e.n, e.low] for k, e in levels.items()} | {"least": least, "most": most, "shard_bits": shard_bits, "first": first}
+        meta = {k: [e.n, e.low] for k, e in levels.items()} | {"least": least, "most": most, "shard_bits": shard_bits, "cut_off": offs}
         arrays = {f"{k}.{part}": getattr(e, part) for k, e in levels.items() for part in ("high", "zeros", "lows")}
         small = total.astype(np.uint32) if not len(total) or total.max() < 1 << 32 else total.astype(np.uint64)
-        return cls(meta, arrays | {"count": small, "taken": codes, "mass": np.bincount(node, most * _value(codes, least), len(words)).astype(np.float64)})
+        more = {"count": small, "taken": codes, "mass": np.bincount(node, most * _value(codes, least), len(words)).astype(np.float64)}
+        return cls(meta, arrays | more | {"left": np.floor(left.clip(0, 1) * 65535 + 1e-6).astype(np.uint16), "share": codes3, "book": book})
 
     def pack(self) -> bytes:
-        place, body = {}, b""
-        parts, at = [], 0
+        place, parts, at = {}, [], 0
         for k, a in self.arrays.items():
             body = a.tobytes()
             place[k] = [a.dtype.str, len(a), at]
@@ -272,87 +388,130 @@ class Trie:
         """What a context's successors here take, in counts."""
         return np.where(place >= 0, self.arrays["mass"][np.maximum(place, 0)], 0.0) if self.words.n else np.zeros(len(place))
 
-    def taken(self, place: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        """Discounted counts of bigrams given by their context's place; 0 for those that are not kept."""
-        out = np.zeros(len(place))
+    def second(self, place: np.ndarray, successor: np.ndarray) -> np.ndarray:
+        """Places of bigrams given by their first word's place; -1 for those that are not there."""
+        out = np.full(len(place), -1, np.int64)
         ok = np.flatnonzero(place >= 0)
         if not len(ok) or not self.successors.n:
             return out
         begin, end = self.pointers.at(place[ok]), self.pointers.at(place[ok] + 1)
         ok, begin, end = ok[end > begin], begin[end > begin], end[end > begin]
-        i = self.successors.place_of(_relative(begin, end, successor[ok]))
+        i = self.successors.place_of(_relative(begin, end, successor[ok], BITS, R, self.meta["cut_off"][0]))
         hit = (i >= begin.astype(np.int64)) & (i < end.astype(np.int64))
-        out[ok[hit]] = self.meta["most"] * _value(self.arrays["taken"][i[hit]], self.meta["least"])
+        out[ok[hit]] = i[hit]
         return out
 
+    def taken(self, bigram: np.ndarray) -> np.ndarray:
+        """Discounted counts of bigrams by place."""
+        return self.meta["most"] * _value(self.arrays["taken"][bigram], self.meta["least"])
+
+    def left(self, bigram: np.ndarray) -> np.ndarray:
+        """What the successors of bigrams leave."""
+        return self.arrays["left"][bigram] / 65535
+
+    def third(self, begin: np.ndarray, end: np.ndarray, successor: np.ndarray) -> np.ndarray:
+        """Shares of trigrams whose bigram's successors have places begin to end; 0 for those that are not there."""
+        out = np.zeros(len(begin))
+        i = self.thirds.place_of(_relative(begin, end, successor, BITS3, R3, self.meta["cut_off"][1]))
+        hit = np.flatnonzero((i >= begin.astype(np.int64)) & (i < end.astype(np.int64)))
+        out[hit] = self.arrays["book"][self.arrays["share"][i[hit]]]
+        return out
+
+
+def _packed(x: np.ndarray) -> tuple[int, bytes]:
+    """Counts in the fewest bytes, and how many."""
+    size = 1 if not len(x) or x.max() < 1 << 8 else 2 if x.max() < 1 << 16 else 4
+    return size, x.astype(f"u{size}").tobytes()
+
 
-def _blobs(tok: np.ndarray, shard_bits: int) -> Iterator[tuple[int, bytes]]:
-    """(shard, counts) of the bigrams in a run of whole texts' tokens."""
-    words, inverse = np.unique(tok, return_inverse=True)
-    end = int(np.searchsorted(words, END))
-    before = np.append(end, inverse[:-1])
-    pairs, count = np.unique(before * len(words) + inverse, return_counts=True)
-    node, successor = pairs // len(words), words[pairs % len(words)]
-    total = np.bincount(node, count, len(words)).astype(np.uint32)
+def _blobs(seq: np.ndarray, shard_bits: int) -> Iterator[tuple[int, bytes]]:
+    """(shard, counts) of the n-grams of a stretch of tokens that two tokens go before."""
+    g = Grams(seq)
+    words = g.words
+    count = g.n_pair.copy()
+    count[g.pair[0]] -= 1
+    runs3 = np.bincount(g.context, minlength=len(count))
+    total = np.bincount(g.a, count, len(words)).astype(np.uint32)
+    second, third = (words[x].view(np.uint8).reshape(-1, 8)[:, : n // 8] for x, n in ((g.b, BITS), (g.c, BITS3)))
     edges = np.append(np.searchsorted(words >> _U(64 - shard_bits), np.arange(1 << shard_bits, dtype=np.uint64)), len(words))
+    side = (words >> _U(64 - SPLIT_BITS)).astype(np.int8)[g.b]
+    there = (count > 0) | (runs3 > 0)
     for j in range(SPLIT):
-        own = successor >> _U(64 - SPLIT_BITS) == _U(j)
-        n, c, low = node[own], count[own].astype(np.uint32), successor[own].view(np.uint8).reshape(-1, 8)[:, : BITS // 8]
-        first = np.searchsorted(n, np.arange(len(words) + 1))
+        own = np.flatnonzero(there & (side == j))
+        n, c, low, r3 = g.a[own], count[own], second[own], runs3[own]
+        own3 = np.flatnonzero((side == j)[g.context])
+        c3, low3 = g.n_third[own3], third[own3]
+        first, first3 = np.searchsorted(n, np.arange(len(words) + 1)), np.append(0, np.cumsum(r3))
         for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
-            runs = np.diff(first[a : b + 1]).astype(np.uint32)
+            runs = np.diff(first[a : b + 1])
             here = np.full(b - a, j == 0) | (runs > 0)
             if here.any():
                 lo, hi = first[a], first[b]
-                head = np.array([here.sum(), hi - lo], np.int64)
-                counts = total[a:b][here] if j == 0 else np.zeros(here.sum(), np.uint32)
-                yield i * SPLIT + j, b"".join(x.tobytes() for x in (head, words[a:b][here], counts, runs[here], c[lo:hi], low[lo:hi]))
+                lo3, hi3 = first3[lo], first3[hi]
+                counts = total[a:b][here] if j == 0 else np.empty(0, np.uint32)
+                sized = [_packed(x) for x in (counts, runs[here], c[lo:hi], r3[lo:hi], c3[lo3:hi3])]
+                head = np.array([here.sum(), len(counts), hi - lo, hi3 - lo3, *[k for k, _ in sized]], np.int64)
+                yield i * SPLIT + j, b"".join((head.tobytes(), words[a:b][here].tobytes(), *[x for _, x in sized], low[lo:hi].tobytes(), low3[lo3:hi3].tobytes()))
 
 
 def _unblob(data: bytes) -> tuple[np.ndarray, ...]:
-    """Words and their counts, and contexts, successors and counts of bigrams."""
-    n, m = np.frombuffer(data, np.int64, 2)
-    at = 16
-    words = np.frombuffer(data, np.uint64, n, at)
-    total, runs = (np.frombuffer(data, np.uint32, n, at + (8 + 4 * k) * n) for k in (0, 1))
-    count = np.frombuffer(data, np.uint32, m, at + 16 * n).astype(np.int64)
-    low = np.zeros((m, 8), np.uint8)
-    low[:, : BITS // 8] = np.frombuffer(data, np.uint8, m * (BITS // 8), at + 16 * n + 4 * m).reshape(m, -1)
-    return words, total, np.repeat(words, runs), low.view(np.uint64).ravel(), count
+    """Words, their counts and numbers of bigrams; bigrams' second words, counts and numbers of trigrams; third words and counts."""
+    n, m0, m, m3, *sizes = np.frombuffer(data, np.int64, 9).tolist()
+    words = np.frombuffer(data, np.uint64, n, 72)
+    at, parts = 72 + 8 * n, []
+    for k, size in zip((m0, n, m, m, m3), sizes, strict=True):
+        parts.append(np.frombuffer(data, f"u{size}", k, at).astype(np.int64))
+        at += k * size
+    hashes = []
+    for k, bits in ((m, BITS), (m3, BITS3)):
+        low = np.zeros((k, 8), np.uint8)
+        low[:, : bits // 8] = np.frombuffer(data, np.uint8, k * (bits // 8), at).reshape(k, -1)
+        hashes.append(low.view(np.uint64).ravel())
+        at += k * (bits // 8)
+    total, runs, count, runs3, count3 = parts
+    return words, total if m0 else np.zeros(n, np.int64), runs, hashes[0], count, runs3, hashes[1], count3
+
+
+def _stretches(tok: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """Whole texts' tokens in stretches of about `size`, each with the two tokens before it."""
+    seq = np.concatenate(([END, END], tok))
+    n = max(1, len(tok) // size)
+    for k in range(n):
+        yield seq[len(tok) * k // n : len(tok) * (k + 1) // n + 2]
 
 
 class LanguageModel:
     """A trained model: its totals and where its shards' files are."""
 
-    def __init__(self, docs: DataFrame, text_col: str = "text", *, discount: float = DISCOUNT, min_count: int = MIN_COUNT, shard_bytes: int = SHARD_BYTES):
+    def __init__(self, docs: DataFrame, text_col: str = "text", *, discount: float = DISCOUNT, shard_bytes: int = SHARD_BYTES, flush: int = FLUSH):
         spark = docs.sparkSession
         size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
         # Ranges of contexts; SPLIT shards of about shard_bytes each.
         self.shard_bits = bits = max(1, int(-(-size // (shard_bytes * SPLIT))).bit_length())
-        folder = shared_dir(spark).rstrip("/") + f"/lm-{uuid.uuid4().hex}"
-        scheme, _, path = folder.rpartition("://")
-        self.folder = path if scheme in ("", "file") else None
-        if self.folder is None and folder.startswith("file:"):
-            self.folder = folder[5:]
-        local = self.folder
+        folder = qualified(spark, shared_dir(spark).rstrip("/") + f"/lm-{uuid.uuid4().hex}")
+        # A folder of files that every machine mounts, or a store that only Spark reads.
+        self.folder = local = folder[5:] if folder.startswith("file:") else None
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, n = [], 0
 
-            def flush() -> pa.RecordBatch:
-                ks, blobs = zip(*_blobs(np.concatenate(held), bits), strict=True)
-                return pa.RecordBatch.from_arrays([pa.array(ks, pa.int32()), pa.array(blobs, pa.binary())], ["shard", "counts"])
+            def flushed() -> Iterator[pa.RecordBatch]:
+                tok = np.concatenate(held)
+                held.clear()
+                for seq in _stretches(tok, flush):
+                    ks, blobs = zip(*_blobs(seq, bits), strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int32()), pa.array(blobs, pa.binary())], ["shard", "counts"])
 
             for b in batches:
                 data, offsets = flat(b.column(0))
                 for lo, hi in pieces(offsets):
                     held.append(tokens(data, offsets[lo : hi + 1])[0])
                     n += len(held[-1])
-                    if n >= FLUSH:
-                        yield flush()
-                        held, n = [], 0
+                    if n >= flush:
+                        yield from flushed()
+                        n = 0
             if held:
-                yield flush()
+                yield from flushed()
 
         def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: dict[int, list] = {}
@@ -367,7 +526,7 @@ class LanguageModel:
         def written(k: int, parts: list) -> pa.RecordBatch:
             joined = [np.concatenate(x) for x in zip(*parts, strict=True)]
             parts.clear()
-            trie = Trie.build(*joined, bits, k % SPLIT == 0, discount, min_count)
+            trie = Trie.build(*joined, bits, k % SPLIT == 0, discount)
             packed = trie.pack()
             if local is not None:
                 os.makedirs(local, exist_ok=True)
@@ -377,16 +536,17 @@ class LanguageModel:
                     f.write(packed)
                 os.replace(own, f"{local}/{k}.trie")
             c = trie.arrays["count"]
-            row = [[k], [int(c.sum())], [len(c)], [trie.successors.n], [len(packed)], [None if local is not None else packed]]
-            kinds = [pa.int32(), *[pa.int64()] * 4, pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], ["shard", "n", "words", "bigrams", "bytes", "levels"])
+            row = [[k], [int(c.sum())], [len(c)], [trie.successors.n], [trie.thirds.n], [len(packed)], [None if local is not None else packed]]
+            kinds = [pa.int32(), *[pa.int64()] * 5, pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], names)
 
+        names = ["shard", "n", "words", "bigrams", "trigrams", "bytes", "levels"]
         counts = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(count, "shard int, counts binary")
         dealt = counts.repartition(SPLIT << bits, "shard").sortWithinPartitions("shard")
-        built = dealt.mapInArrow(build, "shard int, n long, words long, bigrams long, bytes long, levels binary")
+        built = dealt.mapInArrow(build, "shard int, n long, words long, bigrams long, trigrams long, bytes long, levels binary")
         self.files: list[str] = []
         if local is None:
-            # A store that only Spark reads: executors fetch the table's files and map their copies.
+            # Executors fetch the table's files, and so need room for the whole model.
             built.write.parquet(folder)
             built = spark.read.parquet(folder)
             for f in built.inputFiles():
@@ -394,62 +554,80 @@ class LanguageModel:
                 self.files.append(f.rpartition("/")[2])
         else:
             built = cut(built)
-        row = built.agg(F.sum("n"), F.sum("words"), F.sum("bigrams"), F.sum("bytes")).first()
-        self.n, self.v, self.bigrams, self.bytes = (x or 0 for x in row)
-
-    def open(self) -> dict[int, Trie]:
-        """The shards, mapped into this process's memory."""
-        tries: dict[int, Trie] = {}
-        if self.folder is not None:
-            for name in os.listdir(self.folder) if os.path.isdir(self.folder) else ():
-                if name.endswith(".trie"):
-                    with open(f"{self.folder}/{name}", "rb") as f:
-                        tries[int(name.split(".")[0])] = Trie.load(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
-            return tries
-        import pyarrow.parquet as pq
-        from pyspark import SparkFiles
-
-        for name in self.files:
-            for b in pq.ParquetFile(SparkFiles.get(name)).iter_batches(1, columns=["shard", "levels"]):
-                with tempfile.TemporaryFile() as f:
-                    f.write(b.column(1)[0].as_buffer())
-                    f.flush()
-                    tries[b.column(0)[0].as_py()] = Trie.load(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
-        return tries
-
-    def look_up(self, tries: dict[int, Trie], tok: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(count, log10 probability) of tokens after others. Equal ones are looked up once."""
-        words, inverse = np.unique(np.concatenate((tok, before)), return_inverse=True)
-        place, count, mass = np.full((SPLIT, len(words)), -1, np.int64), np.zeros(len(words), np.int64), np.zeros(len(words))
+        # A row of numbers for each shard.
+        rows = built.drop("levels").toArrow().to_pydict()
+        self.n, self.v, self.bigrams, self.trigrams, self.bytes = (sum(rows[k]) for k in names[1:-1])
+        self.sizes = dict(zip(rows["shard"], rows["bytes"], strict=True))
+
+    def open(self) -> Callable[[int], Trie | None]:
+        """Maps shards into this process's memory, by number; None for one without n-grams."""
+        folder, held = self.folder, None
+        if folder is None:
+            import pyarrow.parquet as pq
+            from pyspark import SparkFiles
+
+            held = tempfile.TemporaryDirectory()
+            folder = held.name
+            for name in self.files:
+                for b in pq.ParquetFile(SparkFiles.get(name)).iter_batches(1, columns=["shard", "levels"]):
+                    with open(f"{folder}/{b.column(0)[0].as_py()}.trie", "wb") as f:
+                        f.write(b.column(1)[0].as_buffer())
+
+        def get(k: int, _held: object = held) -> Trie | None:
+            if k not in self.sizes:
+                return None
+            with open(f"{folder}/{k}.trie", "rb") as f:
+                data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+            if len(data) != self.sizes[k]:
+                raise OSError(f"shard {k} of the model has {len(data)} bytes instead of {self.sizes[k]}")
+            return Trie.load(data)
+
+        return get
+
+    def look_up(self, get: Callable[[int], Trie | None], seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(count, log10 probability) of tokens that two tokens go before. Equal n-grams are looked up once."""
+        g = Grams(seq)
+        words, a, b = g.words, g.a, g.b
+        count, mass = np.zeros(len(words), np.int64), np.zeros(len(words))
+        taken, left, share = np.zeros(len(a)), np.ones(len(a)), np.zeros(len(g.c))
         edges = np.append(np.searchsorted(words >> _U(64 - self.shard_bits), np.arange(1 << self.shard_bits, dtype=np.uint64)), len(words))
-        for k, t in tries.items():
-            i, j = divmod(k, SPLIT)
-            own = slice(edges[i], edges[i + 1])
-            place[j, own] = t.place_of(words[own])
-            mass[own] += t.mass(place[j, own])
-            if j == 0:
-                count[own] = t.counts(place[j, own])
-        a, b = inverse[len(tok) :], inverse[: len(tok)]
-        pairs, back = np.unique(a * len(words) + b, return_inverse=True)
-        a2, b2 = pairs // len(words), pairs % len(words)
+        cuts, side = np.searchsorted(a, edges), (words >> _U(64 - SPLIT_BITS)).astype(np.int64)[b]
+        starts = np.searchsorted(g.context, np.arange(len(a) + 1))
+        for i in np.flatnonzero(np.diff(edges)).tolist():
+            lo, hi = edges[i], edges[i + 1]
+            for j in range(SPLIT):
+                t = get(i * SPLIT + j)
+                if t is None:
+                    continue
+                place = t.place_of(words[lo:hi])
+                mass[lo:hi] += t.mass(place)
+                if j == 0:
+                    count[lo:hi] = t.counts(place)
+                own = cuts[i] + np.flatnonzero(side[cuts[i] : cuts[i + 1]] == j)
+                at = t.second(place[a[own] - lo], words[b[own]] & _U((1 << BITS) - 1))
+                own, at = own[at >= 0], at[at >= 0]
+                taken[own], left[own] = t.taken(at), t.left(at)
+                # Trigrams of these bigrams, in the order of the level.
+                own, at = own[starts[own + 1] > starts[own]], at[starts[own + 1] > starts[own]]
+                begin, end = t.pointers3.at(at), t.pointers3.at(at + 1)
+                own, begin, end = own[end > begin], begin[end > begin], end[end > begin]
+                n = starts[own + 1] - starts[own]
+                which = np.repeat(starts[own] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum()) if len(n) else np.empty(0, np.int64)
+                share[which] = t.third(np.repeat(begin, n), np.repeat(end, n), words[g.c[which]] & _U((1 << BITS3) - 1))
         seen = np.maximum(count, 1)
-        p = np.where(count > 0, 1 - mass / seen, 1.0)[a2] * (count[b2] + 1) / (self.n + self.v + 1)
-        cuts, side = np.searchsorted(a2, edges), (words >> _U(64 - SPLIT_BITS)).astype(np.int64)[b2]
-        for k, t in tries.items():
-            i, j = divmod(k, SPLIT)
-            own = cuts[i] + np.flatnonzero(side[cuts[i] : cuts[i + 1]] == j)
-            p[own] += t.taken(place[j, a2[own]], words[b2[own]] & _U((1 << BITS) - 1)) / seen[a2[own]]
-        return count[b], np.log10(p)[back]
+        p2 = taken / seen[a] + np.where(count > 0, 1 - mass / seen, 1.0)[a] * (count[b] + 1) / (self.n + self.v + 1)
+        p = p2[g.pair[1:]]
+        p[g.tri] = share[g.third] + left[g.pair[:-1][g.tri]] * p[g.tri]
+        return count[g.of[2:]], np.log10(p)
 
     def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """One row per input row: id, n_tokens, n_known, base_score, score.
 
         A null or empty text is one token, the end.
         """
-        step = 1 << 19
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tries = self.open()
+            get = self.open()
             for b in batches:
                 data, offsets = flat(b.column(1))
                 n, known = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
@@ -459,12 +637,10 @@ class LanguageModel:
                 for lo, hi in pieces(offsets):
                     tok, n[lo:hi] = tokens(data, offsets[lo : hi + 1])
                     held.append(tok)
-                    if hi < b.num_rows and sum(map(len, held)) < step:
+                    if hi < b.num_rows and sum(map(len, held)) < STEP:
                         continue
-                    # Whole texts of about `step` tokens, looked up together.
-                    tok = np.concatenate(held)
-                    before = np.append(END, tok[:-1])
-                    got = [self.look_up(tries, tok[at : at + step], before[at : at + step]) for at in range(0, len(tok), step)]
+                    # Whole texts of about STEP tokens, looked up together.
+                    got = [self.look_up(get, seq) for seq in _stretches(np.concatenate(held), STEP)]
                     c, p = (np.concatenate(x) for x in zip(*got, strict=True))
                     at = np.concatenate(([0], np.cumsum(n[first:hi])[:-1]))
                     known[first:hi] = np.add.reduceat((c > 0).astype(np.int64), at)
