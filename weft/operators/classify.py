@@ -91,45 +91,6 @@ def signals(text: Column, lexicon: dict[str, list[str]]) -> Column:
     return F.flatten(F.array(*[hits(text, terms) for terms in lexicon.values()]))
 
 
-def study_role(text: Column, has_results: Column) -> Column:
-    """registry results, review, protocol, outcome, qualitative or mechanistic, in that order."""
-    outcome = text.rlike(r"\b(improved|reduced|increased|significant|mortality|survival)\b")
-    trial = text.rlike(r"\b(randomi[sz]ed|placebo|double-blind|trial)\b")
-    return (
-        F.when(has_results, "outcome")
-        .when(text.rlike(r"\b(systematic review|meta-analysis|review)\b"), "review")
-        .when(text.rlike(r"\bprotocol\b") & ~outcome, "protocol")
-        .when(outcome, "outcome")
-        .when(trial & text.rlike(r"\b(interview|qualitative)\b"), "qualitative")
-        .when(text.rlike(r"\b(in vitro|mice|mouse|rats?|pathway)\b"), "mechanistic")
-        .otherwise("unclear")
-    )
-
-
-def evidence_tier(role: Column, design: Column, high_impact: Column) -> Column:
-    return (
-        F.when((role == "outcome") & (design == "rct"), F.when(high_impact, "A1").otherwise("A2"))
-        .when(role == "review", F.when(high_impact, "A2").otherwise("B"))
-        .when((role == "outcome") & (design == "observational"), "B")
-        .otherwise("C")
-    )
-
-
-def design_bucket(text: Column) -> Column:
-    """protocol, review, non-randomised, rct, observational, preclinical, unknown: the first that fits."""
-    return (
-        F.when(text.contains("protocol"), "protocol").when(text.rlike("review|meta-analysis"), "review")
-        .when(text.rlike("non-randomi[sz]ed|quasi-experiment"), "non_randomized").when(text.rlike("randomi[sz]ed|placebo"), "rct")
-        .when(text.rlike("cohort|case-control|registry|cross-sectional"), "observational").when(text.rlike("mouse|mice|in vitro|rat model"), "preclinical")
-        .otherwise("unknown")
-    )
-
-
-def effective_directness(directness: Column, lane: Column) -> Column:
-    """Direct evidence from animals is indirect."""
-    return F.when((lane == "animal") & (directness == "direct"), "indirect").otherwise(directness)
-
-
 def override(rows: DataFrame, ids: str, overrides: DataFrame, columns: list[str]) -> DataFrame:
     """Replaces columns by those of the first override(id, ...) that an id of the row's array has.
 

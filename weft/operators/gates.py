@@ -1,4 +1,4 @@
-"""Gates, scores and verdicts over one row of counts per run or topic."""
+"""Comparisons, appraisals and roll-ups of runs."""
 
 from __future__ import annotations
 
@@ -6,68 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Floors and cut-offs that verdicts depend on.
-FLOORS = {"receipts": 10, "claims": 50, "tensions": 10}
-SCORE_STEPS = {"receipts": (30, 12, 5), "tensions": (3, 1), "numeric": (1.0, 0.95, 0.8)}
-FINAL = {"numeric": 1.0, "rob": 0.8, "grade": 1.0, "tensions": 1, "receipts": 30}
-
-
-def failures(checks: dict[str, Column]) -> Column:
-    """Names of the checks that hold, in order; an unknown one does not."""
-    return F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in checks.items()]), lambda x: x.isNotNull())
-
-
-def certification_track(receipts: Column, claims: Column, total: Column, a_share: Column, mech: Column, n_mech: Column, direct_a1: Column) -> Column:
-    """clinical, inference, mechanism, scoped or none: the first whose floors are met."""
-    return (
-        F.when((receipts >= FLOORS["receipts"]) & (claims >= FLOORS["claims"]) & (direct_a1 >= 1), "clinical")
-        .when((total >= 8) & (a_share >= 0.7) & (mech >= 2), "inference")
-        .when((total >= 6) & (mech >= 6) & (n_mech >= 5), "mechanism")
-        .when((receipts >= 2) & (receipts < FLOORS["receipts"]) & (claims > 0) & (direct_a1 >= 1), "scoped")
-        .otherwise("none")
-    )
-
-
-def maturity_level(receipts: Column, claims: Column, tensions: Column, pooled: Column, verdict: Column, override: int = 0) -> Column:
-    """0 to 5. Floors may only be raised: the larger of default and override holds."""
-    floor = max(FLOORS["receipts"], override)
-    return (
-        F.when(receipts == 0, 0).when(claims == 0, 1).when(receipts < floor, 2)
-        .when((claims < FLOORS["claims"]) | (tensions < FLOORS["tensions"]), 3).when(~pooled | (verdict != "pass"), 4).otherwise(5)
-    )
-
-
-def _steps(x: Column, cuts: tuple, points: tuple) -> Column:
-    out = F.lit(points[-1])
-    for c, p in reversed(list(zip(cuts, points, strict=False))):
-        out = F.when(x >= c, p).otherwise(out)
-    return out
-
-
-def publication_score(receipts: Column, tensions: Column, numeric: Column, rob: Column, grade: Column, direct: Column) -> Column:
-    """Six parts of 0 to 5 points."""
-    return (
-        _steps(receipts, SCORE_STEPS["receipts"], (5, 4, 2, 0)) + _steps(tensions, SCORE_STEPS["tensions"], (5, 3, 0)) + _steps(numeric, SCORE_STEPS["numeric"], (5, 4, 2, 0))
-        + F.floor(rob * 5) + F.floor(grade * 5) + F.least(F.lit(5), direct)
-    )
-
-
-def publication_verdict(score: Column, support: Column, overclaim: Column) -> Column:
-    return F.when((score >= 27) & (support == "supported") & ~overclaim, "accept").when((score >= 18) & (support != "unsupported"), "revise").otherwise("reject")
-
-
-def final_gate(numeric: Column, rob: Column, grade: Column, tensions: Column, receipts: Column) -> tuple[Column, Column]:
-    """(failures, warnings)."""
-    fails = failures({"numeric": numeric < FINAL["numeric"], "rob": rob < FINAL["rob"], "grade": grade < FINAL["grade"], "tensions": tensions < FINAL["tensions"]})
-    return fails, failures({"few_receipts": receipts < FINAL["receipts"]})
-
-
-def unified_verdict(blocked: Column, aaa: Column, unresolved: Column, severities: Column) -> Column:
-    """blocked, then certified, then review, then pass. A severity outside P1 to P3 blocks."""
-    unknown = F.exists(severities, lambda s: ~s.isin("P1", "P2", "P3"))
-    return F.when(blocked | unknown | F.array_contains(severities, "P1"), "SHIP-BLOCKED").when(aaa, "AAA").when(unresolved, "NEEDS-REVIEW").otherwise("PASS")
-
-
 def compare_runs(before: DataFrame, after: DataFrame, key: str, rules: dict[str, tuple[str, float]]) -> DataFrame:
     """(key, dimension, old, new, passed): rules give lower, higher or floor, with a tolerance or bound."""
     stack = lambda d, n: d.unpivot([key], list(rules), "dimension", n)
@@ -80,15 +18,6 @@ def compare_runs(before: DataFrame, after: DataFrame, key: str, rules: dict[str,
     return rows.withColumn("passed", F.coalesce(passed, F.lit(False)))
 
 
-def corpus_gaps(n: Column, direct: Column, high: Column, largest: Column, classes: Column, primary: Column, years: Column) -> Column:
-    """Names of unmet thresholds; the last four only where there are receipts."""
-    some = n > 0
-    return failures({
-        "no_receipts": n == 0, "few_direct": direct < 2, "few_high_tier": high < 2, "one_paper_dominates": some & (largest / F.greatest(n, F.lit(1)) > 0.4),
-        "one_outcome": some & (classes < 2), "no_primary": some & (primary == 0), "old": some & (years > 10),
-    })
-
-
 def worst_domain(rows: DataFrame, study: str, rating: str, scale: list[str]) -> DataFrame:
     """(study, overall): the worst of a study's domain ratings on a scale from best to worst."""
     order = F.create_map(*[F.lit(x) for i, s in enumerate(scale) for x in (s, i)])
@@ -101,10 +30,6 @@ def grade_certainty(start: Column, down: Column, up: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, ("very low", "low", "moderate", "high"))), level.cast("int"))
 
 
-def confidence_verdict(direct: Column, agree: Column, conflict: Column, nulls: Column) -> Column:
-    return F.when((direct >= 3) & (conflict == 0) & (agree > nulls), "moderate").when(direct >= 2, "low").when((agree > 0) & (conflict == 0), "low").otherwise("very low")
-
-
 def rollup(tree: DataFrame, leaves: DataFrame, levels: int) -> DataFrame:
     """Scores of all nodes of tree(id, parent, depth, strategy, critical), from leaves(id, score).
 

@@ -58,10 +58,16 @@ def rare_tokens(packs: DataFrame, name: str, text: Column, most: int) -> DataFra
     return t.join(few, "w").groupBy(name).agg(F.array_sort(F.collect_list("w")).alias("tokens"))
 
 
-def topic_specific(text: Column, topic: Column, least: float = 0.75) -> Column:
-    """Two shared tokens, or three quarters of the topic's."""
-    shared = F.size(F.array_intersect(tokens(text), tokens(topic)))
-    return (shared >= 2) | (shared >= least * F.greatest(F.size(F.array_distinct(tokens(topic))), F.lit(1)))
+def topic_fits(texts: DataFrame, id_col: str, text: Column, topics: DataFrame, topic: str, name: Column, least: float = 0.75) -> DataFrame:
+    """(id, topic) of texts that share two words with a topic's name, or three quarters of its words.
+
+    Words are joined, so a topic costs the texts that have a word of it.
+    """
+    words = topics.select(F.col(topic).alias("topic"), F.array_distinct(tokens(name)).alias("k"))
+    keys = words.select("topic", F.size("k").alias("size"), F.explode("k").alias("w"))
+    own = texts.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(tokens(text))).alias("w"))
+    shared = own.join(keys, "w").groupBy("id", "topic").agg(F.count("*").alias("n"), F.max("size").alias("size"))
+    return shared.where((F.col("n") >= 2) | (F.col("n") >= least * F.col("size"))).select("id", "topic")
 
 
 def unseen_topics(candidates: DataFrame, done: DataFrame, key: str) -> DataFrame:

@@ -7,19 +7,9 @@ from pyspark.sql import functions as F
 
 from weft.functions.text import clean_text, dedupe_key, identity_keys, normalize_doi, title_signature
 from weft.operators import aggregates, identity, meta
-from weft.plans.tables import table
+from weft.plans.tables import registrar, table
 
-QUERIES, SQL = {}, {}
-
-
-def query(name: str, sql: str | None = None):  # noqa: ANN201
-    def add(f):  # noqa: ANN001, ANN202
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registrar()
 
 
 def arms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weft.functions.text import dedupe_key, identity_keys
-from weft.operators import aggregates, claims, classify, gates, identity, meta, tension
+from weft.operators import aggregates, claims, classify, identity, meta, studies, tension, verdicts
 from weft.sources import landed
 
 
@@ -27,11 +27,11 @@ def seed_corpus(payloads: DataFrame, pack: dict, current_year: int) -> dict[str,
     owned = records.withColumn("keys", identity_keys(F.col("doi"), F.col("pmid"), F.col("nct"), F.col("abstract"), F.col("title")))
     kept = identity.dedup_records(owned, "ord", "keys").drop("keys")
     text = F.lower(F.concat_ws(" ", "title", "abstract"))
-    role = classify.study_role(text, F.lit(False))
-    design = classify.design_bucket(text)
+    role = studies.study_role(F.lit(""), F.col("title"), F.col("abstract"), F.lit(False))
+    design = studies.study_design(role, F.col("abstract"))
     rows = (
         kept.withColumn("class", classify.corpus_class(text, F.lower(F.coalesce("title", F.lit(""))), pack["aliases"], pack["lexicon"], pack.get("excluded", [])))
-        .withColumn("role", role).withColumn("design", design).withColumn("tier", classify.evidence_tier(role, design, F.lit(False)))
+        .withColumn("role", role).withColumn("design", design).withColumn("tier", studies.evidence_tier(role, design, F.col("venue")))
     )
     rows = rows.withColumn("pool", classify.extraction_pool(F.col("class"), F.col("tier"))).withColumn("score", classify.paper_score(F.col("class"), F.col("tier"), F.lit(None).cast("string"), F.col("year"), current_year))
     return {"hits": hits, "records": records, "corpus": rows, "funnel": classify.funnel(rows), "quarantine": landed.quarantine(payloads)}
@@ -52,7 +52,8 @@ def synthesize(papers: DataFrame, endpoints: list[str], arms: list[str], directi
     counts = receipts.groupBy("topic").agg(F.count("*").alias("receipts"), F.sum("n_high").alias("claims"), F.count_if(F.col("directness") == "direct").alias("direct"))
     tensions = pairs.where("kind <> 'orthogonal'").groupBy("topic").agg(F.count("*").alias("tensions"))
     runs = counts.join(tensions, "topic", "left").fillna({"tensions": 0})
-    level = gates.maturity_level(F.col("receipts"), F.col("claims"), F.col("tensions"), F.lit(False), F.lit(""))
+    none = F.lit(0)
+    level = verdicts.maturity(F.col("receipts"), F.col("claims"), F.col("tensions"), F.lit(""), none, none, none, F.lit(False))
     return {"claims": bound, "receipts": receipts, "tensions": pairs, "runs": runs.withColumn("level", level)}
 
 

@@ -5,19 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weft.operators import aggregates, matching
-from weft.plans.tables import table
+from weft.plans.tables import registrar, table
 
-QUERIES, SQL = {}, {}
-
-
-def query(name: str, sql: str | None = None):  # noqa: ANN201
-    def add(f):  # noqa: ANN001, ANN202
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registrar()
 
 
 @query("retraction_exclusion", "select p_partkey, p_size % 4 <> 0 as verified from part where p_size % 4 = 0 or p_size not in (select 1 + s_suppkey % 50 from supplier where s_acctbal < 0 union select 1 + c_custkey % 50 from customer where c_acctbal < -990)")
@@ -29,13 +19,14 @@ def retraction_exclusion(spark, sf_dir):
     return matching.without_retracted(p, "d", [a, b]).select("p_partkey", "verified")
 
 
-@query("contract_mismatches", """with a as (select o_orderkey, o_orderstatus, o_orderpriority from orders where o_orderkey % 11 <> 0), b as (select o_orderkey, case when o_orderkey % 5 = 0 then 'X' else o_orderstatus end as o_orderstatus, o_orderpriority from orders where o_orderkey % 13 <> 0),
+@query("contract_mismatches", """with a as (select o_orderkey, o_orderstatus, o_orderpriority from orders where o_totalprice > 30000), b as (select o_orderkey, case when o_orderpriority = '5-LOW' then 'X' else o_orderstatus end as o_orderstatus, o_orderpriority from orders where o_totalprice < 450000),
     j as (select o_orderkey, a.o_orderstatus as s1, b.o_orderstatus as s2, a.o_orderpriority as p1, b.o_orderpriority as p2 from a full join b using (o_orderkey))
     select o_orderkey, 'o_orderstatus' as field, s1 as now, s2 as "then" from j where s1 is distinct from s2 union all select o_orderkey, 'o_orderpriority', p1, p2 from j where p1 is distinct from p2""")
 def contract_mismatches(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
-    frozen = o.where("o_orderkey % 13 <> 0").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 5 == 0, "X").otherwise(F.col("o_orderstatus")))
-    return matching.contract_mismatches(o.where("o_orderkey % 11 <> 0"), frozen, "o_orderkey", ["o_orderstatus", "o_orderpriority"])
+    """Orders now, without the smallest, against a frozen copy that lacks the largest and has another status for low priorities."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    frozen = o.where("o_totalprice < 450000").withColumn("o_orderstatus", F.when(F.col("o_orderpriority") == "5-LOW", "X").otherwise(F.col("o_orderstatus")))
+    return matching.contract_mismatches(o.where("o_totalprice > 30000"), frozen, "o_orderkey", ["o_orderstatus", "o_orderpriority"])
 
 
 @query("framework_engagement", """with f as (select n_name as framework, left(n_name, 2) as anchor from nation), r as (select p_partkey as id, upper(p_name) as m, case when p_size > 30 then 1 when p_size < 10 then -1 else 0 end as sign, p_size % 2 = 0 as prim from part),
@@ -53,20 +44,23 @@ def mechanism_expansion(spark, sf_dir):
     return matching.expand_mechanisms(t, table(spark, sf_dir, "part").where("p_size < 10").select(F.col("p_brand").alias("key"), F.col("p_type").alias("mechanism")))
 
 
-@query("rare_tokens", """with t as (select doc_id, unnest(list_distinct(regexp_extract_all(lower(left(text, 200)), '[a-z0-9]+'))) as w from documents), f as (select w from t group by w having count(*) <= 3)
+@query("rare_tokens", """with t as (select doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) as w from documents), f as (select w from t group by w having count(*) <= 3)
     select doc_id, string_agg(w, ' ' order by w) as tokens from t join f using (w) group by doc_id""")
 def rare_tokens(spark, sf_dir):
-    r = matching.rare_tokens(table(spark, sf_dir, "documents"), "doc_id", F.substring("text", 1, 200), 3)
+    r = matching.rare_tokens(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), 3)
     return r.select("doc_id", F.array_join("tokens", " ").alias("tokens"))
 
 
-@query("topic_specific", """with t as (select doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from documents), n as (select n_nationkey, list_distinct(regexp_extract_all(lower(s), '[a-z0-9]+')) as k from (select n_nationkey, (['the of inthe', 'und keit', 'que les', 'los ciónes'])[n_nationkey % 4 + 1] as s from nation where n_nationkey < 4))
-    select doc_id, n_nationkey, len(list_intersect(w, k)) >= 2 or len(list_intersect(w, k)) >= 0.75 * greatest(len(k), 1) as fits from t, n""")
+@query("topic_specific", """with t as (select doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from documents), n as (select n_nationkey, list_distinct(regexp_extract_all(lower(n_name), '[a-z0-9]+')) as k from nation union all select 100 + i, regexp_extract_all(s, '[a-z0-9]+') from (select unnest(range(4)) as i, unnest(['the of inthe', 'und keit', 'que les', 'los zu']) as s))
+    select n_nationkey as topic, count(*) filter (where len(list_intersect(w, k)) >= 2 or len(list_intersect(w, k)) >= 0.75 * greatest(len(k), 1)) as fits from t, n group by n_nationkey""")
 def topic_specific(spark, sf_dir):
-    names = F.array(*map(F.lit, ("the of inthe", "und keit", "que les", "los ciónes")))
-    n = table(spark, sf_dir, "nation").where("n_nationkey < 4").select("n_nationkey", F.get(names, F.col("n_nationkey") % 4).alias("topic"))
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return d.join(F.broadcast(n)).select("doc_id", "n_nationkey", matching.topic_specific(F.col("text"), F.col("topic")).alias("fits"))
+    """Documents that fit each topic: the nations' names and four phrases."""
+    n = table(spark, sf_dir, "nation")
+    phrases = F.array(*map(F.lit, ("the of inthe", "und keit", "que les", "los zu")))
+    extra = n.limit(1).select(F.posexplode(phrases)).select((100 + F.col("pos")).alias("topic"), F.col("col").alias("name"))
+    topics = n.select(F.col("n_nationkey").alias("topic"), F.col("n_name").alias("name")).union(extra)
+    fits = matching.topic_fits(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), topics, "topic", F.col("name")).groupBy("topic").agg(F.count("*").alias("fits"))
+    return topics.select("topic").join(fits, "topic", "left").select("topic", F.coalesce("fits", F.lit(0)).alias("fits"))
 
 
 @query("unseen_topics", "select distinct c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'P')")

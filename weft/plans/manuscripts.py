@@ -6,19 +6,9 @@ from pyspark.sql import functions as F
 
 from weft.operators import claims, issues
 from weft.plans.synthesis import _RENDERED, rendered
-from weft.plans.tables import table
+from weft.plans.tables import registrar, table
 
-QUERIES, SQL = {}, {}
-
-
-def query(name: str, sql: str | None = None):  # noqa: ANN201
-    def add(f):  # noqa: ANN001, ANN202
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registrar()
 
 
 @query("line_issues", r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as n, text from documents),

@@ -7,93 +7,17 @@ from pyspark.sql import functions as F
 from weft.operators import gates, ledger
 from weft.operators.select import cut
 from weft.plans.evidence import _TIER, tier_of
-from weft.plans.tables import table
+from weft.plans.tables import registrar, table
 
-QUERIES, SQL = {}, {}
+QUERIES, SQL, query = registrar()
 #: The day after the last event.
 NOW = "2024-01-31 00:00:00"
 
 
-def query(name: str, sql: str | None = None):  # noqa: ANN201
-    def add(f):  # noqa: ANN001, ANN202
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
-
-
 def now():
     return F.lit(NOW).cast("timestamp")
 
 
-def runs(spark, sf_dir):
-    """One row of counts per nation: its customers' orders as receipts of a run."""
-    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    rows = o.join(c, o.o_custkey == c.c_custkey).withColumn("tier", tier_of("o_orderkey"))
-    direct = F.col("o_orderstatus") == "F"
-    high = F.col("tier").isin("A1", "A2")
-    return rows.groupBy("c_nationkey").agg(
-        F.count("*").alias("receipts"), F.count_if(F.col("o_totalprice") > 150000).alias("claims"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("tensions"), F.count_if(direct).alias("direct"), F.count_if(high).alias("high"),
-        F.count_if(direct & (F.col("tier") == "A1")).alias("direct_a1"), F.avg(high.cast("int")).alias("a_share"), F.count_if(F.col("tier") == "D1").alias("mech"), F.avg((F.col("o_totalprice") > 50000).cast("int")).alias("numeric"), F.avg(direct.cast("int")).alias("rob"),
-        F.max("o_totalprice").alias("largest"), F.sum("o_totalprice").alias("total"), F.countDistinct("o_orderpriority").alias("classes"),
-    )
-
-
-_RUNS = f"""r as (select c_nationkey, count(*) as receipts, count(*) filter (where o_totalprice > 150000) as claims, count(*) filter (where o_orderpriority = '1-URGENT') as tensions, count(*) filter (where o_orderstatus = 'F') as direct,
-    count(*) filter (where {_TIER} in ('A1', 'A2')) as high, count(*) filter (where o_orderstatus = 'F' and {_TIER} = 'A1') as direct_a1, avg(({_TIER} in ('A1', 'A2'))::int) as a_share, count(*) filter (where {_TIER} = 'D1') as mech,
-    avg((o_totalprice > 50000)::int) as numeric, avg((o_orderstatus = 'F')::int) as rob, max(o_totalprice) as largest, sum(o_totalprice) as total, count(distinct o_orderpriority) as classes from orders join customer on o_custkey = c_custkey group by c_nationkey)"""
-
-
-@query("certification_track", f"""with {_RUNS} select c_nationkey, case when receipts >= 10 and claims >= 50 and direct_a1 >= 35 then 'clinical' when receipts >= 8 and a_share >= 0.7 and mech >= 2 then 'inference' when receipts >= 6 and mech >= 6 and mech >= 5 then 'mechanism'
-    when receipts >= 2 and receipts < 10 and claims > 0 and direct_a1 >= 1 then 'scoped' else 'none' end as track from (select * replace (direct_a1 as direct_a1) from r)""".replace("direct_a1 >= 35", "direct_a1 >= 1"))
-def certification_track(spark, sf_dir):
-    c = lambda k: F.col(k)
-    return runs(spark, sf_dir).select("c_nationkey", gates.certification_track(c("receipts"), c("claims"), c("receipts"), c("a_share"), c("mech"), c("mech"), c("direct_a1")).alias("track"))
-
-
-@query("maturity_level", f"""with {_RUNS} select c_nationkey, case when receipts = 0 then 0 when claims = 0 then 1 when receipts < 580 then 2 when claims < 50 or tensions < 10 then 3 when rob < 0.4 or numeric < 0.95 then 4 else 5 end as level from r""")
-def maturity_level(spark, sf_dir):
-    v = F.when(F.col("numeric") >= 0.95, "pass").otherwise("fail")
-    return runs(spark, sf_dir).select("c_nationkey", gates.maturity_level(F.col("receipts"), F.col("claims"), F.col("tensions"), F.col("rob") >= 0.4, v, override=580).alias("level"))
-
-
-@query("publication_score", f"""with {_RUNS}, s as (select c_nationkey, rob, direct, case when receipts >= 30 then 5 when receipts >= 12 then 4 when receipts >= 5 then 2 else 0 end + case when tensions >= 3 then 5 when tensions >= 1 then 3 else 0 end + case when numeric >= 1 then 5 when numeric >= 0.95 then 4 when numeric >= 0.8 then 2 else 0 end
-    + floor(rob * 5) + floor(a_share * 5) + least(5, direct) as score from r)
-    select c_nationkey, cast(score as bigint) as score, case when score >= 27 and rob > 0.45 then 'accept' when score >= 18 and rob > 0.3 then 'revise' else 'reject' end as verdict from s""")
-def publication_score(spark, sf_dir):
-    c = lambda k: F.col(k)
-    r = runs(spark, sf_dir).withColumn("score", gates.publication_score(c("receipts"), c("tensions"), c("numeric"), c("rob"), c("a_share"), c("direct")).cast("long"))
-    support = F.when(c("rob") > 0.45, "supported").when(c("rob") > 0.3, "partial").otherwise("unsupported")
-    return r.select("c_nationkey", "score", gates.publication_verdict(c("score"), support, F.lit(False)).alias("verdict"))
-
-
-@query("final_gate", f"""with {_RUNS} select c_nationkey, array_to_string(list_filter([case when numeric < 1 then 'numeric' end, case when rob < 0.8 then 'rob' end, case when a_share * 4 < 1 then 'grade' end, case when tensions < 1 then 'tensions' end], lambda x: x is not null), ',') as failures,
-    array_to_string(list_filter([case when receipts < 30 then 'few_receipts' end], lambda x: x is not null), ',') as warnings from r""")
-def final_gate(spark, sf_dir):
-    c = lambda k: F.col(k)
-    fails, warns = gates.final_gate(c("numeric"), c("rob"), c("a_share") * 4, c("tensions"), c("receipts"))
-    return runs(spark, sf_dir).select("c_nationkey", F.array_join(fails, ",").alias("failures"), F.array_join(warns, ",").alias("warnings"))
-
-
-@query("unified_verdict", """with g as (select o_custkey, bool_or(o_totalprice > 480000) as blocked, bool_and(o_orderstatus = 'F') as aaa, bool_or(o_orderstatus = 'P') as unresolved, list(distinct 'P' || cast(2 + o_orderkey % 40 / 39 * 2 as int)) as sev from orders group by o_custkey)
-    select o_custkey, case when blocked or len(list_filter(sev, lambda s: s not in ('P1', 'P2', 'P3'))) > 0 or list_contains(sev, 'P1') then 'SHIP-BLOCKED' when aaa then 'AAA' when unresolved then 'NEEDS-REVIEW' else 'PASS' end as verdict from g""".replace("o_orderkey % 40 / 39 * 2", "floor((o_orderkey % 40) / 39) * 2"))
-def unified_verdict(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    sev = F.concat(F.lit("P"), (2 + F.floor((F.col("o_orderkey") % 40) / 39) * 2).cast("string"))
-    g = o.groupBy("o_custkey").agg(F.bool_or(F.col("o_totalprice") > 480000).alias("b"), F.bool_and(F.col("o_orderstatus") == "F").alias("a"), F.bool_or(F.col("o_orderstatus") == "P").alias("u"), F.collect_set(sev).alias("s"))
-    return g.select("o_custkey", gates.unified_verdict(F.col("b"), F.col("a"), F.col("u"), F.col("s")).alias("verdict"))
-
-
-@query("corpus_gaps", f"""with {_RUNS} select c_nationkey, array_to_string(list_filter([case when receipts = 0 then 'no_receipts' end, case when direct < 2 then 'few_direct' end, case when high < 2 then 'few_high_tier' end, case when receipts > 0 and largest / total * 60 > 0.4 then 'one_paper_dominates' end,
-    case when receipts > 0 and classes < 2 then 'one_outcome' end, case when receipts > 0 and high = 0 then 'no_primary' end, case when receipts > 0 and c_nationkey > 10 then 'old' end], lambda x: x is not null), ',') as gaps from r""")
-def corpus_gaps(spark, sf_dir):
-    c = lambda k: F.col(k)
-    gaps = gates.corpus_gaps(c("receipts"), c("direct"), c("high"), c("largest") / c("total") * 60 * c("receipts"), c("classes"), c("high"), c("c_nationkey"))
-    return runs(spark, sf_dir).select("c_nationkey", F.array_join(gaps, ",").alias("gaps"))
-
-
 @query("regression_compare", """with s as (select c_nationkey as k, o_orderdate < timestamp '1995-01-01' as old, o_totalprice, o_orderstatus from orders join customer on o_custkey = c_custkey),
     g as (select k, old, count(*)::double as receipts, avg(o_totalprice) as price, count(*) filter (where o_orderstatus = 'F')::double as done from s group by all),
     j as (select k, a.receipts as r0, b.receipts as r1, a.price as p0, b.price as p1, a.done as d0, b.done as d1 from (select * from g where old) a full join (select * from g where not old) b using (k))
@@ -120,14 +44,6 @@ def grade_final(spark, sf_dir):
     return p.select("p_partkey", gates.grade_certainty(F.when(F.col("p_size") % 2 == 0, 4).otherwise(2), F.col("p_size") % 5, F.col("p_size") % 3).alias("certainty"))
 
 
-@query("confidence_verdict", """with g as (select user_id, count(*) filter (where event_type = 'purchase') as d, count(*) filter (where event_type = 'click') as a, count(*) filter (where value > 990) as c, count(*) filter (where event_type = 'view') as n from events group by user_id)
-    select user_id, case when d >= 3 and c = 0 and a > n then 'moderate' when d >= 2 then 'low' when a > 0 and c = 0 then 'low' else 'very low' end as verdict from g""")
-def confidence_verdict(spark, sf_dir):
-    t = lambda x: F.count_if(F.col("event_type") == x)
-    g = table(spark, sf_dir, "events").groupBy("user_id").agg(t("purchase").alias("d"), t("click").alias("a"), F.count_if(F.col("value") > 990).alias("c"), t("view").alias("n"))
-    return g.select("user_id", gates.confidence_verdict(*(F.col(k) for k in "dacn")).alias("verdict"))
-
-
 @query("rubric_rollup", """with l as (select s_suppkey as id, s_nationkey, case when s_acctbal > 5000 then 1.0 when s_acctbal > 0 then 0.5 when s_acctbal > -500 then 0.0 end as score from supplier),
     n as (select s_nationkey as k, round(case when bool_or(id % 7 = 0 and score <= 0) then 0 when s_nationkey % 3 = 0 then min(score) else avg(score) end, 6) as score from l where score is not null group by s_nationkey),
     g as (select n_regionkey as k, round(case when bool_or(n_nationkey % 5 = 0 and score <= 0) then 0 else avg(score) end, 6) as score from n join nation on n_nationkey = k group by n_regionkey),
@@ -210,9 +126,9 @@ def history_compaction(spark, sf_dir):
     return ledger.compact_history(table(spark, sf_dir, "events"), "user_id", "event_type", ["purchase", "error"], ["ts", "event_id"], 3).select("event_id", "user_id", "event_type")
 
 
-@query("drought_status", f"with d as (select event_type, (epoch(timestamp '{NOW}') - floor(epoch(max(ts)))) / 3600 as h from events where user_id < 20 group by all) select event_type, round(h, 4) as hours, case when h > 3 then 'fail' when h > 1 then 'degraded' else 'pass' end as status from d")
+@query("drought_status", f"with d as (select event_type, (epoch(timestamp '{NOW}') - floor(epoch(max(ts)))) / 3600 as h from events group by all) select event_type, round(h, 4) as hours, case when h > 3 then 'fail' when h > 1 then 'degraded' else 'pass' end as status from d")
 def drought_status(spark, sf_dir):
-    return ledger.drought(table(spark, sf_dir, "events").where("user_id < 20"), "event_type", "ts", now(), 1, 3)
+    return ledger.drought(table(spark, sf_dir, "events"), "event_type", "ts", now(), 1, 3)
 
 
 @query("blocker_histogram", "with r as (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as k from events) select user_id, event_type, count(*) as n, max(ts) as last_seen, string_agg(event_id, ',' order by event_id) filter (where k <= 3) as samples from r group by all")
@@ -225,12 +141,15 @@ def attempt_cooldown(spark, sf_dir):
     return ledger.cooldown(table(spark, sf_dir, "events"), "user_id", "ts", F.col("event_type") == "purchase", now(), 7)
 
 
-@query("ledger_upsert", """with s as (select user_id, max(event_id) as event_id from events where event_id % 2 = 0 group by all), n as (select user_id, arg_max(event_id, ts) as event_id from events where event_id % 2 = 1 and user_id % 3 = 0 group by all)
+@query("ledger_upsert", """with s as (select user_id, max(event_id) as event_id from events where event_type in ('view', 'click') group by all), n as (select user_id, arg_max(event_id, (ts, event_id)) as event_id from events where event_type not in ('view', 'click') group by all)
     select user_id, event_id from s where user_id not in (select user_id from n) union all select * from n""")
 def ledger_upsert(spark, sf_dir):
+    """Views and clicks are the state, all other events the news."""
     e = table(spark, sf_dir, "events")
-    state = e.where("event_id % 2 = 0").groupBy("user_id").agg(F.max("event_id").alias("event_id"))
-    return ledger.upsert(state, e.where("event_id % 2 = 1 and user_id % 3 = 0").select("user_id", "event_id", "ts"), ["user_id"], "ts")
+    seen = F.col("event_type").isin("view", "click")
+    state = e.where(seen).groupBy("user_id").agg(F.max("event_id").alias("event_id"))
+    news = e.where(~seen).select("user_id", "event_id", F.struct("ts", "event_id").alias("at"))
+    return ledger.upsert(state, news, ["user_id"], "at")
 
 
 @query("reviews_by_day", "with l as (select cast(ts as date) as day, user_id, arg_max(event_type, event_id) as event_type from events group by all) select cast(day as varchar) as day, event_type, count(*) as n from l group by l.day, event_type")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weft.plans import evidence, joins, manuscripts, operations, streams, synthesis
+from weft.plans import evidence, joins, manuscripts, numbers, operations, streams, studies, surfaces, synthesis, verdicts
 
-MODULES = (evidence, synthesis, joins, manuscripts, operations, streams)
+MODULES = (evidence, studies, synthesis, joins, manuscripts, surfaces, numbers, operations, verdicts, streams)
 
 
 def queries() -> dict:

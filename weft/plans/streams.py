@@ -7,17 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from weft.operators.select import _shared
+from weft.plans.tables import registrar
 from weft.streaming import ledger
 
-QUERIES, SQL = {}, {}
-
-
-def query(name: str, sql: str):  # noqa: ANN201
-    def add(f):  # noqa: ANN001, ANN202
-        QUERIES[name], SQL[name] = f, sql
-        return f
-
-    return add
+QUERIES, SQL, query = registrar()
 
 
 def folder(spark):

@@ -7,19 +7,9 @@ from pyspark.sql import functions as F
 from weft.functions import text as tx
 from weft.operators import audit, claims, classify, similarity, tension
 from weft.plans.evidence import _TIER, tier_of
-from weft.plans.tables import table
+from weft.plans.tables import registrar, table
 
-QUERIES, SQL = {}, {}
-
-
-def query(name: str, sql: str | None = None):  # noqa: ANN201
-    def add(f):  # noqa: ANN001, ANN202
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registrar()
 
 
 # The documents' own syllables stand for the lexicon.
@@ -83,29 +73,6 @@ def signal_hits(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(classify.signals(F.lower("text"), OUTCOMES), ",").alias("hits"))
 
 
-def abstracts(spark, sf_dir):
-    """Study abstracts rendered from orders, alike in both engines."""
-    kinds = F.array(*map(F.lit, ("A randomized placebo trial improved survival", "Systematic review of cohorts", "Study protocol for a trial", "Cohort study: mortality reduced", "Interviews in a randomized trial, qualitative", "In vitro mouse pathway", "Editorial")))
-    o = table(spark, sf_dir, "orders")
-    return o.withColumn("abstract", F.lower(F.concat(F.get(kinds, (F.col("o_orderkey") % 7).cast("int")), F.lit(" of "), "o_orderpriority")))
-
-
-_ABSTRACT = "a as (select *, lower((['A randomized placebo trial improved survival', 'Systematic review of cohorts', 'Study protocol for a trial', 'Cohort study: mortality reduced', 'Interviews in a randomized trial, qualitative', 'In vitro mouse pathway', 'Editorial'])[o_orderkey % 7 + 1] || ' of ' || o_orderpriority) as abstract from orders)"
-
-
-@query("role_design_tier", rf"""with {_ABSTRACT},
-    r as (select o_orderkey, abstract, o_totalprice > 200000 as high, case when o_orderstatus = 'P' then 'outcome' when regexp_matches(abstract, '\b(systematic review|meta-analysis|review)\b') then 'review'
-      when regexp_matches(abstract, '\bprotocol\b') and not regexp_matches(abstract, '\b(improved|reduced|increased|significant|mortality|survival)\b') then 'protocol' when regexp_matches(abstract, '\b(improved|reduced|increased|significant|mortality|survival)\b') then 'outcome'
-      when regexp_matches(abstract, '\b(randomi[sz]ed|placebo|double-blind|trial)\b') and regexp_matches(abstract, '\b(interview|qualitative)\b') then 'qualitative' when regexp_matches(abstract, '\b(in vitro|mice|mouse|rats?|pathway)\b') then 'mechanistic' else 'unclear' end as role,
-      case when contains(abstract, 'protocol') then 'protocol' when regexp_matches(abstract, 'review|meta-analysis') then 'review' when regexp_matches(abstract, 'non-randomi[sz]ed|quasi-experiment') then 'non_randomized' when regexp_matches(abstract, 'randomi[sz]ed|placebo') then 'rct'
-      when regexp_matches(abstract, 'cohort|case-control|registry|cross-sectional') then 'observational' when regexp_matches(abstract, 'mouse|mice|in vitro|rat model') then 'preclinical' else 'unknown' end as design from a)
-    select o_orderkey, role, design, case when role = 'outcome' and design = 'rct' then case when high then 'A1' else 'A2' end when role = 'review' then case when high then 'A2' else 'B' end when role = 'outcome' and design = 'observational' then 'B' else 'C' end as tier from r""")
-def role_design_tier(spark, sf_dir):
-    a = abstracts(spark, sf_dir)
-    a = a.withColumn("role", classify.study_role(F.col("abstract"), F.col("o_orderstatus") == "P")).withColumn("design", classify.design_bucket(F.col("abstract")))
-    return a.select("o_orderkey", "role", "design", classify.evidence_tier(F.col("role"), F.col("design"), F.col("o_totalprice") > 200000).alias("tier"))
-
-
 @query("registry_override_join", """with o as (select n_nationkey as id, n_name as tier, 'direct' as directness from nation where n_nationkey % 2 = 0),
     h as (select c_custkey, min(id) as id from (select c_custkey, unnest([c_nationkey, c_custkey % 50]) as id from customer) join o using (id) group by all)
     select c_custkey as row_id, coalesce(o.tier, c_mktsegment) as tier, coalesce(o.directness, 'indirect') as directness, o.id is not null as overridden from customer left join h using (c_custkey) left join o using (id)""")
