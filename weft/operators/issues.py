@@ -18,7 +18,9 @@ def issues(rows: DataFrame, id_col: str, place: Column, detail: Column, rules: R
     """(id, code, severity, place, detail) of all rules that hold; an unknown rule does not."""
     found = F.array(*[F.when(c, F.struct(F.lit(k).alias("code"), F.lit(s).alias("severity"))) for k, (s, c) in rules.items()])
     kept = F.filter(found, lambda x: x.isNotNull())
-    return rows.select(F.col(id_col).alias("id"), place.cast("int").alias("place"), F.substring(detail, 1, 120).alias("detail"), kept.alias("k")).where(F.size("k") > 0).select("id", F.explode("k").alias("k"), "place", "detail").select("id", "k.code", "k.severity", "place", "detail")
+    # A filter on the array would be pushed down with all rules in it; one on what it is exploded to is not.
+    each = rows.select(F.col(id_col).alias("id"), place.cast("int").alias("place"), F.substring(detail, 1, 120).alias("detail"), F.explode_outer(kept).alias("k"))
+    return each.where("k is not null").select("id", "k.code", "k.severity", "place", "detail")
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -169,25 +169,33 @@ def design_class(design: Column) -> Column:
     )
 
 
-def classified(design: Column, species: Column, endpoint: Column) -> Column:
-    """struct(tier, directness) of a design text, a species and a kind of endpoint."""
-    kind, sp, ep = design_class(design), F.lower(F.trim(_text(species))), F.lower(F.trim(_text(endpoint)))
-    human, animal = any_of(sp, list(HUMAN_WORDS)), any_of(sp, list(ANIMAL_WORDS))
-    says = lambda tier, directness: F.struct(F.lit(tier).alias("tier"), F.lit(directness).alias("directness"))
-    return (
-        F.when(kind == "protocol", says("D1", "protocol"))
-        .when((kind == "rct") & human & (ep == "mechanistic"), says("A2", "indirect"))
-        .when((kind == "rct") & human, says("A1", "direct"))
-        .when(kind == "review", says("B1", "review"))
-        .when((kind == "observational") & human, says("B2", "indirect"))
-        .when((kind == "preclinical") | animal, says("C1", "mechanistic"))
-        .when((kind == "unknown") & (sp != "") & ~human, says("C2", "review"))
-        .otherwise(says("unknown", "unknown"))
+def _says(tier: str, directness: str) -> Column:
+    return F.struct(F.lit(tier).alias("tier"), F.lit(directness).alias("directness"))
+
+
+def with_class(rows: DataFrame, design: Column, species: Column, endpoint: Column, into: str = "c") -> DataFrame:
+    """Adds design_class and struct(tier, directness) of a design text, a species and a kind of endpoint.
+
+    What a decision uses more than once is a column first, so that it is made once.
+    """
+    kind, human, animal, sp = (F.col(c) for c in ("design_class", "_human", "_animal", "_sp"))
+    made = rows.withColumns({"design_class": design_class(design), "_sp": F.lower(F.trim(_text(species))), "_ep": F.lower(F.trim(_text(endpoint)))})
+    made = made.withColumns({"_human": any_of(sp, list(HUMAN_WORDS)), "_animal": any_of(sp, list(ANIMAL_WORDS))})
+    decision = (
+        F.when(kind == "protocol", _says("D1", "protocol"))
+        .when((kind == "rct") & human & (F.col("_ep") == "mechanistic"), _says("A2", "indirect"))
+        .when((kind == "rct") & human, _says("A1", "direct"))
+        .when(kind == "review", _says("B1", "review"))
+        .when((kind == "observational") & human, _says("B2", "indirect"))
+        .when((kind == "preclinical") | animal, _says("C1", "mechanistic"))
+        .when((kind == "unknown") & (sp != "") & ~human, _says("C2", "review"))
+        .otherwise(_says("unknown", "unknown"))
     )
+    return made.withColumn(into, decision).drop("_sp", "_ep", "_human", "_animal")
 
 
 def _plain(c: Column) -> Column:
-    return F.regexp_replace(_text(c), "[­‐-―−]", "-")
+    return F.regexp_replace(_text(c), "[\u00ad\u2010-\u2015\u2212]", "-")
 
 
 def is_protocol(title: Column, abstract: Column) -> Column:
@@ -200,46 +208,54 @@ def is_protocol(title: Column, abstract: Column) -> Column:
     )
 
 
-def is_primary_trial(title: Column, abstract: Column, design: Column | None = None) -> Column:
-    """A randomised study of its own: no protocol, review or other design by title, and
-    randomised by title, or by sentences of its methods that do not call for future trials."""
-    title, abstract, design = _plain(title), _plain(abstract), _plain(design if design is not None else F.lit(""))
-    identity = F.concat_ws(" ", title, design)
+def with_trial(rows: DataFrame, title: Column, abstract: Column, design: Column | None = None) -> DataFrame:
+    """Adds protocol and primary_trial.
+
+    A primary trial is a randomised study of its own: no protocol, review or other
+    design by title, and randomised by title, or by sentences of its methods that do
+    not call for future trials.
+    """
     methods = r"(?is)\bmethods?\s*:\s*(.*?)(?:\b(?:results?|conclusions?|discussion)\s*:|$)"
-    own = F.when(abstract.rlike(methods), F.regexp_extract(abstract, methods, 1)).otherwise(abstract)
+    made = rows.withColumns({"_title": _plain(title), "_abstract": _plain(abstract), "_design": _plain(design if design is not None else F.lit(""))})
+    t, a, d = (F.col(c) for c in ("_title", "_abstract", "_design"))
+    own = F.when(a.rlike(methods), F.regexp_extract(a, methods, 1)).otherwise(a)
     told = F.array_join(F.filter(F.split(own, r"[.!?]\s+"), lambda s: ~s.rlike(FUTURE_TRIAL) & ~s.rlike(NOT_RANDOMIZED)), " ")
-    return (
-        ~is_protocol(title, abstract) & ~design.rlike(TITLE_PROTOCOL) & ~identity.rlike(TITLE_REVIEW) & ~identity.rlike(NOT_RANDOMIZED)
-        & (identity.rlike(TITLE_RCT) | (told.rlike(TITLE_RCT) & ~abstract.rlike(TITLE_REVIEW)))
+    made = made.withColumns({"protocol": is_protocol(t, a), "_identity": F.concat_ws(" ", t, d), "_said": told})
+    identity = F.col("_identity")
+    primary = (
+        ~F.col("protocol") & ~d.rlike(TITLE_PROTOCOL) & ~identity.rlike(TITLE_REVIEW) & ~identity.rlike(NOT_RANDOMIZED)
+        & (identity.rlike(TITLE_RCT) | (F.col("_said").rlike(TITLE_RCT) & ~a.rlike(TITLE_REVIEW)))
     )
+    return made.withColumn("primary_trial", primary).drop("_title", "_abstract", "_design", "_identity", "_said")
 
 
-def inferred(title: Column, abstract: Column) -> Column:
-    """classified() by what title and abstract say, where there is no metadata."""
-    title, abstract = _plain(title), _plain(abstract)
-    both = F.concat_ws(" ", title, abstract)
+def with_inferred(rows: DataFrame, title: Column, abstract: Column, into: str = "c") -> DataFrame:
+    """Adds struct(tier, directness) by what title and abstract say, where there is no metadata."""
+    made = with_trial(rows, title, abstract).withColumn("_both", F.concat_ws(" ", _plain(title), _plain(abstract)))
+    both = F.col("_both")
     design = (
-        F.when(is_protocol(title, abstract), "study protocol").when(both.rlike(TITLE_REVIEW), "systematic review").when(is_primary_trial(title, abstract), "randomized controlled trial")
+        F.when(F.col("protocol"), "study protocol").when(both.rlike(TITLE_REVIEW), "systematic review").when(F.col("primary_trial"), "randomized controlled trial")
         .when(both.rlike(TITLE_OBSERVED), "cohort").when(both.rlike(TITLE_PRECLINICAL), "preclinical").otherwise("")
     )
     species = F.when(both.rlike(TITLE_ANIMAL), "mouse").when(both.rlike(TITLE_HUMAN), "human").otherwise("")
     endpoint = F.lit("")
     for k, p in reversed(ENDPOINT_KINDS.items()):
         endpoint = F.when(both.rlike(p), k).otherwise(endpoint)
-    return classified(design, species, endpoint)
+    made = made.withColumns({"_t_design": design, "_t_species": species, "_t_endpoint": endpoint})
+    return with_class(made, F.col("_t_design"), F.col("_t_species"), F.col("_t_endpoint"), into).drop("_both", "_t_design", "_t_species", "_t_endpoint", "design_class", "protocol", "primary_trial")
 
 
-def paper_tier(title: Column, abstract: Column, design: Column, species: Column, endpoint: Column, canonical: Column) -> Column:
-    """struct(tier, directness) of a paper: a protocol, a primary trial, explicit metadata, what
+def with_paper_tier(rows: DataFrame, title: Column, abstract: Column, design: Column, species: Column, endpoint: Column, canonical: Column, into: str = "c") -> DataFrame:
+    """Adds struct(tier, directness) of a paper: a protocol, a primary trial, explicit metadata, what
     the text says, and, where none decides, a canonical trial or an indirect study."""
-    told = inferred(title, abstract)
-    stated = F.coalesce(F.nullif(_text(design), F.lit("")), F.nullif(_text(species), F.lit("")), F.nullif(_text(endpoint), F.lit(""))).isNotNull()
-    says = lambda tier, directness: F.struct(F.lit(tier).alias("tier"), F.lit(directness).alias("directness"))
-    found = F.when(stated, classified(design, species, endpoint)).otherwise(told)
-    return (
-        F.when(told["directness"] == "protocol", told).when(is_primary_trial(title, abstract, design), says("A1", "direct"))
-        .when(found["tier"] != "unknown", found).when(canonical, says("A1", "direct")).otherwise(says("B2", "indirect"))
+    made = with_trial(with_class(with_inferred(rows, title, abstract, "_told"), design, species, endpoint, "_stated"), title, abstract, design)
+    given = F.coalesce(*[F.nullif(_text(c), F.lit("")) for c in (design, species, endpoint)]).isNotNull()
+    made = made.withColumn("_found", F.when(given, F.col("_stated")).otherwise(F.col("_told")))
+    decision = (
+        F.when(F.col("_told.directness") == "protocol", F.col("_told")).when(F.col("primary_trial"), _says("A1", "direct"))
+        .when(F.col("_found.tier") != "unknown", F.col("_found")).when(canonical, _says("A1", "direct")).otherwise(_says("B2", "indirect"))
     )
+    return made.withColumn(into, decision).drop("_told", "_stated", "_found", "design_class", "protocol", "primary_trial")
 
 
 # Words of animal papers and of human identity, for lanes.

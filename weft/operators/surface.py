@@ -111,7 +111,7 @@ def _rows_of(results: Column) -> Column:
     """Cells of the rows below a table head that begins with "outcome class"."""
     table = F.regexp_extract(results, r"(?im)^\|[ \t]*outcome class[ \t]*\|[^\n]*\n\|[^\n]*\n((?:\|[^\n]*(?:\n|\z))+)", 1)
     lines = F.filter(F.split(table, "\n"), lambda x: x != "")
-    return F.transform(lines, lambda x: F.transform(F.split(F.btrim(F.trim(x), F.lit("|")), r"\|"), F.trim))
+    return F.transform(lines, lambda x: F.transform(F.split(F.btrim(F.trim(x), F.lit("|")), r"\|"), lambda c: F.trim(c)))
 
 
 def _parts_of(results: Column) -> Column:
@@ -140,35 +140,41 @@ def _with_disclaimer(text: Column, phrases: tuple[str, ...]) -> Column:
     return F.exists(said, lambda s: any_of(s, list(phrases)) & ~F.contains(s, F.lit("no manual")) & ~F.contains(F.substring(s, 1, 30), F.lit("not")))
 
 
+def judged(papers: DataFrame) -> DataFrame:
+    """manuscripts() with what rules use more than once: tables, parts and blocks of a paper."""
+    results, abstract = F.coalesce("results", F.lit("")), F.coalesce("abstract", F.lit(""))
+    counted = F.filter(F.transform("_rows", lambda r: F.struct(outcome_key(r[0]).alias("k"), F.regexp_extract(F.coalesce(F.get(r, F.lit(1)), F.lit("")), r"(?i)\bn\s*=\s*(\d+)\b", 1).alias("n"))), lambda s: s["n"] != "")
+    claims = lambda b: F.regexp_extract_all(F.substring(b, 1, 900), F.lit(r"(?i)\b(?:spans|contains|includes|covers|across)\s+(\d+)\s+(?:curated\s+)?(?:references?|sources?|studies|papers)\b"), 1)
+    made = papers.withColumns({"_rows": _rows_of(results), "_parts": _parts_of(results), "_blocks": F.filter(F.split("body", r"(?m)^(?=#{2,6}[ \t]+\S)"), lambda b: b.rlike(r"^#{2,6}[ \t]")), "_rest": F.lower(F.replace(F.col("body"), abstract, F.lit("")))})
+    return made.withColumns({
+        "_wanted": F.array_distinct(F.transform("_rows", lambda r: outcome_key(F.element_at(F.split(r[0], "/"), -1)))),
+        "_keys": F.transform("_parts", lambda p: p["key"]),
+        "_counted": counted,
+        "_claimed": F.transform("_parts", lambda p: F.struct(p["key"].alias("key"), claims(p["body"]).alias("ns"))),
+        "_levels": F.transform("_blocks", lambda b: F.struct(F.length(F.regexp_extract(b, "^(#+)", 1)).alias("level"), b.rlike(r"^[^\n]*\s*\z").alias("bare"))),
+    })
+
+
 def paper_rules(floors: dict[str, int] | None = None, ceilings: dict[str, int] | None = None, least_words: int = 5000, hedges: int = 4, depth: int = DEPTH, analysis: tuple[int, float] = (100, 0.15)) -> Rules:
-    """Rules of manuscripts(); analysis has the fewest words of a body and the share that Discussion and Cross-Domain Synthesis need."""
+    """Rules of judged(); analysis has the fewest words of a body and the share that Discussion and Cross-Domain Synthesis need."""
     floors, ceilings = FLOORS if floors is None else floors, CEILINGS if ceilings is None else ceilings
     c = lambda n: F.coalesce(F.col(slug(n)), F.lit(""))
-    text, body = F.col("text"), F.col("body")
-    low = F.lower(body)
-    rows, parts = _rows_of(c("Results")), _parts_of(c("Results"))
-    wanted = F.array_distinct(F.transform(rows, lambda r: outcome_key(F.element_at(F.split(r[0], "/"), -1))))
-    keys = F.transform(parts, lambda p: p["key"])
-    has_table = F.size(rows) > 0
-    counted = F.filter(F.transform(rows, lambda r: F.struct(outcome_key(r[0]).alias("k"), F.regexp_extract(F.coalesce(F.get(r, F.lit(1)), F.lit("")), r"(?i)\bn\s*=\s*(\d+)\b", 1).alias("n"))), lambda s: s["n"] != "")
-    claims = lambda b: F.regexp_extract_all(F.substring(b, 1, 900), F.lit(r"(?i)\b(?:spans|contains|includes|covers|across)\s+(\d+)\s+(?:curated\s+)?(?:references?|sources?|studies|papers)\b"), 1)
-    differs = F.exists(parts, lambda p: F.exists(counted, lambda t: (t["k"] == p["key"]) & F.exists(claims(p["body"]), lambda n: n != t["n"])))
-    defined = F.regexp_extract_all(text, F.lit(r"(?im)^(?:#{2,6}[ \t]+Table[ \t]+(\d+)\b|Table[ \t]+(\d+)[ \t]*[:.—-])"), 0)
+    text, body, wanted, keys, levels = (F.col(x) for x in ("text", "body", "_wanted", "_keys", "_levels"))
+    low, has_table = F.lower(body), F.size("_rows") > 0
+    differs = F.exists("_claimed", lambda p: F.exists("_counted", lambda t: (t["k"] == p["key"]) & F.exists(p["ns"], lambda n: n != t["n"])))
+    defined = F.regexp_extract_all(text, F.lit(r"(?im)^(?:#{2,6}[ \t]+Table[ \t]+(\d+)\b|Table[ \t]+(\d+)[ \t]*[:.\u2014-])"), 0)
     numbers = F.transform(defined, lambda d: F.regexp_extract(d, r"(\d+)", 1))
     named = F.array_distinct(F.regexp_extract_all(body, F.lit(r"(?i)\bTable\s+(\d+)\b"), 1))
     absent = F.regexp_extract_all(c("Abstract"), F.lit(r"(?i)\b0\s+([a-z][a-z\s/-]+?)\s+sources?\b"), 1)
-    rest = F.lower(F.replace(body, c("Abstract"), F.lit("")))
     terms = lambda a: F.filter(F.regexp_extract_all(F.lower(a), F.lit("[a-z]+"), 0), lambda t: (F.length(t) >= 6) & ~t.isin("source", "sources", "clinical", "direct", "adjacent"))
     hedged = F.size(F.filter(F.array(*map(F.lit, HEDGES)), lambda h: F.contains(F.lower(c("Discussion")), h)))
     deep = words(c("Discussion")) + words(c("Cross-Domain Synthesis"))
     rated = F.size(F.regexp_extract_all(text, F.lit(r"(?im)^#{2,4}[ \t]+(?:risk[ -]of[ -]bias|quality appraisal)[^\n]*\n(?:[^#|\n][^\n]*\n|\n)*\|[^\n]*\n\|[^\n]*\n\|[^\n]*"), 0)) > 0
-    blocks = F.filter(F.split(body, r"(?m)^(?=#{2,6}[ \t]+\S)"), lambda b: b.rlike(r"^#{2,6}[ \t]"))
-    level = lambda b: F.length(F.regexp_extract(b, "^(#+)", 1))
     rules: Rules = {
         "thin": ("P1", words(text) < least_words),
         "duplicate_references": ("P1", F.size(F.regexp_extract_all(text, F.lit(r"(?m)^## References"), 0)) > 1),
         "missing_references": ("P1", ~text.rlike(r"(?m)^##\s+References\b")),
-        "empty_heading": ("P1", F.exists(F.transform(blocks, lambda b, i: b.rlike(r"^[^\n]*\s*\z") & (F.coalesce(level(F.get(blocks, i + 1)), F.lit(0)) <= level(b))), lambda x: x)),
+        "empty_heading": ("P1", F.exists(F.transform(levels, lambda b, i: b["bare"] & (F.coalesce(F.get(levels, i + 1)["level"], F.lit(0)) <= b["level"])), lambda x: x)),
         "missing_outcome_section": ("P1", has_table & (F.size(F.array_except(wanted, keys)) > 0)),
         "unexpected_outcome_section": ("P1", has_table & (F.size(F.array_except(keys, wanted)) > 0)),
         "duplicate_outcome_section": ("P1", has_table & (F.size(F.array_distinct(keys)) < F.size(keys))),
@@ -176,7 +182,7 @@ def paper_rules(floors: dict[str, int] | None = None, ceilings: dict[str, int] |
         "orphan_table": ("P1", F.size(F.array_except(named, numbers)) > 0),
         "duplicate_phrase": ("P1", _repeats(c("Abstract"))),
         "unresolved_template": ("P1", body.rlike(TEMPLATE_SLOT)),
-        "abstract_contradiction": ("P1", F.exists(absent, lambda a: F.exists(terms(a), lambda t: F.rlike(rest, F.concat(F.lit(r"\b"), t, F.lit(r"\b")))))),
+        "abstract_contradiction": ("P1", F.exists(absent, lambda a: F.exists(terms(a), lambda t: F.rlike(F.col("_rest"), F.concat(F.lit(r"\b"), t, F.lit(r"\b")))))),
         "conclusion_scope": ("P1", c("Conclusion").rlike(r"(?i)\bseparates\s+endpoint[- ]specific\s+evidence\b")),
         "citation_artifact": ("P1", body.rlike(CITATION_ARTIFACT)),
         "grammar_artifact": ("P1", body.rlike(GRAMMAR)),

@@ -95,8 +95,8 @@ def _classes(design: str, species: str, endpoint: str, source: str) -> str:
 
 @query("evidence_taxonomy", f"with m as {derived_sql('orders', META, 'o_orderkey')}, {_classes('design', 'species', 'endpoint', 'm')} select o_orderkey, kind as design_class, split_part(says, '/', 1) as tier, split_part(says, '/', 2) as directness from x")
 def evidence_taxonomy(spark, sf_dir):
-    m = derived(table(spark, sf_dir, "orders"), META, "o_orderkey").withColumn("c", studies.classified(*_c("design", "species", "endpoint")))
-    return m.select("o_orderkey", studies.design_class(F.col("design")).alias("design_class"), "c.tier", "c.directness")
+    m = derived(table(spark, sf_dir, "orders"), META, "o_orderkey")
+    return studies.with_class(m, *_c("design", "species", "endpoint")).select("o_orderkey", "design_class", "c.tier", "c.directness")
 
 
 _PROTO = f"""({_re('title', studies.TITLE_PROTOCOL)} or (regexp_matches(title, '(?i)\\bstudy design\\s*$') and regexp_matches(abstract, '(?i)\\b(trial|study) is designed to\\b')) or (regexp_matches(title, '(?i)\\bdesign of\\b[^.!?]*\\b(trials?|studies|study)\\b')
@@ -111,13 +111,12 @@ _PRIMARY = f"""{_S}, q as (select *, {_PROTO} as proto, case when regexp_matches
 
 @query("primary_trials", f"with {_PRIMARY} select o_orderkey, proto as protocol, is_primary as primary_trial from p")
 def primary_trials(spark, sf_dir):
-    s = rows(spark, sf_dir)
-    return s.select("o_orderkey", studies.is_protocol(*_c("title", "abstract")).alias("protocol"), studies.is_primary_trial(*_c("title", "abstract")).alias("primary_trial"))
+    return studies.with_trial(rows(spark, sf_dir), *_c("title", "abstract")).select("o_orderkey", "protocol", "primary_trial")
 
 
 @query("taxonomy_inferred", f"with {_PRIMARY}, {_classes('t_design', 't_species', 't_endpoint', 'i')} select o_orderkey, split_part(says, '/', 1) as tier, split_part(says, '/', 2) as directness from x")
 def taxonomy_inferred(spark, sf_dir):
-    return rows(spark, sf_dir).select("o_orderkey", studies.inferred(*_c("title", "abstract")).alias("c")).select("o_orderkey", "c.*")
+    return studies.with_inferred(rows(spark, sf_dir), *_c("title", "abstract")).select("o_orderkey", "c.*")
 
 
 @query("paper_tier", f"""with {_PRIMARY}, e as (select i.*, {META['design'].replace('o_orderkey % 11', '(o_orderkey // 13) % 11')} as m_design, case when o_orderkey % 2 = 0 then '' else 'human' end as m_species from i where true),
@@ -128,7 +127,7 @@ def taxonomy_inferred(spark, sf_dir):
     select o_orderkey, split_part(v, '/', 1) as tier, split_part(v, '/', 2) as directness from w""")
 def paper_tier(spark, sf_dir):
     s = rows(spark, sf_dir).withColumn("m_design", F.expr(META["design"].replace("o_orderkey % 11", "(o_orderkey div 13) % 11"))).withColumn("m_species", F.expr("case when o_orderkey % 2 = 0 then '' else 'human' end"))
-    return s.select("o_orderkey", studies.paper_tier(*_c("title", "abstract", "m_design", "m_species"), F.lit(""), F.col("o_orderkey") % 10 == 0).alias("c")).select("o_orderkey", "c.*")
+    return studies.with_paper_tier(s, *_c("title", "abstract", "m_design", "m_species"), F.lit(""), F.col("o_orderkey") % 10 == 0).select("o_orderkey", "c.*")
 
 
 @query("population_of", f"""with {_S}, b as (select o_orderkey, lower(title || ' ' || abstract) as x from s) select o_orderkey, case when {_re('x', studies.HUMAN_TEXT)} then 'human' when {_re('x', studies.ANIMAL_TEXT)} then 'animal' else 'unknown' end as population from b""")

@@ -73,7 +73,7 @@ def papers(spark, sf_dir):
 @query("paper_issues", _broken(1))
 def paper_issues(spark, sf_dir):
     rules = surface.paper_rules({"Abstract": 3, "Limitations": 2}, {"Abstract": 11}, 0, 4, 0, (0, 0.0))
-    return issues.issues(papers(spark, sf_dir), "id", F.lit(0), F.lit(""), rules).select("id", "code").distinct()
+    return issues.issues(surface.judged(papers(spark, sf_dir)), "id", F.lit(0), F.lit(""), rules).select("id", "code").distinct()
 
 
 @query("paragraph_issues", _broken(2))
