@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from weft.llm.langid import codewords, fit, identify, predict
-from weft.llm.lmtrie import BITS, BITS3, EliasFano, LanguageModel, Trie, _blobs, _stretches, _unblob, score_corpus, word_hashes
+from weft.llm.lmtrie import BITS, BITS3, SPLIT, SPLIT_BITS, EliasFano, LanguageModel, Trie, _blobs, _stretches, _unblob, score_corpus, word_hashes
 from weft.llm.mixing import mix
 from weft.llm.bytes_ import passage_rows
 from weft.llm.quality import AttentionModel, classify, score
@@ -200,14 +200,14 @@ def test_trie_round_trip():
     for stretch in _stretches(tok, 700):
         for k, blob in _blobs(stretch, 2):
             shards.setdefault(k, []).append(_unblob(blob))
-    tries = {k: Trie.load(Trie.build(*map(np.concatenate, zip(*v, strict=True)), 2, k % 8 == 0, 0.75).pack()) for k, v in shards.items()}
+    tries = {k: Trie.load(Trie.build(*map(np.concatenate, zip(*v, strict=True)), 2, k % SPLIT == 0, 0.75).pack()) for k, v in shards.items()}
     total, low = Counter(seq[2:]), lambda w, bits: np.array([w & (1 << bits) - 1], np.uint64)
     assert sum(t.successors.n for t in tries.values()) == len(pairs) and sum(t.thirds.n for t in tries.values()) == len(thirds)
     for w in total:
-        t = tries[(w >> 62) * 8]
+        t = tries[(w >> 62) * SPLIT]
         assert t.counts(t.place_of(np.array([w], np.uint64)))[0] == total[w]
     for (u, v), n in pairs.items():
-        t = tries[(u >> 62) * 8 + (v >> 61)]
+        t = tries[(u >> 62) * SPLIT + (v >> 64 - SPLIT_BITS)]
         at = t.second(t.place_of(np.array([u], np.uint64)), low(v, BITS))
         assert at[0] >= 0 and 0.999 * (n - 0.75) <= t.taken(at)[0] <= n - 0.75 + 1e-9
         begin, end = t.pointers3.at(at), t.pointers3.at(at + 1)

@@ -66,7 +66,7 @@ SHARD_BYTES = 24 << 20
 #: Bits of a successor's hash, and of its number relative to its context (R), for second and third words.
 BITS, BITS3 = 40, 32
 R, R3 = 24, 20
-SPLIT_BITS = 3
+SPLIT_BITS = 2
 SPLIT = 1 << SPLIT_BITS
 END = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -128,38 +128,46 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _sorted(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, sorted keys) of unsigned keys below 2^bits."""
+    """(order, sorted keys) of unsigned keys below 2^bits; the keys are given up."""
     own = len(key).bit_length()
     if bits + own > 64:
         order = np.argsort(key, kind="stable")
-        return order, key[order]
-    # Key and place in one number, which sorts faster than places by key.
-    s = np.sort((key << _U(own)) | np.arange(len(key), dtype=np.uint64))
-    return (s & _U((1 << own) - 1)).astype(np.int64), s >> _U(own)
+        return order.astype(np.int32), key[order]
+    # Key and place in one number, which sorts faster than places by key; in place, since runs are long.
+    key <<= _U(own)
+    key |= np.arange(len(key), dtype=np.uint64)
+    key.sort()
+    order = (key & _U((1 << own) - 1)).astype(np.int32)
+    key >>= _U(own)
+    return order, key
 
 
 def _distinct(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct keys in order, place of each key among them, counts)."""
+    """(distinct keys in order, place of each key among them, counts); the keys are given up."""
     if not len(key):
-        return key, np.empty(0, np.int64), np.empty(0, np.int64)
+        return key, np.empty(0, np.int32), np.empty(0, np.int32)
     order, s = _sorted(key, bits)
     new = np.append(True, s[1:] != s[:-1])
-    inverse = np.empty(len(key), np.int64)
-    inverse[order] = np.cumsum(new) - 1
-    at = np.flatnonzero(new)
-    return s[at], inverse, np.diff(np.append(at, len(key)))
+    inverse = np.empty(len(key), np.int32)
+    inverse[order] = np.cumsum(new, dtype=np.int32) - 1
+    at = np.flatnonzero(new).astype(np.int32)
+    return s[at], inverse, np.diff(np.append(at, np.int32(len(key))))
 
 
 def _distinct_hashes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct hashes in order, place of each hash among them)."""
     own = _U(len(h).bit_length())
-    order = (np.sort(((h >> own) << own) | np.arange(len(h), dtype=np.uint64)) & _U((1 << int(own)) - 1)).astype(np.int64)
-    s = h[order]
+    key = (h >> own) << own
+    key |= np.arange(len(h), dtype=np.uint64)
+    key.sort()
+    order = (key & _U((1 << int(own)) - 1)).astype(np.int32)
+    s = np.take(h, order, out=key)
     if (s[1:] < s[:-1]).any():
-        return np.unique(h, return_inverse=True)
+        words, inverse = np.unique(h, return_inverse=True)
+        return words, inverse.astype(np.int32)
     new = np.append(True, s[1:] != s[:-1])
-    inverse = np.empty(len(h), np.int64)
-    inverse[order] = np.cumsum(new) - 1
+    inverse = np.empty(len(h), np.int32)
+    inverse[order] = np.cumsum(new, dtype=np.int32) - 1
     return s[new], inverse
 
 
@@ -174,14 +182,18 @@ class Grams:
     def __init__(self, seq: np.ndarray):
         self.words, self.of = _distinct_hashes(seq)
         w = _U(len(self.words))
-        of = self.of.astype(np.uint64)
-        bits = 2 * len(self.words).bit_length()
-        pairs, self.pair, self.n_pair = _distinct(of[:-1] * w + of[1:], bits)
-        self.a, self.b = (pairs // w).astype(np.int64), (pairs % w).astype(np.int64)
-        self.tri = np.flatnonzero(seq[1:-1] != END)
-        bits = len(pairs).bit_length() + len(self.words).bit_length()
-        thirds, self.third, self.n_third = _distinct(self.pair[:-1][self.tri].astype(np.uint64) * w + of[2:][self.tri], bits)
-        self.context, self.c = (thirds // w).astype(np.int64), (thirds % w).astype(np.int64)
+        key = self.of[:-1].astype(np.uint64)
+        key *= w
+        key += self.of[1:].astype(np.uint64)
+        pairs, self.pair, self.n_pair = _distinct(key, 2 * len(self.words).bit_length())
+        self.a, self.b = (pairs // w).astype(np.int32), (pairs % w).astype(np.int32)
+        self.tri = seq[1:-1] != END
+        key = self.pair[:-1][self.tri].astype(np.uint64)
+        key *= w
+        key += self.of[2:][self.tri].astype(np.uint64)
+        thirds, self.third, self.n_third = _distinct(key, len(pairs).bit_length() + len(self.words).bit_length())
+        del key
+        self.context, self.c = (thirds // w).astype(np.int32), (thirds % w).astype(np.int32)
 
 
 class EliasFano:
@@ -357,7 +369,7 @@ class Trie:
         meta = {k: [e.n, e.low] for k, e in levels.items()} | {"least": least, "most": most, "shard_bits": shard_bits, "cut_off": offs}
         arrays = {f"{k}.{part}": getattr(e, part) for k, e in levels.items() for part in ("high", "zeros", "lows")}
         small = total.astype(np.uint32) if not len(total) or total.max() < 1 << 32 else total.astype(np.uint64)
-        more = {"count": small, "taken": codes, "mass": np.bincount(node, most * _value(codes, least), len(words)).astype(np.float64)}
+        more = {"count": small, "taken": codes, "mass": np.bincount(node, most * _value(codes, least), len(words)).astype(np.float32)}
         return cls(meta, arrays | more | {"left": np.floor(left.clip(0, 1) * 65535 + 1e-6).astype(np.uint16), "share": codes3, "book": book})
 
     def pack(self) -> bytes:
@@ -427,9 +439,9 @@ def _packed(x: np.ndarray) -> tuple[int, bytes]:
 def _blobs(seq: np.ndarray, shard_bits: int) -> Iterator[tuple[int, bytes]]:
     """(shard, counts) of the n-grams of a stretch of tokens that two tokens go before."""
     g = Grams(seq)
-    words = g.words
-    count = g.n_pair.copy()
+    words, count = g.words, g.n_pair
     count[g.pair[0]] -= 1
+    del g.of, g.pair, g.third
     runs3 = np.bincount(g.context, minlength=len(count))
     total = np.bincount(g.a, count, len(words)).astype(np.uint32)
     second, third = (words[x].view(np.uint8).reshape(-1, 8)[:, : n // 8] for x, n in ((g.b, BITS), (g.c, BITS3)))
@@ -474,10 +486,10 @@ def _unblob(data: bytes) -> tuple[np.ndarray, ...]:
 
 def _stretches(tok: np.ndarray, size: int) -> Iterator[np.ndarray]:
     """Whole texts' tokens in stretches of about `size`, each with the two tokens before it."""
-    seq = np.concatenate(([END, END], tok))
     n = max(1, len(tok) // size)
     for k in range(n):
-        yield seq[len(tok) * k // n : len(tok) * (k + 1) // n + 2]
+        a, b = len(tok) * k // n, len(tok) * (k + 1) // n
+        yield np.concatenate((tok[a - 2 : a] if a >= 2 else np.append([END, END], tok[:a])[-2:].astype(np.uint64), tok[a:b]))
 
 
 class LanguageModel:
@@ -499,8 +511,8 @@ class LanguageModel:
                 tok = np.concatenate(held)
                 held.clear()
                 for seq in _stretches(tok, flush):
-                    ks, blobs = zip(*_blobs(seq, bits), strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int32()), pa.array(blobs, pa.binary())], ["shard", "counts"])
+                    for k, blob in _blobs(seq, bits):
+                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blob], pa.binary())], ["shard", "counts"])
 
             for b in batches:
                 data, offsets = flat(b.column(0))
