@@ -76,6 +76,23 @@ def dedup_receipts(rows: DataFrame) -> DataFrame:
     return greedy_by_keys(ranked.join(keys, "_n", "left"), "_n", "_keys").drop("_n", "_keys")
 
 
+def agreeing(each: DataFrame, same: str, soft: list[str]) -> DataFrame:
+    """(a, b), a < b by who: rows of each(who, same, soft...) that are equal in `same`, and in all of soft that both know.
+
+    Which of soft a row knows is a mask. A row looks for each mask in turn, by the
+    values that both then know, so that the join makes only pairs that agree, however
+    many rows one title has.
+    """
+    mask = sum((F.col(c).isNotNull().cast("int") * (1 << i) for i, c in enumerate(soft)), F.lit(0))
+    rows = each.where(F.col(same).isNotNull()).withColumn("mask", mask).withColumn("want", F.explode(F.array(*[F.lit(m) for m in range(1 << len(soft))])))
+    both = F.col("mask").bitwiseAND(F.col("want"))
+    shared = [F.when(both.bitwiseAND(F.lit(1 << i)) > 0, F.col(c)).alias(c) for i, c in enumerate(soft)]
+    keyed = rows.select("who", "mask", "want", F.to_json(F.struct(same, *shared)).alias("k"))
+    a, b = keyed.alias("a"), keyed.alias("b")
+    on = (F.col("a.k") == F.col("b.k")) & (F.col("a.mask") == F.col("b.want")) & (F.col("a.want") == F.col("b.mask")) & (F.col("a.who") < F.col("b.who"))
+    return a.join(b, on).select(F.col("a.who").alias("a"), F.col("b.who").alias("b"))
+
+
 def conflict_keys(rows: DataFrame) -> DataFrame:
     """(_n, key): two of rows(_n, trial, thesis, doi, pmid, title, year) conflict if they share a key.
 
@@ -96,13 +113,9 @@ def conflict_keys(rows: DataFrame) -> DataFrame:
     keyed = cut(keyed.withColumn("who", F.md5(F.to_json(F.struct("doi", "pmid", "title", "year")))))
     known = keyed.where(F.coalesce("doi", "pmid", "title").isNotNull())
     each = cut(known.select("who", "doi", "pmid", "title", "year").distinct())
-    a, b = each.alias("a"), each.alias("b")
-    early = F.col("a.who") < F.col("b.who")
-    differ = lambda c: F.coalesce(F.col(f"a.{c}") != F.col(f"b.{c}"), F.lit(False))
-    clash = differ("doi") | differ("pmid")
     met = None
-    for c, extra in (("doi", ~clash), ("pmid", ~clash), ("title", ~clash & ~differ("year"))):
-        part = a.join(b, (F.col(f"a.{c}") == F.col(f"b.{c}")) & early & extra).select(F.col("a.who").alias("a"), F.col("b.who").alias("b"))
+    for same, soft in (("doi", ["pmid"]), ("pmid", ["doi"]), ("title", ["doi", "pmid", "year"])):
+        part = agreeing(each, same, soft)
         met = part if met is None else met.union(part)
     both = met.distinct().withColumn("key", F.concat("a", "b"))
     sides = both.select(F.col("a").alias("who"), "key").union(both.select(F.col("b").alias("who"), "key"))

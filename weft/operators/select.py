@@ -32,8 +32,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def greedy_by_keys(rows: DataFrame, order: str, keys: str, theta=None) -> DataFrame:  # noqa: ANN001
-    """The kept rows of rows(order, keys array): no two share a key unless theta excuses them.
+def greedy_by_keys(rows: DataFrame, order: str, keys: str) -> DataFrame:
+    """The kept rows of rows(order, keys array): no two share a key.
 
     A row waits only for the row just before it under each key, and is dropped when
     a kept row holds one of its keys; so no pairs are made, and a key that a third of

@@ -2,43 +2,65 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.text import jaccard, tokens
 from weft.operators.select import cut
 
 
+#: Words of 64 bits of a set's parity bitmap.
+WORDS = 4
+
+
+def parity(hashes: Column) -> list[Column]:
+    """WORDS longs for a set of hashes: a bit is flipped by each member that falls on it."""
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
+    own = lambda k: F.filter(hashes, lambda h: F.pmod(F.shiftright(h, 8), F.lit(WORDS)) == k)
+    return [F.aggregate(own(k), F.lit(0).cast("long"), lambda s, h: s.bitwiseXOR(bit(h))) for k in range(WORDS)]
+
+
 def similar_sets(rows: DataFrame, id_col: str, tokens_col: str, threshold: float = 0.9, least: int = 1) -> DataFrame:
     """(a, b, similarity) of distinct token sets with Jaccard >= threshold, a < b, and
     each row's set: see members().
 
     Equal sets are one: a is the smallest id of its set. Prefix filtering makes the
     join exact: sets that similar share one of their first
-    size - ceil(threshold * size) + 1 tokens, rarest first. A candidate pair is
-    counted once, and lengths that cannot reach the threshold are not joined. Tokens
-    are compared by 64-bit hashes, sets by two.
+    size - ceil(threshold * size) + 1 tokens, rarest first. Rows of a token are parted
+    by size, and a set meets its own part and the next. A candidate goes on only if
+    the places of the shared token, and the bits in which the sets' parity bitmaps
+    differ (no more than members that one set has alone), leave it possible; so
+    token arrays are sent for few but the similar ones. Tokens are compared by 64-bit
+    hashes, sets by two.
     """
     hashed = F.array_sort(F.array_distinct(F.transform(tokens_col, lambda x: F.xxhash64(x))))
     sets = cut(rows.select(F.col(id_col).alias("id"), hashed.alias("t")).where(F.size("t") >= least))
     first = sets.groupBy(F.xxhash64("t").alias("h"), F.xxhash64(F.lit(1), "t").alias("g")).agg(F.min("id").alias("id")).select("id")
-    reps = cut(sets.join(first, "id", "left_semi"))
+    marks = [f"m{k}" for k in range(WORDS)]
+    reps = cut(sets.join(first, "id", "left_semi").select("id", "t", *[m.alias(k) for m, k in zip(parity(F.col("t")), marks, strict=True)]))
     rarity = reps.select(F.explode("t").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
-    ranked = reps.select("id", F.size("t").alias("n"), F.explode("t").alias("w")).join(rarity, "w").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"))
+    ranked = reps.select("id", *marks, F.size("t").alias("n"), F.explode("t").alias("w")).join(rarity, "w").groupBy("id", "n", *marks).agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"))
     head = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    prefixes = ranked.select("id", "n", F.posexplode(F.slice("o", F.lit(1), head.cast("int"))).alias("i", "p")).select("id", "n", "i", F.col("p.w").alias("w"))
-    a, b = prefixes.alias("a"), prefixes.alias("b")
-    x = lambda c: (F.col(f"a.{c}"), F.col(f"b.{c}"))
-    (na, nb), (ia, ib) = x("n"), x("i")
+    part = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / threshold)).cast("int") if threshold < 1 else F.col("n")
+    prefixes = cut(ranked.withColumn("part", part).select("id", "n", "part", *marks, F.posexplode(F.slice("o", F.lit(1), head.cast("int"))).alias("i", "p")).select("id", "n", "part", "i", *marks, F.col("p.w").alias("w")))
+    # The smaller part of a pair is a; within a part the smaller id.
+    a = prefixes.select(F.explode(F.array("part", F.col("part") + 1)).alias("to"), *[F.col(c).alias(f"a_{c}") for c in prefixes.columns])
+    b = prefixes.select(*[F.col(c).alias(f"b_{c}") for c in prefixes.columns])
+    x = lambda c: (F.col(f"a_{c}"), F.col(f"b_{c}"))
+    (na, nb), (ia, ib), (pa_, pb), (ida, idb) = x("n"), x("i"), x("part"), x("id")
     long_enough = (na >= nb * threshold - 1e-9) & (nb >= na * threshold - 1e-9)
     # What two sets can share, given the places of one shared token in their orders.
     most = F.least(ia, ib) + 1 + F.least(na - ia - 1, nb - ib - 1)
-    within = most >= (na + nb) * (threshold / (1 + threshold)) - 1e-9
-    near = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.id") < F.col("b.id")) & long_enough & within).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    need = (na + nb) * (threshold / (1 + threshold)) - 1e-9
+    apart = sum((F.bit_count(x(m)[0].bitwiseXOR(x(m)[1])) for m in marks[1:]), F.bit_count(x(marks[0])[0].bitwiseXOR(x(marks[0])[1])))
+    on = (F.col("a_w") == F.col("b_w")) & (F.col("to") == pb) & ((pa_ < pb) | (ida < idb)) & long_enough & (most >= need) & (apart <= na + nb - 2 * need)
+    near = a.join(b, on).select(F.least(ida, idb).alias("a"), F.greatest(ida, idb).alias("b")).distinct()
     x, y = reps.select(F.col("id").alias("a"), F.col("t").alias("ta")), reps.select(F.col("id").alias("b"), F.col("t").alias("tb"))
     scored = near.join(x, "a").join(y, "b").select("a", "b", jaccard(F.col("ta"), F.col("tb")).alias("similarity"))
     return scored.where(F.col("similarity") >= threshold - 1e-12)
@@ -50,34 +72,87 @@ def members(rows: DataFrame, id_col: str, tokens_col: str, least: int = 1) -> Da
     return sets.join(sets.groupBy("k").agg(F.min("id").alias("representative")), "k").select("id", "representative")
 
 
+def distinct_lines(docs: DataFrame, text_col: str, *keep: str) -> DataFrame:
+    """(keep..., line_id, t): the distinct lines of documents, by hash, and their tokens."""
+    lines = docs.select(*keep, F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line")).distinct()
+    return lines.select(*keep, F.md5("line").alias("line_id"), tokens(F.col("line")).alias("t"))
+
+
 def near_duplicate_lines(docs: DataFrame, id_col: str, text_col: str, threshold: float = 0.9, least: int = 20) -> DataFrame:
     """similar_sets over the distinct lines of at least `least` different tokens; ids are line hashes."""
-    lines = docs.select(F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line")).distinct()
-    rows = lines.select(F.md5("line").alias("line_id"), tokens(F.col("line")).alias("t"))
-    return similar_sets(rows, "line_id", "t", threshold, least)
+    return similar_sets(distinct_lines(docs, text_col), "line_id", "t", threshold, least)
+
+
+def line_members(docs: DataFrame, id_col: str, text_col: str, least: int = 20) -> DataFrame:
+    """(id, line_id, representative): documents' lines and the line that stands for their token set."""
+    own = distinct_lines(docs, text_col, id_col)
+    sets = members(own.select("line_id", "t").distinct(), "line_id", "t", least).withColumnRenamed("id", "line_id")
+    return own.select(id_col, "line_id").join(sets, "line_id")
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Rows of a column of equally long lists, without objects for numbers."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
 def cosine_search(queries: DataFrame, vectors: DataFrame, id_col: str, vector_col: str, limit: float, block: int = 1024) -> DataFrame:
     """(query, match, cosine) of stated queries against all vectors, from `limit` on.
 
-    Queries are cut into blocks of `block` vectors; every block meets every
-    partition of vectors as one matrix product.
+    Queries are taken `block` at a time, which bounds what is broadcast, and each
+    block meets every batch of vectors where it lies as one matrix product. A null
+    vector is left out.
     """
-    named = queries.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
-    blocks = max(1, -(-named.count() // block))
-    packed = named.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b")).agg(F.collect_list(F.struct("id", "v")).alias("q"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-        for t in batches:
-            d = t.to_pydict()
-            for vs, qs in zip(d["vs"], d["q"], strict=True):
-                v, q = (unit(np.array([r["v"] for r in x], float)) for x in (vs, qs))
-                c = q @ v.T
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v is not null")
+    sc, out = vectors.sparkSession.sparkContext, None
+
+    def against(sent) -> DataFrame:  # noqa: ANN001
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q = sent.value
+            for b in batches:
+                c = q @ _unit(_matrix(b.column(1))).T
                 i, j = np.nonzero(c >= limit)
-                yield pa.RecordBatch.from_arrays([pa.array([qs[k]["id"] for k in i], pa.int64()), pa.array([vs[k]["id"] for k in j], pa.int64()), pa.array(c[i, j])], ["query", "match", "cosine"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(b.column(0).to_numpy()[j]), pa.array(c[i, j])], ["query", "match", "cosine"])
+
+        return rows.mapInArrow(run, "query long, match long, cosine double")
+
+    held: list = []
+    named = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v is not null").orderBy("id")
+    for r in itertools.chain(named.toLocalIterator(), [None]):
+        if r is not None:
+            held.append(r)
+        if held and (r is None or len(held) == block):
+            part = against(sc.broadcast((np.array([x.id for x in held]), _unit(np.array([x.v for x in held], float)))))
+            out, held = part if out is None else out.union(part), []
+    if out is None:
+        return rows.select(F.col("id").alias("query"), F.col("id").alias("match"), F.lit(0.0).alias("cosine")).limit(0)
+    return out.where("query <> match")
 
-    n = max(1, -(-vectors.count() // block))
-    parts = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).groupBy(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n)).alias("p")).agg(F.collect_list(F.struct("id", "v")).alias("vs"))
-    met = parts.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "b").select("vs", "q")
-    return met.mapInArrow(run, "query long, match long, cosine double").where("query <> match")
+
+def close_pairs(vectors: DataFrame, group: str, id_col: str, vector_col: str, limit: float, block: int = 512) -> DataFrame:
+    """(group, early, late) of vectors of one group whose cosine exceeds the limit, early < late.
+
+    A group is cut into blocks of about `block` vectors; a pair of blocks is one matrix
+    product, and only pairs beyond the limit leave it.
+    """
+    sized = vectors.groupBy(F.col(group).alias("_g")).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    rows = vectors.join(sized, F.col(group).eqNullSafe(F.col("_g"))).select(F.col(group).alias("g"), F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.pmod(F.xxhash64(id_col), F.col("_blocks")).cast("int").alias("n"))
+    parts = cut(rows.groupBy("g", "n").agg(F.collect_list(F.struct("id", "v")).alias("vs")))
+    left, right = parts.select("g", F.col("n").alias("n1"), F.col("vs").alias("x")), parts.select(F.col("g").alias("g2"), F.col("n").alias("n2"), F.col("vs").alias("y"))
+    met = left.join(right, F.col("g").eqNullSafe(F.col("g2")) & (F.col("n1") <= F.col("n2"))).select("g", (F.col("n1") == F.col("n2")).alias("same"), F.col("x.id").alias("xi"), F.flatten("x.v").alias("xv"), F.col("y.id").alias("yi"), F.flatten("y.v").alias("yv"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                same, xi, xv, yi, yv = (b.column(c)[k].values.to_numpy(zero_copy_only=False) if c > 1 else b.column(c)[k].as_py() for c in range(1, 6))
+                i, j = np.nonzero(_unit(xv.reshape(len(xi), -1)) @ _unit(yv.reshape(len(yi), -1)).T > limit)
+                keep = (xi[i] < yi[j]) if same else np.ones(len(i), bool)
+                lo, hi = np.minimum(xi[i], yi[j])[keep], np.maximum(xi[i], yi[j])[keep]
+                yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[k].as_py()] * len(lo), b.schema.field(0).type), pa.array(lo), pa.array(hi)], ["g", "early", "late"])
+
+    kinds = {c: vectors.schema[c].dataType.simpleString() for c in (group, id_col)}
+    return met.mapInArrow(run, f"g {kinds[group]}, early {kinds[id_col]}, late {kinds[id_col]}")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weft.functions.text import endpoint_key
 from weft.operators.classify import lookup
-from weft.operators.select import greedy_by_keys
+from weft.operators.select import cut, greedy_by_edges, greedy_by_keys
+from weft.operators.similarity import close_pairs
 
 # Severities and weights that rankings depend on.
 SEVERITY = {"orthogonal": 0, "agreement": 2, "indirectness_gap": 3, "mechanism_vs_clinical": 3, "null_vs_positive": 4, "null_vs_negative": 4, "disagreement": 5}
@@ -24,26 +24,70 @@ def directional_kind(a: Column, b: Column) -> Column:
     return F.when(pair("positive", "negative"), "disagreement").when(pair("null", "positive"), "null_vs_positive").when(pair("null", "negative"), "null_vs_negative").when(signed & (a == b), "agreement").otherwise("orthogonal")
 
 
+def endpoint_map(directions: Column, endpoints: Column, aggregate: Column) -> Column:
+    """Map from endpoint key to direction: the stated ones, or the aggregate's if there is one endpoint alone.
+
+    directions is an array of (endpoint, direction); of one endpoint's the last counts.
+    """
+    known = ("positive", "negative", "null", "mixed", "unclear")
+    said = F.transform(F.coalesce(directions, F.array().cast("array<struct<endpoint:string,direction:string>>")), lambda d: F.struct(endpoint_key(F.coalesce(d["endpoint"], F.lit(""))).alias("k"), F.lower(F.trim(F.coalesce(d["direction"], F.lit("")))).alias("v")))
+    good = F.filter(said, lambda d: (d["k"] != "") & d["v"].isin(*known))
+    keys = F.array_distinct(F.transform(good, lambda d: d["k"]))
+    own = F.map_from_entries(F.transform(keys, lambda k: F.struct(k, F.element_at(F.filter(good, lambda d: d["k"] == k), -1)["v"])))
+    names = F.filter(F.array_distinct(F.transform(F.coalesce(endpoints, F.array().cast("array<string>")), lambda e: endpoint_key(F.coalesce(e, F.lit(""))))), lambda e: e != "")
+    whole = F.lower(F.trim(F.coalesce(aggregate, F.lit(""))))
+    single = (F.size(names) == 1) & whole.isin(*known)
+    return F.when(F.size(good) > 0, own).when(single, F.map_from_arrays(names, F.array(whole))).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+
+
+def shared_endpoint(a: Column, b: Column) -> Column:
+    """struct(order, endpoint, kind): of the endpoints of two maps the severest comparison, the first by name on a tie; null if none is comparable."""
+    shared = F.array_intersect(F.map_keys(a), F.map_keys(b))
+    each = F.transform(shared, lambda e: F.struct(e.alias("endpoint"), directional_kind(F.element_at(a, e), F.element_at(b, e)).alias("kind")))
+    ranked = F.transform(F.filter(each, lambda x: x["kind"] != "orthogonal"), lambda x: F.struct((-lookup(SEVERITY, x["kind"])).alias("order"), x["endpoint"].alias("endpoint"), x["kind"].alias("kind")))
+    return F.array_min(ranked)
+
+
+def _kind(a: str, b: str, shared: Column) -> Column:
+    """Kind of a pair of rows: outcomes and directness before directions, which only direct receipts on one outcome compare."""
+    one, two = F.col(f"{a}.directness") == "direct", F.col(f"{b}.directness") == "direct"
+    same = F.col(f"{a}.outcome") == F.col(f"{b}.outcome")
+    return (
+        F.when(~same, F.when(one != two, "mechanism_vs_clinical").otherwise("orthogonal"))
+        .when(one != two, "indirectness_gap").when(one & two, F.coalesce(shared, F.lit("orthogonal"))).otherwise("orthogonal")
+    )
+
+
 def pairs(receipts: DataFrame, block: str) -> DataFrame:
-    """(block, a, b, kind, severity) of receipts(id, outcome, directness, direction) that share a block.
+    """(block, a, b, kind, severity, endpoint) of receipts(id, outcome, directness, endpoint_directions) that share a block.
 
     A block is a topic with a few thousand receipts at most: its pairs are the result.
-    Direct against other evidence is indirectness_gap within an outcome and
-    mechanism_vs_clinical across outcomes; directions are compared between direct
-    receipts on one outcome; the rest is orthogonal.
+    endpoint_directions is a map (see endpoint_map); severity() serves larger topics.
     """
     a, b = receipts.alias("a"), receipts.alias("b")
-    one, two = F.col("a.directness") == "direct", F.col("b.directness") == "direct"
-    same = F.col("a.outcome") == F.col("b.outcome")
-    kind = (
-        F.when(~same, F.when(one != two, "mechanism_vs_clinical").otherwise("orthogonal"))
-        .when(one != two, "indirectness_gap")
-        .when(one & two, directional_kind(F.col("a.direction"), F.col("b.direction")))
-        .otherwise("orthogonal")
-    )
     rows = a.join(b, (F.col(f"a.{block}") == F.col(f"b.{block}")) & (F.col("a.id") < F.col("b.id")))
-    rows = rows.select(F.col(f"a.{block}").alias(block), F.col("a.id").alias("a"), F.col("b.id").alias("b"), kind.alias("kind"))
-    return rows.withColumn("severity", lookup(SEVERITY, F.col("kind")))
+    rows = rows.withColumn("_s", shared_endpoint(F.col("a.endpoint_directions"), F.col("b.endpoint_directions")))
+    kind = _kind("a", "b", F.col("_s.kind"))
+    out = rows.select(F.col(f"a.{block}").alias(block), F.col("a.id").alias("a"), F.col("b.id").alias("b"), kind.alias("kind"), F.when(kind == F.col("_s.kind"), F.col("_s.endpoint")).alias("endpoint"))
+    return out.withColumn("severity", lookup(SEVERITY, F.col("kind")))
+
+
+def severity(receipts: DataFrame, block: str) -> DataFrame:
+    """(block, kind, n, severity): how many pairs of each kind a block has, without making them.
+
+    Receipts alike in outcome, directness and directions are one row with a count;
+    pairs within it and between such rows are counted by products.
+    """
+    key = F.to_json(F.array_sort(F.map_entries("endpoint_directions")))
+    rows = receipts.withColumn("directness", F.when(F.col("directness") == "direct", "direct").otherwise("other"))
+    alike = cut(rows.groupBy(block, "outcome", "directness", key.alias("key")).agg(F.count("*").alias("n"), F.first("endpoint_directions").alias("endpoint_directions")))
+    a, b = alike.alias("a"), alike.alias("b")
+    place = lambda x: F.struct(f"{x}.outcome", f"{x}.directness", f"{x}.key")
+    met = a.join(b, (F.col(f"a.{block}") == F.col(f"b.{block}")) & (place("a") <= place("b")))
+    n = F.when(place("a") == place("b"), F.col("a.n") * (F.col("a.n") - 1) / 2).otherwise(F.col("a.n") * F.col("b.n"))
+    kind = _kind("a", "b", shared_endpoint(F.col("a.endpoint_directions"), F.col("b.endpoint_directions"))["kind"])
+    out = met.select(F.col(f"a.{block}").alias(block), kind.alias("kind"), n.cast("long").alias("n")).groupBy(block, "kind").agg(F.sum("n").alias("n")).where("n > 0")
+    return out.withColumn("severity", lookup(SEVERITY, F.col("kind")))
 
 
 def weight(tier: Column, directness: Column) -> Column:
@@ -64,18 +108,12 @@ def plan(tensions: DataFrame, order: str) -> DataFrame:
 def diverse(vectors: DataFrame, group: str, order: str, vector: str, limit: float = 0.86) -> DataFrame:
     """Greedy choice per group, by order: a row whose cosine with a chosen one exceeds limit is skipped.
 
-    The state of a group is its chosen vectors, so groups are short lists.
+    Rows that are too close are found by blocked matrix products, and the choice among
+    them is made in rounds (see select), so that a group of any size is never gathered.
     """
-
-    def choose(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(order)
-        x = np.stack(f[vector].to_numpy()).astype(float)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        kept: list[int] = []
-        for i in range(len(x)):
-            if not kept or (x[kept] @ x[i]).max() <= limit:
-                kept.append(i)
-        return f.iloc[kept][[group, order]]
-
-    kinds = {c: vectors.schema[c].dataType.simpleString() for c in (group, order)}
-    return vectors.select(group, order, vector).groupBy(group).applyInPandas(choose, ", ".join(f"{c} {k}" for c, k in kinds.items()))
+    named = vectors.select(group, order, vector)
+    near = close_pairs(named, group, order, vector, limit)
+    key = lambda g, o: F.struct(g.alias("g"), o.alias("o"))
+    edges = near.select(key(F.col("g"), F.col("early")).alias("early"), key(F.col("g"), F.col("late")).alias("late"))
+    rows = named.select(key(F.col(group), F.col(order)).alias("_key"))
+    return greedy_by_edges(rows, "_key", edges).select(F.col("_key.g").alias(group), F.col("_key.o").alias(order))

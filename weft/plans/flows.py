@@ -48,6 +48,7 @@ def synthesize(papers: DataFrame, endpoints: list[str], arms: list[str], directi
     signed = usable.withColumn("sign", sign).withColumn("sig", F.when(p.isNotNull(), aggregates.significant(comparator, p)))
     direction = aggregates.effect_direction(signed, ["paper"])
     receipts = usable.groupBy("paper", "topic", "outcome", "directness").agg(F.count("*").alias("n_claims"), F.count_if(F.col("confidence") == "high").alias("n_high")).join(direction, "paper").withColumnRenamed("paper", "id")
+    receipts = receipts.withColumn("endpoint_directions", F.map_from_arrays(F.array(F.col("outcome").cast("string")), F.array("direction")))
     pairs = tension.pairs(receipts, "topic")
     counts = receipts.groupBy("topic").agg(F.count("*").alias("receipts"), F.sum("n_high").alias("claims"), F.count_if(F.col("directness") == "direct").alias("direct"))
     tensions = pairs.where("kind <> 'orthogonal'").groupBy("topic").agg(F.count("*").alias("tensions"))

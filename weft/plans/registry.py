@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weft.plans import evidence, joins, manuscripts, numbers, operations, streams, studies, supplies, surfaces, synthesis, verdicts
+from weft.plans import evidence, joins, landings, manuscripts, numbers, operations, streams, studies, supplies, surfaces, synthesis, verdicts
 
-MODULES = (evidence, studies, synthesis, joins, manuscripts, surfaces, numbers, operations, supplies, verdicts, streams)
+MODULES = (evidence, landings, studies, synthesis, joins, manuscripts, surfaces, numbers, operations, supplies, verdicts, streams)
 
 
 def queries() -> dict:

@@ -30,6 +30,21 @@ def stream_daily(spark, sf_dir):
     return ledger.run_once(ledger.daily(events(spark, sf_dir)), folder(spark), "complete").withColumn("day", F.to_date("day").cast("string"))
 
 
+_CLOSED = "select cast(cast(ts as date) as varchar) as day, event_type, count(*) as n, round(sum(value), 4) as total from events where cast(cast(ts as date) as timestamp) + interval 1 day <= (select max(ts) - interval 1 day from events) group by 1, 2"
+
+
+@query("stream_daily_closed", _CLOSED)
+def stream_daily_closed(spark, sf_dir):
+    """The days that the watermark has passed, each written once and then forgotten."""
+    return ledger.run_once(ledger.daily(events(spark, sf_dir)), folder(spark)).withColumn("day", F.to_date("day").cast("string"))
+
+
+@query("stream_daily_latest", "select cast(cast(ts as date) as varchar) as day, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
+def stream_daily_latest(spark, sf_dir):
+    """In update mode: each day's last row."""
+    return ledger.run_once(ledger.daily(events(spark, sf_dir)), folder(spark), "update", keys=["day", "event_type"]).withColumn("day", F.to_date("day").cast("string"))
+
+
 @query("stream_trailing", "select cast(cast(ts as date) - cast(g as int) as varchar) as start, user_id, count(*) as n from events, range(0, 7) as r(g) group by 1, 2")
 def stream_trailing(spark, sf_dir):
     return ledger.run_once(ledger.sliding(events(spark, sf_dir)), folder(spark), "complete").withColumn("start", F.to_date("start").cast("string"))

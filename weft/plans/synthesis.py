@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from weft.functions import text as tx
 from weft.operators import audit, claims, classify, similarity, tension
 from weft.plans.evidence import _TIER, tier_of
-from weft.plans.tables import registrar, table
+from weft.plans.tables import derived, derived_sql, registrar, table
 
 QUERIES, SQL, query = registrar()
 
@@ -148,28 +148,48 @@ def paper_receipts(spark, sf_dir):
     return r.select("paper", "outcome", "n_claims", ends.alias("ends"), F.round(F.aggregate("p_values", F.lit(0.0), lambda s, x: s + x), 6).alias("p_sum"))
 
 
+_RECEIPT = {
+    "id": "s_suppkey", "outcome": "s_suppkey % 4", "directness": "case when s_suppkey % 5 < 3 then 'direct' else 'indirect' end",
+    "e": "concat('e', cast(s_suppkey % 3 as string))", "d": "case when s_acctbal > 3000 then 'positive' when s_acctbal < 0 then 'negative' else 'null' end",
+    "f": "concat('f', cast(s_suppkey % 2 as string))", "g": "case when s_suppkey % 7 < 3 then 'positive' when s_suppkey % 7 < 5 then 'negative' else 'mixed' end",
+}
+
+
 def receipts(spark, sf_dir):
-    """Suppliers as receipts, regions as topics."""
-    s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
-    d = F.when(F.col("s_acctbal") > 3000, "positive").when(F.col("s_acctbal") < 0, "negative").otherwise("null")
-    return s.join(n, s.s_nationkey == n.n_nationkey).select(F.col("s_suppkey").alias("id"), F.col("n_regionkey").alias("topic"), (F.col("s_suppkey") % 4).alias("outcome"), F.when(F.col("s_suppkey") % 5 < 3, "direct").otherwise("indirect").alias("directness"), d.alias("direction"))
+    """Suppliers as receipts with directions of two endpoints, regions as topics."""
+    s = derived(table(spark, sf_dir, "supplier"), _RECEIPT, "s_nationkey")
+    n = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").alias("topic"))
+    said = F.array(*[F.struct(F.col(k).alias("endpoint"), F.col(v).alias("direction")) for k, v in (("e", "d"), ("f", "g"))])
+    none = F.lit(None).cast("string")
+    return s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("id", "topic", "outcome", "directness", tension.endpoint_map(said, F.array(none), none).alias("endpoint_directions"))
+
+
+def _kind_sql(a: str, b: str) -> str:
+    return f"""case when [{a}, {b}] in (['positive', 'negative'], ['negative', 'positive']) then 'disagreement' when [{a}, {b}] in (['null', 'positive'], ['positive', 'null']) then 'null_vs_positive'
+      when [{a}, {b}] in (['null', 'negative'], ['negative', 'null']) then 'null_vs_negative' when {a} = {b} and {a} in ('positive', 'negative') then 'agreement' else 'orthogonal' end"""
+
 
+def _severity_sql(k: str) -> str:
+    return f"case coalesce({k}, 'orthogonal') when 'orthogonal' then 0 when 'agreement' then 2 when 'indirectness_gap' then 3 when 'mechanism_vs_clinical' then 3 when 'disagreement' then 5 else 4 end"
 
-_PAIRS = """r as (select s_suppkey as id, n_regionkey as topic, s_suppkey % 4 as outcome, case when s_suppkey % 5 < 3 then 'direct' else 'indirect' end as di, case when s_acctbal > 3000 then 'positive' when s_acctbal < 0 then 'negative' else 'null' end as d from supplier join nation on s_nationkey = n_nationkey),
-    t as (select a.topic, a.id as a, b.id as b, case when a.outcome <> b.outcome then case when (a.di = 'direct') <> (b.di = 'direct') then 'mechanism_vs_clinical' else 'orthogonal' end when (a.di = 'direct') <> (b.di = 'direct') then 'indirectness_gap'
-      when a.di <> 'direct' then 'orthogonal' when [a.d, b.d] in (['positive', 'negative'], ['negative', 'positive']) then 'disagreement' when [a.d, b.d] in (['null', 'positive'], ['positive', 'null']) then 'null_vs_positive'
-      when [a.d, b.d] in (['null', 'negative'], ['negative', 'null']) then 'null_vs_negative' when a.d = b.d and a.d <> 'null' then 'agreement' else 'orthogonal' end as kind from r a join r b on a.topic = b.topic and a.id < b.id),
-    v as (select *, case kind when 'orthogonal' then 0 when 'agreement' then 2 when 'indirectness_gap' then 3 when 'mechanism_vs_clinical' then 3 when 'disagreement' then 5 else 4 end as severity from t)"""
 
+_PAIRS = f"""r as (select *, n_regionkey as topic from {derived_sql("supplier", _RECEIPT, "s_nationkey")} join nation on s_nationkey = n_nationkey),
+    m as (select a.topic, a.id as a, b.id as b, a.outcome = b.outcome as same, a.directness as x, b.directness as y, a.e, a.f, case when a.e = b.e then {_kind_sql("a.d", "b.d")} end as k1, case when a.f = b.f then {_kind_sql("a.g", "b.g")} end as k2
+      from r a join r b on a.topic = b.topic and a.id < b.id),
+    s as (select *, case when {_severity_sql("k1")} = 0 and {_severity_sql("k2")} = 0 then null when {_severity_sql("k1")} >= {_severity_sql("k2")} then 1 else 2 end as w from m),
+    t as (select topic, a, b, case when x <> y then case when same then 'indirectness_gap' else 'mechanism_vs_clinical' end when not same or x <> 'direct' or w is null then 'orthogonal' when w = 1 then k1 else k2 end as kind,
+      case when same and x = 'direct' and y = 'direct' then case w when 1 then e when 2 then f end end as endpoint from s),
+    v as (select *, {_severity_sql("kind")} as severity from t)"""
 
-@query("tension_pairs", f"with {_PAIRS} select topic, a, b, kind, severity from v")
+
+@query("tension_pairs", f"with {_PAIRS} select topic, a, b, kind, endpoint, severity from v")
 def tension_pairs(spark, sf_dir):
     return tension.pairs(receipts(spark, sf_dir), "topic")
 
 
 @query("tension_severity", f"with {_PAIRS} select topic, kind, count(*) as n, max(severity) as severity from v group by all")
 def tension_severity(spark, sf_dir):
-    return tension.pairs(receipts(spark, sf_dir), "topic").groupBy("topic", "kind").agg(F.count("*").alias("n"), F.max("severity").alias("severity"))
+    return tension.severity(receipts(spark, sf_dir), "topic")
 
 
 @query("tension_weight", f"""select o_orderkey, case left({_TIER}, 1) when 'A' then 3.0 when 'B' then 2.0 when 'C' then 1.0 else 0.0 end + case o_orderstatus when 'F' then 2.0 when 'O' then 1.0 else 0.5 end as weight from orders""")
@@ -187,8 +207,7 @@ def tension_top_capped(spark, sf_dir):
 
 @query("tension_diverse_cosine")
 def tension_diverse_cosine(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select(F.concat(F.col("label").cast("string"), F.lit(":"), F.floor(F.col("vec_id") / 512).cast("string")).alias("list"), "vec_id", "embedding")
-    return tension.diverse(e, "list", "vec_id", "embedding")
+    return tension.diverse(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding")
 
 
 @query("cosine_search", """with u as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings)
@@ -200,24 +219,36 @@ def cosine_search(spark, sf_dir):
 
 
 _SETS = """select id, list_sort(list_distinct(regexp_extract_all(lower(x), '[a-z0-9]+'))) as t from"""
+_LINES = "(select distinct md5(line) as id, line as x from (select unnest(string_split(coalesce(text, ''), chr(10))) as line from documents))"
+
+
+def _near_sql(rows: str, limit: float, least: int) -> str:
+    return f"""with s as ({_SETS} {rows}), r as (select t, min(id) as id from s where len(t) >= {least} group by t),
+    p as (select a.id as a, b.id as b, len(a.t) + len(b.t) as n, len(list_intersect(a.t, b.t)) as k from r a join r b on a.id < b.id and len(a.t) >= {limit} * len(b.t) and len(b.t) >= {limit} * len(a.t))
+    select a, b, round(k / (n - k), 6) as similarity from p where k >= {limit} * (n - k)"""
 
 
-@query("near_duplicate_docs", f"""with s as ({_SETS} (select doc_id as id, text as x from documents)), r as (select t, min(id) as id from s where len(t) >= 20 group by t)
-    select a.id as a, b.id as b, round(len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))), 6) as similarity from r a join r b on a.id < b.id and len(a.t) >= 0.8 * len(b.t) and len(b.t) >= 0.8 * len(a.t)
-    where len(list_intersect(a.t, b.t)) >= 0.8 * (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))""")
+@query("near_duplicate_docs", _near_sql("(select doc_id as id, text as x from documents)", 0.9, 1))
 def near_duplicate_docs(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", tx.tokens(F.col("text")).alias("t"))
-    return similarity.similar_sets(d, "doc_id", "t", 0.8, 20).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return similarity.similar_sets(d, "doc_id", "t", 0.9, 1).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query("near_duplicate_members", f"""with s as ({_SETS} (select doc_id as id, text as x from documents)), r as (select t, min(id) as representative from s where len(t) >= 20 group by t) select id, representative from s join r using (t)""")
+@query("near_duplicate_members", f"""with s as ({_SETS} (select doc_id as id, text as x from documents)), r as (select t, min(id) as representative from s where len(t) >= 1 group by t) select id, representative from s join r using (t)""")
 def near_duplicate_members(spark, sf_dir):
-    return similarity.members(table(spark, sf_dir, "documents").select("doc_id", tx.tokens(F.col("text")).alias("t")), "doc_id", "t", 20)
+    return similarity.members(table(spark, sf_dir, "documents").select("doc_id", tx.tokens(F.col("text")).alias("t")), "doc_id", "t", 1)
 
 
-@query("near_duplicate_lines")
+@query("near_duplicate_lines", _near_sql(_LINES, 0.9, 20))
 def near_duplicate_lines(spark, sf_dir):
-    return similarity.near_duplicate_lines(table(spark, sf_dir, "documents"), "doc_id", "text")
+    """Pairs of lines of 20 different words or more."""
+    return similarity.near_duplicate_lines(table(spark, sf_dir, "documents"), "doc_id", "text").select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query("near_duplicate_line_members", f"""with s as ({_SETS} {_LINES}), r as (select t, min(id) as representative from s where len(t) >= 20 group by t), o as (select distinct doc_id, md5(line) as id from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line from documents))
+    select doc_id, id as line_id, representative from o join s using (id) join r using (t)""")
+def near_duplicate_line_members(spark, sf_dir):
+    return similarity.line_members(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 _NUMBERS = r"regexp_extract_all(text, '[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?')"

@@ -1,9 +1,10 @@
 """Readers of landed API payloads: rows (payload text) to one schema of hits.
 
 Retrieval itself is somebody else's job; payloads arrive as files of JSON or XML
-responses, one a row. JSON is parsed with a schema that names only what is used,
-XML with xpath; both stay in the JVM and split with their files. A payload that
-cannot be parsed goes to quarantine(), not to an exception.
+responses, one a row. A reader is an expression from a payload to an array of hits:
+JSON is parsed with a schema that names only what is used, XML with patterns that
+survive broken mark-up. A payload that cannot be read gives no hits and is listed
+by quarantine().
 """
 
 from __future__ import annotations
@@ -31,26 +32,44 @@ def registry(spark: SparkSession, configured: tuple[str, ...] = ()) -> DataFrame
     return rows.withColumn("enabled", F.col("default_enabled") & (F.col("auth").isNull() | F.col("auth").isin(*configured)))
 
 
-def _hits(items: DataFrame, source: str, **columns: Column) -> DataFrame:
+Reader = Callable[[Column], Column]
+
+
+def _hit(source: str, made: dict[str, Column]) -> Column:
+    """One hit in the schema that all sources share."""
     none = F.lit(None).cast("string")
-    made = {k: columns.get(k, none) for k in HIT[1:]}
+    made = {k: made.get(k, none) for k in HIT[1:]}
     made["year"] = F.try_to_number(F.regexp_extract(made["year"].cast("string"), "([0-9]{4})", 1), F.lit("9999")).cast("int")
     made["doi"] = normalize_doi(made["doi"])
     for k in ("title", "abstract", "venue"):
         made[k] = missing(clean_text(made[k]))
-    return items.select(F.lit(source).alias("source"), *[made[k].alias(k) for k in HIT[1:]])
+    return F.struct(F.lit(source).alias("source"), *[made[k].alias(k) for k in HIT[1:]])
 
 
-def _json(schema: str, path: str, source: str, columns: Callable[[], dict[str, Column]]) -> Callable[[DataFrame], DataFrame]:
-    def read(landed: DataFrame) -> DataFrame:
-        rows = landed.select(F.from_json("payload", schema).alias("j")).select(F.explode(f"j.{path}").alias("x"))
-        return _hits(rows, source, **columns())
+#: Path of the array of records in a JSON response, by source.
+PATHS: dict[str, str] = {}
 
-    return read
 
+def _json(schema: str, path: str, source: str, columns: Callable[[Callable[[str], Column]], dict[str, Column]]) -> Reader:
+    PATHS[source] = path
+
+    def read(payload: Column) -> Column:
+        found = F.from_json(payload, schema)
+        for part in path.split("."):
+            found = found[part]
+
+        def hit(x: Column) -> Column:
+            def at(name: str) -> Column:
+                out = x
+                for part in name.split("."):
+                    out = out[part]
+                return out
 
-def _x(name: str) -> Column:
-    return F.col(f"x.{name}")
+            return _hit(source, columns(at))
+
+        return F.transform(found, hit)
+
+    return read
 
 
 def inverted_abstract(index: Column) -> Column:
@@ -62,102 +81,137 @@ def inverted_abstract(index: Column) -> Column:
 europepmc = _json(
     "resultList struct<result: array<struct<title:string, abstractText:string, pubYear:string, doi:string, pmid:string, pmcid:string, journalTitle:string, source:string, id:string>>>",
     "resultList.result", "europepmc",
-    lambda: {"title": _x("title"), "abstract": _x("abstractText"), "year": _x("pubYear"), "doi": _x("doi"), "pmid": _x("pmid"), "venue": _x("journalTitle"), "url": F.concat(F.lit("https://europepmc.org/article/"), _x("source"), F.lit("/"), _x("id"))},
+    lambda x: {"title": x("title"), "abstract": x("abstractText"), "year": x("pubYear"), "doi": x("doi"), "pmid": x("pmid"), "venue": x("journalTitle"), "url": F.concat(F.lit("https://europepmc.org/article/"), x("source"), F.lit("/"), x("id"))},
 )
 openalex = _json(
     "results array<struct<display_name:string, abstract_inverted_index: map<string, array<int>>, publication_year:int, doi:string, id:string, ids: struct<pmid:string>, primary_location: struct<source: struct<display_name:string>>>>",
     "results", "openalex",
-    lambda: {"title": _x("display_name"), "abstract": inverted_abstract(_x("abstract_inverted_index")), "year": _x("publication_year"), "doi": _x("doi"), "url": _x("id"), "pmid": missing(F.regexp_extract(_x("ids.pmid"), "([0-9]+)$", 1)), "venue": _x("primary_location.source.display_name")},
+    lambda x: {"title": x("display_name"), "abstract": inverted_abstract(x("abstract_inverted_index")), "year": x("publication_year"), "doi": x("doi"), "url": x("id"), "pmid": missing(F.regexp_extract(x("ids.pmid"), "([0-9]+)$", 1)), "venue": x("primary_location.source.display_name")},
 )
 clinicaltrials = _json(
     "studies array<struct<hasResults:boolean, protocolSection: struct<identificationModule: struct<nctId:string, briefTitle:string>, descriptionModule: struct<briefSummary:string>, statusModule: struct<startDateStruct: struct<date:string>>>>>",
     "studies", "clinicaltrials",
-    lambda: {"title": _x("protocolSection.identificationModule.briefTitle"), "abstract": _x("protocolSection.descriptionModule.briefSummary"), "year": _x("protocolSection.statusModule.startDateStruct.date"), "nct": F.upper(_x("protocolSection.identificationModule.nctId")), "url": F.concat(F.lit("https://clinicaltrials.gov/study/"), _x("protocolSection.identificationModule.nctId"))},
+    lambda x: {"title": x("protocolSection.identificationModule.briefTitle"), "abstract": x("protocolSection.descriptionModule.briefSummary"), "year": x("protocolSection.statusModule.startDateStruct.date"), "nct": F.upper(x("protocolSection.identificationModule.nctId")), "url": F.concat(F.lit("https://clinicaltrials.gov/study/"), x("protocolSection.identificationModule.nctId"))},
 )
 crossref = _json(
     "message struct<items: array<struct<title: array<string>, abstract:string, DOI:string, URL:string, `container-title`: array<string>, issued: struct<`date-parts`: array<array<int>>>>>>",
     "message.items", "crossref",
-    lambda: {"title": F.get(_x("title"), F.lit(0)), "abstract": _x("abstract"), "year": F.get(F.get(_x("issued.`date-parts`"), F.lit(0)), F.lit(0)), "doi": _x("DOI"), "url": _x("URL"), "venue": F.get(_x("`container-title`"), F.lit(0))},
+    lambda x: {"title": F.get(x("title"), F.lit(0)), "abstract": x("abstract"), "year": F.get(F.get(x("issued.date-parts"), F.lit(0)), F.lit(0)), "doi": x("DOI"), "url": x("URL"), "venue": F.get(x("container-title"), F.lit(0))},
 )
 semanticscholar = _json(
     "data array<struct<title:string, abstract:string, year:int, url:string, venue:string, externalIds: struct<DOI:string, PubMed:string>>>", "data", "semanticscholar",
-    lambda: {"title": _x("title"), "abstract": _x("abstract"), "year": _x("year"), "url": _x("url"), "venue": _x("venue"), "doi": _x("externalIds.DOI"), "pmid": _x("externalIds.PubMed")},
+    lambda x: {"title": x("title"), "abstract": x("abstract"), "year": x("year"), "url": x("url"), "venue": x("venue"), "doi": x("externalIds.DOI"), "pmid": x("externalIds.PubMed")},
 )
 doaj = _json(
     "results array<struct<id:string, bibjson: struct<title:string, abstract:string, year:string, journal: struct<title:string>, identifier: array<struct<type:string, id:string>>>>>", "results", "doaj",
-    lambda: {"title": _x("bibjson.title"), "abstract": _x("bibjson.abstract"), "year": _x("bibjson.year"), "venue": _x("bibjson.journal.title"), "doi": F.get(F.filter(_x("bibjson.identifier"), lambda i: F.lower(i["type"]) == "doi"), F.lit(0))["id"], "url": F.concat(F.lit("https://doaj.org/article/"), _x("id"))},
+    lambda x: {"title": x("bibjson.title"), "abstract": x("bibjson.abstract"), "year": x("bibjson.year"), "venue": x("bibjson.journal.title"), "doi": F.get(F.filter(x("bibjson.identifier"), lambda i: F.lower(i["type"]) == "doi"), F.lit(0))["id"], "url": F.concat(F.lit("https://doaj.org/article/"), x("id"))},
 )
 core = _json(
     "results array<struct<title:string, abstract:string, yearPublished:int, doi:string, downloadUrl:string, publisher:string>>", "results", "core",
-    lambda: {"title": _x("title"), "abstract": _x("abstract"), "year": _x("yearPublished"), "doi": _x("doi"), "url": _x("downloadUrl"), "venue": _x("publisher")},
+    lambda x: {"title": x("title"), "abstract": x("abstract"), "year": x("yearPublished"), "doi": x("doi"), "url": x("downloadUrl"), "venue": x("publisher")},
 )
 chembl = _json(
     "molecules array<struct<molecule_chembl_id:string, pref_name:string, first_approval:int, molecule_type:string>>", "molecules", "chembl",
-    lambda: {"title": _x("pref_name"), "abstract": _x("molecule_type"), "year": _x("first_approval"), "url": F.concat(F.lit("https://www.ebi.ac.uk/chembl/compound_report_card/"), _x("molecule_chembl_id"))},
+    lambda x: {"title": x("pref_name"), "abstract": x("molecule_type"), "year": x("first_approval"), "url": F.concat(F.lit("https://www.ebi.ac.uk/chembl/compound_report_card/"), x("molecule_chembl_id"))},
 )
 facts = _json(
     "facts array<struct<paper_id:string, title:string, claim:string, year:int, doi:string>>", "facts", "facts",
-    lambda: {"title": _x("title"), "abstract": _x("claim"), "year": _x("year"), "doi": _x("doi"), "url": _x("paper_id")},
+    lambda x: {"title": x("title"), "abstract": x("claim"), "year": x("year"), "doi": x("doi"), "url": x("paper_id")},
 )
 fulltext = _json(
     "hits array<struct<title:string, text:string, year:int, doi:string, pmid:string>>", "hits", "fulltext",
-    lambda: {"title": _x("title"), "abstract": _x("text"), "year": _x("year"), "doi": _x("doi"), "pmid": _x("pmid")},
+    lambda x: {"title": x("title"), "abstract": x("text"), "year": x("year"), "doi": x("doi"), "pmid": x("pmid")},
 )
 
 
-def _preprint(server: str, venue: str) -> Callable[[DataFrame], DataFrame]:
-    """Europe PMC responses, of which one server's preprints count."""
 
-    def read(landed: DataFrame) -> DataFrame:
-        return europepmc(landed).where(F.lower("venue").contains(venue)).withColumn("source", F.lit(server))
 
+def _as(source: str, venue: str | None = None) -> Reader:
+    """Europe PMC responses under another name; with a venue, only the records of it."""
+
+    def read(payload: Column) -> Column:
+        hits = europepmc(payload)
+        if venue:
+            hits = F.filter(hits, lambda h: F.contains(F.lower(h["venue"]), F.lit(venue)))
+        return F.transform(hits, lambda h: h.withField("source", F.lit(source)))
+
+    PATHS[source] = PATHS["europepmc"]
     return read
 
 
-def pmc_oai(landed: DataFrame) -> DataFrame:
-    return europepmc(landed).withColumn("source", F.lit("pmc_oai"))
+def _xml(element: str, source: str, **patterns: str) -> Reader:
+    """Splits a response at an element; a field is what a pattern's group first matches in it.
+
+    Patterns ask for no well-formed XML, so an unknown entity or an unclosed tag
+    costs a field at most. A pattern that starts with * gives all its matches.
+    """
 
+    def read(payload: Column) -> Column:
+        plain = F.regexp_replace(payload, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
+        plain = F.regexp_replace(plain, r"(</?)[A-Za-z]+:", "$1")
+        parts = F.regexp_extract_all(plain, F.lit(rf"(?s)<{element}[ >].*?</{element}>"), 0)
 
-def _xml(element: str, source: str, **paths: str) -> Callable[[DataFrame], DataFrame]:
-    """Splits a response at an element and takes text at paths below it."""
+        def field(x: Column, pattern: str) -> Column:
+            if pattern.startswith("*"):
+                return missing(F.array_join(F.regexp_extract_all(x, F.lit("(?s)" + pattern[1:]), 1), " "))
+            return missing(F.regexp_extract(x, "(?s)" + pattern, 1))
 
-    def read(landed: DataFrame) -> DataFrame:
-        # Name spaces are of no use here and xpath would ask for them.
-        plain = F.regexp_replace(F.regexp_replace("payload", r"(</?)[A-Za-z]+:", "$1"), r"\s(xmlns(:[a-z]+)?|[a-z]+:[a-z]+)=\"[^\"]*\"", "")
-        parts = landed.select(F.explode(F.regexp_extract_all(plain, F.lit(rf"(?s)<{element}[ >].*?</{element}>"), 0)).alias("x"))
-        # xpath() gives an array of texts; xpath_string() the first or "".
-        one = lambda p: missing(F.xpath_string("x", F.lit(p)))
-        many = lambda p: missing(F.array_join(F.xpath("x", F.lit(p)), " "))
-        return _hits(parts, source, **{k: many(p) if p.endswith("text()") else one(p) for k, p in paths.items()})
+        return F.transform(parts, lambda x: _hit(source, {k: field(x, p) for k, p in patterns.items()}))
 
     return read
 
 
+def _tag(name: str, mark: str = "") -> str:
+    return rf"<{name}(?:\s[^>]*)?{mark}>(.*?)</{name}>"
+
+
 pubmed = _xml(
-    "PubmedArticle", "pubmed", title="//ArticleTitle", abstract="//AbstractText/text()", year="//PubDate/Year", pmid="//MedlineCitation/PMID", doi="//ArticleId[@IdType='doi']", venue="//Journal/Title",
+    "PubmedArticle", "pubmed", title=_tag("ArticleTitle"), abstract="*" + _tag("AbstractText"), year="<PubDate>.*?<(?:Year|MedlineDate)>([^<]*)<", pmid=r"<PMID[^>]*>\s*([0-9]+)\s*</PMID>",
+    doi=r"<ArticleId[^>]*IdType=['\"]doi['\"][^>]*>\s*(.*?)\s*</ArticleId>", venue="<Journal>.*?" + _tag("Title"),
 )
-arxiv = _xml("entry", "arxiv", title="//title", abstract="//summary", year="//published", url="//id", doi="//doi")
-openaire = _xml("result", "openaire", title="//title", abstract="//description", year="//dateofacceptance", doi="//pid[@classid='doi']", venue="//journal")
+arxiv = _xml("entry", "arxiv", title=_tag("title"), abstract=_tag("summary"), year=_tag("published"), url=_tag("id"), doi=_tag("doi"))
+openaire = _xml("result", "openaire", title=_tag("title"), abstract=_tag("description"), year=_tag("dateofacceptance"), doi=r"<pid[^>]*classid=['\"]doi['\"][^>]*>\s*(.*?)\s*</pid>", venue=_tag("journal"))
 
-READERS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "pubmed": pubmed, "europepmc": europepmc, "openalex": openalex, "clinicaltrials": clinicaltrials, "biorxiv": _preprint("biorxiv", "biorxiv"), "medrxiv": _preprint("medrxiv", "medrxiv"),
-    "semanticscholar": semanticscholar, "crossref": crossref, "doaj": doaj, "openaire": openaire, "pmc_oai": pmc_oai, "arxiv": arxiv, "core": core, "chembl": chembl, "facts": facts, "fulltext": fulltext,
+READERS: dict[str, Reader] = {
+    "pubmed": pubmed, "europepmc": europepmc, "openalex": openalex, "clinicaltrials": clinicaltrials, "biorxiv": _as("biorxiv", "biorxiv"), "medrxiv": _as("medrxiv", "medrxiv"),
+    "semanticscholar": semanticscholar, "crossref": crossref, "doaj": doaj, "openaire": openaire, "pmc_oai": _as("pmc_oai"), "arxiv": arxiv, "core": core, "chembl": chembl, "facts": facts, "fulltext": fulltext,
 }
 
 
+def read_source(landed: DataFrame, source: str) -> DataFrame:
+    """Hits of landed(payload) from one connector."""
+    return landed.select(F.explode_outer(READERS[source](F.col("payload"))).alias("h")).where("h is not null").select("h.*")
+
+
 def read_all(landed: DataFrame, enabled: list[str] | None = None) -> DataFrame:
-    """Hits of landed(source, payload) from all enabled connectors, in one schema."""
-    out = None
+    """Hits of landed(source, payload) from all enabled connectors, in one schema and one scan."""
+    chosen = None
     for name in enabled or READERS:
-        part = READERS[name](landed.where(F.col("source") == name))
-        out = part if out is None else out.unionByName(part)
-    return out
+        hits = READERS[name](F.col("payload"))
+        chosen = F.when(F.col("source") == name, hits) if chosen is None else chosen.when(F.col("source") == name, hits)
+    return landed.select(F.explode_outer(chosen).alias("h")).where("h is not null").select("h.*")
+
+
+_ROOT = r"(?s)^(?:<\?.*?\?>|<!--.*?-->|<![^>]*>|\s)*<([A-Za-z_][\w:.-]*)"
 
 
 def quarantine(landed: DataFrame) -> DataFrame:
-    """landed rows that are neither JSON nor XML, with a reason."""
-    text = F.trim("payload")
-    bad = F.when(F.col("payload").isNull() | (text == ""), "empty").when(~text.startswith("<") & F.try_parse_json("payload").isNull(), "not JSON or XML")
+    """landed(source, payload) rows that cannot be read, with a reason.
+
+    empty; not JSON or XML; cut off, for XML that does not end with its root; no
+    records, for JSON without its source's array. An empty array is no fault.
+    """
+    text = F.btrim(F.col("payload"), F.lit(" \t\r\n"))
+    root = F.regexp_extract(text, _ROOT, 1)
+    xml = F.startswith(text, F.lit("<"))
+    lacks = None
+    for name, path in PATHS.items():
+        none = F.get_json_object("payload", f"$.{path}").isNull()
+        lacks = F.when(F.col("source") == name, none) if lacks is None else lacks.when(F.col("source") == name, none)
+    bad = (
+        F.when(F.col("payload").isNull() | (text == ""), "empty").when(~xml & F.try_parse_json("payload").isNull(), "not JSON or XML").when(xml & (root == ""), "not JSON or XML")
+        .when(xml & ~F.endswith(text, F.concat(F.lit("</"), root, F.lit(">"))) & ~F.endswith(text, F.lit("/>")), "cut off").when(~xml & lacks, "no records")
+    )
     return landed.withColumn("reason", bad).where("reason is not null")
 
 
@@ -182,6 +236,14 @@ def split_sections(text: Column) -> Column:
 
 
 def jats_sections(payload: Column) -> Column:
-    """Map from section title to text of a JATS article."""
-    secs = F.regexp_extract_all(payload, F.lit(r"(?s)<sec[ >].*?</sec>"), 0)
-    return F.map_from_entries(F.transform(secs, lambda s: F.struct(F.lower(F.xpath_string(s, F.lit("/sec/title"))), F.array_join(F.xpath(s, F.lit("/sec/p/text()")), " "))))
+    """Map from section title, in lower case, to text of a JATS article.
+
+    A section's paragraphs are those up to the next section, nested or not, which has
+    an entry of its own; sections of one title are joined in order.
+    """
+    inner = lambda x, tag: F.regexp_extract_all(x, F.lit("(?s)" + _tag(tag)), 1)
+    parts = F.slice(F.split(F.coalesce(payload, F.lit("")), "<sec(?=[ >])"), 2, 1 << 30)
+    pairs = F.transform(parts, lambda x: F.struct(F.lower(clean_text(F.coalesce(F.get(inner(x, "title"), F.lit(0)), F.lit("")))).alias("k"), F.array_join(F.transform(inner(x, "p"), lambda t: clean_text(t)), " ").alias("v")))
+    titles = F.array_distinct(F.transform(pairs, lambda s: s["k"]))
+    joined = lambda k: F.array_join(F.transform(F.filter(pairs, lambda s: (s["k"] == k) & (s["v"] != "")), lambda s: s["v"]), " ")
+    return F.map_from_entries(F.transform(titles, lambda k: F.struct(k, joined(k))))

@@ -54,12 +54,15 @@ def distinct(events: DataFrame, keys: list[str]) -> DataFrame:
     return events.dropDuplicates(keys)
 
 
-def run_once(stream: DataFrame, folder: str, mode: str = "append", sink: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
+def run_once(stream: DataFrame, folder: str, mode: str = "append", sink: Callable[[DataFrame, int], None] | None = None, keys: list[str] | None = None) -> DataFrame:
     """Runs a stream over what there is; gives the rows it wrote under folder.
 
-    In update and complete mode a later batch's rows replace earlier ones, so each
-    batch is written whole, under its number, and the last complete one counts.
+    Each batch is written whole, under its number, so a batch that is run again
+    replaces itself. In complete mode the last batch counts, in update mode each key's
+    row of its last batch.
     """
+    if mode == "update" and not keys:
+        raise ValueError("update mode needs the keys of a row")
     spark = stream.sparkSession
 
     def save(batch: DataFrame, number: int) -> None:
@@ -72,4 +75,8 @@ def run_once(stream: DataFrame, folder: str, mode: str = "append", sink: Callabl
     if mode == "complete":
         last = rows.agg(F.max("batch")).first()[0]
         rows = rows.where(F.col("batch") == last)
+    elif mode == "update":
+        values = [c for c in rows.columns if c != "batch"]
+        rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_r")).select("_r.*")
+        return rows
     return rows.drop("batch")
