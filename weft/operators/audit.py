@@ -43,10 +43,13 @@ def repeated_words(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def fingerprint(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     """(by..., n, digest): the same for the same rows in any order.
 
-    Two sums of row hashes, so that no group is gathered or sorted.
+    Two sums of row hashes, so that no group is gathered or sorted. Fields end with a
+    unit separator; a missing one is a record separator.
     """
-    h = F.xxhash64(*[F.col(c).cast("string") for c in columns])
-    rows = rows.groupBy(*by).agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.pmod(h, F.lit(1_000_003))).alias("s"))
+    fields = [p for c in columns for p in (F.coalesce(F.col(c).cast("string"), F.lit("\x1e")), F.lit("\x1f"))]
+    h = F.md5(F.concat(*fields))
+    part = lambda at: F.conv(F.substring("_h", at, 15), 16, 10).cast("long")
+    rows = rows.withColumn("_h", h).groupBy(*by).agg(F.count("*").alias("n"), F.bit_xor(part(1)).alias("x"), F.sum(F.pmod(part(18), F.lit(1_000_003))).alias("s"))
     return rows.select(*by, "n", F.sha2(F.concat_ws("|", "n", "x", "s"), 256).alias("digest"))
 
 

@@ -160,14 +160,23 @@ def identity_keys_(spark, sf_dir):
     return p.select("p_partkey", F.array_join(F.array_sort(keys), " ").alias("keys"))
 
 
-@query("identity_dedup_greedy")
+# Row by row, with what the kept ones hold.
+@query("identity_dedup_greedy", r"""with recursive k as (select row_number() over (order by doc_id) as n, doc_id, ['t:' || regexp_replace(lower(left(text, 80)), '[^a-z0-9]+', '', 'g'), 'n:' || n_chars || ':' || source] as keys from documents),
+    g as (select cast(0 as bigint) as n, cast(0 as bigint) as doc_id, cast([] as varchar[]) as used, false as kept
+      union all select k.n, k.doc_id, case when list_has_any(used, keys) then used else list_concat(used, keys) end, not list_has_any(used, keys) from g join k on k.n = g.n + 1)
+    select doc_id, row_number() over (order by n) as ref from g where kept""")
 def identity_dedup_greedy(spark, sf_dir):
     """Keeps a document unless a kept earlier one has its opening or its length and source."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.array(F.concat(F.lit("t:"), title_signature(F.substring("text", 1, 80))), F.concat_ws(":", F.lit("n"), "n_chars", "source")).alias("keys"))
     return identity.dedup_records(d, "doc_id", "keys").select("doc_id", "ref")
 
 
-@query("receipt_dedup_greedy")
+@query("receipt_dedup_greedy", r"""with recursive d as (select doc_id as ord, case when doc_id % 3 = 0 then '10.1/' || n_chars end as doi, n_chars, left(regexp_replace(trim(lower(text)), '\s+', ' ', 'g'), 200) as thesis, nullif(regexp_replace(lower(left(text, 60)), '[^a-z0-9]+', '', 'g'), '') as title from documents),
+    k as (select *, row_number() over (order by doi is null, n_chars desc, ord) as n from d),
+    g as (select cast(0 as bigint) as n, cast(0 as bigint) as ord, cast(null as varchar) as doi, cast(0 as bigint) as n_chars, cast([] as struct(thesis varchar, doi varchar, title varchar)[]) as used, false as kept
+      union all select k.n, k.ord, k.doi, k.n_chars, case when c then used else list_append(used, {'thesis': k.thesis, 'doi': k.doi, 'title': k.title}) end, not c from (select g.n as m, used, k.*,
+        len(list_filter(used, lambda u: u.thesis = k.thesis or coalesce(u.doi = k.doi, false) or (coalesce(u.title = k.title, false) and coalesce(u.doi = k.doi, true)))) > 0 as c from g join k on k.n = g.n + 1) k)
+    select ord, doi, n_chars as n_claims from g where kept""")
 def receipt_dedup_greedy(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("ord"), F.lit(None).cast("string").alias("trial"), F.col("text").alias("thesis"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("10.1/"), F.col("n_chars").cast("string"))).alias("doi"),

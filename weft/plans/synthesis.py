@@ -198,7 +198,9 @@ def tension_weight(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", tension.weight(tier_of("o_orderkey"), d).alias("weight"))
 
 
-@query("tension_top_capped")
+@query("tension_top_capped", f"""with recursive {_PAIRS}, g as (select 0 as step, cast([] as bigint[]) as used, cast(null as bigint) as topic, cast(null as bigint) as a, cast(null as bigint) as b, cast(null as varchar) as kind, cast(null as varchar) as endpoint, 0 as severity
+    union all (select g.step + 1, list_concat(g.used, [v.a, v.b]), v.topic, v.a, v.b, v.kind, v.endpoint, v.severity from g, v where g.step < 10 and not list_contains(g.used, v.a) and not list_contains(g.used, v.b) order by v.severity desc, v.a, v.b limit 1))
+    select topic, a, b, kind, endpoint, severity, printf('T%03d', step) as tension_id from g where step > 0""")
 def tension_top_capped(spark, sf_dir):
     """The ten severest tensions, each supplier in one at most."""
     p = tension.pairs(receipts(spark, sf_dir), "topic").withColumn("rank", F.struct(-F.col("severity"), "a", "b"))
@@ -292,7 +294,8 @@ def identity_hash(spark, sf_dir):
     return audit.identity_hash(table(spark, sf_dir, "part"), ["p_brand", "p_type", "p_size"]).select("p_partkey", "identity_sha256")
 
 
-@query("rows_fingerprint")
+@query("rows_fingerprint", """with h as (select o_orderstatus, md5(o_orderkey || chr(31) || o_custkey || chr(31) || o_orderpriority || chr(31)) as h from orders),
+    s as (select o_orderstatus, count(*) as n, bit_xor(cast('0x' || left(h, 15) as bigint)) as x, cast(sum(cast('0x' || right(h, 15) as bigint) % 1000003) as bigint) as s from h group by 1) select o_orderstatus, n, sha256(n || '|' || x || '|' || s) as digest from s""")
 def rows_fingerprint(spark, sf_dir):
     return audit.fingerprint(table(spark, sf_dir, "orders"), ["o_orderstatus"], ["o_orderkey", "o_custkey", "o_orderpriority"])
 
