@@ -58,7 +58,7 @@ def encode_parts(encode, text: str, part: int = PART) -> list[int]:  # noqa: ANN
 
 
 def write_stream(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, vocabulary: str = VOCABULARY, block: int = BLOCK) -> DataFrame:
-    """Blocks (stream, block, tokens uint16 or uint32 binary, ids, held): one stream per partition of docs.
+    """Blocks (stream, block, tokens uint16 binary, ids): one stream per partition of docs.
 
     ids lists the documents that end in the block, in order: what the stream itself
     doesn't say. Every document ends with the separator; null counts as empty. The
@@ -68,27 +68,29 @@ def write_stream(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(vocabulary).encode_ordinary
-        stream, k, held, ids = TaskContext.get().partitionId(), 0, np.empty(0, np.uint16), []
+        stream, k, held, ids = TaskContext.get().partitionId(), 0, 0, []
+        parts: list[np.ndarray] = []
         ends: list[int] = []
 
         def emit(n: int) -> pa.RecordBatch:
-            nonlocal held, ids, ends, k
+            nonlocal held, parts, ids, ends, k
+            whole = parts[0] if len(parts) == 1 else np.concatenate(parts)
             inside = int(np.searchsorted(ends, n))
-            row = pa.RecordBatch.from_arrays([pa.array([stream], pa.int32()), pa.array([k], pa.int64()), pa.array([held[:n].tobytes()], pa.binary()), pa.array([ids[:inside]], pa.list_(kind))], ["stream", "block", "tokens", "ids"])
-            held, ids, ends, k = held[n:], ids[inside:], [e - n for e in ends[inside:]], k + 1
+            row = pa.RecordBatch.from_arrays([pa.array([stream], pa.int32()), pa.array([k], pa.int64()), pa.array([whole[:n].tobytes()], pa.binary()), pa.array([ids[:inside]], pa.list_(kind))], ["stream", "block", "tokens", "ids"])
+            parts, held, ids, ends, k = [whole[n:]], held - n, ids[inside:], [e - n for e in ends[inside:]], k + 1
             return row
 
         for b in batches:
             kind = b.column(0).type
             for i, text in zip(b.column(0), b.column(1), strict=True):
-                own = np.array([*encode_parts(encode, text.as_py() or ""), SEPARATOR], np.uint16)
-                held = np.concatenate((held, own))
+                parts.append(np.array([*encode_parts(encode, text.as_py() or ""), SEPARATOR], np.uint16))
+                held += len(parts[-1])
                 ids.append(i.as_py())
-                ends.append(len(held) - 1)
-                while len(held) >= block:
+                ends.append(held - 1)
+                while held >= block:
                     yield emit(block)
-        if len(held):
-            yield emit(len(held))
+        if held:
+            yield emit(held)
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
