@@ -113,7 +113,8 @@ def test_repeated_and_null_ids_are_decided_row_by_row(spark, tmp_path):
         assert abs(taken - want) <= 21
 
 
-def test_near_copies_at_four_fifths(spark):
+def test_near_copies_at_four_fifths(spark, monkeypatch):
+    from weft.llm import jaccard
     from weft.llm.jaccard import near_copies
 
     rng = random.Random(5)
@@ -135,6 +136,11 @@ def test_near_copies_at_four_fifths(spark):
             label[i] = label[j] = min(label[i], label[j])
     got = {r.id: r.component for r in near_copies(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
     assert got == {i: c for i, c in enumerate(label) if label.count(c) > 1}
+    # The same where nearly every shingle is crowded and cells are small.
+    monkeypatch.setattr(jaccard, "LIGHT", 1)
+    monkeypatch.setattr(jaccard, "CELL", 3)
+    again = {r.id: r.component for r in near_copies(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+    assert again == got
     from weft.llm.simhash import fingerprint
 
     far = [bin(fingerprint(texts[i].encode()) ^ fingerprint(texts[j].encode())).count("1") > 3 for i, j in alike if texts[i] and texts[j]]
