@@ -226,9 +226,8 @@ def test_word_hashes_tell_words_apart():
     assert n.tolist() == [3, 6] and len({*h.tolist()}) == 7 and h[0] == h[1] == h[-1]
 
 
-def test_lm_scores(spark):
-    rows = corpus(200, 9) + [(900, None, "aa"), (901, "", "aa"), (902, "never seen\x0bwords", "aa"), (903, "the of " * 300000, "aa"), (5, "the of", "aa")]
-    got = score_corpus(docs(spark, rows)).collect()
+def plain_lm(rows):
+    """(doc_id, n_tokens, n_known, base_score, score) of each row, and the number of training tokens."""
     lower = lambda t: re.findall(rb"[^\x20\x09-\x0D]+", bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode())) + [b" "]
     train = [lower(t) for i, t, _ in rows if zlib.crc32(str(i).encode()) % 7 != 2]
     count = Counter(w for t in train for w in t)
@@ -253,10 +252,41 @@ def test_lm_scores(spark):
         base = sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w)
         p = [p3(*x) for x in zip([b" ", b" ", *w[:-2]], [b" ", *w[:-1]], w, strict=False)]
         want.append((i, len(w), sum(count[x] > 0 for x in w), base, sum(map(math.log10, p))))
+    return want, n
+
+
+def held_to_plain_lm(got, rows):
+    want, n = plain_lm(rows)
     assert len(got) == len(want) and all(r.train_tokens == n for r in got)
     for r, x in zip(sorted(got, key=lambda r: (r.doc_id, r.n_tokens)), sorted(want), strict=True):
         assert (r.doc_id, r.n_tokens, r.n_known) == x[:3]
         assert r.base_score == pytest.approx(x[3], rel=1e-9) and abs(r.score - x[4]) <= 0.01 * r.n_tokens
+
+
+@pytest.mark.parametrize("texts", [["a b c d e", "a b c", "d e"], ["a b"], ["", None], [None], ["a"], ["", "a", None, "a b", "b a c"]])
+def test_lm_scores_of_tiny_corpora(spark, texts):
+    """Counts of a stretch may hold no bigram or trigram; a null or empty training text is one token."""
+    train = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2]
+    rows = [(i, t, "aa") for i, t in zip(train, texts, strict=False)] + [(2, "a b c never", "aa")]
+    for parts in (1, len(rows)):
+        held_to_plain_lm(score_corpus(docs(spark, rows).repartition(parts)).collect(), rows)
+
+
+def test_lm_scores_over_uneven_partitions_and_many_shards(spark):
+    """A short last partition beside long ones, and far more shards than the text needs."""
+    rows = corpus(60, 9)
+    small = [(1000 + i, "two words", "aa") for i in range(3)]
+    frame = docs(spark, rows).repartition(2).union(docs(spark, small).coalesce(1))
+    held_to_plain_lm(score_corpus(frame).collect(), rows + small)
+    many = LanguageModel(frame, shard_bytes=64)
+    few = {r.doc_id: r.score for r in LanguageModel(frame).score(frame).collect()}
+    # Codes are quantised shard by shard.
+    assert many.shard_bits > 6 and all(abs(r.score - few[r.doc_id]) <= 0.01 * r.n_tokens for r in many.score(frame).collect())
+
+
+def test_lm_scores(spark):
+    rows = corpus(200, 9) + [(900, None, "aa"), (901, "", "aa"), (902, "never seen\x0bwords", "aa"), (903, "the of " * 300000, "aa"), (5, "the of", "aa")]
+    held_to_plain_lm(score_corpus(docs(spark, rows)).collect(), rows)
     assert score_corpus(docs(spark, [])).count() == 0
     untrained = score_corpus(docs(spark, [(i, "a b", "aa") for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2])).collect()
     assert untrained and all(r.train_tokens == r.n_known == 0 and r.score == r.base_score for r in untrained)

@@ -477,7 +477,7 @@ def _unblob(data: bytes) -> tuple[np.ndarray, ...]:
     hashes = []
     for k, bits in ((m, BITS), (m3, BITS3)):
         low = np.zeros((k, 8), np.uint8)
-        low[:, : bits // 8] = np.frombuffer(data, np.uint8, k * (bits // 8), at).reshape(k, -1)
+        low[:, : bits // 8] = np.frombuffer(data, np.uint8, k * (bits // 8), at).reshape(k, bits // 8)
         hashes.append(low.view(np.uint64).ravel())
         at += k * (bits // 8)
     total, runs, count, runs3, count3 = parts
