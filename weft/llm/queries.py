@@ -15,6 +15,7 @@ from weft.llm.linededup import dedup_lines
 from weft.llm.lmtrie import score_corpus
 from weft.llm.mixing import mix
 from weft.llm.quality import classify
+from weft.llm.repair import audited
 from weft.llm.simhash import simhash_components
 from weft.llm.tokens import document_token_counts
 from weft.llm.urlfilter import judge_urls, tracking_hosts
@@ -69,6 +70,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audited(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -81,15 +86,60 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_source_mixing": op8_source_mixing,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_language_id": op10_language_id,
+        "op11_structure_repair": op11_structure_repair,
         "pipeline": corpus_pipeline.run,
     }
 
 
 _WORDS5 = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
+# crc32 of an ASCII text, with the table of its 256 byte steps in crc(t).
+_CRC_TABLE = "select list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end)) as t"
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split({0}, ''), lambda x: cast(ascii(x) as bigint))), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)))"
+
+
+def _repair_sql() -> str:
+    """Every state's least (cost, audit), turn by turn; w holds them after insertions."""
+    insert = lambda s, role: f"case when {s} is not null then {{'c': {s}.c + 3, 'a': {s}.a || 'I', 'r': {s}.r || chr(10) || '{role}:'}} end"
+    least = lambda *ways: f"list_min(list_filter([{', '.join(ways)}], lambda x: x is not null))"
+    edit = lambda s, when, cost, letter, text: f"case when {s} is not null and {when} then {{'c': {s}.c + {cost}, 'a': {s}.a || '{letter}', 'r': {s}.r{text}}} end"
+    kept, told = " || chr(10) || role || ':' || text", lambda role: f" || chr(10) || '{role}:' || text"
+    drop = lambda s: edit(s, "true", 4, "D", "")
+    keep = lambda s, i: edit(s, f"not forced and i = '{i}'", "late", "K", kept)
+    rerole = lambda s, role: edit(s, "not forced", "(3 + late)", "R", told(role))
+    return rf"""
+        with recursive crc as ({_CRC_TABLE}),
+        dealt as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+                         {_CRC.format("coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ')")} % 20 as k from conversations, crc),
+        hurt as (select conv_id, turn, case when k = 4 then 'user' else role end as role, case when k = 1 then '' when k = 2 then translate(text, '.!?', '') else text end as text,
+                        unnest(range(case when k = 3 then 2 else 1 end)) as copy from dealt where k <> 0),
+        placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, substr(text, 1, 64), md5(text)) as pos, substr(role, 1, 1) as i,
+                          trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as body from hurt),
+        seen as (select *, row_number() over (partition by conv_id, role, text order by pos) > 1 as again, i || lead(i) over (partition by conv_id order by pos) as pair from placed),
+        told as (select *, body = '' or again as forced, case when right(body, 1) in ('.', '!', '?') then 0 else 3 end as late from seen),
+        walk as (
+            select conv_id, 0 as pos, {{'c': 0, 'a': '', 'r': ''}} as s0, cast(null as struct(c integer, a varchar, r varchar)) as s1,
+                   {insert("{'c': 0, 'a': '', 'r': ''}", "user")} as s2, cast({{'c': 6, 'a': 'II', 'r': chr(10) || 'user:' || chr(10) || 'assistant:'}} as struct(c integer, a varchar, r varchar)) as s3
+            from (select distinct conv_id from conversations)
+            union all
+            select conv_id, pos, n0, n1, w2, {least("n3", insert("w2", "assistant"))}
+            from (select conv_id, pos, n0, n1, n3, {least("n2", insert("n0", "user"), insert("n1", "user"), insert("n3", "user"))} as w2
+                  from (select walk.conv_id, told.pos, {drop("s0")} as n0,
+                               {least(drop("s1"), keep("s0", "s"))} as n1,
+                               {least(drop("s2"), keep("s0", "u"), keep("s1", "u"), keep("s3", "u"), rerole("s0", "user"), rerole("s1", "user"), rerole("s3", "user"))} as n2,
+                               {least(drop("s3"), keep("s2", "a"), rerole("s2", "assistant"))} as n3
+                        from walk join told on told.conv_id is not distinct from walk.conv_id and told.pos = walk.pos + 1))),
+        done as (select conv_id, {least("s0", "s3")} as best from (select *, row_number() over (partition by conv_id order by pos desc) as back from walk) where back = 1),
+        sums as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (body = '') as blank, count(*) filter (body <> '' and again) as duplicate,
+                        count(*) filter (not forced and late = 3) as truncated, count(*) filter (pair is not null and pair not in ('su', 'ua', 'au')) as illegal from told group by conv_id)
+        select done.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+               cast(best.c as bigint) as cost, best.a as audit, sha256(substr(best.r, 2)) as repaired_sha256
+        from done left join sums on sums.conv_id is not distinct from done.conv_id"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_structure_repair": _repair_sql(),
         "op1_line_dedup": r"""
             with l as (select doc_id, text, string_split(text, chr(10)) as raw from documents),
             t as (select doc_id, text, raw, list_filter(list_transform(raw, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '') as ls from l),
