@@ -8,6 +8,7 @@ import zlib
 import pytest
 
 from weft.llm import repair as module
+from weft.llm.prefixtrie import prefix_trie, sequences, spliced
 from weft.llm.repair import audited, edits_of, repair
 
 SCHEMA = "conv_id long, turn long, role string, text string, conv long, part string, n int, audit string"
@@ -152,3 +153,58 @@ def test_repair_of_text_ids(spark):
     want = grouped([(None if c is None else f"c{c}", *r) for c, *r in random_rows(20, 3)])
     got = {r.conv_id: r.audit for r in repair(frame)[0].collect()}
     assert got == {c: plain_conversation(own)[0]["audit"] for c, own in want.items()}
+
+
+def plain_trie(seqs):
+    """(conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256) of {id: [(role, text)]}, by prefix."""
+    members = {}
+    for c, s in seqs.items():
+        for d in range(len(s) + 1):
+            members.setdefault(tuple(s[:d]), []).append(c)
+    rows = []
+    for node, own in members.items():
+        below = [p for p in members if p[: len(node)] == node]
+        leaves = sum(not any(len(q) == len(p) + 1 and q[: len(p)] == p for q in below) for p in below)
+        saved = sum((len(members[p]) - 1) * (len(p[-1][1].encode()) if p else 0) for p in below)
+        ends = ",".join(map(str, sorted(c for c in own if len(seqs[c]) == len(node))))
+        children = sum(len(p) == len(node) + 1 for p in below)
+        rows.append((min(own), len(node), min(members[node[:-1]]) if node else None, len(own), children, leaves, saved, hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(rows, key=str)
+
+
+def plain_sequences(rows):
+    by = {}
+    for c, t, role, text in rows:
+        by.setdefault(c, []).append((t is not None, t or 0, role or "", text or ""))
+    return {c: [r[2:] for r in sorted(own)] for c, own in by.items() if c is not None}
+
+
+def test_prefix_trie(spark):
+    """Copies, prefixes of one another, turns without text, and blocks of a few conversations or turns."""
+    rng = random.Random(4)
+    rows = []
+    for c in range(1, 160):
+        kind = rng.randrange(4)
+        n = rng.randrange(1, 7)
+        turns = [("user", "same"), ("assistant", "é" * 3)] if kind == 0 else [(rng.choice(["user", None]), rng.choice(["a", "b", "", None])) for _ in range(n)]
+        rows += [(c, t if rng.random() < 0.9 else None, *x) for t, x in enumerate(turns)]
+    rows += [(c, t, "user", f"{t}") for c in (300, 301, 302) for t in range(40 + c % 3)] + [(None, 0, "user", "no id")]
+    want = plain_trie(plain_sequences(rows))
+    frame = sequences(table(spark, rows))
+    for limits in ({}, {"block_rows": 5}, {"block_turns": 30}):
+        got = [tuple(r) for r in prefix_trie(frame.repartition(3), **limits).collect()]
+        assert sorted(got, key=str) == want
+    assert prefix_trie(sequences(table(spark, []))).count() == 0
+
+
+def test_spliced(spark):
+    """Bases that are absent or short, and conversations that end up without turns."""
+    rows = [(c, t, "user", f"{c} {t}") for c in range(1, 120) if c % 10 for t in range(c % 12)] + [(-7, 0, "user", "x"), (-5, 0, None, None), (40, None, "a", None)]
+    seqs = plain_sequences(rows)
+    want = {}
+    for c, own in seqs.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        base = c - int(c / 5) * 5  # the remainder has the sign of c
+        want[c] = seqs.get(c - base, [])[:h] + own[h:]
+    got = [tuple(r) for r in prefix_trie(spliced(sequences(table(spark, rows)))).collect()]
+    assert any(not s for s in want.values()) and sorted(got, key=str) == plain_trie(want)

@@ -14,6 +14,7 @@ from weft.llm.langid import identify
 from weft.llm.linededup import dedup_lines
 from weft.llm.lmtrie import score_corpus
 from weft.llm.mixing import mix
+from weft.llm.prefixtrie import prefix_trie, sequences, spliced
 from weft.llm.quality import classify
 from weft.llm.repair import audited
 from weft.llm.simhash import simhash_components
@@ -74,6 +75,10 @@ def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audited(_table(spark, sf_dir, "conversations"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(spliced(sequences(_table(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -87,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_exact_dedup": op9_exact_dedup,
         "op10_language_id": op10_language_id,
         "op11_structure_repair": op11_structure_repair,
+        "op13_prefix_trie": op13_prefix_trie,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -140,6 +146,23 @@ def _repair_sql() -> str:
 def oracle_sql() -> dict[str, str]:
     return {
         "op11_structure_repair": _repair_sql(),
+        "op13_prefix_trie": rf"""
+            with crc as ({_CRC_TABLE}),
+            own as (select conv_id as c, list(struct_pack(k := md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), b := strlen(coalesce(text, '')))
+                                              order by turn nulls first, coalesce(role, ''), substr(coalesce(text, ''), 1, 64), md5(coalesce(text, ''))) as s
+                    from conversations where conv_id is not null group by conv_id),
+            dealt as (select c, s, c - c % 5 as base, {_CRC.format("cast(c as varchar)")} % 9 as h from own, crc),
+            built as (select d.c, list_concat(coalesce(o.s, [])[1:d.h], d.s[d.h + 1:]) as s from dealt d left join own o on o.c = d.base),
+            member as (select c, s, len(s) as size, unnest(range(0, len(s) + 1)) as d from built),
+            named as (select c, size, d, md5(array_to_string(list_transform(s[1:d], lambda x: x.k), ',')) as node, case when d > 0 then md5(array_to_string(list_transform(s[1:d - 1], lambda x: x.k), ',')) end as up,
+                             case when d > 0 then s[d].b else 0 end as b from member),
+            nodes as (select node, up, min(c) as c, d, count(*) as n, min(b) as b, sha256(coalesce(string_agg(cast(c as varchar), ',' order by c) filter (size = d), '')) as ends_sha256 from named group by node, up, d),
+            kids as (select up as node, count(*) as k from nodes where d > 0 group by up),
+            below as (select a.node, sum((n.n - 1) * n.b) as saved, count(*) filter (kids.k is null) as leaves
+                      from nodes n join named a on a.c = n.c and a.d <= n.d left join kids on kids.node = n.node group by a.node)
+            select nodes.c as conv_id, cast(nodes.d as bigint) as depth, p.c as parent_conv_id, nodes.n as n_convs, coalesce(kids.k, 0) as n_children, below.leaves as n_leaves,
+                   cast(below.saved as bigint) as saved_tokens, nodes.ends_sha256
+            from nodes join below using (node) left join kids using (node) left join nodes p on p.node = nodes.up""",
         "op1_line_dedup": r"""
             with l as (select doc_id, text, string_split(text, chr(10)) as raw from documents),
             t as (select doc_id, text, raw, list_filter(list_transform(raw, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '') as ls from l),
