@@ -11,6 +11,7 @@ import corpus_pipeline
 from weft.llm.decontam import decontaminate
 from weft.llm.exact_dedup import exact_dedup
 from weft.llm.langid import identify
+from weft.llm.licenses import labelled, licences
 from weft.llm.linededup import dedup_lines
 from weft.llm.lmtrie import score_corpus
 from weft.llm.mixing import mix
@@ -75,6 +76,10 @@ def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audited(_table(spark, sf_dir, "conversations"))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labelled(licences(_table(spark, sf_dir, "documents")))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(spliced(sequences(_table(spark, sf_dir, "conversations"))))
 
@@ -92,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_exact_dedup": op9_exact_dedup,
         "op10_language_id": op10_language_id,
         "op11_structure_repair": op11_structure_repair,
+        "op12_license_scan": op12_license_scan,
         "op13_prefix_trie": op13_prefix_trie,
         "pipeline": corpus_pipeline.run,
     }
