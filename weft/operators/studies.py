@@ -123,8 +123,14 @@ ANIMAL_WORDS = (
 )
 PROTOCOL_DESIGNS = ("study protocol", "trial protocol", "research protocol", "protocol for a", "protocol for the", "rationale and design", "design and rationale", "rationale and study design", "statistical analysis plan")
 REVIEW_DESIGNS = ("systematic review", "meta-analysis", "meta analysis", "narrative review", "scoping review", "umbrella review", "literature review")
-RCT_DESIGNS = ("randomized", "randomised", "double-blind", "double blind", "placebo-controlled", "placebo controlled", "rct")
-OBSERVED_DESIGNS = ("target trial emulation", "registry-based", "registry analysis", "cohort", "case-control", "case control", "observational", "retrospective", "prospective", "case report", "case series", "case-by-case")
+RCT_DESIGNS = (
+    "randomized controlled trial", "randomised controlled trial", "randomized clinical trial", "randomised clinical trial", "randomized trial", "randomised trial",
+    "double-blind", "double blind", "placebo-controlled", "placebo controlled", "rct", "randomized", "randomised",
+)
+OBSERVED_DESIGNS = (
+    "target trial emulation", "registry-based", "registry analysis", "prospective cohort", "retrospective cohort", "ehr cohort", "cohort study", "cohort", "case-control", "case control",
+    "observational", "retrospective", "prospective", "case report", "case series", "case-by-case",
+)
 PRECLINICAL_DESIGNS = ("animal study", "preclinical", "in vivo", "in vitro", "cell culture", "cell line", "molecular study", "biochemical")
 NOT_RANDOMIZED = r"(?i)\b(?:single[\-\s]?(?:arm|group)|(?:non|pseudo|quasi)[\-\s]?randomi[sz]ed|observational|retrospective|case reports?|case series|case[\-\s]by[\-\s]case)\b"
 FUTURE_TRIAL = r"(?i)\b(?:trials?\s+(?:are|is)\s+(?:needed|required|warranted)|(?:need(?:ed)?|requires?|warrants?|future)\b[^.!?]*\btrials?|trials?\s+to\s+(?:confirm|test))\b"
@@ -289,11 +295,23 @@ def effective_directness(directness: Column, lane_: Column) -> Column:
 
 
 # Endpoints and texts that name an outcome class.
-ENDPOINT_CLASS = {
-    "healthspan_qol": r"^(emotional well-being|psychological well-being|general health|self-reported health|self-reported pain|pain score|quality of life|qol|sf-36|sf36|vitality)$"
-    r"|\b(?:emotional|psychological)\s+well[-\s]?being\b|\bself[-\s]?reported\s+(?:pain|health|well[-\s]?being)\b|\bquality\s+of\s+life\b|\bsf[-\s]?36\b|\bgeneral\s+health\b|\bvitality\s+scale\b|\bpatient[-\s]?reported\s+outcome\b",
-    "contextual_other": r"\b(?:inspiratory muscle|pulmonary function|lung function|vital capacity|minute ventilation|tidal volume|aerobic capacity|(?:maximal|maximum) oxygen uptake|ventilation threshold)\b",
+ENDPOINT_NAMES = {
+    "healthspan_qol": (
+        "emotional well-being", "psychological well-being", "general health", "self-reported health", "self-reported pain",
+        "pain score", "quality of life", "qol", "sf-36", "sf36", "vitality",
+    ),
 }
+ENDPOINT_PATTERNS = (
+    (r"\bemotional\s+well[-\s]?being\b", "healthspan_qol"),
+    (r"\bpsychological\s+well[-\s]?being\b", "healthspan_qol"),
+    (r"\bself[-\s]?reported\s+(?:pain|health|well[-\s]?being)\b", "healthspan_qol"),
+    (r"\bquality\s+of\s+life\b", "healthspan_qol"),
+    (r"\bsf[-\s]?36\b", "healthspan_qol"),
+    (r"\bgeneral\s+health\b", "healthspan_qol"),
+    (r"\bvitality\s+scale\b", "healthspan_qol"),
+    (r"\bpatient[-\s]?reported\s+outcome\b", "healthspan_qol"),
+    (r"\b(?:inspiratory muscle|pulmonary function|lung function|vital capacity|minute ventilation|tidal volume|aerobic capacity|(?:maximal|maximum) oxygen uptake|ventilation threshold)\b", "contextual_other"),
+)
 SOURCE_CLASS = {
     "cardiometabolic": r"\b(?:pregnan\w*|pre[-\s]?eclampsia|gestational\s+hypertension|hypertensive\s+disorders?\s+of\s+pregnancy|cardiovascular|cvd|ischemic\s+stroke|stroke|blood\s+pressure|hypertension|hypertensive|type\s+2\s+diabetes|diabetes|insulin|glucose|body\s+weight|bmi|overweight|metabolic)\b",
     "safety_comorbidity": r"\b(?:creatinine|kidney)\b",
@@ -322,7 +340,13 @@ def outcome_key(label: Column) -> Column:
 
 def remapped_outcome(endpoint: Column, current: Column) -> Column:
     """The class that an endpoint's name decides, else the current one."""
-    return F.coalesce(_first(F.regexp_replace(F.lower(F.trim(_text(endpoint))), r"\s+", " "), ENDPOINT_CLASS), current)
+    key = F.regexp_replace(F.lower(F.trim(_text(endpoint))), r"\s+", " ")
+    out = current
+    for pattern, name in reversed(ENDPOINT_PATTERNS):
+        out = F.when(key.rlike(pattern), name).otherwise(out)
+    for name, exact in ENDPOINT_NAMES.items():
+        out = F.when(key.isin(*exact), name).otherwise(out)
+    return out
 
 
 def refined_outcome(current: Column, text: Column, directness: Column) -> Column:

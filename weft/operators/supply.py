@@ -15,11 +15,43 @@ from weft.operators.verdicts import named
 
 # Classes of failure, statuses that never count as repeats, floors.
 FAILURE_CLASS = {
-    "journal_surface_not_passed": "A_compiler_fixable", "journal_surface_failed": "A_compiler_fixable", "final_status_not_ready": "A_compiler_fixable", "final_verdict_not_aaa": "A_compiler_fixable", "pre_submit_not_passed": "A_compiler_fixable",
-    "needs_corpus_expansion": "B_corpus_fixable", "strategy_evidence_insufficient": "B_corpus_fixable", "source_topic_precision_low": "B_corpus_fixable", "recency_ratio_low": "B_corpus_fixable",
-    "audit_not_all_green": "C_writer_fixable", "revision_coverage_unmet": "C_writer_fixable", "numeric_effect_mismatch": "C_writer_fixable", "abstract_overclaim": "C_writer_fixable", "synthesis_failed": "C_writer_fixable", "local_gate_blocked": "C_writer_fixable", "submission_revise_requested": "C_writer_fixable",
-    "retracted_source_cited": "D_no_action", "local_gate_execution_failed": "D_no_action", "synthesis_timeout": "D_no_action", "writer_unavailable": "D_no_action", "cycle_budget_exhausted": "D_no_action",
+    "journal_surface_not_passed": "A_compiler_fixable",
+    "journal_surface_failed": "A_compiler_fixable",
+    "final_status_not_ready": "A_compiler_fixable",
+    "final_verdict_not_aaa": "A_compiler_fixable",
+    "pre_submit_not_passed": "A_compiler_fixable",
+    "needs_corpus_expansion": "B_corpus_fixable",
+    "audit_not_all_green": "C_writer_fixable",
+    "revision_coverage_unmet": "C_writer_fixable",
+    "numeric_effect_mismatch": "C_writer_fixable",
+    "abstract_overclaim": "C_writer_fixable",
+    "retracted_source_cited": "D_no_action",
+    "synthesis_failed": "C_writer_fixable",
+    "local_gate_blocked": "C_writer_fixable",
+    "local_gate_execution_failed": "D_no_action",
+    "synthesis_timeout": "D_no_action",
+    "writer_unavailable": "D_no_action",
+    "cycle_budget_exhausted": "D_no_action",
+    "submission_revise_requested": "C_writer_fixable",
+    "strategy_evidence_insufficient": "B_corpus_fixable",
+    "source_topic_precision_low": "B_corpus_fixable",
+    "recency_ratio_low": "B_corpus_fixable",
+    "preflight_insufficient_corpus": "B_corpus_fixable",
+    "preflight_thin_quant_corpus": "B_corpus_fixable",
+    "corpus_missing_dry_run": "B_corpus_fixable",
+    "corpus_seed_empty": "B_corpus_fixable",
+    "corpus_seed_failed": "B_corpus_fixable",
+    "receipt_preflight_insufficient": "B_corpus_fixable",
+    "public_research_surface_compact_review": "B_corpus_fixable",
+    "public_research_surface_insufficient": "B_corpus_fixable",
+    "audit_p1_failed": "C_writer_fixable",
+    "missing": "C_writer_fixable",
+    "superseded_topic_run": "D_no_action",
+    "topic_already_submitted_pending": "D_no_action",
+    "terminal_synthesis_timeout": "D_no_action",
 }
+TERMINAL_REVISION = ("duplicate_remote_publication", "duplicate_submission_fingerprint", "research_revision_fingerprint", "retracted_source_cited", "terminal_revision_source_manifest_unavailable", "terminal_receipt_preflight_insufficient", "terminal_surface_repeat", "terminal_source_precision_repair_incomplete")
+ACTIVE_TERMINAL_REVISION = ("terminal_domain_scope_mismatch", "terminal_latest_run_missing_manifest", "terminal_preflight_insufficient_corpus", "terminal_revision_trace_evidence_insufficient")
 NEVER_REPEATS = ("", "eligible", "submitted", "cycle_budget_exhausted", "current_run_not_submitted", "synthesis_failed", "synthesis_timeout", "terminal_synthesis_timeout", "corpus_seed_failed", "writer_unavailable", "terminal_surface_repeat")
 PREFLIGHT = ("corpus_missing_dry_run", "corpus_seed_empty", "preflight_insufficient_corpus", "preflight_thin_quant_corpus", "receipt_preflight_insufficient", "source_bundle_topic_mismatch", "source_bundle_unmapped_sources")
 PRIMARY = ("A1", "A2", "B1")
@@ -35,9 +67,14 @@ def code_of(status: Column) -> Column:
     return F.split_part(F.coalesce(status, F.lit("")), F.lit(":"), F.lit(1))
 
 
-def failure_class(status: Column, classes: dict[str, str] | None = None, default: str = "C_writer_fixable") -> Column:
-    table = F.create_map(*[F.lit(x) for p in (classes or FAILURE_CLASS).items() for x in p])
-    return F.coalesce(F.try_element_at(table, code_of(status)), F.lit(default))
+def failure_class(status: Column, classes: dict[str, str] | None = None, default: str = "unknown") -> Column:
+    """The class of a status: none is left to do once a revision ended for good.
+
+    Statuses of a deployment's own submission service come as `classes`, which add to the table.
+    """
+    table = F.create_map(*[F.lit(x) for p in {**FAILURE_CLASS, **(classes or {})}.items() for x in p])
+    code = code_of(status)
+    return F.when(code.isin(*TERMINAL_REVISION, *ACTIVE_TERMINAL_REVISION), "D_no_action").otherwise(F.coalesce(F.try_element_at(table, code), F.lit(default)))
 
 
 def manifest_counts(receipts: DataFrame, by: str) -> DataFrame:
@@ -113,16 +150,50 @@ def published_topics(topics: DataFrame, markers: DataFrame, blocked: DataFrame)
 # Words that put a reviewer's request into a bucket, the first that fits.
 REVISE_BUCKETS = {
     "publication_overlap": ["overlap with publication", "already published", "duplicate submission"],
-    "scope_mismatch": ["scope mismatch", "scope/title", "narrow the title", "research question", "does not match the corpus", "match the actual corpus", "title says", "pico", "rename the title", "abstract omits", "synthesis question"],
-    "section_duplication": ["near-verbatim duplicate", "verbatim", "repeated", "repeating", "duplicated", "redundant", "boilerplate", "templated", "placeholder", "meta-commentary", "scaffolding", "restatement"],
-    "table_without_numbers": ["no actual numeric", "aggregate counts", "no numeric", "without numeric", "no effect sizes", "only enumerates source-level"],
-    "direction_coding": ["mis-coded", "miscoded", "coded as", "coded positive", "direction profile", "direction assignments", "directional coding", "coded null", "polarity", "recode", "direction code"],
-    "methods_accounting": ["inclusion funnel", "auditable", "selection flow", "retrieved records", "search strategy", "query list", "retrieval date", "exclusion counts", "eligibility criterion", "screening", "risk-of-bias"],
-    "citation_bundle_mismatch": ["exact source tokens", "traceab", "could not be verified", "not in the source bundle", "source-list mismatch", "attribute each", "cited numbers", "author-year", "misattributed", "does not cite"],
-    "directness_honesty": ["direct clinical", "indirect", "mechanistic", "overclaim", "hypothesis-generating", "no direct", "not directly"],
-    "numeric_claim_rigor": ["p-value", "confidence interval", "significant", "statistic", "numeric", "hedge", "contradict", "pooled"],
-    "readability_redundancy": ["repetitive", "truncated", "grammatical", "readability", "formatting", "garbled", "fragment"],
-    "actionable_gaps": ["gaps identified", "actionable", "future research", "next steps"],
+    "scope_mismatch": [
+        "scope mismatch", "scope/title", "narrow the title", "research question", "does not match the corpus", "match the actual corpus", "title says", "mismatch between the title", "pico", "framing that does not match",
+        "rename the title", "abstract omits", "synthesis question",
+    ],
+    "section_duplication": [
+        "near-verbatim duplicate", "verbatim", "repeated", "repeating", "duplicated", "duplicates content", "redundant", "boilerplate", "templated", "placeholder", "corrupted", "meta-commentary", "scaffolding", "restatement",
+        "collapsing redundant",
+    ],
+    "table_without_numbers": ["no actual numeric", "aggregate counts", "no numeric", "without numeric", "no effect sizes", "beyond 'positive", "only enumerates source-level"],
+    "direction_coding": [
+        "mis-coded", "miscoded", "coded as", "coded positive", "coded 'positive'", "labeled \"null\"", "labeled 'null'", "labelled", "labels ", "direction profile", "direction assignments", "direction synthesis", "directional coding",
+        "coded null", "polarity", "coded direct", "directness coding", "recode", "coding is consistent", "coding is internally", "orient positive", "outcome-class allocation", "direction code",
+    ],
+    "methods_accounting": [
+        "inclusion funnel", "auditable", "selection flow", "retrieved records", "search summary", "search strategy", "search window", "query list", "database coverage", "retrieval date", "admitted sources", "exclusion counts",
+        "eligibility criterion", "screening", "extraction qc", "future-dated", "publication dates", "dated 2025", "risk-of-bias", "rob ", "rob-2", "not visible to the reader", "methods_pack", "conference abstract", "conference-abstract",
+        "justify its tier", "sample-size and follow-up",
+    ],
+    "citation_bundle_mismatch": [
+        "exact source tokens", "exactly traceable", "identify a bundle source", "traceab", "could not be verified", "not present in the source_bundle", "not in the source bundle", "source-list mismatch", "attributions are inaccurate",
+        "source attributions", "attribute each", "cited numbers", "citations that are not", "author-year", "cited source", "bundle excerpt", "bundle entries", "conflict between the abstract", "enumerate and locate", "remove the number",
+        "cross-study disagreements", "tensions and gaps", "name the specific sources", "itemize the specific", "without citing", "broken author token", "misattributed", "misattribution", "does not cite", "incorrectly describes",
+        "incorrectly states", "completeness claim", "primary evidence anchor", "invalid at indices",
+    ],
+    "directness_honesty": [
+        "direct clinical", "direct interventional", "indirect", "adjacent", "mechanistic", "overclaim", "hypothesis-generating", "broad population-level proof", "no direct", "single-source", "does not directly test", "not directly",
+        "stand-alone intervention", "direct sources", "direct-rct", "add-on or comparator",
+    ],
+    "null_signal_reconciliation": ["null directional", "no extracted directional signal", "no directional signal", "strongest signal", "reconcile", "supports", "bounded rationale"],
+    "source_relevance_classification": [
+        "source bundle", "source directness", "source classification", "outcome class", "evidence_type", "evidence type", "off-topic", "operationalize", "included under", "misclassified", "reclassify", "protocol",
+        "belongs in the synthesis", "clarify why it is in", "weakly relevant", "not a results paper", "reframe", "justify inclusion", "meta-analysis' label", "source-role",
+    ],
+    "numeric_claim_rigor": [
+        "p-value", "p value", "confidence interval", "significant", "non-significant", "effect direction", "factual error", "statistic", "numeric", "hedged", "hedge", "primary endpoint", "contradiction", "contradicts", "pooled",
+        "power rationale", "misattribution",
+    ],
+    "readability_redundancy": [
+        "repetitive", "duplication", "truncated", "grammatical", "readability", "verbatim repetition", "readable", "formatting", "paragraph breaks", "paragraph structure", "self-contained", "garbled", "fragment", "capitalization",
+        "inline label",
+    ],
+    "actionable_gaps": [
+        "gaps identified", "actionable", "future research", "next steps", "concise list", "add an explicit background", "add a single sentence", "add one or two sentences", "expand the discussion",
+    ],
 }
 
 

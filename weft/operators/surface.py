@@ -52,7 +52,9 @@ UNRESOLVED_STATISTIC = (
 HUMAN_CHECKED = r"(?i)\b(?:(?:author|human)[- ](?:verified|reviewed)|(?:author|human) verification|verified by (?:the )?(?:author|human))\b"
 TEMPLATE_SLOT = r"(?i)\b(?:source|study|trial|paper)\((?:s|es)\)|\bstudy/studies\b"
 CITATION_ARTIFACT = r"(?im)\[(?:citation needed|source|ref|pmid|doi|TODO)[^\]]*\]|(?:^|\s)(?:PMID|DOI):?\s*$|<\s*(?:citation|ref)[^>]*>"
-GRAMMAR = r"(?i)\b(?:(?:is|are|was|were)\s+\w+(?:\s+\w+){0,3}\s+to\s+(?:is|are|was|were)|does\s+not\s+automatically\s+(?:is|are|was|were))\b"
+GRAMMAR = (
+    r"(?i)(?:\b(?:(?:is|are|was|were)\s+\w+(?:\s+\w+){0,3}\s+to\s+(?:is|are|was|were)|to\s+be(?:\s+\w+){0,5}\s+(?:is|are|was|were)|does\s+not\s+automatically\s+(?:is|are|was|were))\b|(?<=[A-Za-z])\.g\.,)"
+)
 HEDGE_FRAGMENT = r"(?i)^(?:may|might|could|appears|suggests|uncertain|preliminary|context[- ]dependent|not definitive|requires confirmation)\.?$"
 CITATION_STUB = r"^(?:[A-ZÀ-ÖØ-Þ][A-Za-zÀ-ÖØ-öø-ÿ'’.\-]+|[A-Z]{2,})(?:\s+et\s+al\.)?\s+(?:19|20)\d{2}[a-z]?\s+(?:reported|showed|found|observed|demonstrated|concluded)\.?$"
 ANALYTIC_STUB = r"(?i)^(?:meta-analytic evidence corroborates|mechanistically,|mechanistic(?:al)? evidence|evidence corroborates|findings corroborate)"
@@ -62,12 +64,21 @@ HANDLE = r"\b[A-Z][a-zA-Z]+_\d{4}_[A-Za-z_]+_|\bPMC\d{7,9}\b"
 LANE_WORDS = (
     "animal", "preclinical", "rodent", "murine", "in vivo", "model organism", "veterinary", "non-human", "equine", "equid", "primate", "macaque", "horse", "swine", "porcine", "canine", "ovine", "mouse", "mice", "rat", "rats", "dog", "cat", "pig", "in vitro", "cell line", "transgenic", "knockout", "knock-out", "wild-type",
 )
-SELF_CLAIMS = ("we conducted", "we performed", "we undertook", "we report", "we present a", "we registered", "this is a", "this paper is", "this review is", "this synthesis is", "this study is", "this analysis is", "registered with prospero", "following prisma", "our systematic review", "our meta-analysis", "our scoping review")
+SELF_CLAIMS = (
+    "we conducted", "we performed", "we undertook", "we report", "we present a", "we registered", "this is a", "this paper is", "this review is", "this synthesis is", "this study is", "this analysis is",
+    "registered with prospero", "following prisma", "prisma-compliant", "prisma 2020 compliant", "our systematic review", "our meta-analysis", "our scoping review",
+)
 STRONGER = {
-    "prisma_scr_scoping_synthesis": ("systematic review", "meta-analysis", "meta analysis", "prospero", "prisma 2020"), "structured_evidence_synthesis": ("systematic review", "meta-analysis", "meta analysis", "prospero", "prisma 2020", "prisma-scr"),
-    "narrative_review": ("systematic review", "scoping review", "meta-analysis", "meta analysis", "prospero", "prisma"), "curated_evidence_map": ("systematic review", "scoping review", "meta-analysis", "meta analysis", "prospero", "prisma"),
-    "evidence_brief": ("systematic review", "scoping review", "meta-analysis", "meta analysis", "prospero", "prisma"), "evidence_map": ("systematic review", "scoping review", "meta-analysis", "meta analysis", "prospero", "prisma"),
-    "technical_survey": ("systematic review", "meta-analysis", "meta analysis", "prisma"), "management_literature_review": ("systematic review", "meta-analysis"),
+    "curated_evidence_map": ("systematic review", "scoping review", "meta-analysis", "meta analysis", "prospero", "prisma"),
+    "prisma_scr_scoping_synthesis": ("systematic review", "meta-analysis", "meta analysis", "prospero", "prisma 2020"),
+    "structured_evidence_synthesis": ("systematic review", "meta-analysis", "meta analysis", "prospero", "prisma 2020", "prisma-scr"),
+    "narrative_review": ("systematic review", "scoping review", "meta-analysis", "meta analysis", "prospero", "prisma"),
+    "evidence_brief": ("systematic review", "scoping review", "meta-analysis", "meta analysis", "prospero", "prisma"),
+    "evidence_map": ("systematic review", "scoping review", "meta-analysis", "meta analysis", "prospero", "prisma"),
+    "technical_survey": ("systematic review", "meta-analysis", "meta analysis", "prisma"),
+    "management_literature_review": ("systematic review", "meta-analysis"),
+    "systematic_review": (),
+    "meta_analysis": (),
 }
 
 
@@ -250,7 +261,7 @@ def overclaims(papers: DataFrame, declared: str) -> DataFrame:
     papers has the columns of manuscripts() and `declared`.
     """
     scope = papers.select("id", declared, F.explode(F.split(F.lower(F.concat_ws("\n", "abstract", "methods")), r"(?<=[.!?])\s+")).alias("s"))
-    table = F.create_map(*[x for k, v in STRONGER.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    table = F.create_map(*[x for k, v in STRONGER.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))])
     each = scope.select("id", "s", F.explode(F.coalesce(F.try_element_at(table, F.col(declared)), F.array().cast("array<string>"))).alias("term")).where(F.contains("s", F.col("term")))
     denied = F.regexp_replace("s", F.concat(F.lit(r"\b(?:not|no|without)\s+(?:(?:a|an|the|systematic|scoping)\s+)*"), F.col("term")), F.lit(""))
     claimed = F.exists(F.array(*map(F.lit, SELF_CLAIMS)), lambda q: F.rlike(denied, F.concat(q, F.lit(r"(?s).{0,60}?"), F.col("term"))))

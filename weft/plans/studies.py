@@ -151,15 +151,19 @@ def evidence_lane(spark, sf_dir):
 
 
 OUTCOME = {
-    "endpoint": _cases("o_orderkey", ["Quality of  life", "SF-36", "vital capacity", "HbA1c", "pain score", "general health index", "", "Vitality"]), "current_class": _cases("o_orderkey", ["other", "immune", "Mortality and Survival Outcomes", "contextual_other", "dosing_pharmacokinetics", "Frailty", "bad class!", ""]),
+    "endpoint": _cases("o_orderkey", ["Quality of  life", "SF-36", "vital capacity", "HbA1c", "pain score", "general health index", "", "Vitality", "emotional wellbeing scale", "Psychological well being", "self reported pain", "vitality scale", "patient-reported outcome", "maximum oxygen uptake"]), "current_class": _cases("o_orderkey", ["other", "immune", "Mortality and Survival Outcomes", "contextual_other", "dosing_pharmacokinetics", "Frailty", "bad class!", ""]),
     "source_text": _cases("o_orderkey", ["Blood pressure in adults", "kidney function", "Dose of agent", "cytokine response", "grip strength", "sarcopenia and muscle", "vitamin deficiency", "all-cause mortality", "bone fracture"]), "directness": _cases("o_orderkey", ["direct", "mechanistic", "Protocol", "review"]),
 }
 _KEY = "regexp_replace(array_to_string(list_filter(regexp_extract_all(lower(current_class), '[a-z0-9]+'), lambda w: w <> 'and'), '_'), '(_?(outcomes?|endpoints?))+$', '')"
+_REMAP = " ".join([
+    *[f"when ep in ({', '.join(repr(n) for n in names)}) then '{k}'" for k, names in studies.ENDPOINT_NAMES.items()],
+    *[f"when {_re('ep', p)} then '{k}'" for p, k in studies.ENDPOINT_PATTERNS],
+])
 
 
 @query("outcome_refined", f"""with o as (select *, regexp_replace(lower(trim(endpoint)), '\\s+', ' ', 'g') as ep, regexp_replace(lower(trim(source_text)), '\\s+', ' ', 'g') as low, {_KEY} as k0 from {derived_sql('orders', OUTCOME, 'o_orderkey')}), k as (select *, case k0 when 'immune' then 'immune_inflammation' else k0 end as key from o),
     n as (select *, case when {_re('low', studies.SOURCE_CLASS['cardiometabolic'])} then 'cardiometabolic' when {_re('low', studies.SOURCE_CLASS['safety_comorbidity'])} then 'safety_comorbidity' end as named from k)
-    select o_orderkey, case when {_re('ep', studies.ENDPOINT_CLASS['healthspan_qol'])} then 'healthspan_qol' when {_re('ep', studies.ENDPOINT_CLASS['contextual_other'])} then 'contextual_other' else current_class end as remapped,
+    select o_orderkey, case {_REMAP} else current_class end as remapped,
       case when lower(directness) = 'protocol' and key = 'contextual_other' then 'contextual_other' when named is not null and current_class in ('other', 'contextual_other', 'skeletal_fracture_bone', 'dosing_pharmacokinetics') then named when current_class <> 'other' then key """ + " ".join(f"when {_any('low', t)} then '{k}'" for k, t in studies.OTHER_CLASS.items()) + """ when lower(directness) = 'mechanistic' then 'mechanism' else 'contextual_other' end as refined,
       case when regexp_matches(regexp_replace(lower(trim(current_class)), '[- ]', '_', 'g'), '^[a-z][a-z0-9_]*$') then regexp_replace(lower(trim(current_class)), '[- ]', '_', 'g') end as token from n""")
 def outcome_refined(spark, sf_dir):

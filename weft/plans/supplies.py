@@ -29,12 +29,18 @@ def attempts(spark, sf_dir):
     return a.withColumn("code", supply.code_of(F.col("status")))
 
 
-_CLASSES = "case code " + " ".join(f"when '{k}' then '{v}'" for k, v in supply.FAILURE_CLASS.items()) + " else 'C_writer_fixable' end"
+_OVER = ", ".join(f"'{s}'" for s in (*supply.TERMINAL_REVISION, *supply.ACTIVE_TERMINAL_REVISION))
+_CLASSES = f"case when code in ({_OVER}) then 'D_no_action' " + " ".join(f"when code = '{k}' then '{v}'" for k, v in supply.FAILURE_CLASS.items()) + " else 'unknown' end"
+#: Every status of the table, one that is not in it, and one that a deployment adds.
+ENDED = {"status": _cases("event_id", [*supply.FAILURE_CLASS, *supply.TERMINAL_REVISION, *supply.ACTIVE_TERMINAL_REVISION, "odd_gate: x", "", "own_service_rejected: twice"])}
 
 
-@query("failure_classes", f"with {_A} select event_id, {_CLASSES} as klass from a")
+@query("failure_classes", f"""
+    with a as (select event_id, split_part(status, ':', 1) as code from {derived_sql('events', ENDED, 'event_id')})
+    select event_id, case when code = 'own_service_rejected' then 'C_writer_fixable' else {_CLASSES} end as klass from a""")
 def failure_classes(spark, sf_dir):
-    return attempts(spark, sf_dir).select("event_id", supply.failure_class(F.col("status")).alias("klass"))
+    rows = derived(table(spark, sf_dir, "events"), ENDED, "event_id")
+    return rows.select("event_id", supply.failure_class(F.col("status"), {"own_service_rejected": "C_writer_fixable"}).alias("klass"))
 
 
 RECEIPT = {"tier": _cases("l_partkey", ["A1", "a2", "B1", "B2", "C", ""]), "directness": "case when l_suppkey % 4 = 0 then null when l_linenumber % 3 = 0 then 'Direct' else 'indirect' end", "outcome": _cases("l_partkey", ["frailty", " ", "safety", "mortality", ""])}
@@ -107,11 +113,16 @@ def published_topics(spark, sf_dir):
     return supply.published_topics(n.select(F.col("n_name").alias("topic")), marks, n.where("n_regionkey = 3").select(F.col("n_name").alias("topic")))
 
 
-ASK = {"text": _cases("event_id", ["Narrow the title, please", "Boilerplate in Methods", "The source is miscoded", "P-value missing", "nothing known", "Add the screening steps", "Give actionable steps", "This is indirect", "Claims are not traceable"])}
-_BUCKET = "case event_id % 9 when 0 then 'scope_mismatch' when 1 then 'section_duplication' when 2 then 'direction_coding' when 3 then 'numeric_claim_rigor' when 4 then 'unknown' when 5 then 'methods_accounting' when 6 then 'actionable_gaps' when 7 then 'directness_honesty' else 'citation_bundle_mismatch' end"
+ASK = {"text": _cases("event_id", [
+    "Narrow the title, please", "Boilerplate in Methods", "The source is miscoded", "P-value missing", "nothing known", "Add the screening steps", "Give actionable steps", "This is indirect", "Claims are not traceable",
+    "Reconcile the strongest signal", "An off-topic source", *[f"Please mend: {t.upper()} here" for terms in supply.REVISE_BUCKETS.values() for t in terms],
+])}
+_LOW = "regexp_replace(trim(lower(text)), '\\s+', ' ', 'g')"
+_BUCKET = "case " + " ".join(f"when {' or '.join('contains(low, ' + chr(39) + t.replace(chr(39), chr(39) * 2) + chr(39) + ')' for t in terms)} then '{k}'" for k, terms in supply.REVISE_BUCKETS.items()) + " else 'unknown' end"
+_ASKS = f"asks as (select *, {_BUCKET} as bucket from (select *, {_LOW} as low from {derived_sql('events', ASK, 'event_id', 'user_id', 'event_type', 'ts')}))"
 
 
-@query("revise_reasons", f"""with e as (select event_id, user_id as review, ts, event_type, {_BUCKET} as bucket from events), n as (select distinct review from e where event_type = 'purchase')
+@query("revise_reasons", f"""with {_ASKS}, e as (select event_id, user_id as review, ts, event_type, bucket from asks), n as (select distinct review from e where event_type = 'purchase')
     select review, bucket, count(*) as n from e where (event_type = 'purchase') or (event_type = 'view' and review not in (select review from n)) group by all""")
 def revise_reasons(spark, sf_dir):
     """Views are asks that were known, purchases the news of their reviews."""
@@ -119,7 +130,7 @@ def revise_reasons(spark, sf_dir):
     return supply.merged_asks(e.where("event_type = 'view'"), e.where("event_type = 'purchase'"))
 
 
-@query("revision_lessons", f"select bucket, count(*) as n from (select {_BUCKET} as bucket from events where ts >= timestamp '{NOW}' - interval 5 day) where bucket not in ('unknown', 'actionable_gaps') group by bucket order by n desc, bucket limit 4")
+@query("revision_lessons", f"with {_ASKS} select bucket, count(*) as n from (select bucket from asks where ts >= timestamp '{NOW}' - interval 5 day) where bucket not in ('unknown', 'actionable_gaps') group by bucket order by n desc, bucket limit 4")
 def revision_lessons(spark, sf_dir):
     e = derived(table(spark, sf_dir, "events"), ASK, "ts").select(supply.revise_bucket(F.col("text")).alias("bucket"), F.col("ts").alias("at"))
     return supply.lessons(e, now(), [b for b in supply.REVISE_BUCKETS if b != "actionable_gaps"], 5, 4)
