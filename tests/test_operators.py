@@ -1,5 +1,6 @@
 import itertools
 import math
+import re
 import random
 
 from pyspark.sql import functions as F
@@ -67,10 +68,17 @@ def test_effect_shapes(spark):
     assert math.isclose(got[1].effect_size, 2.0) and math.isclose(got[2].effect_size, math.log(2.5)) and got[3].metric_out == "log_hr"
 
 
-def test_claim_spans():
-    got = claims.spans("HR 0.75 (95% CI 0.1 to 0.9; p<0.05), n = 120, 4.2 ± 1.1 mg, 30% better after 12 weeks")
-    assert [k for k, *_ in got] == ["ratio", "ci", "p_value", "n", "mean_sd", "unit", "percent", "unit"]
-    assert next(g for k, _, _, g in got if k == "ci") == ["95", "0.1", "0.9"]
+def test_claim_spans(spark):
+    text = "HR 0.75 (95% CI 0.1 to 0.9; p<0.05), n = 120, 4.2 ± 1.1 mg, 30% better after 12 weeks"
+    rows = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "no number"), (5, text * 200)], "id int, text string")
+    got = claims.extract(rows, "id", "text").collect()
+    one = [r for r in got if r.id == 1]
+    assert [r.kind for r in one] == ["ratio", "ci", "p_value", "n", "mean_sd", "unit", "percent", "unit"]
+    assert next(r.groups for r in one if r.kind == "ci") == ["95", "0.1", "0.9"]
+    assert {r.id for r in got} == {1, 5} and len(got) == 8 * 201
+    for r in got:  # places and groups are those of the pattern
+        m = re.compile(claims.KINDS[r.kind]).match(r.sentence, r.start)
+        assert m.end() == r.end and list(m.groups()) == r.groups
 
 
 def test_binding(spark):

@@ -1,19 +1,19 @@
 """Numeric claims in sentences, and what they are bound to.
 
-`extract` gives typed claims with offsets from whole texts. Single kinds of
-claims are plain regular expressions in SQL functions. The full extractor needs
-match offsets for span suppression and runs as mapInPandas over Arrow batches.
+`extract` gives typed claims with offsets from whole texts, by column expressions:
+each kind's matches with their places, without those that lie within a claim of an
+earlier kind.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.functions.spans import located, nearest
+
 # One pattern a kind, in order of priority. A later claim that lies within the
 # span of an earlier one of a blocking kind is dropped.
 NUMBER = r"[0-9]+(?:\.[0-9]+)?"
@@ -35,82 +35,95 @@ def found(text: Column, kind: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(KINDS[kind]), F.lit(group))
 
 
-def spans(text: str) -> list[tuple[str, int, int, list[str]]]:
-    """(kind, start, end, groups) of a text's claims, after suppression, by place and kind."""
-    out, taken = [], []
-    for kind, pattern in KINDS.items():
-        for m in re.finditer(pattern, text):
-            a, b = m.span()
-            if kind in BLOCKED and any(x <= a and b <= y for x, y in taken):
-                continue
-            out.append((kind, a, b, list(m.groups())))
-            if kind in BLOCKING:
-                taken.append((a, b))
-    return sorted(out, key=lambda r: (r[1], r[0]))
-
-
 def extract(rows: DataFrame, id_col: str, text_col: str, spread: int | None = None) -> DataFrame:
-    """(id, kind, start, end, groups, sentence): claims of every row's text; null has none.
+    """(id, kind, start, end, groups, sentence): claims of every row's text, by place and kind; null has none.
 
     `spread` deals the texts over so many tasks first, for inputs of a few large files.
     """
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            made = [(i, *s, t) for i, t in zip(f["id"], f["text"], strict=True) if t for s in spans(t)]
-            yield pd.DataFrame(made, columns=["id", "kind", "start", "end", "groups", "sentence"])
-
-    kind = rows.schema[id_col].dataType.simpleString()
-    texts = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9]"))
     if spread:
         texts = texts.repartition(spread)
-    return texts.mapInPandas(run, f"id {kind}, kind string, start int, end int, groups array<string>, sentence string")
-
-
-def places(text: str, patterns: list[re.Pattern]) -> list[tuple[int, int, int]]:
-    """(rank, start, end) of every term in a text."""
-    return [(k, *m.span()) for k, p in enumerate(patterns) for m in p.finditer(text)]
+    # Columns, not nested expressions: those would be made again for each match.
+    for kind, pattern in KINDS.items():
+        texts = texts.withColumn(kind, located(F.col("text"), pattern))
+        earlier = [k for k in list(KINDS)[: list(KINDS).index(kind)] if k in BLOCKING]
+        if kind in BLOCKED and earlier:
+            texts = texts.withColumn("_taken", F.concat(*earlier))
+            texts = texts.withColumn(kind, F.filter(kind, lambda s: ~F.exists("_taken", lambda t: (t["start"] <= s["start"]) & (s["end"] <= t["end"])))).drop("_taken")
 
+    def named(kind: str) -> Column:
+        return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"), s["match"].alias("match")))
 
-def nearest(found: list[tuple[int, int, int]], anchor: int) -> int | None:
-    """Rank of the term nearest to the anchor; of tied ones the first of the list."""
-    return min(((max(a - anchor, anchor - b, 0), k) for k, a, b in found), default=(0, None))[1]
+    found = texts.select("id", F.explode(F.array_sort(F.concat(*map(named, KINDS)))).alias("c"), F.col("text").alias("sentence"))
+    groups = F.array().cast("array<string>")
+    for kind, pattern in KINDS.items():
+        own = F.array(*[F.regexp_extract("c.match", pattern, g + 1) for g in range(re.compile(pattern).groups)])
+        groups = F.when(F.col("c.kind") == kind, own).otherwise(groups)
+    return found.select("id", "c.kind", "c.start", "c.end", groups.alias("groups"), "sentence")
 
 
 def bind(claims: DataFrame, endpoints: list[str], arms: list[str], directions: dict[str, str]) -> DataFrame:
     """Adds endpoint, arm, direction and confidence to claims(sentence, start, role, ...).
 
-    All three found in an effect claim is high, one at least partial, else none.
+    Each is the term nearest to the claim, of tied ones the first of its list. All three
+    found in an effect claim is high, one at least partial, else none.
     """
-
-    lists = [endpoints, arms, [*directions]]
-
-    @F.pandas_udf("endpoint string, arm string, direction string, confidence string")
-    def bound(sentence: pd.Series, start: pd.Series, role: pd.Series) -> pd.DataFrame:
-        patterns = [[re.compile(rf"\b{re.escape(t)}\b") for t in terms] for terms in lists]
-        made, last, found = [], None, []
-        for s, at, r in zip(sentence.fillna(""), start, role, strict=True):
-            if s != last:  # the claims of a sentence follow each other
-                last, found = s, [places(s.lower(), p) for p in patterns]
-            e, a, d = (None if (k := nearest(f, at)) is None else terms[k] for f, terms in zip(found, lists, strict=True))
-            n = sum(x is not None for x in (e, a, d))
-            made.append((e, a, directions.get(d), "high" if n == 3 and r == "effect" else "partial" if n else "none"))
-        return pd.DataFrame(made, columns=["endpoint", "arm", "direction", "confidence"])
-
-    return claims.withColumn("b", bound("sentence", "start", "role")).select(*claims.columns, "b.*")
+    low = F.lower(F.coalesce("sentence", F.lit("")))
+    rows = claims
+    for name, terms in (("_e", endpoints), ("_a", arms), ("_d", [*directions])):
+        rank = nearest([located(low, rf"\b{re.escape(t)}\b") for t in terms], F.col("start"))
+        rows = rows.withColumn(name, F.get(F.array(*map(F.lit, terms)), rank))
+    table = F.create_map(*[F.lit(x) for p in directions.items() for x in p])
+    n = sum(F.col(c).isNotNull().cast("int") for c in ("_e", "_a", "_d"))
+    confidence = F.when((n == 3) & (F.col("role") == "effect"), "high").when(n > 0, "partial").otherwise("none")
+    return rows.select(*claims.columns, F.col("_e").alias("endpoint"), F.col("_a").alias("arm"), table[F.col("_d")].alias("direction"), confidence.alias("confidence"))
+
+
+# Words that tell what a sentence is about.
+DOSE_WORDS = ("dose", "dosing", "dosage", "administered", "received", "treatment with", "treated with", "/day", "per day", "/d ", "twice daily", "tablets")
+DURATION_WORDS = ("follow-up", "follow up", "duration of", "for a period of", "during the", "weeks of", "months of", "years of", "treatment period", "trial duration")
+POPULATION_WORDS = ("age range", "aged", "older adults", "participants were", "subjects were", "median age", "mean age", "enrolled", "recruited", "inclusion criteria")
+BACKGROUND_WORDS = ("prevalence", "incidence", "worldwide", "globally", "general population", "epidemiology", "background", "literature reports", "previous studies", "estimated to affect", "is associated with the")
+EFFECT_WORDS = (
+    "increased", "decreased", "increase of", "decrease of", "increases", "decreases", "improved", "improvement", "improvements", "reduced", "reductions", "blunted", "attenuated", "enhanced", "elevated", "lowered", "diminished",
+    "suppressed", "inhibited", "declined", "rose", "rose by", "gained", "gains", "no significant differences", "no significant changes", "did not significantly improve", "between-group difference", "lost more", "lost less",
+    "gained more", "gained less", "than placebo", "than metformin", "than control", "than the placebo", "than the metformin", "treatment effect", "primary endpoint", "secondary endpoint", "between groups", "between arms",
+    "between the groups", "compared to placebo", "vs. placebo", "vs placebo", "treatment arm", "metformin group", "placebo group", "did not improve", "did not change", "did not differ", "resulted in less",
+    "lower percentage change", "no effect", "tended to increase", "did not reach", "did not reach significance", "were not statistically significant", "was not statistically significant",
+)
+MATCHED_GROUPS = r"\bdifferences? in age,? (?:and )?sex\b"
+AT_BASELINE = r"^baseline (?:characteristics|scores|values|levels)\b"
+AFTER_BASELINE = r"\b(?:after|change[ds]?|follow[- ]up|post[- ]treatment)\b"
+
+
+def has_any(text: Column, words: tuple[str, ...]) -> Column:
+    return text.rlike("|".join(map(re.escape, words)))
 
 
 def claim_role(sentence: Column, section: Column) -> Column:
-    """background, baseline, effect, duration, dose or population: the first that fits, else by section."""
-    s = F.lower(sentence)
+    """background, population, effect, duration, dose or unknown: the first that fits.
+
+    Words of background come before those of an effect; of sections only the introduction decides, where nothing else does.
+    """
+    s = F.lower(F.coalesce(sentence, F.lit("")))
     return (
-        F.when(s.rlike("previous(ly)?|prior stud|known to"), "background").when(s.rlike("baseline"), "baseline_population")
-        .when(s.rlike("improved|reduced|increased|decreased|versus"), "effect").when(s.rlike("weeks|months|days"), "duration")
-        .when(s.rlike("[0-9] ?mg"), "dose").when(s.rlike("participants|patients|enrolled"), "population")
-        .otherwise(F.when(section == "results", "effect").otherwise("background"))
+        F.when(has_any(s, BACKGROUND_WORDS), "background").when(s.rlike(MATCHED_GROUPS) | (s.rlike(AT_BASELINE) & ~s.rlike(AFTER_BASELINE)), "population").when(has_any(s, EFFECT_WORDS), "effect")
+        .when(has_any(s, DURATION_WORDS), "duration").when(has_any(s, DOSE_WORDS), "dose").when(has_any(s, POPULATION_WORDS), "population")
+        .when(section == "introduction", "background").otherwise("unknown")
     )
 
 
+def claim_role_sql(sentence: str, section: str) -> str:
+    """claim_role() for DuckDB."""
+    s = f"lower(coalesce({sentence}, ''))"
+    has = lambda words: "(" + " or ".join(f"contains({s}, '{w}')" for w in words) + ")"
+    rules = [
+        (has(BACKGROUND_WORDS), "background"), (f"regexp_matches({s}, '{MATCHED_GROUPS}') or (regexp_matches({s}, '{AT_BASELINE}') and not regexp_matches({s}, '{AFTER_BASELINE}'))", "population"),
+        (has(EFFECT_WORDS), "effect"), (has(DURATION_WORDS), "duration"), (has(DOSE_WORDS), "dose"), (has(POPULATION_WORDS), "population"), (f"{section} = 'introduction'", "background"),
+    ]
+    return "case " + " ".join(f"when {when} then '{then}'" for when, then in rules) + " else 'unknown' end"
+
+
 def sentences(text: Column) -> Column:
     """Pieces that end in a full stop, question or exclamation mark before white space."""
     return F.filter(F.split(text, r"(?<=[.!?])[ \n]+"), lambda s: s != "")

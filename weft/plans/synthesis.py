@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from weft.functions import text as tx
+from weft.functions.spans import located_sql, nearest_sql
 from weft.operators import audit, claims, classify, similarity, tension
 from weft.plans.evidence import _TIER, tier_of
+from weft.plans.studies import _cases
 from weft.plans.tables import derived, derived_sql, registrar, table
 
 QUERIES, SQL, query = registrar()
@@ -116,25 +120,67 @@ for _kind, _groups in (("p_value", (1, 2)), ("ci", (1, 2, 3)), ("n", (1,)), ("pe
     one_kind(_kind, *_groups)
 
 
-@query("claim_extract_full")
+def _claims_sql() -> str:
+    """claims.extract() for DuckDB: places of every kind, then without those inside an earlier claim."""
+    kinds = list(claims.KINDS)
+    places = ", ".join(f"{located_sql('sentence', p)} as {k}" for k, p in claims.KINDS.items())
+    steps, last = [], "located"
+    for i, k in enumerate(kinds):
+        earlier = [x for x in kinds[:i] if x in claims.BLOCKING]
+        if k in claims.BLOCKED and earlier:
+            taken = earlier[0]
+            for x in earlier[1:]:
+                taken = f"list_concat({taken}, {x})"
+            inside = "t.start <= s.start and s.\"end\" <= t.\"end\""
+            steps.append(f"{k}_left as (select * replace (list_filter({k}, lambda s: len(list_filter({taken}, lambda t: {inside})) = 0) as {k}) from {last})")
+            last = f"{k}_left"
+    rows = " union all ".join(
+        f"""select id, sentence, '{k}' as kind, s.start as start, s."end" as "end", concat_ws(',', {", ".join(f"regexp_extract(s.match, '{p}', {g + 1})" for g in range(re.compile(p).groups))}) as groups
+            from (select id, sentence, unnest({k}) as s from {last})"""
+        for k, p in claims.KINDS.items()
+    )
+    return f"located as (select concat_ws(':', l_orderkey, l_linenumber) as id, sentence, {places} from s), {', '.join(steps)}, found as ({rows})"
+
+
+ENDPOINTS, ARMS, MOVES = ["mean", "hr"], ["arm a", "arm n", "arm r"], {"improved": "positive", "reduced": "negative"}
+
+
+def _bound_sql(terms: list[str]) -> str:
+    named = "[" + ", ".join(f"'{t}'" for t in terms) + "]"
+    return f"{named}[{nearest_sql([located_sql('lower(sentence)', rf'\b{t}\b') for t in terms], 'start')} + 1]"
+
+
+@query("claim_extract_full", f'with {_RENDERED}, {_claims_sql()} select id, kind, start, "end", groups from found')
 def claim_extract_full(spark, sf_dir):
     rows = rendered(spark, sf_dir).withColumn("id", F.concat_ws(":", "l_orderkey", "l_linenumber"))
     return claims.extract(rows, "id", "sentence", spread=spark.sparkContext.defaultParallelism).withColumn("groups", F.array_join("groups", ",")).drop("sentence")
 
 
-@query("endpoint_binding")
+@query("endpoint_binding", f"""
+    with {_RENDERED}, {_claims_sql()},
+    b as (select id, kind, start, {claims.claim_role_sql('sentence', "'results'")} as role, {_bound_sql(ENDPOINTS)} as endpoint, {_bound_sql(ARMS)} as arm, {_bound_sql([*MOVES])} as moved from found)
+    select id, kind, start, role, endpoint, arm, case moved when 'improved' then 'positive' when 'reduced' then 'negative' end as direction,
+           case when endpoint is not null and arm is not null and moved is not null and role = 'effect' then 'high' when coalesce(endpoint, arm, moved) is not null then 'partial' else 'none' end as confidence
+    from b""")
 def endpoint_binding(spark, sf_dir):
     """Claims of the rendered sentences bound to their arm and direction."""
     rows = rendered(spark, sf_dir).withColumn("id", F.concat_ws(":", "l_orderkey", "l_linenumber"))
     found = claims.extract(rows, "id", "sentence", spread=spark.sparkContext.defaultParallelism).withColumn("role", claims.claim_role(F.col("sentence"), F.lit("results")))
-    bound = claims.bind(found.select("id", "kind", "start", "sentence", "role"), ["mean", "hr"], ["arm a", "arm n", "arm r"], {"improved": "positive", "reduced": "negative"})
-    return bound.drop("sentence")
+    return claims.bind(found.select("id", "kind", "start", "sentence", "role"), ENDPOINTS, ARMS, MOVES).drop("sentence")
+
+
+#: A word of every list, patterns that overrule, and sections.
+ROLES = {
+    "sentence": _cases("l_orderkey", [f"It was {w} here" for words in (claims.BACKGROUND_WORDS, claims.EFFECT_WORDS, claims.DURATION_WORDS, claims.DOSE_WORDS, claims.POPULATION_WORDS) for w in words] + [
+        "Baseline scores were alike and improved", "Baseline scores improved after care", "A difference in age and sex increased", "Prevalence increased", "Increased dose during the trial", "Nothing said", ""]),
+    "section": _cases("l_linenumber", ["introduction", "results", "discussion"]),
+}
 
 
-@query("claim_role", rf"""with {_RENDERED} select l_orderkey, l_linenumber, case when regexp_matches(lower(sentence), 'previous(ly)?|prior stud|known to') then 'background' when regexp_matches(lower(sentence), 'baseline') then 'baseline_population'
-    when regexp_matches(lower(sentence), 'improved|reduced|increased|decreased|versus') then 'effect' else 'background' end as role from s""")
+@query("claim_role", f"select l_orderkey, l_linenumber, {claims.claim_role_sql('sentence', 'section')} as role from {derived_sql('lineitem', ROLES, 'l_orderkey', 'l_linenumber')}")
 def claim_role(spark, sf_dir):
-    return rendered(spark, sf_dir).select("l_orderkey", "l_linenumber", claims.claim_role(F.col("sentence"), F.lit("results")).alias("role"))
+    rows = derived(table(spark, sf_dir, "lineitem"), ROLES, "l_orderkey", "l_linenumber")
+    return rows.select("l_orderkey", "l_linenumber", claims.claim_role(F.col("sentence"), F.col("section")).alias("role"))
 
 
 @query("paper_receipts", """with c as (select l_suppkey as paper, l_orderkey * 10 + l_linenumber as ord, l_partkey % 5 as outcome, 'e' || l_linenumber as endpoint, case when l_tax > 0.04 then 'up' else 'down' end as d, round(l_discount, 2) as p from lineitem),
