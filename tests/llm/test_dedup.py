@@ -158,14 +158,14 @@ def test_decontamination(spark):
 
 @pytest.mark.parametrize("limits", [{}, {"broadcast_rows": 0}])
 def test_decontamination_ids(spark, limits):
-    """Rows of one id, or of none, pool their hits; rows elsewhere do not count."""
+    """contamination() pools the rows of one id, or of none; verdicts tell rows of one id apart by their text."""
     item = " ".join(f"w{k}" for k in range(12))
     frame = spark.createDataFrame([(1, item), (None, item), (1, item)], "item_id long, text string")
     rows = [(1, "x " + item), (1, "clean"), (None, item), (None, "clean too"), (2, "clean")]
     hits, _ = contamination(table(spark, rows), frame, **limits)
     assert {r.id: (r.n_hit, list(r["items"])) for r in hits.collect()} == {1: (12, ["", "1"]), None: (12, ["", "1"])}
     got = Counter((r.doc_id, r.n_words, r.contaminated) for r in decontaminate(table(spark, rows), frame).collect())
-    assert got == {(1, 13, True): 1, (1, 1, True): 1, (None, 12, True): 1, (None, 2, True): 1, (2, 1, False): 1}
+    assert got == {(1, 13, True): 1, (1, 1, False): 1, (None, 12, True): 1, (None, 2, False): 1, (2, 1, False): 1}
     assert decontaminate(table(spark, {}), frame).count() == 0
 
 

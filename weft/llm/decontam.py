@@ -175,12 +175,18 @@ def decontaminate(
 ) -> DataFrame:
     """One row per input row: id, n_words, n_hit, items, contaminated.
 
-    A document with null text has no words. See contamination() for the rest.
+    A document with null text has no words. Documents are told apart by id and text, so
+    rows that share an id, null too, do not share hits. See contamination() for the rest.
     """
-    hits, _ = contamination(docs, items, id_col, text_col, item_id_col, item_text_col)
-    sizes = docs.select(F.col(id_col).alias("id"), F.size(words_of(F.col(text_col))).cast("long").alias("n_words"))
-    return sizes.join(hits.withColumnRenamed("id", "hit_id"), F.col("id").eqNullSafe(F.col("hit_id")), "left").select(
-        F.col("id").alias(id_col),
+    # A null id beside the hash is a value like another.
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("print"))
+    keyed = docs.select(key.alias("_key"), F.col(text_col).alias("_text"))
+    hits, _ = contamination(keyed, items, "_key", "_text", item_id_col, item_text_col)
+    sizes = keyed.select("_key", F.size(words_of(F.col("_text"))).cast("long").alias("n_words"))
+    hits = hits.select(F.col("id").alias("_hit"), "n_hit", "items")
+    same = F.col("_key.id").eqNullSafe(F.col("_hit.id")) & (F.col("_key.print") == F.col("_hit.print"))
+    return sizes.join(hits, same, "left").select(
+        F.col("_key.id").alias(id_col),
         "n_words",
         F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
