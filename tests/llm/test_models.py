@@ -16,7 +16,7 @@ from weft.llm.bytes_ import passage_rows
 from weft.llm.quality import AttentionModel, classify, score
 from weft.llm.quality import fit as fit_quality
 from weft.llm.tokens import count_tokens, document_token_counts
-from weft.llm.urlfilter import UrlFilter, build_cascade, judge_urls, listed_in
+from weft.llm.urlfilter import UrlFilter, _levels, _pack, build_cascade, judge_urls, listed_in
 
 WORDS = {"aa": "the of and tion ing house water", "bb": "der die und keit ung haus wasser", "cc": "le la que eau ment maison été"}
 
@@ -388,7 +388,8 @@ def test_cascade_is_exact():
     h1, h2 = (rng.integers(0, 1 << 64, 20000, dtype=np.uint64) for _ in range(2))
     for share in (0.0, 0.01, 0.5, 0.99, 1.0):
         listed = rng.random(20000) < share
-        assert (listed_in(build_cascade(h1, h2, listed), h1, h2) == listed).all()
+        levels = build_cascade(h1, h2, listed)
+        assert (listed_in(levels, h1, h2) == listed).all() and (listed_in(_levels(_pack(levels)), h1, h2) == listed).all()
 
 
 @pytest.mark.parametrize("limits", [{}, {"shard_keys": 7}, {"max_bytes": 0, "shard_keys": 11, "group_rows": 5}])

@@ -82,7 +82,7 @@ def build_cascade(h1: np.ndarray, h2: np.ndarray, listed: np.ndarray) -> list[np
     return levels
 
 
-def listed_in(levels: list[np.ndarray], h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+def listed_in(levels: list[np.ndarray] | list[Bits], h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
     """Whether each key is listed: it fails first at an odd level or passes an odd number of all."""
     out, open_ = np.zeros(len(h1), bool), np.arange(len(h1))
     for k, table in enumerate(levels):
@@ -97,13 +97,26 @@ def _pack(levels: list[np.ndarray]) -> bytes:
     return b"".join(len(t).to_bytes(8, "little") + np.packbits(t).tobytes() for t in levels)
 
 
-def _unpack(data: bytes) -> list[np.ndarray]:
+class Bits:
+    """A level's bit array, read where it lies packed."""
+
+    def __init__(self, data: bytes, at: int, bits: int):
+        self.bits, self.packed = bits, np.frombuffer(data, np.uint8, -(-bits // 8), at)
+
+    def __len__(self) -> int:
+        return self.bits
+
+    def __getitem__(self, slots: np.ndarray) -> np.ndarray:
+        return (self.packed[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _levels(data: bytes) -> list[Bits]:
+    """The levels of a packed cascade; nothing is copied."""
     levels, at = [], 0
     while at < len(data):
         bits = int.from_bytes(data[at : at + 8], "little")
-        size = -(-bits // 8)
-        levels.append(np.unpackbits(np.frombuffer(data, np.uint8, size, at + 8))[:bits].astype(bool))
-        at += 8 + size
+        levels.append(Bits(data, at + 8, bits))
+        at += 8 + -(-bits // 8)
     return levels
 
 
@@ -161,7 +174,7 @@ class UrlFilter:
             out, of = np.zeros(len(a), bool), np.mod(h1.to_numpy(), n)
             for k in np.unique(of):
                 own = of == k
-                out[own] = listed_in(_unpack(sent.value.get(int(k), b"")), a[own], b[own])
+                out[own] = listed_in(_levels(sent.value.get(int(k), b"")), a[own], b[own])
             return pd.Series(out)
 
         return rows.withColumn(into, F.col(key_col).isNotNull() & member(*_hashes(F.col(key_col))))
@@ -180,7 +193,7 @@ class UrlFilter:
 
         def judge(own: pa.Table, cascade: pa.Table) -> pa.Table:
             h1, h2 = (own[c].to_numpy().view(np.uint64) for c in ("_h1", "_h2"))
-            found = listed_in(_unpack(cascade["levels"][0].as_py() if cascade.num_rows else b""), h1, h2)
+            found = listed_in(_levels(cascade["levels"][0].as_py() if cascade.num_rows else b""), h1, h2)
             return own.select(names).append_column(into, pa.array(found & own[key_col].is_valid().to_numpy(zero_copy_only=False)))
 
         names = rows.columns
