@@ -68,7 +68,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     least = lambda i: F.least(*[F.struct(F.get("m", i + j).alias("mark"), (i + j).alias("at")) for j in range(window)])["at"]
     kept = F.array_distinct(F.transform(_range(F.size("m") - (window - 1)), least)) if window > 1 else _range(F.size("m"))
     prints = own.select("doc", "m", F.explode_outer(kept).alias("at")).where("at is not null").select("doc", "at", F.get("m", F.col("at")).alias("mark"))
-    again = prints.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
+    # Cut, here and below, so that both sides of a join are plain shuffles, whose hot keys Spark can split.
+    again = cut(prints.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"))
     met = prints.join(again, "mark", "left_semi").groupBy("doc").agg(F.collect_set("at").alias("at"))
     # Runs around a match: a place is extended to every run that holds its gram.
     places = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(F.greatest(p - (run - gram), F.lit(0)), p))))
@@ -84,7 +85,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     key = ["key_h", "key_g"]
     # Places by plain numbers, which need no sort; equal rows of docs have equal places.
     ends = runs.groupBy(*key).agg(*[f(c).alias(f"{k}_{c}") for c in ("doc", "at") for k, f in (("lo", F.min), ("hi", F.max))])
-    many = ends.where("lo_doc < hi_doc or lo_at < hi_at").select(*key)
+    many = cut(ends.where("lo_doc < hi_doc or lo_at < hi_at").select(*key))
     shared = cut(runs.join(many, key, "left_semi"))
     place = F.struct(F.col("id").isNull().alias("z"), "id", "doc", "at")
     first = cut(shared.groupBy(*key).agg(F.min(place).alias("first")))
