@@ -200,7 +200,8 @@ def near_links(reps: DataFrame, cell_rows: int = CELL) -> DataFrame:
     mask = lambda i: F.shiftrightunsigned("fp", BLOCKS[i][0]).bitwiseAND(F.lit((1 << BLOCKS[i][1]) - 1))
     keys = [F.struct(F.lit(k).alias("t"), mask(i).alias("x"), mask(j).alias("y")) for k, (i, j) in enumerate(combinations(range(5), 2))]
     rows = reps.select("fp", "rep", F.explode(F.array(*keys)).alias("k")).select("fp", "rep", F.xxhash64("k.t", "k.x", "k.y").alias("key"))
-    met = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # Cut, so that both sides of the join are plain shuffles, whose hot keys Spark can split.
+    met = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     parts = F.ceil(F.col("n") / cell_rows)
     own = F.pmod(F.xxhash64("fp", F.lit(1)), parts)
     cells = (
