@@ -70,7 +70,7 @@ def test_effect_shapes(spark):
 
 def test_claim_spans(spark):
     text = "HR 0.75 (95% CI 0.1 to 0.9; p<0.05), n = 120, 4.2 ± 1.1 mg, 30% better after 12 weeks"
-    rows = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "no number"), (5, text * 200)], "id int, text string")
+    rows = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "no number"), (5, (text + " ") * 200)], "id int, text string")
     got = claims.extract(rows, "id", "text").collect()
     one = [r for r in got if r.id == 1]
     assert [r.kind for r in one] == ["ratio", "ci", "p_value", "n", "mean_sd", "unit", "percent", "unit"]

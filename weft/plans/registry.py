@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weft.plans import evidence, joins, landings, manuscripts, numbers, operations, outcomes, prose, streams, studies, supplies, surfaces, synthesis, verdicts
+from weft.plans import artifacts, evidence, joins, landings, manuscripts, numbers, operations, outcomes, prose, streams, studies, supplies, surfaces, synthesis, verdicts
 
-MODULES = (evidence, landings, studies, synthesis, joins, manuscripts, surfaces, numbers, operations, supplies, verdicts, streams, outcomes, prose)
+MODULES = (evidence, landings, studies, synthesis, joins, manuscripts, surfaces, numbers, operations, supplies, verdicts, streams, outcomes, prose, artifacts)
 
 
 def queries() -> dict:
