@@ -93,9 +93,9 @@ def test_run_files(spark, tmp_path):
         for name, text in files.items():
             (tmp_path / run / name).write_text(text)
     got = {r.run_id: r for r in runs.run_summaries(runs.read_files(spark, f"{tmp_path}/*/*.json")).collect()}
-    assert got.keys() == {"synthesis-ageing-v2", "plain", "empty", "twice"}
+    assert got.keys() == {*cases}
     whole = got["synthesis-ageing-v2"]
     assert (whole.topic, whole.eligibility, whole.n_source_papers, whole.directness_mix, whole.citation_keys) == ("ageing", "full_aaa_primary", 2, {"direct": 1, "unknown": 1}, ["10.1/x", "r2"])
     assert got["plain"].exclusion_reason == f"unreadable artifacts: {runs.MANIFEST}, {runs.REGISTRY}"
-    assert got["empty"].exclusion_reason == f"missing artifacts: {runs.MANIFEST}, {runs.REGISTRY}" and got["twice"].exclusion_reason == f"unreadable artifacts: {runs.REGISTRY}"
+    assert {got[r].exclusion_reason for r in ("empty", "foreign")} == {f"missing artifacts: {runs.VERDICT}, {runs.MANIFEST}, {runs.REGISTRY}"} and got["twice"].exclusion_reason == f"unreadable artifacts: {runs.REGISTRY}"
     assert all(got[r].eligibility == "excluded" for r in ("plain", "empty", "twice"))

@@ -26,14 +26,14 @@ MIXES = {"directness_mix": "directness", "evidence_tier_mix": "evidence_tier", "
 
 
 def read_files(spark: SparkSession, pattern: str) -> DataFrame:
-    """(path, content) of whole files, empty ones too."""
+    """(path, content) of whole files. Spark's listing leaves empty files out, so those are missing."""
     return spark.read.format("binaryFile").load(pattern).select("path", F.col("content").cast("string").alias("content"))
 
 
 def artifacts(files: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """(run, one column of content for each name): files(path, content) by folder. Other files are left out, a folder of none of the names too."""
+    """(run, one column of content for each name): files(path, content) by folder; other files only tell that the folder is there."""
     parts = F.split("path", "/")
-    named = files.select(F.element_at(parts, -2).alias("run"), F.element_at(parts, -1).alias("name"), "content").where(F.col("name").isin(*names))
+    named = files.select(F.element_at(parts, -2).alias("run"), F.element_at(parts, -1).alias("name"), "content")
     return named.groupBy("run").agg(*[F.max(F.when(F.col("name") == n, F.col("content"))).alias(n) for n in names])
 
 
