@@ -99,3 +99,31 @@ def test_greedy_queries_match_plain_python(spark):
             used |= {a, b}
             top.append((a, b))
     assert [(r.a, r.b) for r in sorted(queries()["tension_top_capped"](spark, sf).collect(), key=lambda r: r.tension_id)] == top
+
+
+def test_settled_markers(spark, tmp_path):
+    """A publication within the time to live, one after it, one before its submission, and late ones, over three triggers."""
+    from weft.streaming import markers
+
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, markers.STATE_STORE)
+
+    def batch(n, rows):
+        frame = spark.createDataFrame(rows, "marker string, kind string, run string, ts string").selectExpr("marker", "kind", "run", "cast(ts as timestamp) ts")
+        frame.coalesce(1).write.parquet(f"{tmp_path}/in/b={n}")
+        stream = spark.readStream.schema("marker string, kind string, run string, ts timestamp").parquet(f"{tmp_path}/in/*")
+        rows = ledger.run_once(markers.settled(stream, 3_600_000, "1 hour"), f"{tmp_path}/out")
+        return {r.run: (r.status, r.published_at and r.published_at.minute) for r in rows.collect()}
+
+    sent, out, day = "submission", "publication", "2024-01-01 "
+    try:
+        got = batch(1, [("a", sent, "a1", day + "00:00:00"), ("b", sent, "b1", day + "00:00:00.5"), ("b", out, None, day + "00:30:00"), ("c", out, None, day + "00:10:00"), ("d", sent, "d1", day + "00:00:00")])
+        assert got == {"b1": ("published", 30)}
+        got = batch(2, [("a", out, None, day + "00:50:00"), ("c", sent, "c1", day + "00:45:00"), ("e", sent, "e1", day + "01:00:00"), ("z", sent, "z1", "2024-01-02 05:00:00")])
+        # d never, e not before the watermark passed its hour; z still waits.
+        want = {"a1": ("published", 50), "b1": ("published", 30), "c1": ("published", 10), "d1": ("expired", None), "e1": ("expired", None)}
+        assert got == want
+        assert batch(3, [("e", out, None, day + "01:10:00"), ("z", out, None, "2024-01-02 06:00:00")]) == {**want, "z1": ("published", 0)}
+    finally:
+        spark.conf.set(name, before)
