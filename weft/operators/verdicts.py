@@ -72,8 +72,11 @@ def certification(receipts: Column, claims: Column, tensions: Column, profile: d
     least_receipts, least_claims = raised("receipts", over.get("receipts")), raised("claims", over.get("claims"))
     flat = floors_met(receipts, claims, tensions, floors)
     says = lambda track, clean: F.struct(F.lit(track).alias("track"), F.lit(clean).alias("clean"))
-    inference = (p["total"] >= INFERENCE["total"]) & (p["a_tier"] >= INFERENCE["a_tier"]) & (p["mechanistic"] >= INFERENCE["mechanistic"])
-    mechanism = (p["total"] >= MECHANISM["weight"]) & (p["mechanistic"] >= MECHANISM["weight"]) & (p["n_mechanistic"] >= MECHANISM["count"])
+    # Weights that a pack sets stand in place of the usual ones, higher or lower.
+    weight = lambda kind, usual: F.coalesce(over[kind] if isinstance(over.get(kind), Column) else F.lit(over.get(kind)), F.lit(usual))
+    inferred, mechanical = weight("inferential_weight", INFERENCE["total"]), weight("mechanistic_weight", MECHANISM["weight"])
+    inference = (p["total"] >= inferred) & (p["a_tier"] >= INFERENCE["a_tier"]) & (p["mechanistic"] >= INFERENCE["mechanistic"])
+    mechanism = (p["total"] >= mechanical) & (p["mechanistic"] >= mechanical) & (p["n_mechanistic"] >= MECHANISM["count"])
     return (
         F.when(flat & (p["mechanistic"] > p["clinical"]) & (p["direct"] < 1.0), says("AAA-MECH", True))
         .when(flat, says("AAA-CLIN", True))
@@ -90,14 +93,14 @@ def blocking(severities: Column) -> Column:
     return F.size(F.filter(severities, lambda s: s.isin(*BLOCKING) | ~F.coalesce(s.isin(*HARMLESS), F.lit(False))))
 
 
-def unified_verdict(p1_pass: Column, passed: Column, checks: Column, severities: Column, unresolved: Column, track: Column, floor_clean: Column, bridges: Column) -> Column:
+def unified_verdict(p1_pass: Column, passed: Column, checks: Column, severities: Column, unresolved: Column, track: Column, floor_clean: Column, bridges: Column, least_bridges: Column | int = BRIDGE_CLAIMS) -> Column:
     """SHIP-BLOCKED, AAA, or a pass of the trust spine, with the reviews that are open named.
 
     floor_clean says that the flat floors or the track's hold; a bridged track also
-    needs its bridge claims. All-green needs a check that ran.
+    needs its bridge claims, of which a pack may ask another number. All-green needs a check that ran.
     """
     clean = p1_pass & (blocking(severities) == 0)
-    bridged = ~track.isin(*BRIDGED_TRACKS) | (bridges >= BRIDGE_CLAIMS)
+    bridged = ~track.isin(*BRIDGED_TRACKS) | (bridges >= least_bridges)
     notes = F.size(F.filter(severities, lambda s: s == "P2"))
     green = clean & (unresolved == 0) & (checks > 0) & (passed == checks) & (notes == 0) & floor_clean & bridged
     return (
