@@ -80,6 +80,8 @@ def test_cosine_search_in_blocks(spark):
     many = {(r.query, r.match, round(r.cosine, 9)) for r in similarity.cosine_search(v.where("id % 5 = 0"), v, "id", "v", 0.5, block=3).collect()}
     assert one == many and one
     assert similarity.cosine_search(v.where("id < 0"), v, "id", "v", 0.5).count() == 0
+    packed = {(r.query, r.match, round(r.cosine, 9)) for r in similarity.cosine_search(v.where("id % 5 = 0"), v, "id", "v", 0.5, block=3, max_bytes=0).collect()}
+    assert packed == one and similarity.cosine_search(v, v.where("id < 0"), "id", "v", 0.5, max_bytes=0).count() == 0
 
 
 def test_close_pairs_in_blocks(spark):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator
 
@@ -100,37 +99,68 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def cosine_search(queries: DataFrame, vectors: DataFrame, id_col: str, vector_col: str, limit: float, block: int = 1024) -> DataFrame:
-    """(query, match, cosine) of stated queries against all vectors, from `limit` on.
+#: Query vectors of at most so many bytes are broadcast.
+QUERY_BYTES = 64 << 20
 
-    Queries are taken `block` at a time, which bounds what is broadcast, and each
-    block meets every batch of vectors where it lies as one matrix product. A null
-    vector is left out.
+
+def cosine_search(queries: DataFrame, vectors: DataFrame, id_col: str, vector_col: str, limit: float, block: int = 1024, max_bytes: int = QUERY_BYTES) -> DataFrame:
+    """(query, match, cosine) of stated queries against all vectors, from `limit` on. A null vector is left out.
+
+    Vectors are read once. Queries of max_bytes or less are broadcast and meet each batch
+    of vectors where it lies, `block` of them a matrix product. More are packed into
+    blocks, as the vectors are, and each pair of blocks is a row.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v is not null")
-    sc, out = vectors.sparkSession.sparkContext, None
-
-    def against(sent) -> DataFrame:  # noqa: ANN001
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
-            for b in batches:
-                c = q @ _unit(_matrix(b.column(1))).T
-                i, j = np.nonzero(c >= limit)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(b.column(0).to_numpy()[j]), pa.array(c[i, j])], ["query", "match", "cosine"])
-
-        return rows.mapInArrow(run, "query long, match long, cosine double")
-
-    held: list = []
-    named = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v is not null").orderBy("id")
-    for r in itertools.chain(named.toLocalIterator(), [None]):
-        if r is not None:
-            held.append(r)
-        if held and (r is None or len(held) == block):
-            part = against(sc.broadcast((np.array([x.id for x in held]), _unit(np.array([x.v for x in held], float)))))
-            out, held = part if out is None else out.union(part), []
-    if out is None:
-        return rows.select(F.col("id").alias("query"), F.col("id").alias("match"), F.lit(0.0).alias("cosine")).limit(0)
-    return out.where("query <> match")
+    plain = lambda d: d.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v is not null")
+    rows, named = plain(vectors), plain(queries)
+    n, numbers = named.agg(F.count("*"), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
+    found = _sent(named, rows, limit, block) if 8 * numbers <= max_bytes else _packed(named, rows, limit, block, n)
+    return found.where("query <> match")
+
+
+def _matches(ids: np.ndarray, q: np.ndarray, others: np.ndarray, v: np.ndarray, limit: float, block: int) -> Iterator[pa.RecordBatch]:
+    """Matches of unit rows q and v, a block of q at a time."""
+    for at in range(0, len(ids), block):
+        c = q[at : at + block] @ v.T
+        i, j = np.nonzero(c >= limit)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[at + i]), pa.array(others[j]), pa.array(c[i, j])], ["query", "match", "cosine"])
+
+
+FOUND = "query long, match long, cosine double"
+
+
+def _sent(named: DataFrame, rows: DataFrame, limit: float, block: int) -> DataFrame:
+    t = named.toArrow()  # checked: at most max_bytes
+    ids = t.column(0).to_numpy()
+    sent = rows.sparkSession.sparkContext.broadcast((ids, _unit(_matrix(t.column(1).combine_chunks())) if len(ids) else None))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = sent.value
+        for b in batches:
+            if len(ids) and b.num_rows:
+                yield from _matches(ids, q, b.column(0).to_numpy(), _unit(_matrix(b.column(1))), limit, block)
+
+    return rows.mapInArrow(run, FOUND)
+
+
+def _packed(named: DataFrame, rows: DataFrame, limit: float, block: int, n: int) -> DataFrame:
+    def blocks(d: DataFrame, count: int, size: int, name: str) -> DataFrame:
+        parts = max(1, -(-count // size))
+        own = d.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias(f"{name}_n")).agg(F.collect_list(F.struct("id", "v")).alias("vs"))
+        return cut(own.select(f"{name}_n", F.col("vs.id").alias(f"{name}_ids"), F.flatten("vs.v").alias(f"{name}_v")))
+
+    left, right = blocks(named, n, block, "q"), blocks(rows, rows.count(), 4 * block, "v")
+    parts = max(1, -(-n // block))
+    # Numbers of blocks, which then draw what they name.
+    pairs = right.select("v_n", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("q_n"))
+    met = pairs.join(left, "q_n").join(right, "v_n").select("q_ids", "q_v", "v_ids", "v_v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                ids, q, others, v = (b.column(c)[k].values.to_numpy(zero_copy_only=False) for c in range(4))
+                yield from _matches(ids, _unit(q.reshape(len(ids), -1)), others, _unit(v.reshape(len(others), -1)), limit, block)
+
+    return met.mapInArrow(run, FOUND)
 
 
 def close_pairs(vectors: DataFrame, group: str, id_col: str, vector_col: str, limit: float, block: int = 512) -> DataFrame:

@@ -94,6 +94,17 @@ def weight(tier: Column, directness: Column) -> Column:
     return lookup(TIER_POINTS, F.substring(tier, 1, 1), 0.0) + lookup(DIRECT_POINTS, directness, 0.0)
 
 
+def contenders(receipts: DataFrame, block: str, top: int) -> DataFrame:
+    """The receipts that `top` tensions of a block can be made of: of those alike in outcome, directness and directions the 2 * top + 2 with the smallest ids.
+
+    Choices by severity and then by ids use 2 * top receipts at most, so one of the smaller
+    ids of its kind is free in place of any other.
+    """
+    key = F.to_json(F.array_sort(F.map_entries("endpoint_directions")))
+    w = W.partitionBy(block, "outcome", "directness", key).orderBy("id")
+    return receipts.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= 2 * top + 2).drop("_k")
+
+
 def top_tensions(tensions: DataFrame, order: str, top: int) -> DataFrame:
     """The first `top` of tensions(order, a, b) by order, each paper in one at most."""
     kept = greedy_by_keys(tensions.withColumn("_papers", F.array("a", "b")), order, "_papers")
