@@ -287,16 +287,15 @@ def near_duplicate_members(spark, sf_dir):
     return similarity.members(table(spark, sf_dir, "documents").select("doc_id", tx.tokens(F.col("text")).alias("t")), "doc_id", "t", 1)
 
 
-@query("near_duplicate_lines", _near_sql(_LINES, 0.9, 20))
+@query("near_duplicate_lines", _near_sql(_LINES, 0.9, 1))
 def near_duplicate_lines(spark, sf_dir):
-    """Pairs of lines of 20 different words or more."""
-    return similarity.near_duplicate_lines(table(spark, sf_dir, "documents"), "doc_id", "text").select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return similarity.near_duplicate_lines(table(spark, sf_dir, "documents"), "doc_id", "text", least=1).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query("near_duplicate_line_members", f"""with s as ({_SETS} {_LINES}), r as (select t, min(id) as representative from s where len(t) >= 20 group by t), o as (select distinct doc_id, md5(line) as id from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line from documents))
+@query("near_duplicate_line_members", f"""with s as ({_SETS} {_LINES}), r as (select t, min(id) as representative from s where len(t) >= 1 group by t), o as (select distinct doc_id, md5(line) as id from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line from documents))
     select doc_id, id as line_id, representative from o join s using (id) join r using (t)""")
 def near_duplicate_line_members(spark, sf_dir):
-    return similarity.line_members(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return similarity.line_members(table(spark, sf_dir, "documents"), "doc_id", "text", least=1)
 
 
 _NUMBERS = r"regexp_extract_all(text, '[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?')"
