@@ -81,3 +81,22 @@ def test_sinks(spark, tmp_path):
     assert bib.startswith("@article{k1,") and "doi = {}" in bib
     rows = sinks.forest_rows(spark.createDataFrame([("a", 1.0, 0.5), ("b", 2.0, 1.0)], "study string, effect double, se double")).collect()
     assert abs(sum(r.weight for r in rows) - 1) < 1e-12
+
+
+def test_state_of_two_writers(spark, tmp_path, monkeypatch):
+    """A writer whose state moved meanwhile puts its news into the other's version; one that never gets through says so."""
+    frame = lambda *rows: spark.createDataFrame(rows, "k string, v int, o int")
+    root, real = f"file://{tmp_path}/state", sinks.upsert
+    sinks.update_state(spark, root, frame(("a", 1, 1)), ["k"], "o")
+
+    def between(*args):
+        monkeypatch.setattr(sinks, "upsert", real)
+        sinks.update_state(spark, root, frame(("a", 2, 2), ("b", 2, 2)), ["k"], "o")
+        return real(*args)
+
+    monkeypatch.setattr(sinks, "upsert", between)
+    path = sinks.update_state(spark, root, frame(("b", 3, 3)), ["k"], "o")
+    assert path == sinks.current_state(spark, root) and {tuple(r) for r in spark.read.parquet(path).collect()} == {("a", 2), ("b", 3)}
+    monkeypatch.setattr(sinks, "current_state", lambda s, r, seen=iter(range(99)): None if next(seen) % 2 else path)
+    with pytest.raises(RuntimeError, match="moved"):
+        sinks.update_state(spark, root, frame(("c", 1, 1)), ["k"], "o", tries=2)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weft.functions.text import normalize_doi, tokens
+from weft.operators.terms import find_terms
 
 
 def without_retracted(rows: DataFrame, doi: str, lists: list[DataFrame]) -> DataFrame:
@@ -31,29 +32,10 @@ def contract_mismatches(rows: DataFrame, frozen: DataFrame, key: str, fields: li
     return j.select(key, "x.*").where(~F.col("now").eqNullSafe(F.col("then")))
 
 
-#: Characters of a term that an index of texts is asked for.
-GRAM = 3
-
-
-def _grams(starts: Column, k: int) -> Column:
-    return F.transform(starts, lambda i: F.substr(F.col("text"), i, F.lit(k)))
-
-
 def containing(texts: DataFrame, id_col: str, text_col: str, terms: DataFrame, term_col: str) -> DataFrame:
-    """(id, term): texts that hold a term somewhere.
-
-    Texts are met by the first GRAM characters of a term, or all of a shorter one,
-    among their different grams, and the whole term is looked for in those alone. The
-    empty term is in no text.
-    """
-    size = lambda c: F.least(F.length(c), F.lit(GRAM))
-    own = terms.select(F.col(term_col).alias("term")).where(F.length("term") > 0).distinct().withColumn("gram", F.substring("term", 1, GRAM))
-    lengths = [r[0] for r in own.select(size("term")).distinct().collect()]  # GRAM rows at most
-    whole = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    starts = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)))
-    grams = F.array_distinct(F.flatten(F.array(*[_grams(starts, k) for k in lengths])) if lengths else F.array().cast("array<string>"))
-    met = whole.select("id", "text", F.explode_outer(grams).alias("gram")).join(own, "gram")
-    return met.where(F.contains("text", F.col("term"))).select("id", "term").distinct()
+    """(id, term): texts that hold a term somewhere. The empty term is in no text."""
+    rows = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return find_terms(rows, ["id"], "text", terms, term_col).select("id", "term").distinct()
 
 
 def framework_engagement(frameworks: DataFrame, receipts: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions import builders
+from weft.plans.streams import folder
 from weft.plans.tables import derived, derived_sql, registrar, table
 from weft.sources import landed, sinks
 
@@ -255,3 +256,36 @@ def sink_export_manifest(spark, sf_dir):
     files = table(spark, sf_dir, "orders").select("o_custkey", F.concat(F.lit("order-"), F.col("o_orderkey")).alias("name"), F.floor("o_totalprice").cast("long").alias("bytes"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("sha256"))
     made = sinks.export_manifest(files, "o_custkey").select(F.col("o_custkey").cast("long").alias("customer"), F.from_json("manifest", "array<struct<name:string, bytes:long, sha256:string>>").alias("m"))
     return made.select("customer", F.size("m").cast("long").alias("files"), F.aggregate("m", F.lit(0).cast("long"), lambda s, x: s + x["bytes"]).alias("bytes"), F.get("m", F.lit(0))["name"].alias("first_name"))
+
+
+def _written(spark):
+    """A folder of the shared one for what a sink writes."""
+    return folder(spark).replace("/stream-", "/sink-")
+
+
+@query("sink_json_written", "select c_custkey, c_name, c_acctbal from customer")
+def sink_json_written(spark, sf_dir):
+    """Written as JSON and read again."""
+    path = _written(spark)
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    sinks.write_table(rows, path, "json")
+    return spark.read.schema(rows.schema).json(path)
+
+
+@query("sink_csv_written", "select s_suppkey, s_name, '\"' || s_name || '\", ' || chr(92) as odd from supplier")
+def sink_csv_written(spark, sf_dir):
+    """Written as CSV and read again; quotes, commas and backslashes come back."""
+    path = _written(spark)
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.concat(F.lit('"'), "s_name", F.lit('", \\')).alias("odd"))
+    sinks.write_csv(rows, path)
+    return spark.read.schema(rows.schema).csv(path, header=True)
+
+
+@query("sink_state_updated", "select o_custkey, arg_max(o_orderstatus, o_orderkey) as o_orderstatus, max(o_orderkey) as o_orderkey_then from orders group by o_custkey")
+def sink_state_updated(spark, sf_dir):
+    """Orders put into a state by customer, older ones first; each customer's last one stands."""
+    path = _written(spark)
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus", F.col("o_orderkey").alias("o_orderkey_then"), F.col("o_orderkey").alias("at"))
+    middle = rows.agg(F.percentile_approx("at", 0.5)).first()[0]
+    sinks.update_state(spark, path, rows.where(F.col("at") <= middle), ["o_custkey"], "at")
+    return spark.read.parquet(sinks.update_state(spark, path, rows.where(F.col("at") > middle), ["o_custkey"], "at"))

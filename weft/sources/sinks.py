@@ -19,24 +19,32 @@ def write_csv(df: DataFrame, path: str) -> None:
     write_table(df, path, "csv", header=True)
 
 
-def update_state(spark: SparkSession, root: str, news: DataFrame, keys: list[str], order: str) -> str:
-    """Writes the state under root with news put in by key, as a new version; gives its path.
-
-    Versions are folders; the pointer table names the current one and is written
-    last, so a failed update leaves the old state in place.
-    """
-    pointer = f"{root}/current"
+def current_state(spark: SparkSession, root: str) -> str | None:
+    """The path of the state's current version; None if there is none yet."""
     try:
-        old = spark.read.text(pointer).first()[0]
-        state = spark.read.parquet(old)
-    except Exception as e:  # no state yet
+        return spark.read.text(f"{root}/current").first()[0]
+    except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        state = news.drop(order).limit(0)
-    new = f"{root}/version-{uuid.uuid4().hex}"
-    upsert(state, news, keys, order).write.parquet(new)
-    spark.createDataFrame([(new,)], "value string").coalesce(1).write.mode("overwrite").text(pointer)
-    return new
+        return None
+
+
+def update_state(spark: SparkSession, root: str, news: DataFrame, keys: list[str], order: str, tries: int = 5) -> str:
+    """Writes the state under root with news put in by key, as a new version; gives its path.
+
+    Versions are folders; the pointer table names the current one and is written last, so a
+    failed update leaves the old state in place. If another writer has moved the pointer
+    meanwhile, the news are put into its version instead, `tries` times at most.
+    """
+    for _ in range(tries):
+        old = current_state(spark, root)
+        state = spark.read.parquet(old) if old else news.drop(order).limit(0)
+        new = f"{root}/version-{uuid.uuid4().hex}"
+        upsert(state, news, keys, order).write.parquet(new)
+        if current_state(spark, root) == old:
+            spark.createDataFrame([(new,)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/current")
+            return new
+    raise RuntimeError(f"other writers moved {root} {tries} times")
 
 
 def bibtex(refs: DataFrame) -> DataFrame:
