@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weft.plans import artifacts, evidence, fanin, joins, landings, manuscripts, numbers, operations, outcomes, packs, papers, prose, revisions, streams, studies, supplies, surfaces, synthesis, verdicts
+from weft.plans import artifacts, coherences, evidence, fanin, joins, landings, manuscripts, numbers, operations, outcomes, packs, papers, prose, revisions, streams, studies, supplies, surfaces, synthesis, verdicts
 
-MODULES = (evidence, landings, studies, synthesis, joins, manuscripts, surfaces, numbers, operations, supplies, verdicts, streams, outcomes, prose, artifacts, fanin, revisions, packs, papers)
+MODULES = (evidence, landings, studies, synthesis, joins, manuscripts, surfaces, numbers, operations, supplies, verdicts, streams, outcomes, prose, artifacts, fanin, revisions, packs, papers, coherences)
 
 
 def queries() -> dict:
