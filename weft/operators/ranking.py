@@ -162,16 +162,33 @@ QUESTION_PEOPLE = {"non-diabetic older adults": r"\bnon[- ]diabetic older adults
 COMORBIDITIES = {"T2D": r"\b(?:t2d|type\s*2 diabetes)\b", "obesity": r"\b(?:obesity|obese)\b", "CKD": r"\b(?:ckd|chronic kidney disease)\b", "cardiovascular disease": r"\b(?:cvd|cardiovascular disease)\b"}
 
 
+#: Fixed value: the end of an age range that names none.
+OLDEST = 120
+
+
+def age_range(low: Column) -> Column:
+    """array(from, to) of the ages that a lower-cased question names: `65+`, `aged 40 to 60`, `over 70`, `under 18`, the first that fits; else null."""
+    at = lambda p, g=1: F.nullif(F.regexp_extract(low, p, g), F.lit("")).cast("int")
+    plus, between, over, under = r"\b(\d{2,3})\s*\+", r"\b(?:aged?|ages?)\s*(\d{2,3})\s*(?:-|to)\s*(\d{2,3})\b", r"\b(?:over|older than|at least|>=)\s*(\d{2,3})\b", r"\b(?:under|younger than|<)\s*(\d{2,3})\b"
+    return F.coalesce(
+        F.when(at(plus).isNotNull(), F.array(at(plus), F.lit(OLDEST))), F.when(at(between).isNotNull(), F.array_sort(F.array(at(between), at(between, 2)))),
+        F.when(at(over).isNotNull(), F.array(at(over), F.lit(OLDEST))), F.when(at(under).isNotNull(), F.array(F.lit(0), at(under))),
+    )
+
+
 def question(text: Column) -> dict[str, Column]:
-    """outcomes, people and comorbidities that a question names, and the span that its intervention is in."""
+    """What a question names: outcomes in order of their place, people, ages, comorbidities, and interventions."""
     q = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
     low = F.lower(q)
     found = lambda patterns: F.filter(F.array(*[F.when(low.rlike(p), F.lit(k)) for k, p in patterns.items()]), lambda x: x.isNotNull())
     people = F.get(found(QUESTION_PEOPLE), F.lit(0))
     span = F.coalesce(missing(F.regexp_extract(q, r"(?i)\b(?:about|evidence\s+(?:for|on)|effects?\s+of|impact\s+of|role\s+of)\s+(.+)$", 1)), missing(F.regexp_extract(q, r"(?i)^(.+?)\s+(?:for|on)\b", 1)))
     bare = F.regexp_replace(F.regexp_replace(span, r"(?i)^(?:what\s+does\s+(?:the\s+)?evidence\s+say\s+|what\s+is\s+(?:the\s+)?evidence\s+|does\s+|do\s+|can\s+)", ""), r"(?i)\s+(?:for|on|in|among|with|patients?|adults?|people)\b.*$", "")
-    terms = F.filter(F.transform(F.split(F.regexp_replace(bare, r"[?.!,]+$", ""), r"(?i)\s+(?:vs\.?|versus|compared\s+with|and|or)\s+"), lambda t: F.lower(F.trim(t))), lambda t: t != "")
-    return {"outcomes": found(QUESTION_OUTCOMES), "people": people, "comorbidities": F.filter(found(COMORBIDITIES), lambda c: ~c.eqNullSafe(people)), "interventions": F.coalesce(terms, F.array().cast("array<string>"))}
+    terms = F.filter(F.transform(F.split(F.regexp_replace(bare, r"[?.!,]+$", ""), r"(?i)\s+(?:vs\.?|versus|compared\s+with|and|or)\s+"), lambda t: F.lower(F.btrim(t, F.lit(" ,.;:?")))), lambda t: ~t.isin("", "the", "evidence"))
+    terms = F.array_distinct(terms)
+    placed = F.array(*[F.when(low.rlike(p), F.struct(F.regexp_instr(low, F.lit(p)).alias("at"), F.lit(k).alias("k"))) for k, p in QUESTION_OUTCOMES.items()])
+    outcomes = F.transform(F.array_sort(F.filter(placed, lambda x: x.isNotNull())), lambda x: x["k"])
+    return {"outcomes": outcomes, "people": people, "age": age_range(low), "comorbidities": F.filter(found(COMORBIDITIES), lambda c: ~c.eqNullSafe(people)), "interventions": F.coalesce(terms, F.array().cast("array<string>"))}
 
 
 def plain_words(c: Column) -> Column:

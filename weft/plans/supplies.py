@@ -362,8 +362,10 @@ def retrieval_params(spark, sf_dir):
 
 
 _ASKED = [
-    ("What does the evidence say about metformin and rapamycin for frailty in older adults?", ["metformin", "rapamycin"], ["frailty"], "older adults", []), ("Metformin vs placebo for glucose in type 2 diabetes with CKD", ["metformin", "placebo"], ["cardiometabolic"], "T2D", ["CKD"]),
-    ("Effects of exercise on muscle strength and memory", ["exercise"], ["muscle_function", "cognitive"], None, []), ("Is there anything?", [], [], None, []), ("Statins for survival in obese healthy adults", ["statins"], ["longevity"], "obesity", []),
+    ("What does the evidence say about metformin and rapamycin for frailty in older adults?", ["metformin", "rapamycin"], ["frailty"], "older adults", [], None), ("Metformin vs placebo for glucose in type 2 diabetes with CKD", ["metformin", "placebo"], ["cardiometabolic"], "T2D", ["CKD"], None),
+    ("Effects of exercise on muscle strength and memory", ["exercise"], ["muscle_function", "cognitive"], None, [], None), ("Is there anything?", [], [], None, [], None), ("Statins for survival in obese healthy adults", ["statins"], ["longevity"], "obesity", [], None),
+    ("Effects of the evidence and exercise and Exercise on memory and muscle strength in people 65+", ["the evidence", "exercise"], ["cognitive", "muscle_function"], None, [], "65-120"), ("Statins for survival aged 60 to 40", ["statins"], ["longevity"], None, [], "40-60"),
+    ("Statins for survival in people over 70", ["statins"], ["longevity"], None, [], "70-120"), ("Evidence on the and statins for people younger than 18", ["statins"], [], None, [], "0-18"),
 ]
 
 
@@ -375,11 +377,11 @@ def _by(values) -> str:
     return f"case o_orderkey % {len(values)} " + " ".join(f"when {i} then {v}" for i, v in enumerate(values)) + " end"
 
 
-@query("questions", f"select o_orderkey, array_to_string({_by([_list(q[1]) for q in _ASKED])}, ',') as interventions, array_to_string({_by([_list(q[2]) for q in _ASKED])}, ',') as outcomes, {_by(['null' if q[3] is None else repr(q[3]) for q in _ASKED])} as people, array_to_string({_by([_list(q[4]) for q in _ASKED])}, ',') as comorbidities from orders")
+@query("questions", f"select o_orderkey, array_to_string({_by([_list(q[1]) for q in _ASKED])}, ',') as interventions, array_to_string({_by([_list(q[2]) for q in _ASKED])}, ',') as outcomes, {_by(['null' if q[3] is None else repr(q[3]) for q in _ASKED])} as people, array_to_string({_by([_list(q[4]) for q in _ASKED])}, ',') as comorbidities, {_by(['null' if q[5] is None else repr(q[5]) for q in _ASKED])} as ages from orders")
 def questions(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_by([f"'{q[0]}'" for q in _ASKED])).alias("q"))
     found = ranking.question(F.col("q"))
-    return o.select("o_orderkey", *[F.array_join(found[k], ",").alias(k) for k in ("interventions", "outcomes", "comorbidities")], found["people"].alias("people"))
+    return o.select("o_orderkey", *[F.array_join(found[k], ",").alias(k) for k in ("interventions", "outcomes", "comorbidities")], found["people"].alias("people"), F.array_join(found["age"], "-").alias("ages"))
 
 
 @query("matched_topics", """with a as (select c_custkey as id, lower(c_mktsegment) as t from customer), p as (select n_name as topic, s from (select n_name, unnest([lower(n_name), case n_regionkey when 0 then 'building' when 1 then 'automobile' when 2 then 'household item' else 'furniture' end]) as s from nation))
