@@ -126,3 +126,14 @@ def test_study_rules_on_nulls(spark):
     none = F.lit(None).cast("string")
     row = spark.range(1).select(studies.study_role(none, none, none, F.lit(None).cast("boolean")).alias("role")).first()
     assert row.role
+
+
+def test_cited_rows_send_no_bundles_to_all(spark):
+    """Bundles come of an explode, whose size Spark underrates; they must not be broadcast."""
+    from weft.operators import supply
+
+    texts = spark.createDataFrame([(1, 7, "As in [2]. Abel 2001."), (2, 8, "PMID: 5"), (3, 9, "[1]")], "id int, bundle int, text string")
+    bundle = spark.createDataFrame([(7, 1, "Abel 2001", "4", None), (7, 2, "Bo 1", "5", None), (8, 1, "Cay 2", "5", "10.1000/x")], "bundle int, position int, cited_as string, pmid string, doi string")
+    got = supply.cited_rows(texts, bundle)
+    assert sorted(map(tuple, got.collect())) == [(1, 1), (1, 2), (2, 1)]
+    assert "Broadcast" not in got._jdf.queryExecution().sparkPlan().toString()

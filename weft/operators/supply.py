@@ -296,7 +296,7 @@ def source_floor(receipts: Column, citations: Column, floor: int = 12) -> Column
 
 def cited_rows(texts: DataFrame, bundle: DataFrame) -> DataFrame:
     """(id, position): rows of bundle(bundle, position, cited_as, pmid, doi) that a text(id, bundle, text) cites, by
-    bracketed number, PMID or DOI, or by a label that it holds. A bundle has few rows."""
+    bracketed number, PMID or DOI, or by a label that it holds. A bundle has few rows; there may be many bundles."""
     low, lower = F.lower("text"), lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
     by = F.concat(
         F.transform(F.flatten(F.transform(F.regexp_extract_all("text", F.lit(r"\[([0-9]+(?:\s*,\s*[0-9]+)*)\]"), 1), lambda g: F.regexp_extract_all(g, F.lit("[0-9]+"), 0))), lambda n: F.concat(F.lit("n:"), n)),
@@ -305,9 +305,10 @@ def cited_rows(texts: DataFrame, bundle: DataFrame) -> DataFrame:
     )
     keys = F.array(F.concat(F.lit("n:"), F.col("position").cast("string")), F.concat(F.lit("p:"), missing(F.regexp_replace(F.col("pmid"), r"\D", ""))), F.concat(F.lit("d:"), missing(F.rtrim(lower(F.col("doi")), F.lit(".,")))))
     own = bundle.select("bundle", "position", F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("key"))
-    exact = texts.select("id", "bundle", F.explode(F.array_distinct(by)).alias("key")).join(own, ["bundle", "key"]).select("id", "position")
+    # Merged: Spark takes what an explode gives for no larger than what it is given, and would broadcast all bundles.
+    exact = texts.select("id", "bundle", F.explode(F.array_distinct(by)).alias("key")).join(own.hint("merge"), ["bundle", "key"]).select("id", "position")
     labels = bundle.select("bundle", "position", lower(F.col("cited_as")).alias("label")).where(F.length("label") >= 4)
-    named_ = texts.select("id", "bundle", low.alias("low")).join(labels, "bundle").where(F.contains("low", F.col("label"))).select("id", "position")
+    named_ = texts.select("id", "bundle", low.alias("low")).join(labels.hint("merge"), "bundle").where(F.contains("low", F.col("label"))).select("id", "position")
     return exact.union(named_).distinct()
 
 
