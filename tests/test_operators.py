@@ -87,6 +87,35 @@ def test_binding(spark):
     assert got == {1: ("weight", "drug", "negative", "high"), 2: (None, None, None, "none"), 3: (None, None, None, "none")}
 
 
+def test_claims_of_neighbours_do_not_touch(spark):
+    """Texts of one batch are read together; claims, blocked claims and terms stay in their own."""
+    rows = spark.createDataFrame([(1, "n", "weight 5"), (2, "n", "% HR"), (3, "n", "0.5 and 7"), (4, "n", "5% weight"), (5, "n", "was reduced by 4%, ±; n =\n4")], "id int, role string, text string").coalesce(1)
+    got = claims.extract(rows, "id", "text", keep=("role",))
+    assert got.columns == ["id", "kind", "start", "end", "groups", "role", "sentence"]
+    assert [(r.id, r.kind, r.start, r.end, r.groups, r.role) for r in got.collect()] == [(4, "percent", 0, 2, ["5"], "n"), (5, "percent", 15, 17, ["4"], "n")]
+    assert claims.extract(rows, "id", "text", sentence=False).columns == ["id", "kind", "start", "end", "groups"]
+    near = {r.id: (r.endpoint, r.direction) for r in claims.bind(got, ["weight"], ["x"], {"reduced": "negative"}).collect()}
+    assert near == {4: ("weight", None), 5: (None, "negative")}
+
+
+def test_binding_reads_a_sentence_once(spark, monkeypatch):
+    """Not once a claim: texts given to the search are those of the sentences."""
+    seen = []
+
+    class Counted(claims.Joined):
+        def __init__(self, texts):
+            seen.append(len(texts))
+            super().__init__(texts)
+
+    monkeypatch.setattr(claims, "Joined", Counted)
+    rows = spark.createDataFrame([("weight fell", i, "effect") for i in range(11)], "sentence string, start int, role string")
+    grabbed = {}
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda d, f, s: grabbed.update(f=f) or d.selectExpr("*", "0 as _e", "0 as _a", "0 as _d"))
+    claims.bind(rows, ["weight"], ["a"], {"fell": "negative"})
+    list(grabbed["f"](iter(rows.toArrow().to_batches())))
+    assert sum(seen) < 11
+
+
 def test_thresholds_and_ties(spark):
     df = spark.createDataFrame([("<", 0.05), ("=", 0.05), ("<=", 0.05), (">", 0.01), ("=", 0.01), ("<", 1.5), (None, 0.01)], "c string, p double")
     assert [r.s for r in df.select(aggregates.significant(F.col("c"), F.col("p")).alias("s")).collect()] == [True, False, True, False, True, False, False]

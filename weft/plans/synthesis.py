@@ -153,7 +153,7 @@ def _bound_sql(terms: list[str]) -> str:
 @query("claim_extract_full", f'with {_RENDERED}, {_claims_sql()} select id, kind, start, "end", groups from found')
 def claim_extract_full(spark, sf_dir):
     rows = rendered(spark, sf_dir).withColumn("id", F.concat_ws(":", "l_orderkey", "l_linenumber"))
-    return claims.extract(rows, "id", "sentence", spread=spark.sparkContext.defaultParallelism).withColumn("groups", F.array_join("groups", ",")).drop("sentence")
+    return claims.extract(rows, "id", "sentence", spread=spark.sparkContext.defaultParallelism, sentence=False).withColumn("groups", F.array_join("groups", ","))
 
 
 @query("endpoint_binding", f"""
@@ -164,8 +164,8 @@ def claim_extract_full(spark, sf_dir):
     from b""")
 def endpoint_binding(spark, sf_dir):
     """Claims of the rendered sentences bound to their arm and direction."""
-    rows = rendered(spark, sf_dir).withColumn("id", F.concat_ws(":", "l_orderkey", "l_linenumber"))
-    found = claims.extract(rows, "id", "sentence", spread=spark.sparkContext.defaultParallelism).withColumn("role", claims.claim_role(F.col("sentence"), F.lit("results")))
+    rows = rendered(spark, sf_dir).select(F.concat_ws(":", "l_orderkey", "l_linenumber").alias("id"), "sentence", claims.claim_role(F.col("sentence"), F.lit("results")).alias("role"))
+    found = claims.extract(rows, "id", "sentence", spread=spark.sparkContext.defaultParallelism, keep=("role",))
     return claims.bind(found.select("id", "kind", "start", "sentence", "role"), ENDPOINTS, ARMS, MOVES).drop("sentence")
 
 
