@@ -42,7 +42,7 @@ def figure_captions(spark, sf_dir):
     select paper, cast(sum(c) as bigint) as n, string_agg(kind || '=' || c, ',' order by kind) as counts from c group by paper""")
 def claim_artifacts(spark, sf_dir):
     rows = rendered(spark, sf_dir).withColumn("id", F.concat_ws(":", "l_orderkey", "l_linenumber"))
-    found = claims.extract(rows, "id", "sentence", spread=spark.sparkContext.defaultParallelism).select(F.split_part("id", F.lit(":"), F.lit(1)).alias("paper"), "kind")
+    found = claims.extract(rows, "id", "sentence", spread=spark.sparkContext.defaultParallelism, sentence=False).select(F.split_part("id", F.lit(":"), F.lit(1)).alias("paper"), "kind")
     out = papers.claim_artifacts(found)
     return out.select("paper", "n", F.array_join(F.transform(F.map_entries("counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("counts"))
 
