@@ -137,3 +137,14 @@ def test_cited_rows_send_no_bundles_to_all(spark):
     got = supply.cited_rows(texts, bundle)
     assert sorted(map(tuple, got.collect())) == [(1, 1), (1, 2), (2, 1)]
     assert "Broadcast" not in got._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_papers_are_dealt_over_tasks(spark):
+    """Orders are one small file; their papers must not be one task."""
+    from weft.operators import surface
+    from weft.plans import surfaces
+
+    papers = surfaces.papers(spark, "/root/testdata/sf0.001")
+    assert papers.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    rows = spark.createDataFrame([(" \t",), ("| a |",), (" one  two\n| a b |\nthree\r\n",), (None,)], "t string")
+    assert [r.n for r in rows.select(surface.words(F.col("t")).alias("n")).collect()] == [0, 0, 3, 0]

@@ -94,8 +94,8 @@ def section(text: Column, name: str) -> Column:
 
 def words(text: Column) -> Column:
     """Number of words that are not in table rows."""
-    plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?m)^[ \t]*\|.*$", " ")
-    return F.size(F.filter(F.split(plain, r"\s+"), lambda w: w != ""))
+    plain = F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?m)^[ \t]*\|.*$", " "), F.lit(" \t\n\x0b\f\r"))
+    return F.when(plain == "", F.lit(0)).otherwise(F.size(F.split(plain, r"\s+")))
 
 
 def manuscripts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weft.operators import issues, surface
-from weft.plans.tables import registrar, table
+from weft.plans.tables import registrar, spread, table
 
 QUERIES, SQL, query = registrar()
 
@@ -66,7 +66,7 @@ def _broken(level: int) -> str:
 
 
 def papers(spark, sf_dir):
-    docs = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_TEXT).alias("text"))
+    docs = spread(table(spark, sf_dir, "orders").select("o_orderkey")).select("o_orderkey", F.expr(_TEXT).alias("text"))
     return surface.manuscripts(docs, "o_orderkey", "text")
 
 
@@ -93,7 +93,7 @@ _SELF = ["We conducted a systematic review of agent.", "This is not a systematic
 
 
 def named(spark, sf_dir, text: str, **columns: str):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(text).alias("text"), *[F.expr(v).alias(k) for k, v in columns.items()])
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey")).select("o_orderkey", F.expr(text).alias("text"), *[F.expr(v).alias(k) for k, v in columns.items()])
     return surface.manuscripts(o, "o_orderkey", "text").join(o.select(F.col("o_orderkey").alias("id"), *columns), "id") if columns else surface.manuscripts(o, "o_orderkey", "text")
 
 

@@ -14,6 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt over the session's cores: a table of one small file is one task, however much is made of each row."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def registrar() -> tuple[dict[str, Query], dict[str, str], Callable]:
     """(queries, SQL, decorator) of a module: the decorator takes a name and, where SQL can say it, the SQL."""
     queries: dict[str, Query] = {}
