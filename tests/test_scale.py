@@ -139,6 +139,26 @@ def test_cited_rows_send_no_bundles_to_all(spark):
     assert "Broadcast" not in got._jdf.queryExecution().sparkPlan().toString()
 
 
+def test_capped_tensions_make_no_pairs(spark, monkeypatch):
+    """Receipts of many kinds: the greedy choice from kinds is that from all pairs, to the last one."""
+    rng = random.Random(5)
+    rows = [(i, i % 2, rng.choice("xy"), rng.choice(["direct", "indirect"]), [(e, rng.choice(DIRECTIONS)) for e in rng.sample(["a", "b"], rng.randrange(3))]) for i in range(40)]
+    said = spark.createDataFrame(rows, "id int, topic int, outcome string, directness string, said array<struct<endpoint:string,direction:string>>")
+    none = F.lit(None).cast("string")
+    receipts = said.select("id", "topic", "outcome", "directness", tension.endpoint_map(F.col("said"), F.array(none), none).alias("endpoint_directions")).localCheckpoint()
+    used, want = set(), []
+    for r in sorted(tension.pairs(receipts, "topic").collect(), key=lambda r: (-r.severity, r.a, r.b)):
+        if not used & {r.a, r.b}:
+            used |= {r.a, r.b}
+            want.append((r.topic, r.a, r.b, r.kind, r.endpoint, r.severity))
+    from weft.plans import synthesis
+
+    monkeypatch.setattr(tension, "pairs", None)
+    for top in (7, 30):
+        assert sorted(map(tuple, tension.top_capped(receipts, "topic", top).collect())) == sorted(want[:top])
+    assert synthesis.QUERIES["tension_top_capped"](spark, "/root/testdata/sf0.001").count() == 4
+
+
 def test_papers_are_dealt_over_tasks(spark):
     """Orders are one small file; their papers must not be one task."""
     from weft.operators import surface

@@ -105,6 +105,44 @@ def contenders(receipts: DataFrame, block: str, top: int) -> DataFrame:
     return receipts.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= 2 * top + 2).drop("_k")
 
 
+def top_capped(receipts: DataFrame, block: str, top: int) -> DataFrame:
+    """(block, a, b, kind, endpoint, severity) of the first `top` tensions by severity, the highest first, and ids, each receipt in one at most.
+
+    Receipts alike in outcome, directness and directions are one row with the smallest of
+    their ids (see contenders), and two such rows meet once. Of their pairs the first is that
+    of their smallest free ids; so a choice is a minimum over rows that meet, and
+    takes out two ids. Pairs of receipts are never made.
+    """
+    key = F.to_json(F.array_sort(F.map_entries("endpoint_directions")))
+    same = [block, "outcome", "directness", "key"]
+    few = contenders(receipts, block, top).withColumn("key", key)
+    kinds = cut(few.groupBy(*same).agg(F.array_sort(F.collect_list("id")).alias("ids"), F.any_value("endpoint_directions").alias("endpoint_directions")))
+    a, b = kinds.alias("a"), kinds.alias("b")
+    place = lambda x: F.struct(*[f"{x}.{c}" for c in same[1:]])
+    met = a.join(b, F.col(f"a.{block}").eqNullSafe(F.col(f"b.{block}")) & (F.coalesce(place("a") <= place("b"), F.lit(False))))
+    met = met.withColumn("_s", shared_endpoint(F.col("a.endpoint_directions"), F.col("b.endpoint_directions")))
+    kind = _kind("a", "b", F.col("_s.kind"))
+    rows = met.select(F.col(f"a.{block}").alias(block), (place("a") == place("b")).alias("alike"), F.col("a.ids").alias("x"), F.col("b.ids").alias("y"), kind.alias("kind"), F.when(kind == F.col("_s.kind"), F.col("_s.endpoint")).alias("endpoint"))
+    rows = cut(rows.withColumn("severity", lookup(SEVERITY, F.col("kind"))))
+    used: list = []
+    chosen: list = []
+    id_type = receipts.schema["id"].dataType
+    while len(chosen) < top:
+        gone = F.array(*[F.lit(i).cast(id_type) for i in used]).cast(f"array<{id_type.simpleString()}>")
+        free = lambda c: F.filter(c, lambda i: ~F.array_contains(gone, i))
+        at = rows.withColumns({"x": free("x"), "y": free("y")})
+        one, two = F.get("x", F.lit(0)), F.when(F.col("alike"), F.get("x", F.lit(1))).otherwise(F.get("y", F.lit(0)))
+        pairs = at.withColumns({"a": F.least(one, two), "b": F.greatest(one, two)}).where(one.isNotNull() & two.isNotNull())
+        first = pairs.agg(F.min(F.struct((-F.col("severity")).alias("order"), "a", "b", block, "kind", "endpoint", "severity")).alias("f")).first()["f"]
+        if first is None:
+            break
+        used += [first["a"], first["b"]]
+        chosen.append(tuple(first[c] for c in (block, "a", "b", "kind", "endpoint", "severity")))
+    types = {c: rows.schema[c].dataType.simpleString() for c in (block, "kind", "endpoint", "severity")}
+    kept = f"{block} {types[block]}, a {id_type.simpleString()}, b {id_type.simpleString()}, kind {types['kind']}, endpoint {types['endpoint']}, severity {types['severity']}"
+    return receipts.sparkSession.createDataFrame(chosen, kept)
+
+
 def top_tensions(tensions: DataFrame, order: str, top: int) -> DataFrame:
     """The first `top` of tensions(order, a, b) by order, each paper in one at most."""
     kept = greedy_by_keys(tensions.withColumn("_papers", F.array("a", "b")), order, "_papers")

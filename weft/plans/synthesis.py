@@ -249,8 +249,8 @@ def tension_weight(spark, sf_dir):
     select topic, a, b, kind, endpoint, severity, printf('T%03d', step) as tension_id from g where step > 0""")
 def tension_top_capped(spark, sf_dir):
     """The ten severest tensions, each supplier in one at most."""
-    p = tension.pairs(tension.contenders(receipts(spark, sf_dir), "topic", 10), "topic").withColumn("rank", F.struct(-F.col("severity"), "a", "b"))
-    return tension.plan(tension.top_tensions(p, "rank", 10), "rank").drop("rank")
+    p = tension.top_capped(receipts(spark, sf_dir), "topic", 10).withColumn("rank", F.struct(-F.col("severity"), "a", "b"))
+    return tension.plan(p, "rank").drop("rank")
 
 
 @query("tension_diverse_cosine")
