@@ -159,6 +159,16 @@ def test_capped_tensions_make_no_pairs(spark, monkeypatch):
     assert synthesis.QUERIES["tension_top_capped"](spark, "/root/testdata/sf0.001").count() == 4
 
 
+def test_mechanisms_meet_once(spark):
+    """Rows that repeat would be multiplied by each other in one task a key."""
+    topics = spark.createDataFrame([("t", "d")] * 9 + [("d", "u")], "topic string, domain string")
+    mapping = spark.createDataFrame([("d", "m")] * 9 + [("x", "n")], "key string, mechanism string")
+    got = matching.expand_mechanisms(topics, mapping)
+    assert sorted(map(tuple, got.collect())) == [("d", "m"), ("t", "m")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 5
+
+
 def test_papers_are_dealt_over_tasks(spark):
     """Orders are one small file; their papers must not be one task."""
     from weft.operators import surface

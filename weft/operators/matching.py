@@ -55,7 +55,11 @@ def framework_engagement(frameworks: DataFrame, receipts: DataFrame) -> DataFram
 
 
 def expand_mechanisms(topics: DataFrame, mapping: DataFrame) -> DataFrame:
-    """(topic, mechanism) of topics(topic, domain): mapped by topic or by domain, each once."""
+    """(topic, mechanism) of topics(topic, domain): mapped by topic or by domain, each once.
+
+    Rows that repeat are dropped before they meet, not only after.
+    """
+    topics, mapping = topics.select("topic", "domain").distinct(), mapping.select("key", "mechanism").distinct()
     by_topic = topics.join(mapping, topics.topic == mapping.key).select("topic", "mechanism")
     return by_topic.union(topics.join(mapping, topics.domain == mapping.key).select("topic", "mechanism")).distinct()
 
