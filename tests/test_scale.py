@@ -178,3 +178,38 @@ def test_papers_are_dealt_over_tasks(spark):
     assert papers.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     rows = spark.createDataFrame([(" \t",), ("| a |",), (" one  two\n| a b |\nthree\r\n",), (None,)], "t string")
     assert [r.n for r in rows.select(surface.words(F.col("t")).alias("n")).collect()] == [0, 0, 3, 0]
+
+
+def test_settler_sets_one_timer():
+    """A timer and a read of the state a wait would make a marker's rows quadratic."""
+    import pandas as pd
+
+    from weft.streaming.markers import Settler
+
+    class State(list):
+        def get(self):
+            return iter(self)
+
+        def put(self, rows):
+            self[:] = rows
+
+    class Handle:
+        timers = []
+
+        def getListState(self, *_):  # noqa: N802
+            return State()
+
+        def registerTimer(self, at):  # noqa: N802
+            self.timers.append(at)
+
+    class Values:
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return 600
+
+    s, h = Settler(100_000), Handle()
+    s.init(h)
+    rows = pd.DataFrame({"kind": ["submission"] * 500 + ["publication"] * 2, "run": [str(i) for i in range(500)] + [None] * 2, "us": [1000 * (i + 1) for i in range(500)] + [90_000, 80_000]})
+    got = pd.concat(s.handleInputRows(("m",), iter([rows]), None))
+    assert len(got) == 190 and set(got["published_at"]) == {80_000, 90_000} and h.timers == [180]
+    gone = pd.concat(s.handleExpiredTimer(("m",), Values(), None))
+    assert len(gone) == 310 and not s.waiting and not s.published and h.timers == [180]

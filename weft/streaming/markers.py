@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,9 +18,10 @@ OUT = "marker string, run string, submitted_at long, published_at long, status s
 class Settler(StatefulProcessor):
     """Keeps a marker's submissions and publications until they meet or `ttl` microseconds are over.
 
-    A timer stands at each end of waiting; when it is due, what
-    waited so long goes: submissions as expired, publications in silence. So state is what
-    arrived within the time to live.
+    One timer stands, at the end of the first wait; when it is due, what waited so long
+    by the watermark goes, submissions as expired and publications in silence, and the
+    next one is set. So state is what arrived within the time to live, and is read and
+    written once for a marker's rows and once for its waits that end together.
     """
 
     def __init__(self, ttl: int):
@@ -31,36 +33,43 @@ class Settler(StatefulProcessor):
         self.published = handle.getListState("published", "at long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802
-        waiting, published = list(self.waiting.get()), [p[0] for p in self.published.get()]
+        waiting, published = self._kept()
+        had = bool(waiting), bool(published)
         for f in rows:
             for kind, run, at in zip(f["kind"], f["run"], f["us"].astype("int64"), strict=True):
                 if kind == "submission":
                     waiting.append((run, int(at)))
                 else:
                     published.append(int(at))
-                self.handle.registerTimer(-(-(int(at) + self.ttl) // 1000))
+        published.sort()
         out, left = [], []
         for run, at in waiting:
-            near = [p for p in published if abs(p - at) <= self.ttl]
-            if near:
-                out.append((key[0], run, at, min(near), "published"))
+            k = bisect_left(published, at - self.ttl)
+            if k < len(published) and published[k] <= at + self.ttl:
+                out.append((key[0], run, at, published[k], "published"))
             else:
                 left.append((run, at))
-        self._keep(left, published)
+        self._keep(left, published, had)
         yield _frame(out)
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802
-        due = expiredTimerInfo.getExpiryTimeInMs() * 1000 - self.ttl
-        waiting = list(self.waiting.get())
-        self._keep([w for w in waiting if w[1] > due], [p[0] for p in self.published.get() if p[0] > due])
+        due = timerValues.getCurrentWatermarkInMs() * 1000 - self.ttl
+        waiting, published = self._kept()
+        self._keep([w for w in waiting if w[1] > due], [p for p in published if p > due], (bool(waiting), bool(published)))
         yield _frame([(key[0], run, at, None, "expired") for run, at in waiting if at <= due])
 
-    def _keep(self, waiting: list, published: list) -> None:
-        for state, rows in ((self.waiting, [tuple(w) for w in waiting]), (self.published, [(p,) for p in published])):
+    def _kept(self) -> tuple[list, list]:
+        return [tuple(w) for w in self.waiting.get()], [p[0] for p in self.published.get()]
+
+    def _keep(self, waiting: list, published: list, had: tuple[bool, bool]) -> None:
+        for state, rows, old in ((self.waiting, waiting, had[0]), (self.published, [(p,) for p in published], had[1])):
             if rows:
                 state.put(rows)
-            else:
+            elif old:
                 state.clear()
+        first = min([at for _, at in waiting] + published, default=None)
+        if first is not None:
+            self.handle.registerTimer(-(-(first + self.ttl) // 1000))
 
     def close(self) -> None:
         pass
