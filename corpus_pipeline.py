@@ -8,16 +8,18 @@ an id and rows without one are documents of their own in every stage.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.llm import jaccard, simhash
 from weft.llm.common import cut, shared_dir
 from weft.llm.decontam import decontaminate
 from weft.llm.exact_dedup import exact_dedup
-from weft.llm.jaccard import near_copies
+from weft.llm.graph import connected_components
 from weft.llm.langid import UNKNOWN, fit, predict
 from weft.llm.mixing import mix
 
@@ -61,11 +63,13 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each component of near copies.
 
-    Near copies have a similarity of 0.8 or more on five-word shingles; op6's
-    fingerprints at its own radius would miss most of those.
+    Near copies are linked by op6's fingerprints, and by a similarity of 0.8 or more on
+    five-word shingles, since most of such texts are beyond op6's radius. A component
+    is of links of both.
     """
     keyed = _keyed(docs)
-    parts = near_copies(keyed, "_row").select(F.col("id").alias("_member"), "component")
+    both = simhash.links(keyed, "_row").union(jaccard.links(keyed, "_row"))
+    parts = connected_components(both).select(F.col("node").alias("_member"), "component")
     rows = cut(keyed.select("_row", "doc_id").join(parts, F.col("_row") == F.col("_member")).select(_ranked().alias("key"), "component"))
     # Cut, so that both sides of the join are plain shuffles, whose hot keys Spark can split.
     firsts = cut(rows.groupBy("component").agg(F.min("key").alias("first")))
@@ -113,4 +117,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        _collect(spark)
     return docs
+
+
+def _collect(spark: SparkSession) -> None:
+    """Frees what a stage left in the driver: plans and broadcast tables stay until a collection, which a heap with room puts off."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -113,6 +113,30 @@ def test_repeated_and_null_ids_are_decided_row_by_row(spark, tmp_path):
         assert abs(taken - want) <= 21
 
 
+def test_near_stage_links_by_fingerprints_and_by_similarity(spark, tmp_path):
+    """Two texts within op6's radius that are less alike than four fifths, and two that are alike beyond the radius."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    sets = lambda t: {t[i : i + 5] for i in range(len(t) - 4)}
+
+    def pair(edits, wanted):
+        while True:
+            base = tuple(word() for _ in range(300))
+            for _ in range(40):
+                own = list(base)
+                for k in rng.sample(range(300), edits):
+                    own[k] = word()
+                far = bin(plain_fingerprint(" ".join(base)) ^ plain_fingerprint(" ".join(own))).count("1")
+                a, b = sets(base), sets(tuple(own))
+                if wanted(far <= 3, len(a & b) * 5 >= len(a | b) * 4):
+                    return " ".join(base), " ".join(own)
+
+    texts = [*pair(9, lambda near, alike: near and not alike), *pair(5, lambda near, alike: alike and not near), " ".join(word() for _ in range(300))]
+    spark.createDataFrame([(i, t, "aa", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/docs")
+    got = corpus_pipeline.near(spark, spark.read.parquet(f"file://{tmp_path}/docs"), "")
+    assert sorted(r.doc_id for r in got.collect()) == [0, 2, 4]
+
+
 def test_near_copies_at_four_fifths(spark, monkeypatch):
     from weft.llm import jaccard
     from weft.llm.jaccard import near_copies

@@ -94,7 +94,12 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component) of rows whose component has more than one, by its smallest id.
+    """(id, component) of rows whose component has more than one, by its smallest id."""
+    return connected_components(links(docs, id_col, text_col)).select(F.col("node").alias("id"), "component")
+
+
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Edges (a, b) that connect what is similar.
 
     Ids are whole numbers, one to a row. Texts link at a similarity of NUM / DEN or
     more; wordless ones are equal to each other.
@@ -123,7 +128,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     more = _similar(light_pairs(prefix), members)
     crowded = prefix.where(F.col("held") > LIGHT).select("id").distinct()
     crowds = crowd_links(open_.join(crowded, "id", "left_semi"), members)
-    return connected_components(equal.union(stars).union(more).union(crowds)).select(F.col("node").alias("id"), "component")
+    return equal.union(stars).union(more).union(crowds)
 
 
 def prefixes(sets: DataFrame) -> DataFrame:

@@ -212,6 +212,14 @@ def near_links(reps: DataFrame, cell_rows: int = CELL) -> DataFrame:
     return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_stars, "a long, b long").distinct()
 
 
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Edges (a, b) that connect the rows of docs whose fingerprints link; ids are whole numbers, one to a row."""
+    prints = cut(fingerprints(docs, id_col, text_col).select(F.col("id").cast("long").alias("id"), "fp"))
+    reps = cut(prints.groupBy("fp").agg(F.min("id").alias("rep")))
+    equal = prints.join(reps, "fp").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    return equal.union(near_links(reps))
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits), component_id.
 
