@@ -37,6 +37,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(names), "_path", "left").select(*docs.columns, key.alias("_row"))
 
 
+def _collect(spark: SparkSession) -> None:
+    """Frees what earlier steps left in the driver: plans and broadcast tables stay until a collection, which a heap with room puts off."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _ranked() -> Column:
     """Orders rows by id, null ones last, then by key."""
     return F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
@@ -68,7 +74,11 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     is of links of both.
     """
     keyed = _keyed(docs)
-    both = simhash.links(keyed, "_row").union(jaccard.links(keyed, "_row"))
+    _collect(spark)
+    prints = cut(simhash.links(keyed, "_row"))
+    _collect(spark)
+    both = prints.union(jaccard.links(keyed, "_row"))
+    _collect(spark)
     parts = connected_components(both).select(F.col("node").alias("_member"), "component")
     rows = cut(keyed.select("_row", "doc_id").join(parts, F.col("_row") == F.col("_member")).select(_ranked().alias("key"), "component"))
     # Cut, so that both sides of the join are plain shuffles, whose hot keys Spark can split.
@@ -117,11 +127,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
-        _collect(spark)
     return docs
-
-
-def _collect(spark: SparkSession) -> None:
-    """Frees what a stage left in the driver: plans and broadcast tables stay until a collection, which a heap with room puts off."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
