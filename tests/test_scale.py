@@ -213,3 +213,15 @@ def test_settler_sets_one_timer():
     assert len(got) == 190 and set(got["published_at"]) == {80_000, 90_000} and h.timers == [180]
     gone = pd.concat(s.handleExpiredTimer(("m",), Values(), None))
     assert len(gone) == 310 and not s.waiting and not s.published and h.timers == [180]
+
+
+def test_sentence_rules_are_dealt_and_guarded(spark):
+    """Line items are one small file; guards of patterns leave out no match."""
+    from weft.operators import issues
+    from weft.plans import manuscripts
+
+    assert manuscripts.sentence_rows(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    texts = ["As Abel et al. (2999) say", "It is 7 below 5", "It is 3 is above 5", "It is 3 below 5", "No change was seen (p 3)", "One (TBD) two", "Lorem Ipsum", "See A1_x here", "the the", "B3_x et al below", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, s string")
+    got = {(r.id, r.code) for r in issues.issues(rows, "id", F.lit(0), F.col("s"), issues.sentence_rules(2026)).collect()}
+    assert got == {(0, "future_citation"), (1, "arithmetic"), (2, "arithmetic"), (4, "no_change_nonzero"), (5, "template_artifact"), (6, "template_artifact"), (7, "internal_label"), (8, "repeated_word")}

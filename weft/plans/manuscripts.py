@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weft.operators import claims, issues
 from weft.plans.synthesis import _RENDERED, rendered
-from weft.plans.tables import registrar, table
+from weft.plans.tables import registrar, spread, table
 
 QUERIES, SQL, query = registrar()
 
@@ -25,7 +25,7 @@ def line_issues(spark, sf_dir):
 def sentence_rows(spark, sf_dir):
     """Rendered results, each with a stated significance."""
     says = F.when(F.col("l_linenumber") % 3 == 0, " Not significant.").when(F.col("l_linenumber") % 3 == 1, " Significant result.").otherwise(" The the end.")
-    return rendered(spark, sf_dir).select("l_orderkey", "l_linenumber", F.concat("sentence", says).alias("s"))
+    return rendered(spark, sf_dir, spread).select("l_orderkey", "l_linenumber", F.concat("sentence", says).alias("s"))
 
 
 @query("sentence_issues", rf"""with {_RENDERED}, t as (select l_orderkey, l_linenumber, sentence || case l_linenumber % 3 when 0 then ' Not significant.' when 1 then ' Significant result.' else ' The the end.' end as s, l_linenumber * 7 / 100 as p from s)

@@ -94,9 +94,9 @@ def population_gate(spark, sf_dir):
     return classify.population_gate(c, 20)
 
 
-def rendered(spark, sf_dir):
-    """Result sentences rendered from line items."""
-    k = table(spark, sf_dir, "lineitem")
+def rendered(spark, sf_dir, deal=lambda rows: rows):
+    """Result sentences rendered from line items, which `deal` may spread before."""
+    k = deal(table(spark, sf_dir, "lineitem"))
     s = F.concat(
         F.lit("Arm "), "l_returnflag", F.lit(" improved by "), F.col("l_quantity").cast("int").cast("string"), F.lit("% (95% CI 0."), F.col("l_linenumber").cast("string"), F.lit(" to 2."), (F.col("l_partkey") % 9).cast("string"),
         F.lit("; p = 0."), F.lpad((F.col("l_linenumber") * 7).cast("string"), 2, "0"), F.lit(", n = "), (F.col("l_partkey") % 90 + 10).cast("string"), F.lit(") after "), (F.col("l_suppkey") % 30 + 1).cast("string"), F.lit(" weeks; mean 4.5 ± 1."), (F.col("l_suppkey") % 10).cast("string"), F.lit(", HR 0.8"), F.col("l_linenumber").cast("string"),
