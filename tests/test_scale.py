@@ -225,3 +225,13 @@ def test_sentence_rules_are_dealt_and_guarded(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "id int, s string")
     got = {(r.id, r.code) for r in issues.issues(rows, "id", F.lit(0), F.col("s"), issues.sentence_rules(2026)).collect()}
     assert got == {(0, "future_citation"), (1, "arithmetic"), (2, "arithmetic"), (4, "no_change_nonzero"), (5, "template_artifact"), (6, "template_artifact"), (7, "internal_label"), (8, "repeated_word")}
+
+
+def test_sentences_that_rows_share_are_read_once(spark):
+    from weft.operators import numerics
+
+    said = [(i, "Baseline speed was 5 in Abel 2001." if i % 2 else "We reported 6 in Abel 2001.") for i in range(8)] + [(1, "Baseline speed was 5 in Abel 2001."), (9, "We reported 6 in Cay 2002."), (10, None)]
+    index = spark.createDataFrame([("Abel 2001", "5", ["dose"]), ("Abel 2001", "7", ["effect"])], "citation string, number string, roles array<string>")
+    found = numerics.role_drift(spark.createDataFrame(said, "id int, s string"), "id", "s", index)
+    assert sorted((r.id, r.number, r.issue) for r in found.collect()) == [(i, "5" if i % 2 else "6", "role_drift" if i % 2 else "value_drift") for i in range(8)]
+    assert "Repartition" in found._jdf.queryExecution().optimizedPlan().toString()

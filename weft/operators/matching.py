@@ -10,6 +10,11 @@ from weft.functions.text import normalize_doi, tokens
 from weft.operators.terms import find_terms
 
 
+def once(rows: DataFrame) -> DataFrame:
+    """The distinct rows, dealt over the session's cores: they are small in bytes, and Spark would give them to one task, however much is read in each."""
+    return rows.distinct().repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def without_retracted(rows: DataFrame, doi: str, lists: list[DataFrame]) -> DataFrame:
     """rows whose DOI is in none of the lists(doi); rows without a DOI stay, unverified.
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.text import canonical_number
+from weft.operators.matching import once
 
 # Claim types that count as objective, roles, and what they go with.
 OBJECTIVE = ("unit_value", "sample_size", "year", "sample_count")
@@ -111,15 +112,24 @@ def stated(sentences: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def role_drift(sentences: DataFrame, id_col: str, text_col: str, index: DataFrame) -> DataFrame:
     """(id, at, number, role, issue): numbers that no source cited beside them has (value_drift), or none
-    in a role that goes with the prose's (role_drift). Sentences with an unknown citation are left alone."""
-    said = stated(sentences, id_col, text_col)
+    in a role that goes with the prose's (role_drift). Sentences with an unknown citation are left alone.
+
+    A sentence that rows share is read and judged once.
+    """
+    rows = sentences.select(F.col(id_col).alias("id"), F.col(text_col).alias("_said"))
+    return rows.join(_drifts(once(rows.select("_said")), index), "_said").select("id", "at", "number", "role", "issue").distinct()
+
+
+def _drifts(texts: DataFrame, index: DataFrame) -> DataFrame:
+    """(_said, at, number, role, issue) of distinct texts(_said)."""
+    said = stated(texts, "_said", "_said")
     known = index.select("citation").distinct().withColumn("registered", F.lit(True))
     rows = said.join(known, "citation", "left").join(index, ["citation", "number"], "left")
     each = rows.groupBy("id", "at", "number", "role").agg(
         F.bool_or(F.col("registered").isNull()).alias("strange"), F.bool_or(F.col("roles").isNotNull()).alias("there"), F.bool_or(F.when(F.col("roles").isNotNull(), roles_match(F.col("role"), F.col("roles")))).alias("fits")
     )
     issue = F.when(~F.col("there"), "value_drift").when(~F.col("fits"), "role_drift")
-    return each.where(~F.col("strange")).select("id", "at", "number", "role", issue.alias("issue")).where("issue is not null")
+    return each.where(~F.col("strange")).select(F.col("id").alias("_said"), "at", "number", "role", issue.alias("issue")).where("issue is not null")
 
 
 # Words of significance and hedging.
