@@ -235,3 +235,9 @@ def test_sentences_that_rows_share_are_read_once(spark):
     found = numerics.role_drift(spark.createDataFrame(said, "id int, s string"), "id", "s", index)
     assert sorted((r.id, r.number, r.issue) for r in found.collect()) == [(i, "5" if i % 2 else "6", "role_drift" if i % 2 else "value_drift") for i in range(8)]
     assert "Repartition" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_receipts_are_deduplicated_without_their_texts(spark):
+    rows = [(1, None, "A  b" + "x" * 300, None, None, "One", None, 3), (2, None, " a b" + "X" * 250, None, None, "Two", None, 5), (3, None, "c", None, None, "one!", None, 1), (4, None, None, None, None, None, None, 0)]
+    got = identity.dedup_receipts(spark.createDataFrame(rows, "ord long, trial string, thesis string, doi string, pmid string, title string, year int, n_claims int"))
+    assert sorted(r.ord for r in got.collect()) == [2, 3, 4] and "thesis" not in got.columns

@@ -68,12 +68,19 @@ def dedup_receipts(rows: DataFrame) -> DataFrame:
     rows(ord, trial, thesis, doi, pmid, title, year, n_claims). Better identified
     receipts come first, then those with more claims, then the earlier. Two conflict
     if trial and thesis agree, or if they are the same source: no identifier differs
-    and one agrees, or no year differs and the titles agree.
+    and one agrees, or no year differs and the titles agree. The thesis goes on as a hash
+    of what is compared of it, and is not returned: no whole text is shuffled.
     """
+    rows = rows.withColumn("thesis", F.md5(_sign("thesis", 200)))
     rank = F.struct(-(missing(F.col("doi")).isNotNull().cast("int") + missing(F.col("pmid")).isNotNull().cast("int")), -F.col("n_claims"), F.col("ord"))
     ranked = number(rows.withColumn("_rank", rank), "_rank", "_n").drop("_rank")
     keys = conflict_keys(ranked).groupBy("_n").agg(F.collect_set("key").alias("_keys"))
-    return greedy_by_keys(ranked.join(keys, "_n", "left"), "_n", "_keys").drop("_n", "_keys")
+    return greedy_by_keys(ranked.join(keys, "_n", "left"), "_n", "_keys").drop("_n", "_keys", "thesis")
+
+
+def _sign(c: str, n: int) -> Column:
+    """The first n characters in lower case with white space collapsed."""
+    return F.substring(F.regexp_replace(F.trim(F.lower(F.coalesce(F.col(c), F.lit("")))), r"\s+", " "), 1, n)
 
 
 def agreeing(each: DataFrame, same: str, soft: list[str]) -> DataFrame:
@@ -101,10 +108,9 @@ def conflict_keys(rows: DataFrame) -> DataFrame:
     title; every two that match make a key that all rows of both share. So pairs of
     identities are made, never pairs of rows.
     """
-    sign = lambda c, n: F.substring(F.regexp_replace(F.trim(F.lower(F.coalesce(F.col(c), F.lit("")))), r"\s+", " "), 1, n)
     keyed = rows.select(
         "_n",
-        F.concat_ws("|", F.lit("evidence"), F.upper(F.coalesce("trial", F.lit(""))), sign("thesis", 200)).alias("evidence"),
+        F.concat_ws("|", F.lit("evidence"), F.upper(F.coalesce("trial", F.lit(""))), _sign("thesis", 200)).alias("evidence"),
         F.lower(missing(F.col("doi"))).alias("doi"),
         F.nullif(F.ltrim(F.col("pmid"), F.lit("0")), F.lit("")).alias("pmid"),
         F.nullif(F.regexp_replace(F.lower(F.coalesce("title", F.lit(""))), "[^a-z0-9]+", ""), F.lit("")).alias("title"),
