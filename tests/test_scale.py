@@ -241,3 +241,13 @@ def test_receipts_are_deduplicated_without_their_texts(spark):
     rows = [(1, None, "A  b" + "x" * 300, None, None, "One", None, 3), (2, None, " a b" + "X" * 250, None, None, "Two", None, 5), (3, None, "c", None, None, "one!", None, 1), (4, None, None, None, None, None, None, 0)]
     got = identity.dedup_receipts(spark.createDataFrame(rows, "ord long, trial string, thesis string, doi string, pmid string, title string, year int, n_claims int"))
     assert sorted(r.ord for r in got.collect()) == [2, 3, 4] and "thesis" not in got.columns
+
+
+def test_sketches_are_not_made_for_each_user(spark):
+    import re
+
+    from weft.plans import supplies
+
+    plan = supplies.QUERIES["approximate_counts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    keys = re.findall(r"keys=\[([^\]]*)\], functions=\[([^\n]*)", plan)
+    assert any("approx" in f for _, f in keys) and not any("user_id" in k and "approx" in f for k, f in keys)
