@@ -237,6 +237,18 @@ def test_sentences_that_rows_share_are_read_once(spark):
     assert "Repartition" in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_sections_that_papers_share_are_read_once(spark):
+    from weft.operators import outcomes
+
+    text = "Grip strength (GS) improved in the drug group; GS rose again."
+    other = "GS improved in the drug group at the end."
+    rows = [(1, "Abstract", text), (1, "results", text), (2, "results", text), (2, "conclusion", other), (3, "abstract", other), (2, "results", text), (4, "methods", text), (5, "results", None)]
+    found = outcomes.outcome_claims(spark.createDataFrame(rows, "paper int, section string, text string"), [("grip strength", r"\bgrip strength\b")], [("increase", r"\b(?:improved|rose)\b")])
+    got = sorted((r.paper, r.section, r.clause[-14:]) for r in found.collect())
+    assert got == sorted([(1, "abstract", "the drug group"), (1, "abstract", "th rose again."), (2, "conclusion", "up at the end."), (2, "results", "the drug group"), (2, "results", "th rose again.")])
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Repartition") >= 3
+
+
 def test_receipts_are_deduplicated_without_their_texts(spark):
     rows = [(1, None, "A  b" + "x" * 300, None, None, "One", None, 3), (2, None, " a b" + "X" * 250, None, None, "Two", None, 5), (3, None, "c", None, None, "one!", None, 1), (4, None, None, None, None, None, None, 0)]
     got = identity.dedup_receipts(spark.createDataFrame(rows, "ord long, trial string, thesis string, doi string, pmid string, title string, year int, n_claims int"))
