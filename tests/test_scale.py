@@ -24,6 +24,20 @@ def test_severity_counts_pairs(spark):
     assert counted == {(r.topic, r.kind): r["count"] for r in paired.collect()} and sum(counted.values()) == 2 * 30 * 29 // 2
 
 
+def test_pairs_of_one_topic_are_dealt(spark):
+    rng = random.Random(5)
+    rows = [(i, "t", rng.choice(["x", "y", None]), rng.choice(["direct", "indirect", None]), {e: rng.choice(DIRECTIONS) for e in rng.sample(["a", "b"], rng.randrange(3))}) for i in [*range(50), 7, None]]
+    receipts = spark.createDataFrame([*rows, (99, None, "x", "direct", {})], "id int, topic string, outcome string, directness string, endpoint_directions map<string,string>").coalesce(1)
+    got = tension.pairs(receipts, "topic", chunk=3)
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 1  # one topic was one task
+    a, b = receipts.alias("a"), receipts.alias("b")
+    shared = tension.shared_endpoint(F.col("a.endpoint_directions"), F.col("b.endpoint_directions"))
+    kind = tension._kind("a", "b", F.col("s.kind"))
+    plain = a.join(b, (F.col("a.topic") == F.col("b.topic")) & (F.col("a.id") < F.col("b.id"))).withColumn("s", shared).select("a.topic", F.col("a.id").alias("x"), F.col("b.id").alias("y"), kind.alias("kind"), F.when(kind == F.col("s.kind"), F.col("s.endpoint")).alias("endpoint"))
+    known = sorted(map(repr, (tuple(r) for r in plain.collect())))
+    assert known == sorted(map(repr, (tuple(r) for r in got.select("topic", "a", "b", "kind", "endpoint").collect()))) and len(known) > 1000
+
+
 def test_shared_endpoints(spark):
     rows = [([("HbA1c", "positive"), ("weight", "null")], [("hba1c", "negative"), ("Weight", "positive")]), ([("a", "positive")], [("b", "negative")]), ([("a", "positive"), ("a", "null")], [("a", "negative")]), (None, [("a", "null")])]
     df = spark.createDataFrame(rows, "x array<struct<endpoint:string,direction:string>>, y array<struct<endpoint:string,direction:string>>")

@@ -58,18 +58,37 @@ def _kind(a: str, b: str, shared: Column) -> Column:
     )
 
 
-def pairs(receipts: DataFrame, block: str) -> DataFrame:
+#: Receipts that pairs() puts into a chunk, about; and cells, each way, over which the chunks of a block meet.
+CHUNK, CELLS = 256, 16
+
+
+def pairs(receipts: DataFrame, block: str, chunk: int = CHUNK) -> DataFrame:
     """(block, a, b, kind, severity, endpoint) of receipts(id, outcome, directness, endpoint_directions) that share a block.
 
-    A block is a topic with a few thousand receipts at most: its pairs are the result.
-    endpoint_directions is a map (see endpoint_map); severity() serves larger topics.
+    The pairs are the result, so there are as many as receipts squared; severity() counts
+    them. Receipts alike in outcome, directness and directions (a map, see endpoint_map)
+    are compared once with others: they lie in chunks of bounded size, pairs of chunks are
+    dealt over cells, and ids are paired where two chunks meet, without a shuffle.
     """
-    a, b = receipts.alias("a"), receipts.alias("b")
-    rows = a.join(b, (F.col(f"a.{block}") == F.col(f"b.{block}")) & (F.col("a.id") < F.col("b.id")))
-    rows = rows.withColumn("_s", shared_endpoint(F.col("a.endpoint_directions"), F.col("b.endpoint_directions")))
+    key = F.to_json(F.array_sort(F.map_entries("endpoint_directions")))
+    kinds = ["_block", "outcome", "directness", "key"]
+    rows = receipts.select(F.col(block).alias("_block"), "id", "outcome", "directness", "endpoint_directions", key.alias("key")).where("_block is not null and id is not null")
+    sized = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in kinds]).agg(F.ceil(F.count("*") / chunk).cast("int").alias("_chunks"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in kinds]
+    numbered = rows.join(sized, same).withColumn("_n", F.pmod(F.xxhash64("id"), F.col("_chunks")))
+    alike = numbered.groupBy(*kinds, "_n").agg(F.collect_list("id").alias("ids"), F.first("endpoint_directions").alias("endpoint_directions"))
+    parts = cut(alike.withColumn("p", F.monotonically_increasing_id())).withColumn("cell", F.pmod(F.xxhash64("p"), F.lit(CELLS)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1)))
+    dealt = 8 * receipts.sparkSession.sparkContext.defaultParallelism
+    a = parts.select("*", F.col("cell").alias("i"), every.alias("j")).repartition(dealt, "_block", "i", "j").alias("a")
+    b = parts.select("*", F.col("cell").alias("j"), every.alias("i")).repartition(dealt, "_block", "i", "j").alias("b")
+    met = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("_block", "i", "j")] + [F.col("a.p") <= F.col("b.p")])
+    met = met.withColumn("_s", shared_endpoint(F.col("a.endpoint_directions"), F.col("b.endpoint_directions")))
     kind = _kind("a", "b", F.col("_s.kind"))
-    out = rows.select(F.col(f"a.{block}").alias(block), F.col("a.id").alias("a"), F.col("b.id").alias("b"), kind.alias("kind"), F.when(kind == F.col("_s.kind"), F.col("_s.endpoint")).alias("endpoint"))
-    return out.withColumn("severity", lookup(SEVERITY, F.col("kind")))
+    met = met.select(F.col("a._block").alias(block), (F.col("a.p") == F.col("b.p")).alias("_own"), F.col("a.ids").alias("_x"), F.col("b.ids").alias("_y"), kind.alias("kind"), F.when(kind == F.col("_s.kind"), F.col("_s.endpoint")).alias("endpoint"))
+    met = met.withColumn("severity", lookup(SEVERITY, F.col("kind")))
+    each = met.withColumn("_x", F.explode("_x")).withColumn("_y", F.explode("_y")).where((F.col("_x") < F.col("_y")) | (~F.col("_own") & (F.col("_x") > F.col("_y"))))
+    return each.select(block, F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"), "kind", "endpoint", "severity")
 
 
 def severity(receipts: DataFrame, block: str) -> DataFrame:
