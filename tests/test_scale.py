@@ -1,7 +1,9 @@
 """Operators that avoid pairs, held against the pairs themselves."""
 
+import hashlib
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,6 +69,37 @@ def test_containing(spark):
     assert matching.containing(spark.createDataFrame(texts, "id int, x string"), "id", "x", spark.createDataFrame([], "t string"), "t").count() == 0
 
 
+def test_similar_sets_of_few_words(spark):
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(30)]
+    sets = [set(rng.sample(words, rng.randrange(1, 22))) for _ in range(300)]
+    sets += [s ^ {rng.choice(words)} for s in sets[:100]]
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets) if s], "id int, t array<string>")
+    first = {frozenset(s): i for i, s in reversed([*enumerate(sets)]) if s}
+    known = {(min(first[x], first[y]), max(first[x], first[y])) for x, y in itertools.combinations(first, 2) if len(x & y) >= 0.9 * len(x | y)}
+    assert {(r.a, r.b) for r in similarity.similar_sets(df, "id", "t", 0.9).collect()} == known and len(known) > 20
+    # Rows under a word that many sets have met each other; few of those under a part's key do.
+    hashed = df.select("id", F.transform("t", lambda x: F.xxhash64(x)).alias("t")).toArrow().combine_chunks().to_batches()
+    keys = [(k, i, smaller) for b in hashed for out in similarity._signed(b, 0.9) for i, k, smaller in zip(*(out.column(c).to_pylist() for c in (0, 3, 4)), strict=True)]
+    held = {}
+    for k, i, smaller in keys:
+        held.setdefault(k, set()).add(i)
+    assert sum(len(x) * (len(x) - 1) // 2 for x in held.values()) < len(sets) * (len(sets) - 1) // 2 / 20
+
+
+def test_line_members_sends_no_text(spark):
+    text = "A long line of words\nb a\n" * 3 + "a, b!\n"
+    docs = spark.createDataFrame([(1, text), (1, text), (2, "a b"), (None, "A b"), (3, None)], "id int, x string")
+    lines = {(i, x) for i, t in [(1, text), (2, "a b"), (None, "A b")] for x in t.split("\n") if x}
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    words = lambda x: frozenset(re.findall("[a-z0-9]+", x.lower()))
+    known = sorted((str(i), md5(x), min(md5(y) for _, y in lines if words(y) == words(x))) for i, x in lines)
+    got = similarity.line_members(docs, "id", "x", 1)
+    assert sorted((str(r.id), r.line_id, r.representative) for r in got.collect()) == known
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\([^\n]*\bline#", plan)  # whole lines were shuffled
+
+
 def test_similar_sets_of_long_sets(spark):
     rng = random.Random(4)
     base = [[f"w{rng.randrange(5000)}" for _ in range(rng.choice([40, 300]))] for _ in range(4)]

@@ -14,54 +14,103 @@ from weft.functions.text import jaccard, tokens
 from weft.operators.select import cut
 
 
-#: Words of 64 bits of a set's parity bitmap.
-WORDS = 4
+#: Names that are sent to all executors take up at most so many bytes.
+SENT_BYTES = 32 << 20
+#: A set's row takes up about so many bytes with its id.
+NAMED = 64
+#: Sets that are taken apart at once.
+AT_ONCE = 1024
 
 
-def parity(hashes: Column) -> list[Column]:
-    """WORDS longs for a set of hashes: a bit is flipped by each member that falls on it."""
-    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
-    own = lambda k: F.filter(hashes, lambda h: F.pmod(F.shiftright(h, 8), F.lit(WORDS)) == k)
-    return [F.aggregate(own(k), F.lit(0).cast("long"), lambda s, h: s.bitwiseXOR(bit(h))) for k in range(WORDS)]
+def _classes(most: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(least size, parts) of the classes of sizes up to `most`.
+
+    The largest size of a class is its least over the threshold, so a set and a smaller one
+    that similar are of one class or of neighbours. The sizes of a class leave two such
+    sets one member less apart than the class has parts.
+    """
+    least, parts, lo = [], [], 1
+    while lo <= most:
+        hi = max(lo, math.floor(lo / threshold + 1e-9))
+        least.append(lo)
+        parts.append(math.floor(hi * (1 - threshold) / threshold + 1e-9) + 1)
+        lo = hi + 1
+    return np.array(least, np.int64), np.array(parts, np.int64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _signed(batch: pa.RecordBatch, threshold: float) -> Iterator[pa.RecordBatch]:
+    """(id, n, parity, key, smaller) for each part of each set of batch(id, t), t not empty: see similar_sets()."""
+    for at in range(0, batch.num_rows, AT_ONCE):
+        b = batch.slice(at, AT_ONCE)
+        n = b.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        h = b.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        row = np.repeat(np.arange(len(n)), n)
+        parity = np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(63)), np.cumsum(n) - n).view(np.int64)
+        least, parts = _classes(int(n.max()), threshold)
+        own = np.searchsorted(least, n, "right") - 1
+        for smaller, c in ((True, own), (False, own - 1)):
+            # A class of one part has equal sets only.
+            k = np.where((c >= 0) & (parts[c] > 1), parts[c], 0)
+            held = k[row] > 0
+            base = np.cumsum(k) - k
+            part = (h[held] >> np.uint64(8)) % k[row[held]].astype(np.uint64)
+            sums = np.zeros(int(k.sum()), np.uint64)
+            np.add.at(sums, base[row[held]] + part.astype(np.int64), _mixed(h[held]))
+            of = np.repeat(np.arange(len(n)), k)
+            place = (np.arange(len(of)) - base[of] + (c[of] << 32)).astype(np.uint64)
+            key = _mixed(sums + _mixed(place + np.uint64(1))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of)), pa.array(n[of].astype(np.int32)), pa.array(parity[of]), pa.array(key), pa.array(np.full(len(of), smaller))], ["id", "n", "parity", "key", "smaller"])
+
+
+def _sent_or_not(rows: DataFrame) -> DataFrame:
+    """rows of ids, written, for a join: sent to all executors if they take up SENT_BYTES or less."""
+    rows = cut(rows)
+    return F.broadcast(rows) if rows.count() * NAMED <= SENT_BYTES else rows
 
 
 def similar_sets(rows: DataFrame, id_col: str, tokens_col: str, threshold: float = 0.9, least: int = 1) -> DataFrame:
     """(a, b, similarity) of distinct token sets with Jaccard >= threshold, a < b, and
     each row's set: see members().
 
-    Equal sets are one: a is the smallest id of its set. Prefix filtering makes the
-    join exact: sets that similar share one of their first
-    size - ceil(threshold * size) + 1 tokens, rarest first. Rows of a token are parted
-    by size, and a set meets its own part and the next. A candidate goes on only if
-    the places of the shared token, and the bits in which the sets' parity bitmaps
-    differ (no more than members that one set has alone), leave it possible; so
-    token arrays are sent for few but the similar ones. Tokens are compared by 64-bit
-    hashes, sets by two.
+    Equal sets are one: a is the smallest id of its set. The join is exact (Arasu, Ganti
+    and Kaushik, 2006): two sets that similar differ in at most
+    d = size * (1 - threshold) / threshold members, so if tokens are dealt over d + 1
+    parts by hash, the sets agree in all of a part. A set has a key for each of its parts,
+    about ten tokens at 0.9, so few but similar sets meet under a key, however frequent
+    single tokens are. The number of parts goes by classes of sizes, and a set has the keys
+    of its own class and, as the larger one, of the class below. What meets goes on only if
+    sizes, and the bits in which the sets' parity bitmaps differ (no more than members
+    that one set has alone), leave it possible; token arrays are sent for similar sets
+    only. Tokens are compared by 64-bit hashes, sets by two.
     """
+    # Smaller sets have no other set that similar.
+    least = max(least, 1, math.ceil(threshold / (1 - threshold) - 1e-9) if threshold < 1 else 1)
     hashed = F.array_sort(F.array_distinct(F.transform(tokens_col, lambda x: F.xxhash64(x))))
-    sets = cut(rows.select(F.col(id_col).alias("id"), hashed.alias("t")).where(F.size("t") >= least))
-    first = sets.groupBy(F.xxhash64("t").alias("h"), F.xxhash64(F.lit(1), "t").alias("g")).agg(F.min("id").alias("id")).select("id")
-    marks = [f"m{k}" for k in range(WORDS)]
-    reps = cut(sets.join(first, "id", "left_semi").select("id", "t", *[m.alias(k) for m, k in zip(parity(F.col("t")), marks, strict=True)]))
-    rarity = reps.select(F.explode("t").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
-    ranked = reps.select("id", *marks, F.size("t").alias("n"), F.explode("t").alias("w")).join(rarity, "w").groupBy("id", "n", *marks).agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"))
-    head = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    part = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / threshold)).cast("int") if threshold < 1 else F.col("n")
-    prefixes = cut(ranked.withColumn("part", part).select("id", "n", "part", *marks, F.posexplode(F.slice("o", F.lit(1), head.cast("int"))).alias("i", "p")).select("id", "n", "part", "i", *marks, F.col("p.w").alias("w")))
-    # The smaller part of a pair is a; within a part the smaller id.
-    a = prefixes.select(F.explode(F.array("part", F.col("part") + 1)).alias("to"), *[F.col(c).alias(f"a_{c}") for c in prefixes.columns])
-    b = prefixes.select(*[F.col(c).alias(f"b_{c}") for c in prefixes.columns])
-    x = lambda c: (F.col(f"a_{c}"), F.col(f"b_{c}"))
-    (na, nb), (ia, ib), (pa_, pb), (ida, idb) = x("n"), x("i"), x("part"), x("id")
+    sets = rows.select(F.col(id_col).alias("id"), hashed.alias("t")).where(F.size("t") >= least)
+    sets = cut(sets.select("id", "t", F.xxhash64("t").alias("h"), F.xxhash64(F.lit(1), "t").alias("g")))
+    first = sets.groupBy("h", "g").agg(F.min("id").alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
+    gone = sets.select("id", "h", "g").join(first, ["h", "g"]).where("id <> first").select("id", "h").distinct()
+    reps = sets.join(_sent_or_not(gone), ["id", "h"], "left_anti").select("id", "t")
+    kind = reps.schema["id"].dataType.simpleString()
+    signed = reps.mapInArrow(lambda batches: (out for b in batches for out in _signed(b, threshold)), f"id {kind}, n int, parity long, key long, smaller boolean")
+    x, y = signed.where("smaller").drop("smaller").alias("x"), signed.alias("y")
+    na, nb = F.col("x.n"), F.col("y.n")
     long_enough = (na >= nb * threshold - 1e-9) & (nb >= na * threshold - 1e-9)
-    # What two sets can share, given the places of one shared token in their orders.
-    most = F.least(ia, ib) + 1 + F.least(na - ia - 1, nb - ib - 1)
     need = (na + nb) * (threshold / (1 + threshold)) - 1e-9
-    apart = sum((F.bit_count(x(m)[0].bitwiseXOR(x(m)[1])) for m in marks[1:]), F.bit_count(x(marks[0])[0].bitwiseXOR(x(marks[0])[1])))
-    on = (F.col("a_w") == F.col("b_w")) & (F.col("to") == pb) & ((pa_ < pb) | (ida < idb)) & long_enough & (most >= need) & (apart <= na + nb - 2 * need)
-    near = a.join(b, on).select(F.least(ida, idb).alias("a"), F.greatest(ida, idb).alias("b")).distinct()
-    x, y = reps.select(F.col("id").alias("a"), F.col("t").alias("ta")), reps.select(F.col("id").alias("b"), F.col("t").alias("tb"))
-    scored = near.join(x, "a").join(y, "b").select("a", "b", jaccard(F.col("ta"), F.col("tb")).alias("similarity"))
+    apart = F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity"))) <= na + nb - 2 * need
+    # Sets of one class meet once.
+    ordered = ~F.col("y.smaller") | (F.col("x.id") < F.col("y.id"))
+    near = x.join(y, (F.col("x.key") == F.col("y.key")) & ordered & long_enough & apart).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    near = _sent_or_not(near)
+    ta = reps.join(near, F.col("id") == F.col("a")).select("a", "b", F.col("t").alias("ta"))
+    tb = reps.join(near, F.col("id") == F.col("b")).select("a", "b", F.col("t").alias("tb"))
+    scored = ta.join(tb, ["a", "b"]).select("a", "b", jaccard(F.col("ta"), F.col("tb")).alias("similarity"))
     return scored.where(F.col("similarity") >= threshold - 1e-12)
 
 
@@ -83,10 +132,16 @@ def near_duplicate_lines(docs: DataFrame, id_col: str, text_col: str, threshold:
 
 
 def line_members(docs: DataFrame, id_col: str, text_col: str, least: int = 20) -> DataFrame:
-    """(id, line_id, representative): documents' lines and the line that stands for their token set."""
-    own = distinct_lines(docs, text_col, id_col)
-    sets = members(own.select("line_id", "t").distinct(), "line_id", "t", least).withColumnRenamed("id", "line_id")
-    return own.select(id_col, "line_id").join(sets, "line_id")
+    """(line_id, id, representative): documents' lines and the line that stands for their token set.
+
+    A line goes on as its hash and two hashes of its token set; no text is shuffled.
+    """
+    lines = docs.select(id_col, F.explode(F.array_distinct(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))).alias("line"))
+    sets = lines.select(id_col, F.md5("line").alias("line_id"), F.array_sort(F.array_distinct(tokens(F.col("line")))).alias("t")).where(F.size("t") >= least)
+    own = cut(sets.select(id_col, F.unhex("line_id").alias("l"), F.xxhash64("t").alias("h"), F.xxhash64(F.lit(1), "t").alias("g")).distinct())
+    first = own.groupBy("h", "g").agg(F.min("l").alias("first"))
+    text = lambda c: F.lower(F.hex(c))
+    return own.join(first, ["h", "g"]).select(text("l").alias("line_id"), id_col, text("first").alias("representative"))
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
