@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from weft.operators import identity, matching, similarity, studies, tension
+from weft.operators import identity, matching, numerics, similarity, studies, tension
 from weft.sources import landed
 from weft.streaming import ledger
 
@@ -100,6 +100,15 @@ def test_line_members_sends_no_text(spark):
     assert not re.search(r"Exchange hashpartitioning\([^\n]*\bline#", plan)  # whole lines were shuffled
 
 
+def test_pool_reads_a_value_once(spark):
+    rows = [("high", "", "5.0 mg"), ("High", "", "5 mg"), ("partial", "unit_value", "1,200"), ("partial", "p_value", "7"), ("none", "unit_value", "8"), ("high", "", "n/a"), ("high", "", None), (None, "", "9")]
+    claims = spark.createDataFrame(rows, "confidence string, claim_type string, value string")
+    pools = {strict: numerics.pool(claims, strict) for strict in (True, False)}
+    assert {k: {r.number for r in p.collect()} for k, p in pools.items()} == {True: {"5", "1200"}, False: {"5", "1200", "7"}}
+    plan = pools[True]._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan[plan.rindex("Aggregate [value"):]  # the filter ran on every claim
+
+
 def test_similar_sets_of_long_sets(spark):
     rng = random.Random(4)
     base = [[f"w{rng.randrange(5000)}" for _ in range(rng.choice([40, 300]))] for _ in range(4)]

@@ -56,7 +56,9 @@ def pool(claims: DataFrame, strict: bool) -> DataFrame:
     """
     confidence = F.lower(F.coalesce("confidence", F.lit("")))
     partial = (confidence == "partial") & (F.col("claim_type").isin(*OBJECTIVE) if strict else F.lit(True))
-    return claims.where((confidence == "high") | partial).select(number_key(F.col("value")).alias("number")).where("number is not null").distinct()
+    # A value that claims share is read once: the count holds the reading above the aggregate, below which Spark would move the filter.
+    values = claims.where((confidence == "high") | partial).groupBy("value").agg(F.count("*").alias("times"))
+    return values.select(F.when(F.col("times") > 0, number_key(F.col("value"))).alias("number")).where("number is not null").distinct()
 
 
 def traced(prose: DataFrame, strict: DataFrame, loose: DataFrame) -> DataFrame:
