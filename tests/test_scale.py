@@ -329,3 +329,38 @@ def test_run_files_are_checked_once(spark):
     texts = {"{}": True, " \n{}": True, '{"a": [1]}': True, "[{}]": False, "{": False, "": False, "\f{}": False, "{'a': 1}": False, '{"a": 1, "a": 1}': False, "1": False, None: False}
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", runs.is_object(F.col("t")).alias("o")).collect()
     assert {r.t: r.o for r in rows} == texts
+
+
+def test_receipts_of_one_title_make_no_pairs(spark, monkeypatch):
+    """A title that half of the rows share, with an identifier or without: the rows written stay in proportion, and the rows kept are those of a scan."""
+    from weft.operators import select
+
+    rng, rows = random.Random(4), []
+    for i in range(160):
+        doi = rng.choice([None, None, f"10.1/{rng.randrange(60)}", f"10.1/{i}"])
+        pmid, year = rng.choice([None, None, None, f"00{rng.randrange(40)}"]), rng.choice([None, None, 2001, 2002])
+        rows.append((i, None, f"t{i}" if i % 7 else "T  0", doi, pmid, "One!" if i % 2 else rng.choice([None, "", f"n{rng.randrange(30)}"]), year, rng.randrange(5)))
+
+    def clash(a, b):
+        agree = lambda j: a[j] is None or b[j] is None or a[j] == b[j]
+        same = lambda j: a[j] is not None and a[j] == b[j]
+        titled = (a[5] or None) is not None and a[5] == b[5]
+        return a[2] == b[2] or (same(3) and agree(4)) or (same(4) and agree(3)) or (titled and all(agree(j) for j in (3, 4, 6)))
+
+    kept = []
+    for r in sorted(rows, key=lambda r: (-((r[3] is not None) + (r[4] is not None)), -r[7], r[0])):
+        if not any(clash(r, k) for k in kept):
+            kept.append(r)
+    written, plain = [], select.cut
+
+    def counted(df):
+        out = plain(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(select, "cut", counted)
+    monkeypatch.setattr(identity, "cut", counted)
+    frame = spark.createDataFrame(rows, "ord long, trial string, thesis string, doi string, pmid string, title string, year int, n_claims int")
+    got = identity.dedup_receipts(frame)
+    assert sorted(r.ord for r in got.collect()) == sorted(r[0] for r in kept)
+    assert max(written) <= 13 * len(rows)

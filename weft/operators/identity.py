@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weft.functions.text import alpha_suffix, missing
-from weft.operators.select import cut, greedy_by_keys
+from weft.operators.select import cut, greedy_by_keys, greedy_by_sides
 
 
 def merge_hits(hits: DataFrame) -> DataFrame:
@@ -73,9 +73,9 @@ def dedup_receipts(rows: DataFrame) -> DataFrame:
     """
     rows = rows.withColumn("thesis", F.md5(_sign("thesis", 200)))
     rank = F.struct(-(missing(F.col("doi")).isNotNull().cast("int") + missing(F.col("pmid")).isNotNull().cast("int")), -F.col("n_claims"), F.col("ord"))
-    ranked = number(rows.withColumn("_rank", rank), "_rank", "_n").drop("_rank")
-    keys = conflict_keys(ranked).groupBy("_n").agg(F.collect_set("key").alias("_keys"))
-    return greedy_by_keys(ranked.join(keys, "_n", "left"), "_n", "_keys").drop("_n", "_keys", "thesis")
+    # A range shuffle reads its rows twice; the texts are read once.
+    ranked = number(cut(rows.withColumn("_rank", rank)), "_rank", "_n").drop("_rank")
+    return greedy_by_sides(ranked, "_n", conflicts(ranked)).drop("_n", "thesis")
 
 
 def _sign(c: str, n: int) -> Column:
@@ -100,33 +100,40 @@ def agreeing(each: DataFrame, same: str, soft: list[str]) -> DataFrame:
     return a.join(b, on).select(F.col("a.who").alias("a"), F.col("b.who").alias("b"))
 
 
-def conflict_keys(rows: DataFrame) -> DataFrame:
-    """(_n, key): two of rows(_n, trial, thesis, doi, pmid, title, year) conflict if they share a key.
+def conflicts(rows: DataFrame) -> DataFrame:
+    """(_n, key, side) of rows(_n, trial, thesis, doi, pmid, title, year) that conflict, as greedy_by_sides() reads them.
 
-    Rows with the same identity (doi, pmid, title, year) conflict and share its key.
-    Unlike identities are compared as distinct values, under an equal doi, pmid or
-    title; every two that match make a key that all rows of both share. So pairs of
-    identities are made, never pairs of rows.
+    Under an equal doi, pmid or title, rows are told apart by which of the others they
+    know. Two of one kind conflict if all that the kind knows agrees: they share a key.
+    Two of unlike kinds conflict if what both know agrees: they share a key from two
+    sides. So a row has a key for each kind, and no pairs are made, whatever a title is
+    shared by. The thesis is a hash (see dedup_receipts).
     """
     keyed = rows.select(
         "_n",
-        F.concat_ws("|", F.lit("evidence"), F.upper(F.coalesce("trial", F.lit(""))), _sign("thesis", 200)).alias("evidence"),
+        F.upper(F.coalesce("trial", F.lit(""))).alias("trial"),
+        "thesis",
         F.lower(missing(F.col("doi"))).alias("doi"),
         F.nullif(F.ltrim(F.col("pmid"), F.lit("0")), F.lit("")).alias("pmid"),
         F.nullif(F.regexp_replace(F.lower(F.coalesce("title", F.lit(""))), "[^a-z0-9]+", ""), F.lit("")).alias("title"),
         F.col("year").cast("string").alias("year"),
     )
-    keyed = cut(keyed.withColumn("who", F.md5(F.to_json(F.struct("doi", "pmid", "title", "year")))))
-    known = keyed.where(F.coalesce("doi", "pmid", "title").isNotNull())
-    each = cut(known.select("who", "doi", "pmid", "title", "year").distinct())
-    met = None
-    for same, soft in (("doi", ["pmid"]), ("pmid", ["doi"]), ("title", ["doi", "pmid", "year"])):
-        part = agreeing(each, same, soft)
-        met = part if met is None else met.union(part)
-    both = met.distinct().withColumn("key", F.concat("a", "b"))
-    sides = both.select(F.col("a").alias("who"), "key").union(both.select(F.col("b").alias("who"), "key"))
-    own = known.select("_n", F.col("who").alias("key"))
-    return keyed.select("_n", F.col("evidence").alias("key")).union(own).union(known.select("_n", "who").join(sides, "who").select("_n", "key"))
+    digest = lambda *c: F.unhex(F.md5(F.to_json(F.struct(*c))))
+    at = lambda same, soft: sum((F.col(c).isNotNull().cast("int") * (1 << i) for i, c in enumerate(soft)), F.when(F.col(same).isNotNull(), 0))
+    rules = [("doi", ["pmid"]), ("pmid", ["doi"]), ("title", ["doi", "pmid", "year"])]
+    # Kinds that there are: eight at most.
+    there = keyed.agg(*[F.collect_set(at(same, soft)).alias(same) for same, soft in rules]).first()
+    held = [F.struct(digest(F.lit("evidence").alias("by"), "trial", "thesis").alias("key"), F.lit(0).alias("side"))]
+    for same, soft in rules:
+        mask = at(same, soft)
+        for other in there[same]:
+            both = mask.bitwiseAND(F.lit(other))
+            shared = [F.when(both.bitwiseAND(F.lit(1 << i)) > 0, F.col(c)).alias(c) for i, c in enumerate(soft)]
+            key = digest(F.lit(same).alias("by"), F.col(same).alias("same"), F.least(mask, F.lit(other)).alias("low"), F.greatest(mask, F.lit(other)).alias("high"), *shared)
+            side = F.when(mask == other, 0).when(mask < other, 1).otherwise(2)
+            held.append(F.when(mask.isNotNull(), F.struct(key.alias("key"), side.alias("side"))))
+    each = keyed.select("_n", F.explode(F.filter(F.array(*held), lambda h: h.isNotNull())).alias("h"))
+    return each.select("_n", "h.key", "h.side")
 
 
 def crosswalk(saved: DataFrame, meta: DataFrame) -> DataFrame:

@@ -39,23 +39,39 @@ def greedy_by_keys(rows: DataFrame, order: str, keys: str) -> DataFrame:
     a kept row holds one of its keys; so no pairs are made, and a key that a third of
     all rows hold makes one link a row.
     """
-    owns = cut(rows.select(order, F.explode_outer(F.array_distinct(keys)).alias("key")))
-    free = owns.where("key is null").select(order)
-    open_ = owns.where("key is not null")
+    return greedy_by_sides(rows, order, rows.select(order, F.explode(F.array_distinct(keys)).alias("key"), F.lit(0).alias("side")))
+
+
+def greedy_by_sides(rows: DataFrame, order: str, held: DataFrame) -> DataFrame:
+    """The kept rows of rows(order) where the same key in held(order, key, side) is a conflict, unless the side is the same and not 0.
+
+    Sides 1 and 2 say that each of some rows conflicts with each of some others, but not
+    with its own kind, by one key a row. Keys that nobody contests are left out first.
+    """
+    held = held.where(F.col(order).isNotNull() & F.col("key").isNotNull())
+    on = lambda k: F.col("side") == k
+    each = held.groupBy("key").agg(*[F.count_if(on(k)).alias(f"n{k}") for k in range(3)])
+    contested = each.where("n0 > 1 or (n0 > 0 and n1 + n2 > 0) or (n1 > 0 and n2 > 0)").select("key")
+    open_ = first = cut(held.join(contested, "key", "left_semi"))
+    rival = lambda f: F.when(on(1), F.least(f(0), f(2))).when(on(2), F.least(f(0), f(1))).otherwise(F.least(f(0), f(1), f(2)))
     kept = None
     while True:
         # First in line under all of its keys: kept.
-        front = open_.groupBy("key").agg(F.min(order).alias("first"))
-        state = open_.join(front, "key").groupBy(order).agg(F.bool_and(F.col(order) == F.col("first")).alias("now"))
+        front = open_.groupBy("key").agg(*[F.min(F.when(on(k), F.col(order))).alias(f"f{k}") for k in range(3)])
+        ahead = rival(lambda k: F.col(f"f{k}"))
+        state = open_.join(front, "key").groupBy(order).agg(F.bool_and(F.coalesce(F.col(order) <= ahead, F.lit(True))).alias("now"))
         won = cut(state.where("now").select(order))
         if won.isEmpty():
             break
         kept = won if kept is None else kept.union(won)
-        claimed = open_.join(won, order, "left_semi").select("key").distinct()
-        lost = open_.join(claimed, "key", "left_semi").select(order).distinct()
-        open_ = cut(open_.join(lost, order, "left_anti"))
-    out = free if kept is None else free.union(kept)
-    return rows.join(out.distinct(), order, "left_semi")
+        claimed = open_.join(won, order, "left_semi").groupBy("key").agg(*[F.max(F.when(on(k), True)).alias(f"f{k}") for k in range(3)])
+        rest = open_.join(won, order, "left_anti")
+        lost = rest.join(claimed, "key").where(rival(lambda k: F.col(f"f{k}")).isNotNull()).select(order).distinct()
+        open_ = cut(rest.join(lost, order, "left_anti"))
+    out = first.select(order).distinct()
+    if kept is not None:
+        out = out.join(kept, order, "left_anti")
+    return rows.where(F.col(order).isNotNull()).join(out, order, "left_anti")
 
 
 def greedy_by_edges(rows: DataFrame, order: str, edges: DataFrame) -> DataFrame:
