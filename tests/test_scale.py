@@ -364,3 +364,42 @@ def test_receipts_of_one_title_make_no_pairs(spark, monkeypatch):
     got = identity.dedup_receipts(frame)
     assert sorted(r.ord for r in got.collect()) == sorted(r[0] for r in kept)
     assert max(written) <= 13 * len(rows)
+
+
+def test_manuscripts_that_orders_share_are_read_once(spark, tmp_path, monkeypatch):
+    """Of 70 orders, some with one text and some twice in the table, each text is read once and each order has its issues."""
+    from weft.operators import surface
+    from weft.plans import surfaces
+
+    period = 10 * 27 * 7 * 5 * 11 * 13 * 17
+    keys = [k + n * period for k in range(35) for n in range(2)]
+    spark.createDataFrame([(k,) for k in [*keys, *keys[:9]]], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    read, plain = [], surface.manuscripts
+
+    def counted(docs, id_col, text_col):
+        read.append(docs.count())
+        return plain(docs, id_col, text_col)
+
+    monkeypatch.setattr(surface, "manuscripts", counted)
+    for name, level in (("paper_issues", 1), ("paragraph_issues", 2), ("surface_sentence_issues", 3)):
+        got = [tuple(r) for r in surfaces.QUERIES[name](spark, str(tmp_path)).collect()]
+        want = {(k, code) for k in keys for d, fragments in surfaces.FRAGMENTS.values() for code in fragments[k // d % len(fragments)][level]}
+        assert sorted(got) == sorted(want)
+    assert read == [35] * 3
+
+
+def test_paper_rules_look_for_words_first(spark):
+    """The words of an abstract are cut once, not at each of their places; patterns still find their texts in any case."""
+    from weft.operators import issues, surface
+
+    texts = {
+        "unresolved_template": "STUDY(S) were read", "citation_artifact": "It was so PMID:\nand more", "grammar_artifact": "It IS said\tTO\nIs", "pipeline_jargon": "Accepted Receipts", "unresolved_statistic": "The P-Value was Unknown", "human_verification": "HUMAN-Reviewed",
+        "unbacked_appraisal": "rob 2", "repair_artifact": "EVIDENCE\nsuggests  that evidence suggests that", "internal_tier_label": "B2_x", "internal_handle": "PMC1234567", "orphan_table": "See TABLE\n4", "classification_row": "x\n|  **Directness** | y |", "polarity": "Decreased\nLIFESPAN by 5",
+        "duplicate_phrase": "In Mice in mice", "abstract_contradiction": "There were 0 mechanistic sources.\n## Results\nMechanistic", "plain": "One was seen and one was kept",
+    }
+    docs = spark.createDataFrame([(k, f"## Abstract\n{t}\n") for k, t in texts.items()], "id string, text string")
+    rules = surface.paper_rules({}, {}, 0, 0, 0, (0, 0.0))
+    found = issues.issues(surface.judged(surface.manuscripts(docs, "id", "text")), "id", F.lit(0), F.lit(""), rules)
+    want = {(k, k) for k in texts if k != "plain"} | {("repair_artifact", "duplicate_phrase")}
+    assert {(r.id, r.code) for r in found.collect()} - {(k, "missing_references") for k in texts} == want
+    assert "regexp" not in str(rules["duplicate_phrase"][1])

@@ -8,6 +8,9 @@ the citations that the text names.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,13 +92,13 @@ def slug(name: str) -> str:
 def section(text: Column, name: str) -> Column:
     """The text below a second-level heading; null without the heading."""
     pattern = rf"(?ms)^##[ \t]+{name}\b[^\n]*(?:\n(.*?))?(?=^##[ \t]|\z)"
-    return F.when(text.rlike(rf"(?m)^##[ \t]+{name}\b"), F.coalesce(F.regexp_extract(text, pattern, 1), F.lit("")))
+    return F.when(F.contains(text, F.lit(name)) & text.rlike(rf"(?m)^##[ \t]+{name}\b"), F.coalesce(F.regexp_extract(text, pattern, 1), F.lit("")))
 
 
 def words(text: Column) -> Column:
     """Number of words that are not in table rows."""
-    plain = F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?m)^[ \t]*\|.*$", " "), F.lit(" \t\n\x0b\f\r"))
-    return F.when(plain == "", F.lit(0)).otherwise(F.size(F.split(plain, r"\s+")))
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?m)^[ \t]*\|.*$", " ")
+    return F.size(F.array_remove(F.split(plain, r"\s+"), ""))
 
 
 def manuscripts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -131,9 +134,8 @@ def _parts_of(results: Column) -> Column:
     return F.transform(blocks, lambda b: F.struct(outcome_key(F.regexp_extract(b, r"^###[ \t]+([^\n]*)", 1)).alias("key"), F.regexp_extract(b, r"(?s)^[^\n]*\n(.*)", 1).alias("body")))
 
 
-def _repeats(text: Column, sizes: tuple[int, ...] = (2, 3, 4)) -> Column:
-    """Whether some words of a text, not all alike, are followed by themselves."""
-    w = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), 0)
+def _repeats(w: Column, sizes: tuple[int, ...] = (2, 3, 4)) -> Column:
+    """Whether some of a text's words, not all alike, are followed by themselves. The words are a column: what is made here would be made anew at each place."""
 
     def twice(k: int) -> Column:
         places = F.when(F.size(w) >= 2 * k, F.sequence(F.lit(1), F.size(w) - (2 * k - 1))).otherwise(F.array().cast("array<int>"))
@@ -142,7 +144,7 @@ def _repeats(text: Column, sizes: tuple[int, ...] = (2, 3, 4)) -> Column:
     found = F.lit(False)
     for k in sizes:
         found = found | twice(k)
-    return found
+    return (F.size(F.array_distinct(w)) < F.size(w)) & found
 
 
 def _with_disclaimer(text: Column, phrases: tuple[str, ...]) -> Column:
@@ -152,11 +154,13 @@ def _with_disclaimer(text: Column, phrases: tuple[str, ...]) -> Column:
 
 
 def judged(papers: DataFrame) -> DataFrame:
-    """manuscripts() with what rules use more than once: tables, parts and blocks of a paper."""
+    """manuscripts() with what rules use more than once: tables, parts, blocks, words and lower case of a paper."""
     results, abstract = F.coalesce("results", F.lit("")), F.coalesce("abstract", F.lit(""))
     counted = F.filter(F.transform("_rows", lambda r: F.struct(outcome_key(r[0]).alias("k"), F.regexp_extract(F.coalesce(F.get(r, F.lit(1)), F.lit("")), r"(?i)\bn\s*=\s*(\d+)\b", 1).alias("n"))), lambda s: s["n"] != "")
     claims = lambda b: F.regexp_extract_all(F.substring(b, 1, 900), F.lit(r"(?i)\b(?:spans|contains|includes|covers|across)\s+(\d+)\s+(?:curated\s+)?(?:references?|sources?|studies|papers)\b"), 1)
     made = papers.withColumns({"_rows": _rows_of(results), "_parts": _parts_of(results), "_blocks": F.filter(F.split("body", r"(?m)^(?=#{2,6}[ \t]+\S)"), lambda b: b.rlike(r"^#{2,6}[ \t]")), "_rest": F.lower(F.replace(F.col("body"), abstract, F.lit("")))})
+    count = {f"_n_{c}": words(F.col(c)) for c in ("text", "body", "discussion", "cross_domain_synthesis")}
+    made = made.withColumns({"_low": F.lower("text"), "_said": F.lower(F.coalesce("discussion", F.lit(""))), "_tokens": F.regexp_extract_all(F.lower(abstract), F.lit("[a-z0-9]+"), 0), **count})
     return made.withColumns({
         "_wanted": F.array_distinct(F.transform("_rows", lambda r: outcome_key(F.element_at(F.split(r[0], "/"), -1)))),
         "_keys": F.transform("_parts", lambda p: p["key"]),
@@ -167,22 +171,26 @@ def judged(papers: DataFrame) -> DataFrame:
 
 
 def paper_rules(floors: dict[str, int] | None = None, ceilings: dict[str, int] | None = None, least_words: int = 5000, hedges: int = 4, depth: int = DEPTH, analysis: tuple[int, float] = (100, 0.15)) -> Rules:
-    """Rules of judged(); analysis has the fewest words of a body and the share that Discussion and Cross-Domain Synthesis need."""
+    """Rules of judged(); analysis has the fewest words of a body and the share that Discussion and Cross-Domain Synthesis need.
+
+    A pattern runs where the words are that it cannot do without.
+    """
     floors, ceilings = FLOORS if floors is None else floors, CEILINGS if ceilings is None else ceilings
     c = lambda n: F.coalesce(F.col(slug(n)), F.lit(""))
     text, body, wanted, keys, levels = (F.col(x) for x in ("text", "body", "_wanted", "_keys", "_levels"))
-    low, has_table = F.lower(body), F.size("_rows") > 0
+    has_table = F.size("_rows") > 0
+    has = lambda *terms: any_of(F.col("_low"), list(terms))
     differs = F.exists("_claimed", lambda p: F.exists("_counted", lambda t: (t["k"] == p["key"]) & F.exists(p["ns"], lambda n: n != t["n"])))
     defined = F.regexp_extract_all(text, F.lit(r"(?im)^(?:#{2,6}[ \t]+Table[ \t]+(\d+)\b|Table[ \t]+(\d+)[ \t]*[:.\u2014-])"), 0)
     numbers = F.transform(defined, lambda d: F.regexp_extract(d, r"(\d+)", 1))
     named = F.array_distinct(F.regexp_extract_all(body, F.lit(r"(?i)\bTable\s+(\d+)\b"), 1))
     absent = F.regexp_extract_all(c("Abstract"), F.lit(r"(?i)\b0\s+([a-z][a-z\s/-]+?)\s+sources?\b"), 1)
     terms = lambda a: F.filter(F.regexp_extract_all(F.lower(a), F.lit("[a-z]+"), 0), lambda t: (F.length(t) >= 6) & ~t.isin("source", "sources", "clinical", "direct", "adjacent"))
-    hedged = F.size(F.filter(F.array(*map(F.lit, HEDGES)), lambda h: F.contains(F.lower(c("Discussion")), h)))
-    deep = words(c("Discussion")) + words(c("Cross-Domain Synthesis"))
+    hedged = reduce(add, [F.contains("_said", F.lit(h)).cast("int") for h in HEDGES])
+    n_body, deep = F.col("_n_body"), F.col("_n_discussion") + F.col("_n_cross_domain_synthesis")
     rated = F.size(F.regexp_extract_all(text, F.lit(r"(?im)^#{2,4}[ \t]+(?:risk[ -]of[ -]bias|quality appraisal)[^\n]*\n(?:[^#|\n][^\n]*\n|\n)*\|[^\n]*\n\|[^\n]*\n\|[^\n]*"), 0)) > 0
     rules: Rules = {
-        "thin": ("P1", words(text) < least_words),
+        "thin": ("P1", F.col("_n_text") < least_words),
         "duplicate_references": ("P1", F.size(F.regexp_extract_all(text, F.lit(r"(?m)^## References"), 0)) > 1),
         "missing_references": ("P1", ~text.rlike(r"(?m)^##\s+References\b")),
         "empty_heading": ("P1", F.exists(F.transform(levels, lambda b, i: b["bare"] & (F.coalesce(F.get(levels, i + 1)["level"], F.lit(0)) <= b["level"])), lambda x: x)),
@@ -190,30 +198,30 @@ def paper_rules(floors: dict[str, int] | None = None, ceilings: dict[str, int] |
         "unexpected_outcome_section": ("P1", has_table & (F.size(F.array_except(keys, wanted)) > 0)),
         "duplicate_outcome_section": ("P1", has_table & (F.size(F.array_distinct(keys)) < F.size(keys))),
         "count_mismatch": ("P1", differs),
-        "orphan_table": ("P1", F.size(F.array_except(named, numbers)) > 0),
-        "duplicate_phrase": ("P1", _repeats(c("Abstract"))),
-        "unresolved_template": ("P1", body.rlike(TEMPLATE_SLOT)),
-        "abstract_contradiction": ("P1", F.exists(absent, lambda a: F.exists(terms(a), lambda t: F.rlike(F.col("_rest"), F.concat(F.lit(r"\b"), t, F.lit(r"\b")))))),
+        "orphan_table": ("P1", has("table") & (F.size(F.array_except(named, numbers)) > 0)),
+        "duplicate_phrase": ("P1", _repeats(F.col("_tokens"))),
+        "unresolved_template": ("P1", has("(s)", "(es)", "study/studies") & body.rlike(TEMPLATE_SLOT)),
+        "abstract_contradiction": ("P1", F.contains(c("Abstract"), F.lit("0")) & F.exists(absent, lambda a: F.exists(terms(a), lambda t: F.rlike(F.col("_rest"), F.concat(F.lit(r"\b"), t, F.lit(r"\b")))))),
         "conclusion_scope": ("P1", c("Conclusion").rlike(r"(?i)\bseparates\s+endpoint[- ]specific\s+evidence\b")),
-        "citation_artifact": ("P1", body.rlike(CITATION_ARTIFACT)),
-        "grammar_artifact": ("P1", body.rlike(GRAMMAR)),
-        "classification_row": ("P1", body.rlike(r"(?im)^\|\s*\*{0,2}(?:outcome class|directness|directional signal|evidence tier)\*{0,2}(?:\s|\||$)")),
-        "pipeline_jargon": ("P1", low.rlike(r"(?:^|[^\w-])(?:" + "|".join(JARGON) + r")(?:[^\w-]|$)")),
+        "citation_artifact": ("P1", has("[", "<", "pmid", "doi") & body.rlike(CITATION_ARTIFACT)),
+        "grammar_artifact": ("P1", has("to", "automatically", ".g.,") & body.rlike(GRAMMAR)),
+        "classification_row": ("P1", has("|") & body.rlike(r"(?im)^\|\s*\*{0,2}(?:outcome class|directness|directional signal|evidence tier)\*{0,2}(?:\s|\||$)")),
+        "pipeline_jargon": ("P1", has(*[j for j in JARGON if not any(k in j for k in JARGON if k != j)]) & F.lower(body).rlike(r"(?:^|[^\w-])(?:" + "|".join(JARGON) + r")(?:[^\w-]|$)")),
         "limitations_leak": ("P1", c("Limitations").rlike(LEAKED_SUMMARY)),
         "no_thesis": ("P1", (F.trim(c("Discussion")) != "") & ~c("Discussion").rlike(r"(?i)\*\*\s*thesis\s*:\s*\*\*")),
         "no_resolution": ("P1", (F.trim(c("Discussion")) != "") & ~c("Discussion").rlike(r"(?i)\*\*\s*resolution\s+criteria\s*:\s*\*\*")),
-        "unresolved_statistic": ("P1", text.rlike(UNRESOLVED_STATISTIC)),
-        "human_verification": ("P1", text.rlike(HUMAN_CHECKED)),
-        "polarity": ("P1", text.rlike(POLARITY)),
+        "unresolved_statistic": ("P1", has("statistic", "estimate", "value", "interval") & text.rlike(UNRESOLVED_STATISTIC)),
+        "human_verification": ("P1", has("verified", "reviewed", "verification") & text.rlike(HUMAN_CHECKED)),
+        "polarity": ("P1", has("lifespan") & text.rlike(POLARITY)),
         "fabricated_methods": ("P1", _with_disclaimer(F.col("methods"), FABRICATED)),
         "low_hedging": ("P2", (F.trim(c("Discussion")) != "") & (hedged < hedges)),
-        "shallow_discussion": ("P2", words(c("Discussion")) < depth),
-        "shallow_cross_domain": ("P2", words(c("Cross-Domain Synthesis")) < depth),
-        "low_analysis": ("P2", (words(body) < analysis[0]) | (deep / F.greatest(words(body), F.lit(1)) < analysis[1])),
-        "unbacked_appraisal": ("P1", body.rlike(FRAMEWORKS) & ~rated),
-        "repair_artifact": ("P2", text.rlike(r"(?i)\(potentially\)|\bevidence\s+suggests\s+that\s+evidence\s+suggests\s+that")),
-        "internal_tier_label": ("P2", body.rlike(TIER_LABEL)),
-        "internal_handle": ("P1", body.rlike(HANDLE)),
+        "shallow_discussion": ("P2", F.col("_n_discussion") < depth),
+        "shallow_cross_domain": ("P2", F.col("_n_cross_domain_synthesis") < depth),
+        "low_analysis": ("P2", (n_body < analysis[0]) | (deep / F.greatest(n_body, F.lit(1)) < analysis[1])),
+        "unbacked_appraisal": ("P1", has("rob-2", "rob 2", "robins-i", "amstar") & body.rlike(FRAMEWORKS) & ~rated),
+        "repair_artifact": ("P2", (has("(potentially)") | (has("evidence") & has("suggests") & has("that"))) & text.rlike(r"(?i)\(potentially\)|\bevidence\s+suggests\s+that\s+evidence\s+suggests\s+that")),
+        "internal_tier_label": ("P2", has("1_", "2_") & body.rlike(TIER_LABEL)),
+        "internal_handle": ("P1", has("_", "pmc") & body.rlike(HANDLE)),
     }
     for name, least in floors.items():
         rules[f"missing_{slug(name)}"] = ("P1", F.col(slug(name)).isNull())
